@@ -88,3 +88,115 @@ def sweep_components(spark: SparkSession, sf: str) -> DataFrame:
                     F.coalesce(F.substring("title", 1, 70), F.lit("?")).alias("title"),
                     F.format_string("%.3f", "score").alias("score_text"),
                     _r6("score").alias("score")))
+
+
+# --- lexical, ranks, fusion, answers ----------------------------------------------
+
+from papyra.operators import hybrid as H  # noqa: E402
+from papyra.operators import lexical as L  # noqa: E402
+from papyra.operators import ranking as R  # noqa: E402
+from papyra.functions.text import tokenize as _tokenize  # noqa: E402
+
+_BASE = [O.ENTRIES, O.PAPERS, O.PE, O.QUESTIONS]
+
+
+@register("tokenize", O.with_(O.ENTRIES, O.PAPERS) + f"""
+SELECT DISTINCT arxiv_id AS paper_id, unnest({O.tokens("title || ' ' || abstract")}) AS token FROM papers""")
+def tokenize_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct keyword tokens of every paper's title + abstract."""
+    p = TB.papers(spark, sf)
+    return p.select(F.col("arxiv_id").alias("paper_id"),
+                    F.explode(_tokenize(F.concat_ws(" ", "title", "abstract"))).alias("token"))
+
+
+@register("keyword_overlap", O.with_(O.ENTRIES, O.PAPERS, O.QUESTIONS) + f"""
+, dtok AS (SELECT arxiv_id AS paper_id, unnest({O.tokens("title || ' ' || abstract")}) AS token FROM papers),
+qtok AS (SELECT question_id, unnest({O.tokens('question')}) AS token FROM questions)
+SELECT q.question_id, d.paper_id, count(*) AS overlap FROM qtok q JOIN dtok d ON q.token = d.token
+GROUP BY q.question_id, d.paper_id""")
+def keyword_overlap_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Sparse token-set intersection sizes, every question x every paper
+    (pairs with overlap 0 are absent)."""
+    p = TB.papers(spark, sf)
+    texts = p.select(F.col("arxiv_id").alias("paper_id"), F.concat_ws(" ", "title", "abstract").alias("text"))
+    return L.keyword_overlap(L.paper_tokens(texts), L.question_tokens(TB.questions(spark, sf)))
+
+
+@register("rank_by_similarity", O.with_(*_BASE, *O.debiased_scores("m1", (3,))) + """
+SELECT question_id, paper_id, row_number() OVER (PARTITION BY question_id ORDER BY s DESC NULLS LAST, paper_id) - 1
+       AS rank, round(s, 6) + 0.0 AS score FROM scores""")
+def rank_by_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """R2: full 0-based debiased-cosine rank of every vector, per question."""
+    vecs = V.vectors_of(TB.paper_embeddings(spark, sf), "m1")
+    sims = V.score_corpus(vecs, TB.questions(spark, sf), V.fit_basis(vecs, 3), components=(3,))
+    return (R.exact_rank(sims, ["question_id"], "score", "paper_id", R.similarity_bucket)
+            .select("question_id", "paper_id", "rank", _r6("score").alias("score")))
+
+
+@register("rank_by_overlap", O.with_(*_BASE, *O.hybrid_ctes("m1")) + """
+SELECT question_id, paper_id, overlap, rl AS rank FROM lr""")
+def rank_by_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """R2: full 0-based keyword rank (overlap desc, id asc) of every vector."""
+    pairs = H.scored_pairs(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), TB.questions(spark, sf), "m1")
+    return (R.exact_rank(pairs.select("question_id", "paper_id", "overlap"), ["question_id"], "overlap",
+                         "paper_id", R.integer_bucket)
+            .select("question_id", "paper_id", "overlap", "rank"))
+
+
+@register("rrf_scores", O.with_(*_BASE, *O.hybrid_ctes("m1")) + """
+SELECT question_id, paper_id, re AS rank_embedding, rl AS rank_keyword, round(rrf, 9) + 0.0 AS score FROM fused""")
+def rrf_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Fused score of every (question, vector)."""
+    f = H.fused_scores(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), TB.questions(spark, sf), "m1")
+    return f.select("question_id", "paper_id", "rank_embedding", "rank_keyword",
+                    F.round("score", 9).alias("score"))
+
+
+@register("hybrid_search", O.with_(*_BASE, *O.hybrid_ctes("m1")) + """
+SELECT question_id, rank, paper_id, round(rrf, 9) + 0.0 AS score FROM hyb WHERE rank <= 5""")
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """V7: fused top-5 per question."""
+    h = H.search_hybrid(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), TB.questions(spark, sf), "m1")
+    return h.withColumn("score", F.round("score", 9))
+
+
+_ASK_SQL = """
+SELECT h.question_id, h.rank, p.arxiv_id, p.title, p.abstract, p.primary_category, p.pdf_url, p.abs_url,
+       round(h.rrf, 9) + 0.0 AS score
+FROM hyb h JOIN papers p ON p.arxiv_id = h.paper_id WHERE h.rank <= 5"""
+
+
+@register("ask", O.with_(*_BASE, *O.hybrid_ctes("m1")) + _ASK_SQL)
+def ask_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1 (flagship): questions -> top-5 papers with metadata and fused score."""
+    a = H.ask(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), TB.questions(spark, sf), "m1")
+    return a.withColumn("score", F.round("score", 9))
+
+
+@register("ask_metadata_drop",
+          O.with_(O.ENTRIES, O.papers_minus("toxic = 1"), O.PE, O.QUESTIONS, *O.hybrid_ctes("m1")) + _ASK_SQL)
+def ask_metadata_drop(spark: SparkSession, sf: str) -> DataFrame:
+    """As ask, over a corpus whose toxic-labelled papers were removed but
+    whose vectors remain: those vectors rank with empty text and are dropped
+    after the cut."""
+    p = TB.papers_without_labelled(spark, sf, "toxic = 1")
+    a = H.ask(p, TB.paper_embeddings(spark, sf), TB.questions(spark, sf), "m1")
+    return a.withColumn("score", F.round("score", 9))
+
+
+@register("build_contexts", O.with_(*_BASE, *O.hybrid_ctes("m1")) + """
+, a AS (SELECT h.question_id, h.rank, p.arxiv_id, p.title, p.abstract,
+               row_number() OVER (PARTITION BY h.question_id ORDER BY h.rank) AS pos
+        FROM hyb h JOIN papers p ON p.arxiv_id = h.paper_id WHERE h.rank <= 3),
+b AS (SELECT question_id, string_agg(printf(chr(10) || '%d. [%s] %s' || chr(10) || '   Abstract: %s',
+             pos, arxiv_id, title, abstract), chr(10) ORDER BY pos) AS body FROM a GROUP BY question_id)
+SELECT q.question_id,
+       CASE WHEN b.body IS NULL THEN 'No relevant papers were found to answer this question.'
+            ELSE 'Question: ' || q.question || chr(10) || chr(10) || 'Candidate papers:' || chr(10) || b.body
+       END AS prompt
+FROM questions q LEFT JOIN b ON b.question_id = q.question_id""")
+def build_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Q2/Q3: one answer prompt per question from its top-3 papers."""
+    p, qs = TB.papers(spark, sf), TB.questions(spark, sf)
+    a = H.ask(p, TB.paper_embeddings(spark, sf), qs, "m1", top_k=3)
+    return H.build_contexts(qs, a)

@@ -28,7 +28,7 @@ def pid(x: str) -> str:
 def tokens(x: str) -> str:
     """Distinct keyword tokens of a text, as a list."""
     return (f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), "
-            f"w -> length(w) > 2 AND NOT list_contains([{STOP}], w)))")
+            f"lambda w: length(w) > 2 AND NOT list_contains([{STOP}], w)))")
 
 
 # --- fixture views as CTE bodies ------------------------------------------------
@@ -147,6 +147,38 @@ def debiased_scores(model: str, ns: tuple[int, ...], center: bool = True) -> lis
     return ctes
 
 
+def papers_minus(label_filter: str) -> str:
+    """papers without the documents matching a labels predicate."""
+    return (f"papers AS (SELECT arxiv_id, title, abstract, primary_category, published, updated, pdf_url, "
+            f"abs_url, comment, journal_ref, doi, TIMESTAMP '2024-07-01' AS ingested_at FROM entries "
+            f"WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE {label_filter}))")
+
+
+def hybrid_ctes(model: str, n: int = 3, rrf_k: int = 60) -> list[str]:
+    """CTEs ending in fused(question_id, paper_id, re, rl, rrf); needs
+    entries, papers, pe, questions."""
+    return debiased_scores(model, (n,)) + [
+        "universe AS (SELECT paper_id FROM vecs)",
+        "dtext AS (SELECT u.paper_id, coalesce(p.title || ' ' || p.abstract, '') AS text "
+        "FROM universe u LEFT JOIN papers p ON p.arxiv_id = u.paper_id)",
+        f"dtok AS MATERIALIZED (SELECT paper_id, unnest({tokens('text')}) AS token FROM dtext)",
+        f"qtok AS MATERIALIZED (SELECT question_id, unnest({tokens('question')}) AS token FROM questions)",
+        "ov AS MATERIALIZED (SELECT q.question_id, d.paper_id, count(*) AS overlap FROM qtok q "
+        "JOIN dtok d ON q.token = d.token GROUP BY q.question_id, d.paper_id)",
+        "er AS MATERIALIZED (SELECT question_id, paper_id, row_number() OVER (PARTITION BY question_id "
+        "ORDER BY s DESC NULLS LAST, paper_id) - 1 AS re FROM scores)",
+        "lex AS MATERIALIZED (SELECT s.question_id, s.paper_id, coalesce(ov.overlap, 0) AS overlap FROM scores s "
+        "LEFT JOIN ov ON ov.question_id = s.question_id AND ov.paper_id = s.paper_id)",
+        "lr AS MATERIALIZED (SELECT question_id, paper_id, overlap, row_number() OVER (PARTITION BY question_id "
+        "ORDER BY overlap DESC, paper_id) - 1 AS rl FROM lex)",
+        f"fused AS MATERIALIZED (SELECT er.question_id, er.paper_id, er.re, lr.rl, "
+        f"1.0::DOUBLE / ({rrf_k} + er.re) + 1.0::DOUBLE / ({rrf_k} + lr.rl) AS rrf FROM er JOIN lr "
+        f"ON er.question_id = lr.question_id AND er.paper_id = lr.paper_id)",
+        "hyb AS MATERIALIZED (SELECT question_id, paper_id, rrf, row_number() OVER (PARTITION BY question_id "
+        "ORDER BY rrf DESC, paper_id) AS rank FROM fused)",
+    ]
+
+
 def raw_cosine_scores(model: str) -> list[str]:
     """scores(question_id, n, paper_id, s) for the plain cosine (n = 0)."""
     return [

@@ -113,3 +113,15 @@ def current_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (e.where(F.col("doc_id") % 3 != 0)
             .withColumn("doi", F.concat(F.lit("10.1/"), F.col("arxiv_id")))
             .withColumn("seq", F.col("doc_id")))
+
+
+def papers_without_labelled(spark: SparkSession, sf_dir: str, predicate: str) -> DataFrame:
+    """``papers`` after removing the documents whose label row matches
+    ``predicate`` (e.g. ``toxic = 1``): a corpus state in which some stored
+    vectors have lost their paper row."""
+    flagged = table(spark, sf_dir, "labels").where(predicate).select("doc_id")
+    kept = paper_entries(spark, sf_dir).join(flagged, "doc_id", "left_anti")
+    return kept.select(
+        "arxiv_id", "title", "abstract", "primary_category", "published", "updated",
+        "pdf_url", "abs_url", "comment", "journal_ref", "doi",
+        ts(INGESTED_AT).alias("ingested_at"))
