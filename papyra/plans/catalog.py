@@ -200,3 +200,94 @@ def build_contexts(spark: SparkSession, sf: str) -> DataFrame:
     p, qs = TB.papers(spark, sf), TB.questions(spark, sf)
     a = H.ask(p, TB.paper_embeddings(spark, sf), qs, "m1", top_k=3)
     return H.build_contexts(qs, a)
+
+
+# --- normalisation ------------------------------------------------------------------
+
+from papyra.functions import text as TX  # noqa: E402
+from papyra.operators import normalize as N  # noqa: E402
+
+
+def _iso(c) -> F.Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def _normalized(spark, sf):
+    return N.normalize_entries(TB.atom_entries(spark, sf), keep=("doc_id",))
+
+
+@register("entry_id", O.with_(O.ATOM) + "SELECT id, string_split(id, '/abs/')[-1] AS arxiv_id FROM atom")
+def entry_id_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Id after the last '/abs/' (old-style ids keep their slash)."""
+    return TB.atom_entries(spark, sf).select("id", N.entry_id("id").alias("arxiv_id"))
+
+
+@register("pdf_url_fallback", O.with_(O.ATOM, O.NORMALIZED) + "SELECT abs_url, pdf_url FROM normalized")
+def pdf_url_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Titled pdf link, else /abs/ -> /pdf/ in the id."""
+    return _normalized(spark, sf).select("abs_url", "pdf_url")
+
+
+@register("primary_category_default", O.with_(O.ATOM, O.NORMALIZED) + """
+SELECT abs_url, primary_category, array_to_string(categories, ';') AS categories FROM normalized""")
+def primary_category_default(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories in feed order; primary = own element, first category or ''."""
+    return _normalized(spark, sf).select("abs_url", "primary_category",
+                                         F.array_join("categories", ";").alias("categories"))
+
+
+@register("normalize_whitespace", f"SELECT {O.pid('doc_id')} AS paper_id, {O.ws('text')} AS text FROM documents")
+def normalize_whitespace_q(spark: SparkSession, sf: str) -> DataFrame:
+    """P5: whitespace runs (Python's full set) collapsed, ends stripped."""
+    d = TB.table(spark, sf, "documents")
+    return d.select(TB.padded_id("doc_id").alias("paper_id"), TX.normalize_whitespace("text").alias("text"))
+
+
+@register("truncate_seconds", "SELECT event_id, " + O.iso("date_trunc('second', ts)") + " AS ts FROM events")
+def truncate_seconds_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Timestamps to whole seconds, naive UTC, as ISO text."""
+    e = TB.table(spark, sf, "events")
+    return e.select("event_id", _iso(N.truncate_seconds("ts")).alias("ts"))
+
+
+_NORM_COLS = """arxiv_id, title, abstract, array_to_string(authors, ';') AS authors,
+  array_to_string(categories, ';') AS categories, primary_category, """ + O.iso("published") + """ AS published,
+  """ + O.iso("updated") + """ AS updated, pdf_url, abs_url, comment, journal_ref, doi"""
+
+
+@register("normalize_papers", O.with_(O.ATOM, O.NORMALIZED) + f"SELECT {_NORM_COLS} FROM normalized")
+def normalize_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole entry -> paper projection."""
+    n = _normalized(spark, sf)
+    return n.select("arxiv_id", "title", "abstract", F.array_join("authors", ";").alias("authors"),
+                    F.array_join("categories", ";").alias("categories"), "primary_category",
+                    _iso("published").alias("published"), _iso("updated").alias("updated"),
+                    "pdf_url", "abs_url", "comment", "journal_ref", "doi")
+
+
+@register("validate_papers", O.with_(O.ATOM, O.NORMALIZED) + """
+SELECT abs_url, reasons = '' AS is_valid, reasons FROM (
+  SELECT abs_url, concat_ws(';', """ + ", ".join(
+    f"CASE WHEN {c} IS NULL THEN '{c} is null' END" for c in N.REQUIRED) + """) AS reasons FROM normalized) t""")
+def validate_papers_q(spark: SparkSession, sf: str) -> DataFrame:
+    """P10: required fields checked; rejects quarantined with reasons."""
+    valid, rejects = N.validate_papers(_normalized(spark, sf))
+    return (valid.select("abs_url", F.lit(True).alias("is_valid"), F.lit("").alias("reasons"))
+            .unionByName(rejects.select("abs_url", F.lit(False).alias("is_valid"),
+                                        F.array_join("reasons", ";").alias("reasons"))))
+
+
+@register("document_text", O.with_(O.ENTRIES) + "SELECT arxiv_id AS paper_id, title || '[SEP]' || abstract AS text FROM entries")
+def document_text_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Encoder input text."""
+    e = TB.paper_entries(spark, sf)
+    return e.select(F.col("arxiv_id").alias("paper_id"), TX.document_text("title", "abstract").alias("text"))
+
+
+@register("paper_label", O.with_(O.ENTRIES) + """
+SELECT arxiv_id AS paper_id, '[' || arxiv_id || '] ' || title || ' (' || array_to_string(authors[1:3], ', ')
+       || CASE WHEN len(authors) > 3 THEN ' et al.' ELSE '' END || ')' AS label FROM entries""")
+def paper_label_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Display label with at most three authors."""
+    e = TB.paper_entries(spark, sf)
+    return e.select(F.col("arxiv_id").alias("paper_id"), TX.paper_label("arxiv_id", "title", "authors").alias("label"))

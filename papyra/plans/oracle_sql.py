@@ -31,13 +31,16 @@ def tokens(x: str) -> str:
             f"lambda w: length(w) > 2 AND NOT list_contains([{STOP}], w)))")
 
 
+AUTHORS = ("list_concat(['a' || (doc_id % 97), 'b' || (doc_id % 53), 'a' || (doc_id % 97)], "
+           "CASE WHEN doc_id % 5 = 0 THEN ['c' || (doc_id % 29)] ELSE []::VARCHAR[] END)")
+
 # --- fixture views as CTE bodies ------------------------------------------------
 
 ENTRIES = f"""entries AS (
   SELECT {pid('doc_id')} AS arxiv_id,
          {ws("split_part(text, chr(10), 1)")} AS title,
          {ws('text')} AS abstract,
-         ['a' || (doc_id % 97), 'b' || (doc_id % 53), 'a' || (doc_id % 97)] AS authors,
+         {AUTHORS} AS authors,
          [source, lang, source] AS categories,
          source AS primary_category,
          TIMESTAMP '2024-01-01' + to_days(cast(doc_id AS INTEGER)) AS published,
@@ -195,3 +198,38 @@ def raw_cosine_scores(model: str) -> list[str]:
         "round((d.num / xn.nx) / qn.nq, 10) AS s FROM dotq d JOIN xn ON d.paper_id = xn.paper_id "
         "JOIN qn ON d.question_id = qn.question_id)",
     ]
+
+
+ATOM = f"""atom AS (
+  SELECT CASE WHEN doc_id % 11 = 0 THEN 'urn:x:' || {pid('doc_id')}
+              WHEN doc_id % 7 = 0 THEN 'http://x/abs/cs/' || {pid('doc_id')}
+              ELSE 'http://x/abs/' || {pid('doc_id')} END AS id,
+         TIMESTAMP '2024-01-01' + to_days(cast(doc_id AS INTEGER)) + to_seconds(doc_id % 60) + INTERVAL 750 MILLISECOND AS pub_ts,
+         CASE WHEN doc_id % 50 <> 0 THEN split_part(text, chr(10), 1) END AS title,
+         text AS summary,
+         {AUTHORS} AS authors,
+         CASE WHEN doc_id % 6 = 0 THEN 'pages: ' || (doc_id % 40) END AS comment,
+         CAST(NULL AS VARCHAR) AS journal_ref,
+         doc_id % 3 = 0 AS has_pdf,
+         'http://x/files/' || {pid('doc_id')} || '.pdf' AS pdf_href,
+         CASE WHEN doc_id % 4 <> 0 THEN source END AS primary_term,
+         CASE WHEN doc_id % 8 <> 0 THEN [source, lang] END AS category_terms,
+         doc_id
+  FROM documents)"""
+
+NORMALIZED = """normalized AS (
+  SELECT string_split(id, '/abs/')[-1] AS arxiv_id,
+         """ + ws("title") + """ AS title,
+         """ + ws("summary") + """ AS abstract,
+         authors,
+         coalesce(category_terms, []::VARCHAR[]) AS categories,
+         coalesce(primary_term, category_terms[1], '') AS primary_category,
+         date_trunc('second', pub_ts) AS published,
+         date_trunc('second', pub_ts + INTERVAL 1 DAY) AS updated,
+         CASE WHEN has_pdf THEN pdf_href ELSE replace(id, '/abs/', '/pdf/') END AS pdf_url,
+         id AS abs_url, comment, journal_ref, CAST(NULL AS VARCHAR) AS doi, doc_id
+  FROM atom)"""
+
+
+def iso(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%dT%H:%M:%S')"

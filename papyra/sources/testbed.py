@@ -35,6 +35,18 @@ def ts(text: str) -> F.Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def author_names() -> F.Column:
+    """Three names with a repeat (first position must win); every fifth
+    document has a fourth author (labels then end in 'et al.')."""
+    d = F.col("doc_id")
+    base = F.array(F.concat(F.lit("a"), (d % 97).cast("string")),
+                   F.concat(F.lit("b"), (d % 53).cast("string")),
+                   F.concat(F.lit("a"), (d % 97).cast("string")))
+    extra = F.when(d % 5 == 0, F.array(F.concat(F.lit("c"), (d % 29).cast("string")))).otherwise(
+        F.array().cast("array<string>"))
+    return F.concat(base, extra)
+
+
 def paper_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One normalised paper (PAPER_SCHEMA) per document."""
     d = table(spark, sf_dir, "documents")
@@ -43,9 +55,7 @@ def paper_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         pid.alias("arxiv_id"),
         normalize_whitespace(first_line("text")).alias("title"),
         normalize_whitespace("text").alias("abstract"),
-        F.array(F.concat(F.lit("a"), (F.col("doc_id") % 97).cast("string")),
-                F.concat(F.lit("b"), (F.col("doc_id") % 53).cast("string")),
-                F.concat(F.lit("a"), (F.col("doc_id") % 97).cast("string"))).alias("authors"),
+        author_names().alias("authors"),
         F.array(F.col("source"), F.col("lang"), F.col("source")).alias("categories"),
         F.col("source").alias("primary_category"),
         F.expr(f"timestamp_ntz'{EPOCH}' + make_dt_interval(cast(doc_id as int))").alias("published"),
@@ -125,3 +135,42 @@ def papers_without_labelled(spark: SparkSession, sf_dir: str, predicate: str) ->
         "arxiv_id", "title", "abstract", "primary_category", "published", "updated",
         "pdf_url", "abs_url", "comment", "journal_ref", "doi",
         ts(INGESTED_AT).alias("ingested_at"))
+
+
+def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents shaped as Atom entries (ATOM_ENTRY), one per document, with
+    the feed's irregularities: every third entry has a titled pdf link, every
+    fourth lacks its primary-category element, every eighth has no category
+    elements, every seventh has an old-style id with a slash, every eleventh an
+    id without '/abs/', every fiftieth a missing title; times carry fractions
+    of a second.  Title and summary keep the raw whitespace."""
+    d = table(spark, sf_dir, "documents")
+    doc = F.col("doc_id")
+    pid = padded_id("doc_id")
+    ident = (F.when(doc % 11 == 0, F.concat(F.lit("urn:x:"), pid))
+             .when(doc % 7 == 0, F.concat(F.lit(BASE_URL + "/abs/cs/"), pid))
+             .otherwise(F.concat(F.lit(BASE_URL + "/abs/"), pid)))
+    null = F.lit(None).cast("string")
+    alt = F.struct(ident.alias("_href"), F.lit("alternate").alias("_rel"), null.alias("_title"),
+                   F.lit("text/html").alias("_type"))
+    pdf = F.struct(F.concat(F.lit(BASE_URL + "/files/"), pid, F.lit(".pdf")).alias("_href"),
+                   F.lit("related").alias("_rel"), F.lit("pdf").alias("_title"),
+                   F.lit("application/pdf").alias("_type"))
+    when_ts = F.expr(f"timestamp_ntz'{EPOCH}' + make_dt_interval(cast(doc_id as int), 0, 0, "
+                     f"cast(doc_id % 60 as decimal(8,2)) + 0.75)")
+    fmt = "yyyy-MM-dd'T'HH:mm:ss.SS'Z'"
+    term = lambda c: F.struct(c.alias("_term"), null.alias("_scheme"))
+    return d.select(
+        ident.alias("id"),
+        F.date_format(when_ts + F.expr("INTERVAL 1 DAY"), fmt).alias("updated"),
+        F.date_format(when_ts, fmt).alias("published"),
+        F.when(doc % 50 != 0, first_line("text")).alias("title"),
+        F.col("text").alias("summary"),
+        F.transform(author_names(), lambda n: F.struct(n.alias("name"))).alias("author"),
+        F.when(doc % 6 == 0, F.concat(F.lit("pages: "), (doc % 40).cast("string"))).alias("arxiv:comment"),
+        null.alias("arxiv:journal_ref"),
+        F.when(doc % 3 == 0, F.array(alt, pdf)).otherwise(F.array(alt)).alias("link"),
+        F.when(doc % 4 != 0, term(F.col("source"))).alias("arxiv:primary_category"),
+        F.when(doc % 8 != 0, F.array(term(F.col("source")), term(F.col("lang")))).alias("category"),
+        doc.alias("doc_id"),
+    )
