@@ -291,3 +291,129 @@ def paper_label_q(spark: SparkSession, sf: str) -> DataFrame:
     """Display label with at most three authors."""
     e = TB.paper_entries(spark, sf)
     return e.select(F.col("arxiv_id").alias("paper_id"), TX.paper_label("arxiv_id", "title", "authors").alias("label"))
+
+
+# --- upserts and integrity -------------------------------------------------------------
+
+from papyra.operators import upsert as U  # noqa: E402
+
+_UP = O.with_(O.ENTRIES, *O.UPSERT)
+
+
+def _stores(spark, sf):
+    """(current store, incoming batch, next store)."""
+    empty = U.empty_tables(spark)
+    cur = U.apply_batch(empty, TB.current_entries(spark, sf), TB.ts(TB.INGESTED_AT))
+    inc = TB.incoming_entries(spark, sf)
+    nxt = U.apply_batch(cur, inc, TB.ts(TB.BATCH_TS))
+    return cur, inc, nxt
+
+
+@register("upsert_papers", _UP + "SELECT arxiv_id, title, doi, " + O.iso("ingested_at") + " AS ingested_at FROM next_papers")
+def upsert_papers_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Last write wins (NULL doi included), first ingested_at kept."""
+    _, _, nxt = _stores(spark, sf)
+    return nxt["papers"].select("arxiv_id", "title", "doi", _iso("ingested_at").alias("ingested_at"))
+
+
+@register("upsert_counts", _UP + """
+SELECT (SELECT count(DISTINCT arxiv_id) FROM inc WHERE arxiv_id NOT IN (SELECT arxiv_id FROM cur_papers)) AS new_count,
+       (SELECT count(*) FROM inc) - (SELECT count(DISTINCT arxiv_id) FROM inc WHERE arxiv_id NOT IN
+        (SELECT arxiv_id FROM cur_papers)) AS updated_count""")
+def upsert_counts_q(spark: SparkSession, sf: str) -> DataFrame:
+    """(new, updated) of a batch."""
+    cur, inc, _ = _stores(spark, sf)
+    return U.upsert_counts(cur["papers"], inc)
+
+
+@register("upsert_categories", _UP + "SELECT DISTINCT unnest(categories) AS code FROM (SELECT categories FROM cur UNION ALL SELECT categories FROM inc)")
+def upsert_categories_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Category dimension, insert if absent."""
+    return _stores(spark, sf)[2]["categories"]
+
+
+@register("upsert_paper_categories", _UP + """
+SELECT DISTINCT arxiv_id AS paper_id, unnest(categories) AS category_code
+FROM (SELECT arxiv_id, categories FROM cur UNION ALL SELECT arxiv_id, categories FROM inc)""")
+def upsert_paper_categories_q(spark: SparkSession, sf: str) -> DataFrame:
+    """U4: paper-category links accumulate from every batch row."""
+    return _stores(spark, sf)[2]["paper_categories"]
+
+
+@register("upsert_authors", _UP + "SELECT author_id, name FROM next_authors")
+def upsert_authors_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Author dimension with increasing, unique, stable ids."""
+    return _stores(spark, sf)[2]["authors"]
+
+
+@register("upsert_paper_authors", _UP + """
+SELECT p.paper_id, a.name, p.author_order FROM next_pa p JOIN next_authors a ON a.author_id = p.author_id""")
+def upsert_paper_authors_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Links with position; the first order of a (paper, author) wins."""
+    nxt = _stores(spark, sf)[2]
+    return nxt["paper_authors"].join(nxt["authors"], "author_id").select("paper_id", "name", "author_order")
+
+
+@register("ordered_bridge_lineitem", """
+SELECT l_orderkey, l_suppkey, min(l_linenumber) AS author_order FROM lineitem GROUP BY l_orderkey, l_suppkey""")
+def ordered_bridge_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """U6 at scale: order -> paper, supplier -> author, line number -> position;
+    first (smallest) position per pair wins."""
+    li = TB.table(spark, sf, "lineitem")
+    return U.first_order_bridge(li, "l_orderkey", "l_suppkey", "l_linenumber").withColumnRenamed(
+        "l_linenumber", "author_order")
+
+
+def _checksum(c: str) -> F.Column:
+    return F.round(F.aggregate(F.col(c), F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double")), 6)
+
+
+@register("upsert_embeddings", O.with_(O.PE, *O.VEC_UPSERT) + """
+SELECT paper_id, model, dim, """ + O.iso("created_at") + """ AS created_at,
+       round(list_reduce(list_transform(embedding, lambda x: x::DOUBLE), lambda a, b: a + b), 6) + 0.0 AS checksum
+FROM next_pe""")
+def upsert_embeddings_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors by (paper, model): last valid write wins, created_at and
+    dim refreshed, broken vectors quarantined."""
+    nxt, _ = U.upsert_embeddings(TB.paper_embeddings(spark, sf), TB.incoming_vectors(spark, sf),
+                                 TB.ts(TB.BATCH_TS))
+    return nxt.select("paper_id", "model", "dim", _iso("created_at").alias("created_at"),
+                      _checksum("embedding").alias("checksum"))
+
+
+@register("orphan_embeddings", O.with_(O.ENTRIES, O.papers_minus("toxic = 1"), O.PE) + """
+SELECT paper_id, model FROM pe WHERE paper_id NOT IN (SELECT arxiv_id FROM papers)""")
+def orphan_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """U8: vectors whose paper row is missing (here: papers removed for a
+    toxic label, vectors left behind)."""
+    p = TB.papers_without_labelled(spark, sf, "toxic = 1")
+    return U.orphans(TB.paper_embeddings(spark, sf), p).select("paper_id", "model")
+
+
+@register("cascade_delete", O.with_(O.ENTRIES, O.PE) + """
+, gone AS (SELECT lpad(cast(doc_id AS VARCHAR), 8, '0') AS arxiv_id FROM labels WHERE toxic = 1),
+m AS (SELECT arxiv_id, unnest(authors) AS name FROM entries),
+c AS (SELECT arxiv_id, unnest(categories) AS code FROM entries)
+SELECT 'papers' AS table_name, (SELECT count(*) FROM entries WHERE arxiv_id NOT IN (SELECT arxiv_id FROM gone)) AS n_rows
+UNION ALL SELECT 'authors', (SELECT count(DISTINCT name) FROM m)
+UNION ALL SELECT 'paper_authors', (SELECT count(*) FROM (SELECT DISTINCT arxiv_id, name FROM m
+                                   WHERE arxiv_id NOT IN (SELECT arxiv_id FROM gone)))
+UNION ALL SELECT 'categories', (SELECT count(DISTINCT code) FROM c)
+UNION ALL SELECT 'paper_categories', (SELECT count(*) FROM (SELECT DISTINCT arxiv_id, code FROM c
+                                      WHERE arxiv_id NOT IN (SELECT arxiv_id FROM gone)))
+UNION ALL SELECT 'paper_embeddings', (SELECT count(*) FROM pe WHERE paper_id NOT IN (SELECT arxiv_id FROM gone))""")
+def cascade_delete_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Delete toxic-labelled papers from the whole store; links and
+    vectors follow, dimensions stay.  Rows left per table."""
+    entries = TB.paper_entries(spark, sf).withColumn("seq", F.col("doc_id"))
+    store = U.apply_batch(U.empty_tables(spark), entries, TB.ts(TB.INGESTED_AT))
+    store["paper_embeddings"] = TB.paper_embeddings(spark, sf)
+    gone = (TB.table(spark, sf, "labels").where("toxic = 1")
+            .select(TB.padded_id("doc_id").alias("arxiv_id")))
+    after = U.cascade_delete(store, gone)
+    counts = [after[t].agg(F.count(F.lit(1)).cast("long").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+              for t in ("papers", "authors", "paper_authors", "categories", "paper_categories", "paper_embeddings")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out

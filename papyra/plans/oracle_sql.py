@@ -233,3 +233,56 @@ NORMALIZED = """normalized AS (
 
 def iso(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%dT%H:%M:%S')"
+
+
+# --- upsert fixtures ------------------------------------------------------------------
+
+_ECOLS = "arxiv_id, title, abstract, authors, categories, primary_category, published, updated, pdf_url, abs_url, comment, journal_ref"
+UPSERT = [
+    f"cur AS (SELECT {_ECOLS}, '10.1/' || arxiv_id AS doi, doc_id AS seq FROM entries WHERE doc_id % 3 <> 0)",
+    f"inc AS (SELECT arxiv_id, title || ' v2' AS title, abstract, authors, categories, primary_category, published, "
+    f"updated, pdf_url, abs_url, comment, journal_ref, doi, doc_id AS seq FROM entries WHERE doc_id % 2 = 0 "
+    f"UNION ALL SELECT arxiv_id, title || ' v3', abstract, list_reverse(authors), categories, primary_category, "
+    f"published, updated, pdf_url, abs_url, comment, journal_ref, doi, doc_id + 1000000 FROM entries "
+    f"WHERE doc_id % 10 = 0)",
+    # current store (the current entries applied to an empty store at 2024-07-01)
+    "cur_papers AS (SELECT arxiv_id, title, doi, TIMESTAMP '2024-07-01' AS ingested_at FROM cur)",
+    "cur_m AS (SELECT arxiv_id, seq, unnest(authors) AS name, unnest(range(len(authors))) AS pos FROM cur)",
+    "cur_authors AS (SELECT name, 1 + min(seq * 65536 + pos) - (SELECT min(seq) FROM cur) * 65536 AS author_id "
+    "FROM cur_m GROUP BY name)",
+    "cur_pa AS (SELECT m.arxiv_id AS paper_id, a.author_id, min(m.seq * 65536 + m.pos) % 65536 AS author_order "
+    "FROM cur_m m JOIN cur_authors a ON a.name = m.name GROUP BY m.arxiv_id, a.author_id)",
+    # next store after the incoming batch at 2024-08-01
+    "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arxiv_id ORDER BY seq DESC) AS rn FROM inc) "
+    "WHERE rn = 1)",
+    "next_papers AS (SELECT arxiv_id, title, doi, ingested_at FROM cur_papers WHERE arxiv_id NOT IN "
+    "(SELECT arxiv_id FROM inc) UNION ALL SELECT l.arxiv_id, l.title, l.doi, "
+    "coalesce(c.ingested_at, TIMESTAMP '2024-08-01') FROM last l LEFT JOIN cur_papers c ON c.arxiv_id = l.arxiv_id)",
+    "inc_m AS (SELECT arxiv_id, seq, unnest(authors) AS name, unnest(range(len(authors))) AS pos FROM inc)",
+    "next_authors AS (SELECT author_id, name FROM cur_authors UNION ALL "
+    "SELECT (SELECT max(author_id) FROM cur_authors) + 1 + min(seq * 65536 + pos) - (SELECT min(seq) FROM inc) * 65536, "
+    "name FROM inc_m WHERE name NOT IN (SELECT name FROM cur_authors) GROUP BY name)",
+    "inc_pa AS (SELECT m.arxiv_id AS paper_id, a.author_id, min(m.seq * 65536 + m.pos) % 65536 AS author_order "
+    "FROM inc_m m JOIN next_authors a ON a.name = m.name GROUP BY m.arxiv_id, a.author_id)",
+    "next_pa AS (SELECT * FROM cur_pa UNION ALL SELECT i.* FROM inc_pa i ANTI JOIN cur_pa c "
+    "ON c.paper_id = i.paper_id AND c.author_id = i.author_id)",
+]
+
+VEC_UPSERT = [
+    "vin AS ("
+    "SELECT " + pid("vec_id") + " AS paper_id, 'm1' AS model, list_transform(embedding, lambda x: x * 2) AS embedding, "
+    "vec_id AS seq FROM embeddings WHERE vec_id % 3 = 0 "
+    "UNION ALL SELECT " + pid("vec_id") + ", 'm2', list_transform(embedding, lambda x: -x), vec_id FROM embeddings "
+    "WHERE vec_id % 3 = 1 "
+    "UNION ALL SELECT " + pid("vec_id") + ", 'm1', list_concat(['nan'::FLOAT], embedding[2:]), vec_id + 1000000 "
+    "FROM embeddings WHERE vec_id % 25 = 0 "
+    "UNION ALL SELECT " + pid("vec_id") + ", 'm1', embedding[1:10], vec_id + 2000000 FROM embeddings "
+    "WHERE vec_id % 35 = 0)",
+    "vok AS (SELECT * FROM vin WHERE NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) "
+    "OR isinf(x))) AND len(embedding) = (SELECT max(dim) FROM pe p WHERE p.model = vin.model))",
+    "vlast AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, model ORDER BY seq DESC) AS rn "
+    "FROM vok) WHERE rn = 1)",
+    "next_pe AS (SELECT paper_id, model, embedding, dim, created_at FROM pe p WHERE NOT EXISTS (SELECT 1 FROM vlast v "
+    "WHERE v.paper_id = p.paper_id AND v.model = p.model) UNION ALL SELECT paper_id, model, embedding, "
+    "len(embedding), TIMESTAMP '2024-08-01' FROM vlast)",
+]

@@ -174,3 +174,24 @@ def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(doc % 8 != 0, F.array(term(F.col("source")), term(F.col("lang")))).alias("category"),
         doc.alias("doc_id"),
     )
+
+
+def incoming_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector batch: every third vector re-encoded under m1 (doubled),
+    vectors 1 mod 3 newly encoded under m2 (negated); later in the batch,
+    broken re-encodings (a NaN element every 25th, a truncated vector every
+    35th) that must be quarantined, leaving the earlier write in force."""
+    e = table(spark, sf_dir, "embeddings").select(
+        "vec_id", padded_id("vec_id").alias("paper_id"), F.col("embedding").cast("array<float>").alias("emb"))
+    v = F.col("vec_id")
+    twice = e.where(v % 3 == 0).select("paper_id", F.lit("m1").alias("model"),
+                                       F.transform("emb", lambda x: x * 2).alias("embedding"), v.alias("seq"))
+    neg = e.where(v % 3 == 1).select("paper_id", F.lit("m2").alias("model"),
+                                     F.transform("emb", lambda x: -x).alias("embedding"), v.alias("seq"))
+    nan = e.where(v % 25 == 0).select(
+        "paper_id", F.lit("m1").alias("model"),
+        F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice("emb", 2, 1 << 20)).alias("embedding"),
+        (v + 1000000).alias("seq"))
+    short = e.where(v % 35 == 0).select("paper_id", F.lit("m1").alias("model"),
+                                        F.slice("emb", 1, 10).alias("embedding"), (v + 2000000).alias("seq"))
+    return twice.unionByName(neg).unionByName(nan).unionByName(short)
