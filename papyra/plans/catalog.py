@@ -417,3 +417,247 @@ def cascade_delete_q(spark: SparkSession, sf: str) -> DataFrame:
     for c in counts[1:]:
         out = out.unionByName(c)
     return out
+
+
+# --- lookups, filters, statistics, paging, encoding ----------------------------------
+
+from papyra.operators import diagnostics as D  # noqa: E402
+from papyra.operators import embed as EM  # noqa: E402
+from papyra.operators import lookup as LK  # noqa: E402
+
+_IDS_SQL = ("ids AS (SELECT lpad(cast(doc_id AS VARCHAR), 8, '0') AS arxiv_id FROM labels "
+            "UNION SELECT lpad(cast(doc_id * 3 AS VARCHAR), 8, '0') FROM labels)")
+
+
+def _lookup_ids(spark, sf):
+    """Requested ids: every labelled document and the id three times its
+    number (many of those are unknown)."""
+    lab = TB.table(spark, sf, "labels")
+    return (lab.select(TB.padded_id("doc_id").alias("arxiv_id"))
+            .unionByName(lab.select(F.lpad((F.col("doc_id") * 3).cast("string"), TB.ID_WIDTH, "0").alias("arxiv_id"))))
+
+
+@register("paper_exists", O.with_(O.ENTRIES, O.PAPERS, _IDS_SQL) + """
+SELECT i.arxiv_id, p.arxiv_id IS NOT NULL AS present FROM ids i LEFT JOIN papers p ON p.arxiv_id = i.arxiv_id""")
+def paper_exists_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Existence of each requested id."""
+    return LK.paper_exists(TB.papers(spark, sf), _lookup_ids(spark, sf))
+
+
+@register("papers_by_ids", O.with_(O.ENTRIES, O.PAPERS, _IDS_SQL) + """
+SELECT arxiv_id, title, abstract, primary_category, pdf_url, abs_url FROM papers WHERE arxiv_id IN (SELECT arxiv_id FROM ids)""")
+def papers_by_ids_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Six metadata columns for an unbounded id list; unknown ids vanish."""
+    return LK.papers_by_ids(TB.papers(spark, sf), _lookup_ids(spark, sf))
+
+
+@register("get_by_id", O.with_(O.ENTRIES, O.PAPERS) + """
+SELECT arxiv_id, title, abstract, primary_category, """ + O.iso("published") + """ AS published, pdf_url, abs_url
+FROM papers WHERE arxiv_id IN (SELECT lpad(cast(item_id AS VARCHAR), 8, '0') FROM benchmark)""")
+def get_by_id_q(spark: SparkSession, sf: str) -> DataFrame:
+    """F3 id: one paper per requested id (ids from the benchmark items)."""
+    ids = TB.table(spark, sf, "benchmark").select(TB.padded_id("item_id").alias("arxiv_id"))
+    return LK.get_by_id(TB.papers(spark, sf), ids).select(
+        "arxiv_id", "title", "abstract", "primary_category", _iso("published").alias("published"), "pdf_url",
+        "abs_url")
+
+
+@register("embedding_lookup", O.with_(O.PE, _IDS_SQL) + """
+SELECT paper_id, unnest(range(len(embedding))) AS pos, round(unnest(embedding)::DOUBLE, 6) + 0.0 AS value
+FROM pe WHERE model = 'm2' AND paper_id IN (SELECT arxiv_id FROM ids)""")
+def embedding_lookup_q(spark: SparkSession, sf: str) -> DataFrame:
+    """The m2 vector of each requested id, or nothing."""
+    e = LK.embedding_lookup(TB.paper_embeddings(spark, sf), _lookup_ids(spark, sf), "m2")
+    return e.select("paper_id", F.posexplode("embedding").alias("pos", "value")).select(
+        "paper_id", F.col("pos").cast("long").alias("pos"), _r6(F.col("value").cast("double")).alias("value"))
+
+
+@register("papers_missing_embedding", O.with_(O.ENTRIES, O.PAPERS, O.PE) + """
+SELECT p.arxiv_id, p.title, p.abstract FROM papers p
+LEFT JOIN pe ON pe.paper_id = p.arxiv_id AND pe.model = 'm2' WHERE pe.paper_id IS NULL""")
+def papers_missing_embedding_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Papers without an m2 vector (an m1 vector does not count)."""
+    return LK.papers_missing_embedding(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), "m2").select(
+        "arxiv_id", "title", "abstract")
+
+
+@register("embeddings_by_model", O.with_(O.PE) + "SELECT paper_id, dim FROM pe WHERE model = 'm2'")
+def embeddings_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors of one model."""
+    return V.vectors_of(TB.paper_embeddings(spark, sf), "m2").select(
+        "paper_id", F.size("embedding").alias("dim"))
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@register("title_contains", O.with_(O.ENTRIES, O.PAPERS) + f"""
+SELECT arxiv_id, title FROM papers WHERE contains(translate(title, {_AZ}), 'tion')""")
+def title_contains(spark: SparkSession, sf: str) -> DataFrame:
+    """case-insensitive (ASCII only) substring on titles."""
+    p = TB.papers(spark, sf)
+    return p.where(TX.title_contains("title", "TION")).select("arxiv_id", "title")
+
+
+@register("part_name_contains", f"SELECT p_partkey, p_name FROM part WHERE contains(translate(p_name, {_AZ}), 'widget')")
+def part_name_contains(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 on another table: part names containing 'widget'."""
+    p = TB.table(spark, sf, "part")
+    return p.where(TX.title_contains("p_name", "widget")).select("p_partkey", "p_name")
+
+
+@register("fielded_search", O.with_(O.ENTRIES) + f"""
+SELECT arxiv_id, title FROM entries
+WHERE (contains(translate(title, {_AZ}), 'tion') AND NOT list_contains(categories, 'src1'))
+   OR len(list_filter(authors, lambda a: translate(a, {_AZ}) = 'a5')) > 0""")
+def fielded_search(spark: SparkSession, sf: str) -> DataFrame:
+    """title:tion ANDNOT cat:src1, OR au:a5."""
+    e = TB.paper_entries(spark, sf)
+    pred = (LK.field.title("tion") & ~LK.field.category("src1")) | LK.field.author("A5")
+    return e.where(pred).select("arxiv_id", "title")
+
+
+@register("corpus_coverage", O.with_(O.ENTRIES, O.PAPERS, O.PE) + """
+SELECT (SELECT count(*) FROM papers) AS papers, (SELECT count(*) FROM pe WHERE model = 'm1') AS embedded""")
+def corpus_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """A1: papers and vectors of a model."""
+    return D.corpus_coverage(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), "m1")
+
+
+@register("category_counts", O.with_(O.ENTRIES, O.PAPERS) + """
+SELECT primary_category, count(*) AS n FROM papers GROUP BY primary_category""")
+def category_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: papers per primary category, largest first."""
+    return D.category_counts(TB.papers(spark, sf))
+
+
+@register("corpus_mean", O.with_(O.PE) + """
+SELECT i AS pos, round(avg(v), 6) + 0.0 AS mean FROM (SELECT unnest(range(len(embedding))) AS i,
+  unnest(embedding)::DOUBLE AS v FROM pe WHERE model = 'm1') GROUP BY i""")
+def corpus_mean(spark: SparkSession, sf: str) -> DataFrame:
+    """A3: column-wise mean of the m1 vectors."""
+    m = V.corpus_mean(V.vectors_of(TB.paper_embeddings(spark, sf), "m1"))
+    return m.select(F.col("pos").cast("long").alias("pos"), _r6("mean").alias("mean"))
+
+
+@register("l2_normalize", O.with_(O.PE) + """
+SELECT paper_id, i AS pos, round(v / (sqrt(sum(v * v) OVER (PARTITION BY paper_id)) + 1e-8), 6) + 0.0 AS value
+FROM (SELECT paper_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM pe WHERE model = 'm1')""")
+def l2_normalize_q(spark: SparkSession, sf: str) -> DataFrame:
+    """V1: unit vectors (eps 1e-8), one row per element."""
+    v = V.vectors_of(TB.paper_embeddings(spark, sf), "m1")
+    return v.select("paper_id", F.posexplode(V.l2_normalize("embedding")).alias("pos", "value")).select(
+        "paper_id", F.col("pos").cast("long").alias("pos"), _r6("value").alias("value"))
+
+
+_UNIT_SQL = ("unit AS MATERIALIZED (SELECT paper_id, i, v / (sqrt(sum(v * v) OVER (PARTITION BY paper_id)) + 1e-8) AS u "
+             "FROM (SELECT paper_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM pe "
+             "WHERE model = 'm1'))")
+
+
+@register("anisotropy_mean_onepass", O.with_(O.PE, _UNIT_SQL) + """
+, sims AS (SELECT a.paper_id, b.paper_id AS other, sum(a.u * b.u) AS s FROM unit a JOIN unit b
+           ON a.i = b.i AND a.paper_id < b.paper_id GROUP BY a.paper_id, b.paper_id)
+SELECT count(*) AS n_pairs, round(avg(s), 6) + 0.0 AS mean, round(stddev_pop(s), 6) + 0.0 AS std FROM sims""")
+def anisotropy_mean_onepass(spark: SparkSession, sf: str) -> DataFrame:
+    """A4/V8 exact: mean and population std of cosine over all distinct pairs,
+    from sums and the Gram matrix (the SQL check enumerates the pairs)."""
+    m = D.pair_moments(V.vectors_of(TB.paper_embeddings(spark, sf), "m1"))
+    return m.select("n_pairs", _r6("mean").alias("mean"), _r6("std").alias("std"))
+
+
+@register("anisotropy_sampled", O.with_(O.PE, _UNIT_SQL) + """
+, ordv AS (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS ord FROM (SELECT DISTINCT paper_id FROM unit)),
+nn AS (SELECT count(*) AS n FROM ordv),
+draws AS (SELECT k, ('0x' || substr(md5(k || ':0:1'), 1, 8))::BIGINT % (SELECT n FROM nn) AS i,
+                 ('0x' || substr(md5(k || ':0:2'), 1, 8))::BIGINT % ((SELECT n FROM nn) - 1) AS j0
+          FROM range(2000) t(k)),
+pairs AS (SELECT k, i, CASE WHEN j0 >= i THEN j0 + 1 ELSE j0 END AS j FROM draws),
+sims AS (SELECT p.k, sum(ua.u * ub.u) AS s FROM pairs p JOIN ordv oa ON oa.ord = p.i JOIN ordv ob ON ob.ord = p.j
+         JOIN unit ua ON ua.paper_id = oa.paper_id JOIN unit ub ON ub.paper_id = ob.paper_id AND ub.i = ua.i
+         GROUP BY p.k)
+SELECT count(*) AS n_pairs, round(avg(s), 6) + 0.0 AS mean, round(stddev_pop(s), 6) + 0.0 AS std,
+       round(min(s), 6) + 0.0 AS min, round(max(s), 6) + 0.0 AS max FROM sims""")
+def anisotropy_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    """V8: 2,000 seeded random pairs of distinct vectors: mean/std/min/max."""
+    pairs = D.sample_pairs(V.vectors_of(TB.paper_embeddings(spark, sf), "m1"))
+    st = D.sampled_pair_stats(pairs)
+    return st.select("n_pairs", *[_r6(c).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@register("category_exemplars", O.with_(O.ENTRIES, O.PAPERS, O.PE, _UNIT_SQL) + """
+, cand AS (SELECT p.arxiv_id, p.title, p.primary_category FROM papers p WHERE p.arxiv_id IN (SELECT paper_id FROM unit)),
+a AS (SELECT arxiv_id, title FROM cand WHERE starts_with(primary_category, 'src1') ORDER BY arxiv_id LIMIT 1),
+b AS (SELECT arxiv_id, title FROM cand WHERE primary_category = 'src0' ORDER BY arxiv_id LIMIT 1)
+SELECT a.arxiv_id AS id_a, a.title AS title_a, b.arxiv_id AS id_b, b.title AS title_b,
+       round((SELECT sum(x.u * y.u) FROM unit x JOIN unit y ON x.i = y.i WHERE x.paper_id = a.arxiv_id
+              AND y.paper_id = b.arxiv_id), 6) + 0.0 AS similarity
+FROM a CROSS JOIN b""")
+def category_exemplars(spark: SparkSession, sf: str) -> DataFrame:
+    """V9: similarity of the first 'src1*' paper and the first 'src0' paper."""
+    out = D.category_exemplars(TB.papers(spark, sf), V.vectors_of(TB.paper_embeddings(spark, sf), "m1"),
+                               "src1", "src0")
+    return out.withColumn("similarity", _r6("similarity"))
+
+
+@register("page_by_submitted", """
+SELECT o_orderkey, """ + O.iso("o_orderdate") + """ AS o_orderdate FROM orders
+ORDER BY o_orderdate, o_orderkey LIMIT 20 OFFSET 20""")
+def page_by_submitted(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: second page of 20, ascending by date then key."""
+    o = TB.table(spark, sf, "orders")
+    return LK.page(o, [F.col("o_orderdate").asc(), F.col("o_orderkey").asc()], 20, 20).select(
+        "o_orderkey", _iso("o_orderdate").alias("o_orderdate"))
+
+
+@register("page_by_updated", """
+SELECT o_orderkey, """ + O.iso("o_orderdate") + """ AS o_orderdate FROM orders
+ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 20""")
+def page_by_updated(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: second page of 20, descending."""
+    o = TB.table(spark, sf, "orders")
+    return LK.page(o, [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 20, 20).select(
+        "o_orderkey", _iso("o_orderdate").alias("o_orderdate"))
+
+
+@register("bulk_cap", """
+SELECT o_orderkey, """ + O.iso("o_orderdate") + """ AS o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 150""")
+def bulk_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """Bulk read capped at a total of 150 in arrival order."""
+    o = TB.table(spark, sf, "orders")
+    return LK.page(o, [F.col("o_orderdate").asc(), F.col("o_orderkey").asc()], 0, 150).select(
+        "o_orderkey", _iso("o_orderdate").alias("o_orderdate"))
+
+
+_HASH_SQL = ("toks AS (SELECT arxiv_id, unnest(regexp_extract_all(lower(title || '[SEP]' || abstract), "
+             "'[a-z0-9]+')[1:512]) AS tok FROM {src}), "
+             "hv AS (SELECT arxiv_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM toks), "
+             "enc AS (SELECT arxiv_id AS paper_id, h % 64 AS pos, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END) "
+             "AS value FROM hv GROUP BY arxiv_id, h % 64)")
+
+
+@register("hash_encode", O.with_(O.ENTRIES, _HASH_SQL.format(src="entries")) + """
+SELECT paper_id, pos, value::DOUBLE AS value FROM enc WHERE value <> 0""")
+def hash_encode(spark: SparkSession, sf: str) -> DataFrame:
+    """Encode every paper's title[SEP]abstract (first 512 tokens);
+    non-zero elements as rows."""
+    e = TB.paper_entries(spark, sf)
+    texts = e.select("arxiv_id", TX.document_text("title", "abstract").alias("text"))
+    vecs = EM.encode(texts, "text", "arxiv_id")
+    return (vecs.select(F.col("arxiv_id").alias("paper_id"), F.posexplode("embedding").alias("pos", "value"))
+            .where(F.col("value") != 0)
+            .select("paper_id", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value")))
+
+
+@register("embed_missing", O.with_(O.ENTRIES, O.PAPERS, O.PE,
+                                  "todo AS (SELECT * FROM papers WHERE arxiv_id NOT IN (SELECT paper_id FROM pe WHERE model = 'm2'))",
+                                  _HASH_SQL.format(src="todo")) + """
+SELECT paper_id, model, dim, round(list_reduce(list_transform(embedding, lambda x: x::DOUBLE), lambda a, b: a + b), 6) + 0.0
+       AS checksum FROM pe WHERE model = 'm2'
+UNION ALL
+SELECT arxiv_id, 'm2', 64, coalesce((SELECT sum(value) FROM enc WHERE enc.paper_id = todo.arxiv_id), 0)::DOUBLE FROM todo""")
+def embed_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Encode only papers lacking an m2 vector, upsert; the m2 table after."""
+    nxt = EM.embed_missing(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), "m2", TB.ts(TB.BATCH_TS))
+    return nxt.where(F.col("model") == "m2").select("paper_id", "model", "dim",
+                                                    _checksum("embedding").alias("checksum"))
