@@ -9,6 +9,7 @@ vector without a paper row is dropped (fewer than k rows may return).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +59,11 @@ def fused_scores(papers: DataFrame, paper_embeddings: DataFrame, questions: Data
     return ranked.withColumn("score", R.rrf(F.col("rank_embedding"), F.col("rank_keyword"), rrf_k))
 
 
-def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: DataFrame, model: str,
-                  top_k: int = 5, n_components: int = V.DEFAULT_COMPONENTS,
-                  rrf_k: int = R.RRF_K) -> DataFrame:
-    """Top-k fused: (question_id, rank, paper_id, score)."""
+def search_hybrid_full(papers: DataFrame, paper_embeddings: DataFrame, questions: DataFrame, model: str,
+                       top_k: int = 5, n_components: int = V.DEFAULT_COMPONENTS,
+                       rrf_k: int = R.RRF_K) -> DataFrame:
+    """Top-k fused from the full rankings (reference implementation, used
+    to check ``search_hybrid``): (question_id, rank, paper_id, score)."""
     if top_k < 0:
         raise ValueError("top_k must be >= 0")
     fused = fused_scores(papers, paper_embeddings, questions, model, n_components, rrf_k)
@@ -69,6 +71,113 @@ def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: Dat
         "question_id", "rank", "paper_id", "score")
 
 
+HYBRID_SCHEMA = "question_id long, rank long, paper_id string, score double"
+
+
+def candidate_depth(top_k: int, rrf_k: int = R.RRF_K) -> int:
+    """Depth M of each ranking that provably contains the fused top-k.
+
+    The k papers ranked 0..k-1 by embedding each score more than
+    1/(rrf_k + k - 1).  A paper ranked >= M in both lists scores at most
+    2/(rrf_k + M), which is not more than that once M >= rrf_k + 2k - 2."""
+    return rrf_k + 2 * top_k
+
+
+def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: DataFrame, model: str,
+                  top_k: int = 5, n_components: int = V.DEFAULT_COMPONENTS,
+                  rrf_k: int = R.RRF_K) -> DataFrame:
+    """Exact fused top-k without ranking the whole corpus.
+
+    Candidates per question: the embedding top-M, the keyword top-M among
+    papers sharing a token, and the 2M smallest ids (which are the keyword
+    top-M when fewer than M papers share a token).  Their exact 0-based ranks
+    in both full orders are counted by scans that return one number per
+    candidate, so the work is a few corpus scans and the data moved is
+    bounded by questions x M, whatever the corpus size."""
+    from papyra.session import checkpoint_dir
+
+    if top_k < 0:
+        raise ValueError("top_k must be >= 0")
+    spark = questions.sparkSession
+    vecs = V.vectors_of(paper_embeddings, model)
+    basis = V.fit_basis(vecs, n_components)
+    if basis.n == 0 or top_k == 0:
+        return spark.createDataFrame([], HYBRID_SCHEMA)
+    depth = candidate_depth(top_k, rrf_k)
+    checkpoint_dir(spark)
+    universe = vecs.select("paper_id")
+    smallest = [r["paper_id"] for r in universe.orderBy("paper_id").limit(2 * depth).collect()]
+    out_rows = []
+    for qids, qv in V._question_blocks(questions):
+        qblock = questions.where(F.col("question_id").isin([int(x) for x in qids]))
+        qindex = {int(q): i for i, q in enumerate(qids)}
+        # 1. embedding top-M (bounded: questions x M rows)
+        etop = V.top_k_per_question(
+            V.score_corpus(vecs, qblock, basis, components=(n_components,), top_k=depth), depth
+        ).select("question_id", "paper_id", "score").cache()
+        # 2. keyword overlaps (sparse, read four times: written once)
+        pos = keyword_overlap_sparse(papers, vecs, qblock).checkpoint(eager=True)
+        ltop = R.top_k(pos, depth, ["question_id"], "overlap", "paper_id").select("question_id", "paper_id")
+        # 3. candidates with their score and overlap; candidates outside
+        #    the embedding top-M are scored from their own vectors only
+        low = qblock.select("question_id", F.explode(F.array(*[F.lit(x) for x in smallest])).alias("paper_id"))
+        cand = (etop.select("question_id", "paper_id").unionByName(ltop).unionByName(low).distinct()
+                .join(etop, ["question_id", "paper_id"], "left")
+                .join(pos, ["question_id", "paper_id"], "left")).cache()
+        need = cand.where(F.col("score").isNull()).select("paper_id").distinct()
+        sub = V.score_corpus(vecs.join(need, "paper_id", "left_semi"), qblock, basis,
+                             components=(n_components,)).select("question_id", "paper_id", F.col("score").alias("_s"))
+        full = (cand.join(sub, ["question_id", "paper_id"], "left")
+                .select("question_id", "paper_id", F.coalesce("score", "_s").alias("score"), "overlap"))
+        rows = full.collect()
+        cand.unpersist()
+        etop.unpersist()
+        pairs = [(r["question_id"], r["paper_id"]) for r in rows]
+        score_of = {(r["question_id"], r["paper_id"]): r["score"] for r in rows}
+        ov_of = {(r["question_id"], r["paper_id"]): r["overlap"] for r in rows if r["overlap"] is not None}
+        # 4. exact ranks of the candidates by counting
+        n_p = len(pairs)
+        sc = np.array([score_of.get(pr) for pr in pairs], dtype=np.float64)
+        sc = np.where(np.isnan(sc), -np.inf, sc)
+        ov = np.array([ov_of.get(pr, 0) for pr in pairs], dtype=np.float64)
+        pids = np.array([pid for _, pid in pairs], dtype=object)
+        qi_arr = np.array([qindex[q] for q, _ in pairs])
+        q_arr = np.array([q for q, _ in pairs], dtype=np.int64)
+        emb_probes, lex_probes, zero_probes = {}, {}, {}
+        for qi in np.unique(qi_arr):
+            m = np.nonzero(qi_arr == qi)[0]
+            emb_probes[int(qi)] = (m, sc[m], pids[m])
+            q = int(qids[qi])
+            lex_probes[q] = (m, ov[m], pids[m])
+            z = m[ov[m] == 0]
+            if len(z):
+                zero_probes[q] = (z, np.zeros(len(z)), pids[z])
+        re_ = _counts(V.rank_probes_by_score(vecs, basis, qids, qv, n_components, emb_probes, n_p), n_p)
+        pos_rows = pos.select(F.col("question_id").alias("g"), F.col("overlap").cast("double").alias("key"),
+                              "paper_id")
+        rl = _counts(V.rank_probes_by_key(pos_rows, lex_probes, n_p), n_p)
+        zero = np.nonzero(ov == 0)[0]
+        if len(zero):
+            pos_ids = pos.select(F.col("question_id").alias("g"), F.lit(0.0).alias("key"), "paper_id")
+            before_pos = _counts(V.rank_probes_by_key(pos_ids, zero_probes, n_p), n_p)
+            uni = universe.select(F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("key"), "paper_id")
+            before_all = _counts(V.rank_probes_by_key(uni, {0: (zero, np.zeros(len(zero)), pids[zero])}, n_p), n_p)
+            rl[zero] += before_all[zero] - before_pos[zero]
+        fused = 1.0 / (rrf_k + re_) + 1.0 / (rrf_k + rl)
+        for q in np.unique(q_arr):
+            m = np.nonzero(q_arr == q)[0]
+            best = sorted(m, key=lambda t: (-fused[t], pids[t]))[:top_k]
+            out_rows += [(int(q), r + 1, str(pids[t]), float(fused[t])) for r, t in enumerate(best)]
+    return spark.createDataFrame(out_rows, HYBRID_SCHEMA)
+
+
+def _counts(df: DataFrame, n: int) -> np.ndarray:
+    out = np.zeros(n, dtype=np.int64)
+    for r in df.collect():
+        out[r["probe"]] = r["n_before"]
+    return out
+
+
 def attach_metadata(ranked: DataFrame, papers: DataFrame) -> DataFrame:
     """Inner join after the cut: ids without a paper row vanish."""
     meta = papers.select(*METADATA_COLS)
