@@ -109,6 +109,8 @@ def corpus_moments(vecs: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
+    if vecs.where(F.col("embedding").isNotNull()).isEmpty():  # Summarizer needs one row
+        return 0, 0, np.zeros(0), np.zeros((0, 0))
     parts = vecs.select("paper_id", "embedding").mapInArrow(_moments_kernel(), _MOMENTS)
     row = parts.agg(
         F.sum("n").alias("n"), F.min("dmin").alias("dmin"), F.max("dmax").alias("dmax"),
