@@ -38,8 +38,13 @@ def scored_pairs(papers: DataFrame, paper_embeddings: DataFrame, questions: Data
 
 
 def keyword_overlap_sparse(papers: DataFrame, vecs: DataFrame, questions: DataFrame) -> DataFrame:
+    """Sparse overlaps of the questions with every vector's paper text.  The
+    distinct tokens per paper depend only on the snapshot: derived once."""
+    from papyra.session import snapshot_memo
+
     texts = L.paper_texts(vecs.select("paper_id"), papers)
-    return L.keyword_overlap(L.paper_tokens(texts), L.question_tokens(questions))
+    tokens = snapshot_memo(L.paper_tokens(texts), "paper_tokens")
+    return L.keyword_overlap(tokens, L.question_tokens(questions))
 
 
 def ranked_pairs(pairs: DataFrame) -> DataFrame:
@@ -89,8 +94,8 @@ def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: Dat
     """Exact fused top-k without ranking the whole corpus.
 
     Candidates per question: the embedding top-M, the keyword top-M among
-    papers sharing a token, and the 2M smallest ids (which are the keyword
-    top-M when fewer than M papers share a token).  Their exact 0-based ranks
+    papers sharing a token and, for questions with fewer than M such papers,
+    the 2M smallest ids (the rest of the keyword top-M comes from them).  Their exact 0-based ranks
     in both full orders are counted by scans that return one number per
     candidate, so the work is a few corpus scans and the data moved is
     bounded by questions x M, whatever the corpus size."""
@@ -120,7 +125,10 @@ def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: Dat
         ltop = R.top_k(pos, depth, ["question_id"], "overlap", "paper_id").select("question_id", "paper_id")
         # 3. candidates with their score and overlap; candidates outside
         #    the embedding top-M are scored from their own vectors only
-        low = qblock.select("question_id", F.explode(F.array(*[F.lit(x) for x in smallest])).alias("paper_id"))
+        #    (the smallest ids matter only where fewer than M papers share a token)
+        short = qblock.select("question_id").join(
+            pos.groupBy("question_id").count().where(F.col("count") >= depth), "question_id", "left_anti")
+        low = short.select("question_id", F.explode(F.array(*[F.lit(x) for x in smallest])).alias("paper_id"))
         cand = (etop.select("question_id", "paper_id").unionByName(ltop).unionByName(low).distinct()
                 .join(etop, ["question_id", "paper_id"], "left")
                 .join(pos, ["question_id", "paper_id"], "left")).cache()
@@ -154,11 +162,12 @@ def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: Dat
                 zero_probes[q] = (z, np.zeros(len(z)), pids[z])
         re_ = _counts(V.rank_probes_by_score(vecs, basis, qids, qv, n_components, emb_probes, n_p), n_p)
         pos_rows = pos.select(F.col("question_id").alias("g"), F.col("overlap").cast("double").alias("key"),
-                              "paper_id")
+                              "paper_id").sortWithinPartitions("g")
         rl = _counts(V.rank_probes_by_key(pos_rows, lex_probes, n_p), n_p)
         zero = np.nonzero(ov == 0)[0]
         if len(zero):
-            pos_ids = pos.select(F.col("question_id").alias("g"), F.lit(0.0).alias("key"), "paper_id")
+            pos_ids = pos.select(F.col("question_id").alias("g"), F.lit(0.0).alias("key"),
+                                 "paper_id").sortWithinPartitions("g")
             before_pos = _counts(V.rank_probes_by_key(pos_ids, zero_probes, n_p), n_p)
             uni = universe.select(F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("key"), "paper_id")
             before_all = _counts(V.rank_probes_by_key(uni, {0: (zero, np.zeros(len(zero)), pids[zero])}, n_p), n_p)

@@ -380,11 +380,28 @@ def corpus_mean(vecs: DataFrame) -> DataFrame:
 # Exact ranks of a bounded set of probe rows
 # ---------------------------------------------------------------------------
 
+class IdCoder:
+    """Order-preserving integer codes relative to a fixed set of probe ids:
+    a probe id gets 2i+1, any other id 2i where i is its insertion point, so
+    row < probe exactly when code(row) < code(probe).  One vectorised
+    searchsorted per batch."""
+
+    def __init__(self, probe_ids: np.ndarray):
+        self.p = np.unique(np.asarray(probe_ids).astype(str))
+        self.n_codes = 2 * len(self.p) + 1
+
+    def codes(self, ids) -> np.ndarray:
+        x = np.asarray(ids).astype(str)
+        pos = np.searchsorted(self.p, x)
+        if len(self.p) == 0:
+            return np.zeros(len(x), dtype=np.int64)
+        hit = (pos < len(self.p)) & (self.p[np.minimum(pos, len(self.p) - 1)] == x)
+        return 2 * pos.astype(np.int64) + hit
+
+
 def id_codes(row_ids: np.ndarray, probe_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Order-preserving integer codes for ids of rows and probes together."""
-    allv = np.concatenate([row_ids.astype(str), probe_ids.astype(str)])
-    uniq, inv = np.unique(allv, return_inverse=True)
-    return inv[: len(row_ids)], inv[len(row_ids):], len(uniq)
+    coder = IdCoder(probe_ids)
+    return coder.codes(row_ids), coder.codes(probe_ids), coder.n_codes
 
 
 def count_before(keys: np.ndarray, row_codes: np.ndarray, pk: np.ndarray, probe_codes: np.ndarray,
@@ -421,6 +438,8 @@ def rank_probes_by_score(vecs: DataFrame, basis: Basis, qids: np.ndarray, qvecs:
     qs = sorted(probes)
     all_pid = np.concatenate([probes[q][2] for q in qs]) if qs else np.array([], dtype=object)
     offs = np.cumsum([0] + [len(probes[q][2]) for q in qs])
+    coder = IdCoder(all_pid)
+    pcodes_all = coder.codes(all_pid)
 
     def fn(batches):
         acc = np.zeros(n_probes, dtype=np.int64)
@@ -428,8 +447,8 @@ def rank_probes_by_score(vecs: DataFrame, basis: Basis, qids: np.ndarray, qvecs:
             b = rb.num_rows
             if b == 0:
                 continue
-            ids = np.asarray(rb.column(0).to_pylist(), dtype=object)
-            rcodes, pcodes, ncodes = id_codes(ids, all_pid)
+            rcodes = coder.codes(rb.column(0).to_pylist())
+            pcodes, ncodes = pcodes_all, coder.n_codes
             x = rb.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b, dim)
             c = x - mean
             sq = np.einsum("ij,ij->i", c, c)
@@ -455,6 +474,8 @@ def rank_probes_by_key(rows: DataFrame, probes, n_probes: int) -> DataFrame:
     gs = sorted(probes)
     all_pid = np.concatenate([probes[g][2] for g in gs]) if gs else np.array([], dtype=object)
     offs = dict(zip(gs, np.cumsum([0] + [len(probes[g][2]) for g in gs])[:-1]))
+    coder = IdCoder(all_pid)
+    pcodes_all = coder.codes(all_pid)
 
     def fn(batches):
         acc = np.zeros(n_probes, dtype=np.int64)
@@ -463,8 +484,8 @@ def rank_probes_by_key(rows: DataFrame, probes, n_probes: int) -> DataFrame:
                 continue
             g = rb.column(0).to_numpy(zero_copy_only=False)
             key = rb.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            ids = np.asarray(rb.column(2).to_pylist(), dtype=object)
-            rcodes, pcodes, ncodes = id_codes(ids, all_pid)
+            rcodes = coder.codes(rb.column(2).to_pylist())
+            pcodes, ncodes = pcodes_all, coder.n_codes
             order = np.argsort(g, kind="stable")
             g, key, rcodes = g[order], key[order], rcodes[order]
             bounds = np.flatnonzero(np.diff(g)) + 1

@@ -72,3 +72,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="papyra-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+_MEMO: dict = {}
+
+
+def snapshot_memo(df, tag: str):
+    """Materialise a table derived from an immutable corpus snapshot once
+    per session (e.g. the distinct tokens of every paper), written with
+    ``checkpoint()`` into the shared checkpoint folder.  Keyed by the
+    DataFrame's semantic plan hash: snapshot directories never change in
+    place, so the same plan means the same data."""
+    key = (tag, df.semanticHash())
+    hit = _MEMO.get(key)
+    if hit is not None:
+        return hit
+    checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    _MEMO[key] = out
+    return out
