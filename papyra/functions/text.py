@@ -28,6 +28,8 @@ MIN_TOKEN_LEN = 2
 DOCUMENT_SEP = "[SEP]"
 # Number of authors shown in a paper label before "et al.".
 LABEL_AUTHORS = 3
+# Numbered result listing: position, score to three places, title, then id and link.
+LISTING_FORMAT = "%d. [%.3f] %s\n   %s - %s"
 # ---------------------------------------------------------------------------
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -88,3 +90,8 @@ def paper_label(arxiv_id, title, authors) -> Column:
 def document_text(title, abstract, sep: str = DOCUMENT_SEP) -> Column:
     """Encoder input: title, separator, abstract."""
     return F.concat(_c(title), F.lit(sep), _c(abstract))
+
+
+def result_listing(position, score, title, arxiv_id, abs_url) -> Column:
+    """"1. [0.033] Title" and an indented "id - link" line."""
+    return F.format_string(LISTING_FORMAT, _c(position), _c(score), _c(title), _c(arxiv_id), _c(abs_url))

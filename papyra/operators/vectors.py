@@ -273,17 +273,22 @@ KERNEL_SCHEMA = T.StructType([
 ])
 
 
-def _question_blocks(questions: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Question vectors on the driver, in blocks of bounded size.  The
-    question table is a batch of user questions, not corpus data."""
-    rows = questions.select("question_id", "qvec").orderBy("question_id").collect()
-    blocks = []
-    for start in range(0, len(rows), MAX_QUESTIONS_PER_BLOCK):
-        part = rows[start:start + MAX_QUESTIONS_PER_BLOCK]
-        qids = np.array([r["question_id"] for r in part], dtype=np.int64)
-        qv = np.array([r["qvec"] for r in part], dtype=np.float64)
-        blocks.append((qids, qv))
-    return blocks
+def _question_blocks(questions: DataFrame):
+    """Question vectors on the driver, one bounded block at a time.  The
+    question table is a batch of user questions, not corpus data; a table
+    larger than one block is split by a hash of the id and fetched block by
+    block, so the driver never holds more than MAX_QUESTIONS_PER_BLOCK."""
+    q = questions.select("question_id", "qvec")
+    n = q.count()
+    n_blocks = max(1, -(-n // MAX_QUESTIONS_PER_BLOCK))
+    for b in range(n_blocks):
+        part = q if n_blocks == 1 else q.where(
+            F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)) == F.lit(b))
+        rows = part.orderBy("question_id").collect()
+        if rows:
+            qids = np.array([r["question_id"] for r in rows], dtype=np.int64)
+            qv = np.array([r["qvec"] for r in rows], dtype=np.float64)
+            yield qids, qv
 
 
 def score_corpus(vecs: DataFrame, questions: DataFrame, basis: Basis,

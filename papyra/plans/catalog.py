@@ -661,3 +661,19 @@ def embed_missing(spark: SparkSession, sf: str) -> DataFrame:
     nxt = EM.embed_missing(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), "m2", TB.ts(TB.BATCH_TS))
     return nxt.where(F.col("model") == "m2").select("paper_id", "model", "dim",
                                                     _checksum("embedding").alias("checksum"))
+
+
+@register("ask_listing", O.with_(*_BASE, *O.hybrid_ctes("m1")) + """
+, a AS (SELECT h.question_id, h.rrf, p.arxiv_id, p.title, p.abs_url,
+               row_number() OVER (PARTITION BY h.question_id ORDER BY h.rank) AS pos
+        FROM hyb h JOIN papers p ON p.arxiv_id = h.paper_id WHERE h.rank <= 5)
+SELECT question_id, pos AS position,
+       printf('%d. [%.3f] %s' || chr(10) || '   %s - %s', pos, rrf, title, arxiv_id, abs_url) AS line FROM a""")
+def ask_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered listing of the ask results (position among returned papers)."""
+    from pyspark.sql import Window
+    a = H.ask(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), TB.questions(spark, sf), "m1")
+    pos = F.row_number().over(Window.partitionBy("question_id").orderBy("rank")).cast("long")
+    return (a.withColumn("position", pos)
+            .select("question_id", "position",
+                    TX.result_listing("position", "score", "title", "arxiv_id", "abs_url").alias("line")))
