@@ -72,6 +72,8 @@ def pair_moments(vecs: DataFrame) -> DataFrame:
     """(n_pairs, mean, std) of cosine similarity over all distinct pairs,
     exact, from per-partition partial sums (no pairs materialised; what
     reaches the driver is dim + dim^2 numbers)."""
+    from papyra.session import ship_package
+    ship_package(vecs.sparkSession)
     spark = vecs.sparkSession
     dim_row = vecs.agg(F.max(F.size("embedding")).alias("d")).collect()[0]
     dim = int(dim_row["d"] or 0)

@@ -62,6 +62,9 @@ class HashingEncoder:
 def encode(df: DataFrame, text_col: str, id_col: str,
            encoder_factory: Callable[[], object] = HashingEncoder, mode: str = "document") -> DataFrame:
     """(id, embedding array<float>) for every row of ``df``."""
+    from papyra.session import ship_package
+    ship_package(df.sparkSession)
+
     def fn(batches):
         enc = encoder_factory()
         for rb in batches:

@@ -106,6 +106,8 @@ def corpus_moments(vecs: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
     matmul per Arrow batch; the partial sums are added by Spark ML's
     Summarizer (a partial aggregation), so the driver receives dim + dim^2
     numbers whatever the corpus size.  Mixed dimensions raise."""
+    from papyra.session import ship_package
+    ship_package(vecs.sparkSession)
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
@@ -302,6 +304,8 @@ def score_corpus(vecs: DataFrame, questions: DataFrame, basis: Basis,
     top-k per (question, variant); the global top-k is a subset of their
     union.  raw: plain cosine, no centring or removal.
     """
+    from papyra.session import ship_package
+    ship_package(vecs.sparkSession)
     spark = vecs.sparkSession
     if basis.n == 0:
         return spark.createDataFrame([], KERNEL_SCHEMA)
@@ -436,6 +440,8 @@ def rank_probes_by_score(vecs: DataFrame, basis: Basis, qids: np.ndarray, qvecs:
     """0-based debiased-cosine rank of each probe among all corpus vectors:
     one scan, per-partition counts, summed by Spark.
     probes: dict question index -> (probe numbers, scores, paper ids)."""
+    from papyra.session import ship_package
+    ship_package(vecs.sparkSession)
     dim = basis.dim
     k = min(capped_components(n_components, basis.n, dim), basis.k)
     qp = query_residuals(qvecs, basis, k)
@@ -476,6 +482,8 @@ def rank_probes_by_score(vecs: DataFrame, basis: Basis, qids: np.ndarray, qvecs:
 def rank_probes_by_key(rows: DataFrame, probes, n_probes: int) -> DataFrame:
     """As ``rank_probes_by_score`` for precomputed rows (group, key, id):
     probes: dict group -> (probe numbers, keys, ids)."""
+    from papyra.session import ship_package
+    ship_package(rows.sparkSession)
     gs = sorted(probes)
     all_pid = np.concatenate([probes[g][2] for g in gs]) if gs else np.array([], dtype=object)
     offs = dict(zip(gs, np.cumsum([0] + [len(probes[g][2]) for g in gs])[:-1]))

@@ -43,8 +43,32 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``papyra`` importable in Python workers: zip the package once per
+    SparkContext and add it with ``addPyFile`` (the driver serves it to every
+    executor).  Kernels run inside tasks and reference package functions."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    from pathlib import Path
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="papyra-pkg-")) / "papyra.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in pkg.rglob("*.py"):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(str(out))
+    _SHIPPED.add(key)
+
+
 def apply_engine_conf(spark: SparkSession) -> None:
-    """Apply the runtime-settable part of ENGINE_CONF to an existing session."""
+    """Apply the runtime-settable part of ENGINE_CONF to an existing session
+    and ship the package to the Python workers."""
+    ship_package(spark)
     for k, v in ENGINE_CONF.items():
         if k.startswith("spark.sql."):
             try:
