@@ -24,10 +24,11 @@ SAMPLE_SEED = 0
 
 
 def corpus_coverage(papers: DataFrame, paper_embeddings: DataFrame, model: str) -> DataFrame:
-    n_p = papers.agg(F.count(F.lit(1)).cast("long").alias("papers"))
-    n_e = (paper_embeddings.where(F.col("model") == F.lit(model))
-           .agg(F.count(F.lit(1)).cast("long").alias("embedded")))
-    return n_p.crossJoin(n_e)
+    """(papers, embedded) in one aggregation over both tables."""
+    p = papers.select(F.lit(1).alias("_p"), F.lit(0).alias("_e"))
+    e = paper_embeddings.where(F.col("model") == F.lit(model)).select(F.lit(0).alias("_p"), F.lit(1).alias("_e"))
+    return p.unionByName(e).agg(F.coalesce(F.sum("_p"), F.lit(0)).cast("long").alias("papers"),
+                                F.coalesce(F.sum("_e"), F.lit(0)).cast("long").alias("embedded"))
 
 
 def category_counts(papers: DataFrame) -> DataFrame:
@@ -148,12 +149,12 @@ def category_exemplars(papers: DataFrame, vecs: DataFrame, prefix: str, equals:
     ``equals``; no row when either is missing."""
     emb = vecs.select(F.col("paper_id").alias("arxiv_id"), l2_normalize("embedding").alias("u"))
     cand = papers.select("arxiv_id", "title", "primary_category").join(emb, "arxiv_id")
-    first_a = (cand.where(F.col("primary_category").startswith(prefix))
-               .agg(F.min(F.struct("arxiv_id", "title", "u")).alias("a")))
-    first_b = (cand.where(F.col("primary_category") == F.lit(equals))
-               .agg(F.min(F.struct("arxiv_id", "title", "u")).alias("b")))
+    packed = F.struct("arxiv_id", "title", "u")
+    firsts = cand.agg(
+        F.min(F.when(F.col("primary_category").startswith(prefix), packed)).alias("a"),
+        F.min(F.when(F.col("primary_category") == F.lit(equals), packed)).alias("b"))
     dot = F.aggregate(F.zip_with("a.u", "b.u", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return (first_a.crossJoin(first_b).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return (firsts.where(F.col("a").isNotNull() & F.col("b").isNotNull())
             .select(F.col("a.arxiv_id").alias("id_a"), F.col("a.title").alias("title_a"),
                     F.col("b.arxiv_id").alias("id_b"), F.col("b.title").alias("title_b"),
                     dot.alias("similarity")))

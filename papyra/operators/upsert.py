@@ -59,12 +59,12 @@ def upsert_papers(current: DataFrame, incoming: DataFrame, batch_ts) -> DataFram
 def upsert_counts(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """(new_count, updated_count): a second arrival of an id inside the
     batch counts as an update."""
-    ids = incoming.select("arxiv_id")
-    new_ids = ids.join(current.select("arxiv_id"), "arxiv_id", "left_anti")
-    total = ids.agg(F.count(F.lit(1)).alias("total"))
-    new = new_ids.agg(F.countDistinct("arxiv_id").alias("new_count"))
-    return total.crossJoin(new).select(F.col("new_count").cast("long"),
-                                       (F.col("total") - F.col("new_count")).cast("long").alias("updated_count"))
+    known = current.select("arxiv_id", F.lit(True).alias("_known"))
+    tagged = incoming.select("arxiv_id").join(known, "arxiv_id", "left")
+    return tagged.agg(
+        F.countDistinct(F.when(F.col("_known").isNull(), F.col("arxiv_id"))).cast("long").alias("new_count"),
+        (F.count(F.lit(1)) - F.countDistinct(F.when(F.col("_known").isNull(), F.col("arxiv_id"))))
+        .cast("long").alias("updated_count"))
 
 
 def upsert_categories(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -88,11 +88,11 @@ def upsert_authors(current: DataFrame, incoming: DataFrame) -> DataFrame:
     m = _author_mentions(incoming)
     first = m.groupBy("name").agg(F.min(F.struct("seq", "pos")).alias("_f"))
     fresh = first.join(current.select("name"), "name", "left_anti")
-    base = current.agg(F.coalesce(F.max("author_id"), F.lit(0)).cast("long").alias("_base"))
-    seq0 = incoming.agg(F.min("seq").cast("long").alias("_seq0"))
-    ids = (fresh.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(seq0))
-           .select((F.col("_base") + 1 + (F.col("_f.seq") - F.col("_seq0")) * F.lit(POS_SLOTS)
-                    + F.col("_f.pos")).cast("long").alias("author_id"), "name"))
+    # two scalars: the largest existing id and the batch's first seq
+    base = current.agg(F.max("author_id")).collect()[0][0] or 0
+    seq0 = incoming.agg(F.min("seq")).collect()[0][0] or 0
+    ids = fresh.select((F.lit(int(base)) + 1 + (F.col("_f.seq") - F.lit(int(seq0))) * F.lit(POS_SLOTS)
+                        + F.col("_f.pos")).cast("long").alias("author_id"), "name")
     return current.unionByName(ids)
 
 

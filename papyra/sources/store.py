@@ -79,11 +79,14 @@ class SnapshotStore:
     def applied(self, batch_id) -> bool:
         return batch_id is not None and str(batch_id) in self.manifest()["applied_batches"]
 
-    def commit(self, tables: dict[str, DataFrame], batch_id=None) -> int:
-        """Write the given tables as the next version and publish it."""
+    def commit(self, tables: dict[str, DataFrame], batch_id=None, changed=None) -> int:
+        """Write the changed tables as the next version and publish it;
+        tables not in ``changed`` (default: all given) keep their files."""
         m = self.manifest()
         version = m["version"] + 1
         for name, df in tables.items():
+            if changed is not None and name not in changed and name in m["tables"]:
+                continue
             rel = f"{name}/v={version}"
             w = df.write.mode("errorifexists")
             if name in PARTITION_BY:

@@ -49,7 +49,10 @@ def apply_entries(store: SnapshotStore, entries: DataFrame, batch_id, batch_ts:
         from papyra.operators.embed import HashingEncoder, embed_missing
         nxt["paper_embeddings"] = embed_missing(nxt["papers"], current["paper_embeddings"], embed_model, ts,
                                                 encoder_factory or HashingEncoder)
-    version = store.commit(nxt, batch_id=batch_id)
+    changed = {"papers", "categories", "paper_categories", "authors", "paper_authors"}
+    if embed_model is not None:
+        changed.add("paper_embeddings")
+    version = store.commit(nxt, batch_id=batch_id, changed=changed)
     spark.catalog.clearCache()
     return version
 
