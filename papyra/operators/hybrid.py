@@ -160,18 +160,21 @@ def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: Dat
             z = m[ov[m] == 0]
             if len(z):
                 zero_probes[q] = (z, np.zeros(len(z)), pids[z])
-        re_ = _counts(V.rank_probes_by_score(vecs, basis, qids, qv, n_components, emb_probes, n_p), n_p)
+        # embedding ranks, and for zero-overlap candidates the number of
+        # corpus ids below theirs, in one scan of the vectors
+        zero = np.nonzero(ov == 0)[0]
+        base = n_p  # second block of probe numbers: "ids below" counts
+        counts = _counts(V.rank_probes_by_score(vecs, basis, qids, qv, n_components, emb_probes, 2 * n_p,
+                                                id_probes=(zero + base, pids[zero])), 2 * n_p)
+        re_, before_all = counts[:n_p], counts[n_p:]
+        # keyword ranks, and positives with an id below each zero-overlap
+        # candidate, in one pass over the overlaps
         pos_rows = pos.select(F.col("question_id").alias("g"), F.col("overlap").cast("double").alias("key"),
                               "paper_id").sortWithinPartitions("g")
-        rl = _counts(V.rank_probes_by_key(pos_rows, lex_probes, n_p), n_p)
-        zero = np.nonzero(ov == 0)[0]
-        if len(zero):
-            pos_ids = pos.select(F.col("question_id").alias("g"), F.lit(0.0).alias("key"),
-                                 "paper_id").sortWithinPartitions("g")
-            before_pos = _counts(V.rank_probes_by_key(pos_ids, zero_probes, n_p), n_p)
-            uni = universe.select(F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("key"), "paper_id")
-            before_all = _counts(V.rank_probes_by_key(uni, {0: (zero, np.zeros(len(zero)), pids[zero])}, n_p), n_p)
-            rl[zero] += before_all[zero] - before_pos[zero]
+        zp = {q: (z + base, pids[z]) for q, (z, _, _) in zero_probes.items()}
+        counts = _counts(V.rank_probes_by_key(pos_rows, lex_probes, 2 * n_p, id_probes=zp), 2 * n_p)
+        rl, before_pos = counts[:n_p], counts[n_p:]
+        rl[zero] += before_all[zero] - before_pos[zero]
         fused = 1.0 / (rrf_k + re_) + 1.0 / (rrf_k + rl)
         for q in np.unique(q_arr):
             m = np.nonzero(q_arr == q)[0]

@@ -436,10 +436,12 @@ def _emit_counts(acc: np.ndarray) -> pa.RecordBatch:
 
 
 def rank_probes_by_score(vecs: DataFrame, basis: Basis, qids: np.ndarray, qvecs: np.ndarray,
-                         n_components: int, probes, n_probes: int) -> DataFrame:
+                         n_components: int, probes, n_probes: int, id_probes=None) -> DataFrame:
     """0-based debiased-cosine rank of each probe among all corpus vectors:
     one scan, per-partition counts, summed by Spark.
-    probes: dict question index -> (probe numbers, scores, paper ids)."""
+    probes: dict question index -> (probe numbers, scores, paper ids).
+    id_probes: optional (probe numbers, paper ids) counted in the same scan as
+    the number of corpus ids below each id."""
     from papyra.session import ship_package
     ship_package(vecs.sparkSession)
     dim = basis.dim
@@ -449,8 +451,10 @@ def rank_probes_by_score(vecs: DataFrame, basis: Basis, qids: np.ndarray, qvecs:
     qs = sorted(probes)
     all_pid = np.concatenate([probes[q][2] for q in qs]) if qs else np.array([], dtype=object)
     offs = np.cumsum([0] + [len(probes[q][2]) for q in qs])
-    coder = IdCoder(all_pid)
+    id_pidx, id_pid = id_probes if id_probes is not None else (np.zeros(0, np.int64), np.array([], dtype=object))
+    coder = IdCoder(np.concatenate([all_pid, id_pid]))
     pcodes_all = coder.codes(all_pid)
+    id_codes_p = coder.codes(id_pid)
 
     def fn(batches):
         acc = np.zeros(n_probes, dtype=np.int64)
@@ -460,6 +464,8 @@ def rank_probes_by_score(vecs: DataFrame, basis: Basis, qids: np.ndarray, qvecs:
                 continue
             rcodes = coder.codes(rb.column(0).to_pylist())
             pcodes, ncodes = pcodes_all, coder.n_codes
+            if len(id_pidx):
+                np.add.at(acc, id_pidx, np.searchsorted(np.sort(rcodes), id_codes_p, side="left"))
             x = rb.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b, dim)
             c = x - mean
             sq = np.einsum("ij,ij->i", c, c)
@@ -479,16 +485,21 @@ def rank_probes_by_score(vecs: DataFrame, basis: Basis, qids: np.ndarray, qvecs:
             .groupBy("probe").agg(F.sum("n_before").alias("n_before")))
 
 
-def rank_probes_by_key(rows: DataFrame, probes, n_probes: int) -> DataFrame:
+def rank_probes_by_key(rows: DataFrame, probes, n_probes: int, id_probes=None) -> DataFrame:
     """As ``rank_probes_by_score`` for precomputed rows (group, key, id):
-    probes: dict group -> (probe numbers, keys, ids)."""
+    probes: dict group -> (probe numbers, keys, ids).  id_probes: optional
+    dict group -> (probe numbers, ids), counted in the same pass as the rows
+    of the group with a smaller id (keys ignored)."""
+    id_probes = id_probes or {}
     from papyra.session import ship_package
     ship_package(rows.sparkSession)
     gs = sorted(probes)
     all_pid = np.concatenate([probes[g][2] for g in gs]) if gs else np.array([], dtype=object)
     offs = dict(zip(gs, np.cumsum([0] + [len(probes[g][2]) for g in gs])[:-1]))
-    coder = IdCoder(all_pid)
+    extra = [id_probes[g][1] for g in sorted(id_probes)]
+    coder = IdCoder(np.concatenate([all_pid, *extra]) if extra else all_pid)
     pcodes_all = coder.codes(all_pid)
+    id_codes_p = {g: coder.codes(id_probes[g][1]) for g in id_probes}
 
     def fn(batches):
         acc = np.zeros(n_probes, dtype=np.int64)
@@ -506,6 +517,9 @@ def rank_probes_by_key(rows: DataFrame, probes, n_probes: int) -> DataFrame:
             ends = np.concatenate([bounds, [len(g)]])
             for a, z in zip(starts, ends):
                 gv = int(g[a])
+                if gv in id_probes:
+                    np.add.at(acc, id_probes[gv][0],
+                              np.searchsorted(np.sort(rcodes[a:z]), id_codes_p[gv], side="left"))
                 if gv not in probes:
                     continue
                 pidx, pk, pid = probes[gv]
