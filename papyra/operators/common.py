@@ -1,0 +1,17 @@
+"""Helpers shared by operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Default bound on rows of a broadcast side.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only behind a measured size: a side with more than
+    ``max_rows`` rows is left to a shuffle join (AQE may still pick a
+    broadcast from runtime statistics)."""
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small

@@ -112,7 +112,8 @@ def id_ordinals(df: DataFrame, id_col: str, prefix_len: int = 5) -> DataFrame:
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_o", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_b", "_o")
     wi = Window.partitionBy("_b").orderBy(id_col)
-    return (b.join(F.broadcast(offs), "_b")
+    from papyra.operators.common import checked_broadcast
+    return (b.join(checked_broadcast(offs), "_b")
             .withColumn("ordinal", (F.col("_o") + F.row_number().over(wi) - 1).cast("long"))
             .drop("_b", "_o"))
 

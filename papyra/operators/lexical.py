@@ -37,8 +37,8 @@ def question_tokens(questions: DataFrame) -> DataFrame:
 
 
 def _maybe_broadcast(small: DataFrame, limit: int) -> DataFrame:
-    n = small.count()
-    return F.broadcast(small) if n <= limit else small
+    from papyra.operators.common import checked_broadcast
+    return checked_broadcast(small, limit)
 
 
 def keyword_overlap(doc_tokens: DataFrame, q_tokens: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ BROADCAST_ID_ROWS = 5_000_000
 
 
 def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ID_ROWS else ids
+    from papyra.operators.common import checked_broadcast
+    return checked_broadcast(ids, BROADCAST_ID_ROWS)
 
 
 def paper_exists(papers: DataFrame, ids: DataFrame) -> DataFrame:

@@ -139,7 +139,8 @@ def check_vectors(incoming: DataFrame, expected_dim: DataFrame | None = None) ->
     reason = (F.when(F.col("embedding").isNull(), F.lit("vector is null"))
               .when(bad_elem, F.lit("vector has a non-finite element")))
     if expected_dim is not None:
-        v = v.join(F.broadcast(expected_dim.select("model", F.col("dim").alias("_dim"))), "model", "left")
+        from papyra.operators.common import checked_broadcast
+        v = v.join(checked_broadcast(expected_dim.select("model", F.col("dim").alias("_dim"))), "model", "left")
         reason = reason.when(F.col("_dim").isNotNull() & (F.size("embedding") != F.col("_dim")),
                              F.lit("vector length differs from the model's dimension"))
     v = v.withColumn("reason", reason)
