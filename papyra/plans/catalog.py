@@ -655,7 +655,7 @@ def hash_encode(spark: SparkSession, sf: str) -> DataFrame:
 SELECT paper_id, model, dim, round(list_reduce(list_transform(embedding, lambda x: x::DOUBLE), lambda a, b: a + b), 6) + 0.0
        AS checksum FROM pe WHERE model = 'm2'
 UNION ALL
-SELECT arxiv_id, 'm2', 64, coalesce((SELECT sum(value) FROM enc WHERE enc.paper_id = todo.arxiv_id), 0)::DOUBLE FROM todo""")
+SELECT arxiv_id, 'm2', 64::INTEGER, coalesce((SELECT sum(value) FROM enc WHERE enc.paper_id = todo.arxiv_id), 0)::DOUBLE FROM todo""")
 def embed_missing(spark: SparkSession, sf: str) -> DataFrame:
     """Encode only papers lacking an m2 vector, upsert; the m2 table after."""
     nxt = EM.embed_missing(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), "m2", TB.ts(TB.BATCH_TS))

@@ -56,10 +56,10 @@ PAPERS = """papers AS (
          comment, journal_ref, doi, TIMESTAMP '2024-07-01' AS ingested_at FROM entries)"""
 
 PE = f"""pe AS (
-  SELECT {pid('vec_id')} AS paper_id, 'm1' AS model, embedding, len(embedding) AS dim,
+  SELECT {pid('vec_id')} AS paper_id, 'm1' AS model, embedding, len(embedding)::INTEGER AS dim,
          TIMESTAMP '2024-06-01' AS created_at FROM embeddings
   UNION ALL
-  SELECT {pid('vec_id')}, 'm2', embedding, len(embedding), TIMESTAMP '2024-06-01'
+  SELECT {pid('vec_id')}, 'm2', embedding, len(embedding)::INTEGER, TIMESTAMP '2024-06-01'
   FROM embeddings WHERE vec_id % 4 = 0)"""
 
 QUESTIONS = """questions AS (
@@ -250,7 +250,7 @@ UPSERT = [
     "cur_m AS (SELECT arxiv_id, seq, unnest(authors) AS name, unnest(range(len(authors))) AS pos FROM cur)",
     "cur_authors AS (SELECT name, 1 + min(seq * 65536 + pos) - (SELECT min(seq) FROM cur) * 65536 AS author_id "
     "FROM cur_m GROUP BY name)",
-    "cur_pa AS (SELECT m.arxiv_id AS paper_id, a.author_id, min(m.seq * 65536 + m.pos) % 65536 AS author_order "
+    "cur_pa AS (SELECT m.arxiv_id AS paper_id, a.author_id, (min(m.seq * 65536 + m.pos) % 65536)::INTEGER AS author_order "
     "FROM cur_m m JOIN cur_authors a ON a.name = m.name GROUP BY m.arxiv_id, a.author_id)",
     # next store after the incoming batch at 2024-08-01
     "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arxiv_id ORDER BY seq DESC) AS rn FROM inc) "
@@ -262,7 +262,7 @@ UPSERT = [
     "next_authors AS (SELECT author_id, name FROM cur_authors UNION ALL "
     "SELECT (SELECT max(author_id) FROM cur_authors) + 1 + min(seq * 65536 + pos) - (SELECT min(seq) FROM inc) * 65536, "
     "name FROM inc_m WHERE name NOT IN (SELECT name FROM cur_authors) GROUP BY name)",
-    "inc_pa AS (SELECT m.arxiv_id AS paper_id, a.author_id, min(m.seq * 65536 + m.pos) % 65536 AS author_order "
+    "inc_pa AS (SELECT m.arxiv_id AS paper_id, a.author_id, (min(m.seq * 65536 + m.pos) % 65536)::INTEGER AS author_order "
     "FROM inc_m m JOIN next_authors a ON a.name = m.name GROUP BY m.arxiv_id, a.author_id)",
     "next_pa AS (SELECT * FROM cur_pa UNION ALL SELECT i.* FROM inc_pa i ANTI JOIN cur_pa c "
     "ON c.paper_id = i.paper_id AND c.author_id = i.author_id)",
@@ -284,5 +284,5 @@ VEC_UPSERT = [
     "FROM vok) WHERE rn = 1)",
     "next_pe AS (SELECT paper_id, model, embedding, dim, created_at FROM pe p WHERE NOT EXISTS (SELECT 1 FROM vlast v "
     "WHERE v.paper_id = p.paper_id AND v.model = p.model) UNION ALL SELECT paper_id, model, embedding, "
-    "len(embedding), TIMESTAMP '2024-08-01' FROM vlast)",
+    "len(embedding)::INTEGER, TIMESTAMP '2024-08-01' FROM vlast)",
 ]

@@ -36,6 +36,18 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT",
+                 "TimestampNTZType()": "TIMESTAMP"}
+
+
+def type_mismatches(df, con, sql):
+    st = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    rel = con.sql(sql)
+    dt = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c)}
+
+
 def rows_of_spark(df):
     cols = sorted(df.columns)
     return cols, sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
@@ -58,7 +70,8 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
     for name in names or list(qs):
         t0 = time.time()
         try:
-            sc, sr = rows_of_spark(qs[name](spark, sf_dir))
+            sdf = qs[name](spark, sf_dir)
+            sc, sr = rows_of_spark(sdf)
         except Exception as e:  # noqa: BLE001
             results[name] = f"spark error: {type(e).__name__}: {str(e)[:300]}"
             print(name, results[name]) if verbose else None
@@ -73,8 +86,11 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
                 results[name] = f"duck error: {str(e)[:300]}"
                 print(name, results[name]) if verbose else None
                 continue
+            tm = type_mismatches(sdf, con, sqls[name])
             if sc != dc:
                 results[name] = f"column mismatch spark={sc} duck={dc}"
+            elif tm:
+                results[name] = f"type mismatch {tm}"
             elif sr != dr:
                 diff = [r for r in sr if r not in set(dr)][:3]
                 diff2 = [r for r in dr if r not in set(sr)][:3]
