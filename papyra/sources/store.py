@@ -7,8 +7,14 @@ directories ``<root>/<table>/v=<n>/`` and then replaces the small manifest
 first, so all tables switch together (the foreign-key rules hold across
 them) and a crashed commit leaves the previous snapshot in force.  The
 manifest also records the applied ingest batch ids, which makes replays of
-a micro-batch no-ops.  Vectors are partitioned by ``model`` so reading one
-model prunes files.  Single writer assumed.
+a micro-batch no-ops.  Single writer assumed.
+
+Paper-keyed tables are hash-bucketed by paper id (``bucket=<b>``
+directories, version tracked per bucket): a batch reads and rewrites only
+the buckets its papers fall in, so the cost of a commit follows the batch,
+not the corpus.  Vectors are further partitioned by ``model`` so reading one
+model prunes files.  Dimension tables (authors, categories) are written
+whole when they change.
 """
 
 from __future__ import annotations
@@ -16,11 +22,20 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from papyra.schemas import TABLE_SCHEMAS
 
 MANIFEST = "_manifest.json"
 PARTITION_BY = {"paper_embeddings": ["model"]}
+# paper-keyed tables and their key column
+BUCKETED = {"papers": "arxiv_id", "paper_authors": "paper_id", "paper_categories": "paper_id",
+            "paper_embeddings": "paper_id"}
+DEFAULT_BUCKETS = 256
+
+
+def bucket_of(key) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(DEFAULT_BUCKETS))
 
 
 class SnapshotStore:
@@ -63,36 +78,91 @@ class SnapshotStore:
             raise OSError(f"could not publish manifest {m['version']}")
 
     # -- tables ---------------------------------------------------------------------
-    def tables(self) -> dict[str, DataFrame]:
-        """The current snapshot; empty tables where nothing was written yet."""
+    def _parts(self, entry, buckets=None) -> dict[str, str]:
+        """Part key -> relative dir.  Keys are "<bucket>" or, for tables
+        partitioned by model, "<model>/<bucket>"."""
+        keep = None if buckets is None else {str(b) for b in buckets}
+        return {k: rel for k, rel in sorted(entry["parts"].items())
+                if keep is None or k.rsplit("/", 1)[-1] in keep}
+
+    def tables(self, buckets=None) -> dict[str, DataFrame]:
+        """The current snapshot; empty tables where nothing was written yet.
+        With ``buckets``, paper-keyed tables hold only those buckets."""
         m = self.manifest()
         out = {}
         for name, schema in TABLE_SCHEMAS.items():
-            rel = m["tables"].get(name)
-            if rel is None:
-                out[name] = self.spark.createDataFrame([], schema)
+            entry = m["tables"].get(name)
+            empty = self.spark.createDataFrame([], schema)
+            if entry is None:
+                out[name] = empty
+            elif "path" in entry:
+                out[name] = self.spark.read.schema(schema).parquet(f"{self.root}/{entry['path']}") \
+                    .select(*schema.fieldNames())
             else:
-                df = self.spark.read.schema(schema).parquet(f"{self.root}/{rel}")
-                out[name] = df.select(*schema.fieldNames())
+                parts = self._parts(entry, buckets if name in BUCKETED else None)
+                by_model: dict = {}
+                for k, rel in parts.items():
+                    by_model.setdefault(k.rsplit("/", 1)[0] if "/" in k else None, []).append(
+                        f"{self.root}/{rel}")
+                df = empty
+                for model, paths in sorted(by_model.items(), key=lambda kv: str(kv[0])):
+                    if model is None:
+                        part = self.spark.read.schema(schema).parquet(*paths)
+                    else:
+                        inner = type(schema)([f for f in schema.fields if f.name != "model"])
+                        part = self.spark.read.schema(inner).parquet(*paths).withColumn("model", F.lit(model))
+                    df = df.unionByName(part.select(*schema.fieldNames()))
+                out[name] = df
         return out
 
     def applied(self, batch_id) -> bool:
         return batch_id is not None and str(batch_id) in self.manifest()["applied_batches"]
 
-    def commit(self, tables: dict[str, DataFrame], batch_id=None, changed=None) -> int:
-        """Write the changed tables as the next version and publish it;
-        tables not in ``changed`` (default: all given) keep their files."""
+    def _leaf_dirs(self, rel: str, by_model: bool) -> dict[str, str]:
+        base = self._Path(f"{self.root}/{rel}")
+        if not self._fs.exists(base):
+            return {}
+        out = {}
+        tops = [st.getPath().getName() for st in self._fs.listStatus(base) if st.isDirectory()]
+        for top in tops:
+            if by_model and top.startswith("model="):
+                sub = self._Path(f"{self.root}/{rel}/{top}")
+                for st in self._fs.listStatus(sub):
+                    name = st.getPath().getName()
+                    if st.isDirectory() and name.startswith("bucket="):
+                        out[f"{top.split('=', 1)[1]}/{name.split('=', 1)[1]}"] = f"{rel}/{top}/{name}"
+            elif not by_model and top.startswith("bucket="):
+                out[top.split("=", 1)[1]] = f"{rel}/{top}"
+        return out
+
+    def commit(self, tables: dict[str, DataFrame], batch_id=None, changed=None, buckets=None) -> int:
+        """Write the changed tables as the next version and publish it.
+
+        Tables not in ``changed`` (default: all given) keep their files.  With
+        ``buckets``, the given paper-keyed tables hold exactly the new content
+        of those buckets; other buckets keep their files."""
         m = self.manifest()
         version = m["version"] + 1
         for name, df in tables.items():
             if changed is not None and name not in changed and name in m["tables"]:
                 continue
             rel = f"{name}/v={version}"
-            w = df.write.mode("errorifexists")
-            if name in PARTITION_BY:
-                w = w.partitionBy(*PARTITION_BY[name])
-            w.parquet(f"{self.root}/{rel}")
-            m["tables"][name] = rel
+            if name in BUCKETED:
+                cols = [*PARTITION_BY.get(name, []), "bucket"]
+                df.withColumn("bucket", bucket_of(BUCKETED[name])).write.mode("errorifexists") \
+                    .partitionBy(*cols).parquet(f"{self.root}/{rel}")
+                entry = m["tables"].get(name)
+                parts = dict(entry["parts"]) if entry and "parts" in entry and buckets is not None else {}
+                gone = {str(x) for x in buckets} if buckets is not None else set()
+                parts = {k: v for k, v in parts.items() if k.rsplit("/", 1)[-1] not in gone}
+                parts.update(self._leaf_dirs(rel, by_model=name in PARTITION_BY))
+                m["tables"][name] = {"parts": parts}
+            else:
+                w = df.write.mode("errorifexists")
+                if name in PARTITION_BY:
+                    w = w.partitionBy(*PARTITION_BY[name])
+                w.parquet(f"{self.root}/{rel}")
+                m["tables"][name] = {"path": rel}
         m["version"] = version
         if batch_id is not None:
             m["applied_batches"] = (m["applied_batches"] + [str(batch_id)])[-10000:]

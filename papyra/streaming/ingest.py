@@ -41,7 +41,10 @@ def apply_entries(store: SnapshotStore, entries: DataFrame, batch_id, batch_ts:
     valid = valid.checkpoint(eager=True)
     rejects.withColumn("batch_id", F.lit(str(batch_id))).write.mode("append").parquet(
         f"{store.root}/_rejects")
-    current = store.tables()
+    # only the buckets this batch's papers fall in are read and rewritten
+    from papyra.sources.store import bucket_of
+    touched = [r[0] for r in valid.select(bucket_of("arxiv_id").alias("b")).distinct().collect()]
+    current = store.tables(buckets=touched)
     ts = F.lit(batch_ts).cast("timestamp_ntz")
     nxt = U.apply_batch(current, valid, ts)
     # links and vectors only for papers that exist (FK rule)
@@ -52,7 +55,7 @@ def apply_entries(store: SnapshotStore, entries: DataFrame, batch_id, batch_ts:
     changed = {"papers", "categories", "paper_categories", "authors", "paper_authors"}
     if embed_model is not None:
         changed.add("paper_embeddings")
-    version = store.commit(nxt, batch_id=batch_id, changed=changed)
+    version = store.commit(nxt, batch_id=batch_id, changed=changed, buckets=touched)
     spark.catalog.clearCache()
     return version
 

@@ -42,3 +42,21 @@ def test_pushed_filter_and_pruned_columns(spark):
     txt = plan(o)
     assert "PushedFilters: [IsNotNull(o_orderkey), LessThan(o_orderkey,100)]" in txt
     assert "ReadSchema: struct<o_orderkey:bigint>" in txt
+
+
+def test_store_reads_only_one_models_files(spark, tmp_dir):
+    from papyra.sources.store import SnapshotStore
+    store = SnapshotStore(spark, os.path.join(tmp_dir, "store"))
+    store.commit({"paper_embeddings": TB.paper_embeddings(spark, SF)})
+    pe = store.tables()["paper_embeddings"]
+    assert pe.count() == TB.paper_embeddings(spark, SF).count()
+    txt = plan(V.vectors_of(pe, "m2"))
+    assert "model=m2" in txt and "model=m1" not in txt
+    # a later commit that touches a few buckets keeps every other bucket's files
+    few = TB.paper_embeddings(spark, SF).where("paper_id < '00000003'")
+    from papyra.sources.store import bucket_of
+    touched = [r[0] for r in few.select(bucket_of("paper_id")).distinct().collect()]
+    keep = store.tables(buckets=None)["paper_embeddings"]
+    part = keep.where(bucket_of("paper_id").isin(touched))
+    store.commit({"paper_embeddings": part}, buckets=touched)
+    assert store.tables()["paper_embeddings"].count() == pe.count()
