@@ -10,6 +10,7 @@ vector without a paper row is dropped (fewer than k rows may return).
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,11 +118,13 @@ def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: Dat
         qblock = questions.where(F.col("question_id").isin([int(x) for x in qids]))
         qindex = {int(q): i for i, q in enumerate(qids)}
         # 1. embedding top-M (bounded: questions x M rows)
+        block = [(qids, qv)]
         etop = V.top_k_per_question(
-            V.score_corpus(vecs, qblock, basis, components=(n_components,), top_k=depth), depth
+            V.score_corpus(vecs, qblock, basis, components=(n_components,), top_k=depth, blocks=block), depth
         ).select("question_id", "paper_id", "score").cache()
-        # 2. keyword overlaps (sparse, read four times: written once)
-        pos = keyword_overlap_sparse(papers, vecs, qblock).checkpoint(eager=True)
+        # 2. keyword overlaps (sparse; read several times: kept, spilling to
+        #    disk; lost blocks are recomputed from the deterministic lineage)
+        pos = keyword_overlap_sparse(papers, vecs, qblock).persist(StorageLevel.MEMORY_AND_DISK)
         ltop = R.top_k(pos, depth, ["question_id"], "overlap", "paper_id").select("question_id", "paper_id")
         # 3. candidates with their score and overlap; candidates outside
         #    the embedding top-M are scored from their own vectors only
@@ -134,7 +137,8 @@ def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: Dat
                 .join(pos, ["question_id", "paper_id"], "left")).cache()
         need = cand.where(F.col("score").isNull()).select("paper_id").distinct()
         sub = V.score_corpus(vecs.join(need, "paper_id", "left_semi"), qblock, basis,
-                             components=(n_components,)).select("question_id", "paper_id", F.col("score").alias("_s"))
+                             components=(n_components,), blocks=block).select(
+            "question_id", "paper_id", F.col("score").alias("_s"))
         full = (cand.join(sub, ["question_id", "paper_id"], "left")
                 .select("question_id", "paper_id", F.coalesce("score", "_s").alias("score"), "overlap"))
         rows = full.collect()
@@ -175,6 +179,7 @@ def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: Dat
         counts = _counts(V.rank_probes_by_key(pos_rows, lex_probes, 2 * n_p, id_probes=zp), 2 * n_p)
         rl, before_pos = counts[:n_p], counts[n_p:]
         rl[zero] += before_all[zero] - before_pos[zero]
+        pos.unpersist()
         fused = 1.0 / (rrf_k + re_) + 1.0 / (rrf_k + rl)
         for q in np.unique(q_arr):
             m = np.nonzero(q_arr == q)[0]

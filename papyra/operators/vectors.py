@@ -281,6 +281,13 @@ def _question_blocks(questions: DataFrame):
     larger than one block is split by a hash of the id and fetched block by
     block, so the driver never holds more than MAX_QUESTIONS_PER_BLOCK."""
     q = questions.select("question_id", "qvec")
+    head = q.limit(MAX_QUESTIONS_PER_BLOCK + 1).collect()
+    if len(head) <= MAX_QUESTIONS_PER_BLOCK:  # the usual case: one block, one job
+        if head:
+            head = sorted(head, key=lambda r: r["question_id"])
+            yield (np.array([r["question_id"] for r in head], dtype=np.int64),
+                   np.array([r["qvec"] for r in head], dtype=np.float64))
+        return
     n = q.count()
     n_blocks = max(1, -(-n // MAX_QUESTIONS_PER_BLOCK))
     for b in range(n_blocks):
@@ -295,7 +302,7 @@ def _question_blocks(questions: DataFrame):
 
 def score_corpus(vecs: DataFrame, questions: DataFrame, basis: Basis,
                  components=(DEFAULT_COMPONENTS,), top_k: int | None = None,
-                 raw: bool = False) -> DataFrame:
+                 raw: bool = False, blocks=None) -> DataFrame:
     """Debiased cosine of every question against every corpus vector.
 
     components: the numbers of directions to remove (each capped as in
@@ -314,7 +321,7 @@ def score_corpus(vecs: DataFrame, questions: DataFrame, basis: Basis,
     directions = np.zeros((0, dim)) if raw else basis.directions
     kmax = directions.shape[0]
     out = None
-    for qids, qv in _question_blocks(questions):
+    for qids, qv in (blocks if blocks is not None else _question_blocks(questions)):
         if qv.ndim != 2 or qv.shape[1] != dim:
             raise ValueError(f"question vectors must have dimension {dim}")
         if raw:
