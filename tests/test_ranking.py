@@ -85,3 +85,17 @@ def test_build_contexts_text(spark):
     assert got[1] == ("Question: why?\n\nCandidate papers:\n\n1. [a] Title\n   Abstract: abs1"
                       "\n\n2. [b] T [x]\nline\n   Abstract: abs2")
     assert got[2] == "No relevant papers were found to answer this question."
+
+
+def test_all_zero_overlaps_rank_by_id(spark):
+    rows = [(0, f"{i:04d}", 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "g long, id string, overlap long")
+    got = {r.id: r.rank for r in R.exact_rank(df, ["g"], "overlap", "id", R.integer_bucket).collect()}
+    assert got == {f"{i:04d}": i for i in range(50)}
+
+
+def test_all_scores_equal_rank_by_id(spark):
+    rows = [(0, f"{i:04d}", 0.5) for i in range(50)]
+    df = spark.createDataFrame(rows, "g long, id string, score double")
+    got = {r.id: r.rank for r in R.exact_rank(df, ["g"], "score", "id").collect()}
+    assert got == {f"{i:04d}": i for i in range(50)}
