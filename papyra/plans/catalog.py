@@ -677,3 +677,37 @@ def ask_listing(spark: SparkSession, sf: str) -> DataFrame:
     return (a.withColumn("position", pos)
             .select("question_id", "position",
                     TX.result_listing("position", "score", "title", "arxiv_id", "abs_url").alias("line")))
+
+
+def _dense_hash_sql(src: str, key: str, text: str, out: str) -> str:
+    """SQL CTEs: hash-encode ``text`` of ``src`` rows into a dense 64-vector."""
+    return (f"{out}_t AS (SELECT {key} AS k, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')[1:512]) AS tok "
+            f"FROM {src}), "
+            f"{out}_h AS (SELECT k, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM {out}_t), "
+            f"{out}_s AS (SELECT k, h % 64 AS pos, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END) AS v "
+            f"FROM {out}_h GROUP BY k, h % 64), "
+            f"{out} AS (SELECT s.{key} AS k, list(coalesce(x.v, 0)::FLOAT ORDER BY g.pos) AS vec FROM {src} s "
+            f"CROSS JOIN range(64) g(pos) LEFT JOIN {out}_s x ON x.k = s.{key} AND x.pos = g.pos GROUP BY s.{key})")
+
+
+_ENC_PE = ("pe AS (SELECT k AS paper_id, 'hash' AS model, vec AS embedding, 64::INTEGER AS dim, "
+           "TIMESTAMP '2024-08-01' AS created_at FROM dvec)")
+_ENC_Q = ("questions AS (SELECT b.item_id AS question_id, b.text AS question, q.vec AS qvec FROM benchmark b "
+          "JOIN qvec q ON q.k = b.item_id)")
+
+
+@register("ask_encoded", O.with_(O.ENTRIES, O.PAPERS,
+                                 _dense_hash_sql("entries", "arxiv_id", "title || '[SEP]' || abstract", "dvec"),
+                                 _dense_hash_sql("benchmark", "item_id", "text", "qvec"),
+                                 _ENC_PE, _ENC_Q, *O.hybrid_ctes("hash")) + _ASK_SQL)
+def ask_encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """E4 + E2 + Q1 end to end: embed every paper lacking a 'hash' vector,
+    encode the questions with the same encoder (query mode), then ask."""
+    papers = TB.papers(spark, sf)
+    pe = EM.embed_missing(papers, TB.paper_embeddings(spark, sf), "hash", TB.ts(TB.BATCH_TS))
+    b = TB.table(spark, sf, "benchmark")
+    qv = EM.encode(b.select(F.col("item_id").cast("string").alias("qid"), "text"), "text", "qid", mode="query")
+    qs = (b.join(qv, b.item_id.cast("string") == qv.qid)
+          .select(F.col("item_id").alias("question_id"), F.col("text").alias("question"),
+                  F.col("embedding").alias("qvec")))
+    return H.ask(papers, pe, qs, "hash").withColumn("score", F.round("score", 9))
