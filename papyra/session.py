@@ -107,7 +107,7 @@ def snapshot_memo(df, tag: str):
     ``checkpoint()`` into the shared checkpoint folder.  Keyed by the
     DataFrame's semantic plan hash: snapshot directories never change in
     place, so the same plan means the same data."""
-    key = (tag, df.semanticHash())
+    key = (df.sparkSession.sparkContext.applicationId, tag, df.semanticHash())
     hit = _MEMO.get(key)
     if hit is not None:
         return hit

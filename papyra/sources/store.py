@@ -138,6 +138,9 @@ class SnapshotStore:
     def commit(self, tables: dict[str, DataFrame], batch_id=None, changed=None, buckets=None) -> int:
         """Write the changed tables as the next version and publish it.
 
+        Version directories are private until the manifest names them, so a
+        commit retried after a crash simply overwrites its own leftovers.
+
         Tables not in ``changed`` (default: all given) keep their files.  With
         ``buckets``, the given paper-keyed tables hold exactly the new content
         of those buckets; other buckets keep their files."""
@@ -149,7 +152,7 @@ class SnapshotStore:
             rel = f"{name}/v={version}"
             if name in BUCKETED:
                 cols = [*PARTITION_BY.get(name, []), "bucket"]
-                df.withColumn("bucket", bucket_of(BUCKETED[name])).write.mode("errorifexists") \
+                df.withColumn("bucket", bucket_of(BUCKETED[name])).write.mode("overwrite") \
                     .partitionBy(*cols).parquet(f"{self.root}/{rel}")
                 entry = m["tables"].get(name)
                 parts = dict(entry["parts"]) if entry and "parts" in entry and buckets is not None else {}
@@ -158,7 +161,7 @@ class SnapshotStore:
                 parts.update(self._leaf_dirs(rel, by_model=name in PARTITION_BY))
                 m["tables"][name] = {"parts": parts}
             else:
-                w = df.write.mode("errorifexists")
+                w = df.write.mode("overwrite")
                 if name in PARTITION_BY:
                     w = w.partitionBy(*PARTITION_BY[name])
                 w.parquet(f"{self.root}/{rel}")
