@@ -100,3 +100,26 @@ def test_stream_equals_batch_and_rerun_is_noop(spark, tmp_dir):
     # the streamed result equals one batch over all files
     batch = normalize_entries(read_atom(spark, landing)).select("arxiv_id").distinct().count()
     assert batch == 13
+
+
+def test_commit_crash_then_retry(spark, tmp_dir, monkeypatch):
+    from papyra.sources import testbed as TB
+    store = SnapshotStore(spark, os.path.join(tmp_dir, "store"))
+    papers = TB.papers(spark, "/root/testdata/sf0.001")
+    store.commit({"papers": papers}, batch_id="b1")
+
+    def boom(m):
+        raise OSError("crash before publish")
+    monkeypatch.setattr(store, "_write_manifest", boom)
+    try:
+        store.commit({"papers": papers.where("arxiv_id < '00000010'")}, batch_id="b2")
+    except OSError:
+        pass
+    monkeypatch.undo()
+    # the crashed attempt is invisible: still version 1, all papers
+    assert store.manifest()["version"] == 1 and not store.applied("b2")
+    assert store.tables()["papers"].count() == papers.count()
+    # the retry reuses the unpublished version number and succeeds
+    store.commit({"papers": papers.where("arxiv_id < '00000010'")}, batch_id="b2")
+    assert store.manifest()["version"] == 2 and store.applied("b2")
+    assert store.tables()["papers"].count() == 10
