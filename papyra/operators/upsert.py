@@ -88,10 +88,11 @@ def upsert_authors(current: DataFrame, incoming: DataFrame) -> DataFrame:
     m = _author_mentions(incoming)
     first = m.groupBy("name").agg(F.min(F.struct("seq", "pos")).alias("_f"))
     fresh = first.join(current.select("name"), "name", "left_anti")
-    # two scalars: the largest existing id and the batch's first seq
-    base = current.agg(F.max("author_id")).collect()[0][0] or 0
-    seq0 = incoming.agg(F.min("seq")).collect()[0][0] or 0
-    ids = fresh.select((F.lit(int(base)) + 1 + (F.col("_f.seq") - F.lit(int(seq0))) * F.lit(POS_SLOTS)
+    # two scalar subqueries (partial aggregates, evaluated lazily): the
+    # largest existing id and the batch's first seq
+    base = current.agg(F.coalesce(F.max("author_id"), F.lit(0)).cast("long")).scalar()
+    seq0 = incoming.agg(F.coalesce(F.min("seq"), F.lit(0)).cast("long")).scalar()
+    ids = fresh.select((base + 1 + (F.col("_f.seq") - seq0) * F.lit(POS_SLOTS)
                         + F.col("_f.pos")).cast("long").alias("author_id"), "name")
     return current.unionByName(ids)
 

@@ -28,18 +28,27 @@ BATCH_TS = "2024-08-01 00:00:00"
 _SPREAD = {"documents", "pages", "conversations"}
 
 
+_SPLITS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in _SPREAD else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, path) if name in _SPREAD else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Round-robin a narrow scan over all cores.  On a cluster the scan of a
-    large table already has more splits than cores and this is a no-op."""
+    large table already has more splits than cores and this is a no-op.
+    The split count of a path is looked up once."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    ck = (df.sparkSession.sparkContext.applicationId, key)
+    n = _SPLITS.get(ck) if key else None
+    if n is None:
+        n = df.rdd.getNumPartitions()
+        if key:
+            _SPLITS[ck] = n
+    return df.repartition(target) if n < target else df
 
 
 def padded_id(x) -> F.Column:
