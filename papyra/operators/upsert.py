@@ -83,14 +83,19 @@ def _author_mentions(incoming: DataFrame) -> DataFrame:
                            F.posexplode("authors").alias("pos", "name"))
 
 
-def upsert_authors(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Next ``authors`` table (author_id, name)."""
+def upsert_authors(current: DataFrame, incoming: DataFrame, id_base=None) -> DataFrame:
+    """Next ``authors`` table (author_id, name).
+
+    ``id_base``: the largest id ever given out, when the caller tracks it
+    (then ``current`` may hold only the name buckets the batch touches);
+    by default the largest id in ``current``."""
     m = _author_mentions(incoming)
     first = m.groupBy("name").agg(F.min(F.struct("seq", "pos")).alias("_f"))
     fresh = first.join(current.select("name"), "name", "left_anti")
-    # two scalar subqueries (partial aggregates, evaluated lazily): the
-    # largest existing id and the batch's first seq
-    base = current.agg(F.coalesce(F.max("author_id"), F.lit(0)).cast("long")).scalar()
+    # scalar subqueries (partial aggregates, evaluated lazily): the largest
+    # existing id and the batch's first seq
+    base = (F.lit(int(id_base)).cast("long") if id_base is not None else
+            current.agg(F.coalesce(F.max("author_id"), F.lit(0)).cast("long")).scalar())
     seq0 = incoming.agg(F.coalesce(F.min("seq"), F.lit(0)).cast("long")).scalar()
     ids = fresh.select((base + 1 + (F.col("_f.seq") - seq0) * F.lit(POS_SLOTS)
                         + F.col("_f.pos")).cast("long").alias("author_id"), "name")
@@ -107,9 +112,10 @@ def upsert_paper_authors(current: DataFrame, authors: DataFrame, incoming: DataF
     return current.unionByName(first.join(current, ["paper_id", "author_id"], "left_anti"))
 
 
-def apply_batch(tables: dict[str, DataFrame], incoming: DataFrame, batch_ts) -> dict[str, DataFrame]:
+def apply_batch(tables: dict[str, DataFrame], incoming: DataFrame, batch_ts,
+                author_id_base=None) -> dict[str, DataFrame]:
     """All paper-side tables after one ingest batch."""
-    authors = upsert_authors(tables["authors"], incoming)
+    authors = upsert_authors(tables["authors"], incoming, author_id_base)
     return {
         **tables,
         "papers": upsert_papers(tables["papers"], incoming, batch_ts),

@@ -28,9 +28,11 @@ from papyra.schemas import TABLE_SCHEMAS
 
 MANIFEST = "_manifest.json"
 PARTITION_BY = {"paper_embeddings": ["model"]}
-# paper-keyed tables and their key column
+# bucketed tables and their key column: paper-keyed tables by paper id, the
+# author dimension by name
 BUCKETED = {"papers": "arxiv_id", "paper_authors": "paper_id", "paper_categories": "paper_id",
-            "paper_embeddings": "paper_id"}
+            "paper_embeddings": "paper_id", "authors": "name"}
+PAPER_KEYED = ("papers", "paper_authors", "paper_categories", "paper_embeddings")
 DEFAULT_BUCKETS = 256
 
 
@@ -87,7 +89,9 @@ class SnapshotStore:
 
     def tables(self, buckets=None) -> dict[str, DataFrame]:
         """The current snapshot; empty tables where nothing was written yet.
-        With ``buckets``, paper-keyed tables hold only those buckets."""
+        ``buckets``: a list (applies to the paper-keyed tables) or a dict
+        table -> list; those tables then hold only the listed buckets."""
+        buckets = self._bucket_map(buckets)
         m = self.manifest()
         out = {}
         for name, schema in TABLE_SCHEMAS.items():
@@ -99,7 +103,7 @@ class SnapshotStore:
                 out[name] = self.spark.read.schema(schema).parquet(f"{self.root}/{entry['path']}") \
                     .select(*schema.fieldNames())
             else:
-                parts = self._parts(entry, buckets if name in BUCKETED else None)
+                parts = self._parts(entry, buckets.get(name))
                 by_model: dict = {}
                 for k, rel in parts.items():
                     by_model.setdefault(k.rsplit("/", 1)[0] if "/" in k else None, []).append(
@@ -115,6 +119,17 @@ class SnapshotStore:
                 out[name] = df
         return out
 
+    @staticmethod
+    def _bucket_map(buckets) -> dict:
+        if buckets is None:
+            return {}
+        if isinstance(buckets, dict):
+            return dict(buckets)
+        return {t: list(buckets) for t in PAPER_KEYED}
+
+    def counter(self, name: str) -> int:
+        return int(self.manifest().get("counters", {}).get(name, 0))
+
     def applied(self, batch_id) -> bool:
         return batch_id is not None and str(batch_id) in self.manifest()["applied_batches"]
 
@@ -135,7 +150,8 @@ class SnapshotStore:
                 out[top.split("=", 1)[1]] = f"{rel}/{top}"
         return out
 
-    def commit(self, tables: dict[str, DataFrame], batch_id=None, changed=None, buckets=None) -> int:
+    def commit(self, tables: dict[str, DataFrame], batch_id=None, changed=None, buckets=None,
+               counters: dict | None = None) -> int:
         """Write the changed tables as the next version and publish it.
 
         Version directories are private until the manifest names them, so a
@@ -146,6 +162,7 @@ class SnapshotStore:
         of those buckets; other buckets keep their files."""
         m = self.manifest()
         version = m["version"] + 1
+        bmap = self._bucket_map(buckets)
         for name, df in tables.items():
             if changed is not None and name not in changed and name in m["tables"]:
                 continue
@@ -155,8 +172,9 @@ class SnapshotStore:
                 df.withColumn("bucket", bucket_of(BUCKETED[name])).write.mode("overwrite") \
                     .partitionBy(*cols).parquet(f"{self.root}/{rel}")
                 entry = m["tables"].get(name)
-                parts = dict(entry["parts"]) if entry and "parts" in entry and buckets is not None else {}
-                gone = {str(x) for x in buckets} if buckets is not None else set()
+                tb = bmap.get(name)
+                parts = dict(entry["parts"]) if entry and "parts" in entry and tb is not None else {}
+                gone = {str(x) for x in tb} if tb is not None else set()
                 parts = {k: v for k, v in parts.items() if k.rsplit("/", 1)[-1] not in gone}
                 parts.update(self._leaf_dirs(rel, by_model=name in PARTITION_BY))
                 m["tables"][name] = {"parts": parts}
@@ -167,6 +185,8 @@ class SnapshotStore:
                 w.parquet(f"{self.root}/{rel}")
                 m["tables"][name] = {"path": rel}
         m["version"] = version
+        if counters:
+            m.setdefault("counters", {}).update({k: int(v) for k, v in counters.items()})
         if batch_id is not None:
             m["applied_batches"] = (m["applied_batches"] + [str(batch_id)])[-10000:]
         self._write_manifest(m)

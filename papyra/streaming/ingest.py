@@ -42,11 +42,15 @@ def apply_entries(store: SnapshotStore, entries: DataFrame, batch_id, batch_ts:
     rejects.withColumn("batch_id", F.lit(str(batch_id))).write.mode("append").parquet(
         f"{store.root}/_rejects")
     # only the buckets this batch's papers fall in are read and rewritten
-    from papyra.sources.store import bucket_of
+    from papyra.sources.store import PAPER_KEYED, bucket_of
     touched = [r[0] for r in valid.select(bucket_of("arxiv_id").alias("b")).distinct().collect()]
-    current = store.tables(buckets=touched)
+    names = valid.select(F.explode("authors").alias("name"))
+    touched_names = [r[0] for r in names.select(bucket_of("name").alias("b")).distinct().collect()]
+    buckets = {**{t: touched for t in PAPER_KEYED}, "authors": touched_names}
+    current = store.tables(buckets=buckets)
     ts = F.lit(batch_ts).cast("timestamp_ntz")
-    nxt = U.apply_batch(current, valid, ts)
+    id_base = store.counter("author_id")
+    nxt = U.apply_batch(current, valid, ts, author_id_base=id_base)
     # links and vectors only for papers that exist (FK rule)
     if embed_model is not None:
         from papyra.operators.embed import HashingEncoder, embed_missing
@@ -55,7 +59,11 @@ def apply_entries(store: SnapshotStore, entries: DataFrame, batch_id, batch_ts:
     changed = {"papers", "categories", "paper_categories", "authors", "paper_authors"}
     if embed_model is not None:
         changed.add("paper_embeddings")
-    version = store.commit(nxt, batch_id=batch_id, changed=changed, buckets=touched)
+    nxt["authors"] = nxt["authors"].persist()
+    top = nxt["authors"].agg(F.max("author_id")).collect()[0][0]
+    version = store.commit(nxt, batch_id=batch_id, changed=changed, buckets=buckets,
+                           counters={"author_id": max(id_base, top or 0)})
+    nxt["authors"].unpersist()
     spark.catalog.clearCache()
     return version
 

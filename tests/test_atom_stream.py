@@ -87,6 +87,10 @@ def test_stream_equals_batch_and_rerun_is_noop(spark, tmp_dir):
     assert "2401.00000v2" in papers
     assert t["paper_embeddings"].where(F.col("model") == "hash").count() == 13
     assert t["authors"].count() == 4 + 3 + 1  # A0..A3, B0..B2, Ann
+    authors = t["authors"].collect()
+    assert len({a.author_id for a in authors}) == len({a.name for a in authors}) == len(authors)
+    assert t["paper_authors"].join(t["authors"], "author_id", "left_anti").count() == 0
+    assert store.counter("author_id") == max(a.author_id for a in authors)
     m = store.manifest()
     v = m["version"]
     assert v == 4  # one snapshot per file (files_per_trigger=1)
