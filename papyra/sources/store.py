@@ -169,8 +169,9 @@ class SnapshotStore:
             rel = f"{name}/v={version}"
             if name in BUCKETED:
                 cols = [*PARTITION_BY.get(name, []), "bucket"]
-                df.withColumn("bucket", bucket_of(BUCKETED[name])).write.mode("overwrite") \
-                    .partitionBy(*cols).parquet(f"{self.root}/{rel}")
+                # all rows of a bucket in one task: one new file per bucket
+                df.withColumn("bucket", bucket_of(BUCKETED[name])).repartition(*cols).write \
+                    .mode("overwrite").partitionBy(*cols).parquet(f"{self.root}/{rel}")
                 entry = m["tables"].get(name)
                 tb = bmap.get(name)
                 parts = dict(entry["parts"]) if entry and "parts" in entry and tb is not None else {}
@@ -191,3 +192,10 @@ class SnapshotStore:
             m["applied_batches"] = (m["applied_batches"] + [str(batch_id)])[-10000:]
         self._write_manifest(m)
         return version
+
+    def compact(self, names=None) -> int:
+        """Rewrite whole tables into one new version (one file per bucket),
+        folding the files that per-batch commits accumulate."""
+        names = list(names or self.manifest()["tables"])
+        current = self.tables()
+        return self.commit({n: current[n] for n in names}, changed=set(names))
