@@ -203,6 +203,26 @@ def _topk_positions(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return cand[_order(scores[cand], ids[cand])[:k]]
 
 
+def _centred_block(rb, mean, directions, dim):
+    """(ids, centred rows, |c|^2, cumulative squared projections) of one
+    Arrow batch; the one place corpus rows are prepared for scoring."""
+    b = rb.num_rows
+    ids = np.asarray(rb.column(0).to_pylist(), dtype=object)
+    x = rb.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b, dim)
+    c = x - mean
+    sq = np.einsum("ij,ij->i", c, c)
+    cum = np.cumsum((c @ directions.T) ** 2, axis=1) if directions.shape[0] else None
+    return ids, c, sq, cum
+
+
+def _block_scores(c, sq, cum, k, qp) -> np.ndarray:
+    """Rounded debiased cosine of prepared rows against unit query residuals
+    (b x Q); every kernel scores through this function."""
+    resid = sq - cum[:, k - 1] if k else sq
+    den = np.sqrt(np.maximum(resid, 0.0)) + EPS
+    return np.round((c @ qp.T) / den[:, None], SCORE_DECIMALS)
+
+
 def _kernel(mean, directions, variants, qids, top_k, dim):
     """Build the mapInArrow function.
 
@@ -229,17 +249,9 @@ def _kernel(mean, directions, variants, qids, top_k, dim):
             b = rb.num_rows
             if b == 0:
                 continue
-            ids = np.asarray(rb.column(0).to_pylist(), dtype=object)
-            emb = rb.column(1)
-            x = emb.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b, dim)
-            c = x - mean
-            sq = np.einsum("ij,ij->i", c, c)
-            if kmax:
-                cum = np.cumsum((c @ directions.T) ** 2, axis=1)
+            ids, c, sq, cum = _centred_block(rb, mean, directions, dim)
             for vi, (label, k, qp) in enumerate(variants):
-                resid = sq - cum[:, k - 1] if k else sq
-                den = np.sqrt(np.maximum(resid, 0.0)) + EPS
-                s = np.round((c @ qp.T) / den[:, None], SCORE_DECIMALS)  # (b, Q)
+                s = _block_scores(c, sq, cum, k, qp)  # (b, Q)
                 if top_k is None:
                     yield emit(label, np.tile(np.arange(nq), b), np.repeat(ids, nq), s.ravel())
                     continue
@@ -469,18 +481,13 @@ def rank_probes_by_score(vecs: DataFrame, basis: Basis, qids: np.ndarray, qvecs:
             b = rb.num_rows
             if b == 0:
                 continue
-            rcodes = coder.codes(rb.column(0).to_pylist())
+            ids, c, sq, cum = _centred_block(rb, mean, directions, dim)
+            rcodes = coder.codes(ids)
             pcodes, ncodes = pcodes_all, coder.n_codes
             if len(id_pidx):
                 np.add.at(acc, id_pidx, np.searchsorted(np.sort(rcodes), id_codes_p, side="left"))
-            x = rb.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b, dim)
-            c = x - mean
-            sq = np.einsum("ij,ij->i", c, c)
-            if k:
-                sq = sq - np.sum((c @ directions[:k].T) ** 2, axis=1)
-            den = np.sqrt(np.maximum(sq, 0.0)) + EPS
-            s = np.round((c @ qp[qs].T) / den[:, None], SCORE_DECIMALS)
-            s = np.where(np.isnan(s), -np.inf, s)
+            s_all = _block_scores(c, sq, cum, k, qp)
+            s = np.where(np.isnan(s_all), -np.inf, s_all)[:, qs]
             for col, qi in enumerate(qs):
                 pidx, pk, _ = probes[qi]
                 cnt = count_before(s[:, col], rcodes, pk, pcodes[offs[col]:offs[col + 1]], ncodes)

@@ -9,12 +9,13 @@ them) and a crashed commit leaves the previous snapshot in force.  The
 manifest also records the applied ingest batch ids, which makes replays of
 a micro-batch no-ops.  Single writer assumed.
 
-Paper-keyed tables are hash-bucketed by paper id (``bucket=<b>``
-directories, version tracked per bucket): a batch reads and rewrites only
-the buckets its papers fall in, so the cost of a commit follows the batch,
-not the corpus.  Vectors are further partitioned by ``model`` so reading one
-model prunes files.  Dimension tables (authors, categories) are written
-whole when they change.
+Paper-keyed tables are hash-bucketed by paper id and the author dimension
+by name (``bucket=<b>`` directories, version tracked per bucket): a batch
+reads and rewrites only the buckets its papers and names fall in, so the
+cost of a commit follows the batch, not the corpus.  The author id counter
+is kept in the manifest.  Vectors are further partitioned by ``model`` so
+reading one model prunes files.  The small category dimension is written
+whole when it changes.
 """
 
 from __future__ import annotations
