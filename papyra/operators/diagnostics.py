@@ -8,7 +8,7 @@ and Gram matrix G = sum u_i u_i^T (dim x dim, one aggregation):
 
 which give the exact mean and population standard deviation over all
 N(N-1)/2 distinct pairs.  Extremes (min/max) need pairs: they come from a
-seeded sample of pairs, addressed by dense ordinals.
+seeded sample of pairs chosen by hash keys.
 """
 
 from __future__ import annotations
@@ -103,39 +103,39 @@ def _hash_int(*parts) -> F.Column:
         .cast("long")
 
 
-def id_ordinals(df: DataFrame, id_col: str, prefix_len: int = 5) -> DataFrame:
-    """Dense 0-based ordinal by id.  Ids are cut into prefix buckets (order
-    preserving); bucket sizes are counted and summed to offsets (one row per
-    bucket), then rows are numbered inside their bucket only."""
-    b = df.withColumn("_b", F.substring(F.col(id_col), 1, prefix_len))
-    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_o", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_b", "_o")
-    wi = Window.partitionBy("_b").orderBy(id_col)
-    from papyra.operators.common import checked_broadcast
-    return (b.join(checked_broadcast(offs), "_b")
-            .withColumn("ordinal", (F.col("_o") + F.row_number().over(wi) - 1).cast("long"))
-            .drop("_b", "_o"))
+def sample_pairs(vecs: DataFrame, n_pairs: int = SAMPLE_PAIRS, seed: int = SAMPLE_SEED) -> DataFrame:
+    """Seeded random pairs of distinct vectors: (k, id_a, id_b, similarity).
 
+    Round r gives every vector the key md5(id:seed:r); the 2m smallest keys
+    (m = min(remaining pairs, n // 2)) are paired in key order, so pairs in a
+    round are disjoint and rounds are independent.  Selecting the smallest
+    keys is a partial top-k (each task keeps 2m rows), and rounds are only
+    needed while the corpus is smaller than 2 x n_pairs, so the rows touched
+    are about n + 2 x n_pairs whatever the corpus size.  Nothing is addressed
+    by a global ordinal."""
+    from pyspark.sql import Window
 
-def sample_pairs(vecs: DataFrame, n_pairs: int = SAMPLE_PAIRS, seed: int = SAMPLE_SEED) -> DataFrame:
-    """Seeded random pairs (i != j) of distinct vectors, with replacement
-    across pairs: (k, id_a, id_b, similarity)."""
     spark = vecs.sparkSession
-    ordv = id_ordinals(vecs.select("paper_id", l2_normalize("embedding").alias("u")), "paper_id")
-    n = ordv.count()
-    if n < 2:
-        return spark.createDataFrame([], "k long, id_a string, id_b string, similarity double")
-    k = F.col("id")
-    draws = spark.range(n_pairs).select(
-        k.alias("k"),
-        (_hash_int(k, F.lit(seed), F.lit(1)) % n).alias("i"),
-        (_hash_int(k, F.lit(seed), F.lit(2)) % (n - 1)).alias("j0"))
-    draws = draws.withColumn("j", F.when(F.col("j0") >= F.col("i"), F.col("j0") + 1).otherwise(F.col("j0")))
-    a = ordv.select(F.col("ordinal").alias("i"), F.col("paper_id").alias("id_a"), F.col("u").alias("ua"))
-    b = ordv.select(F.col("ordinal").alias("j"), F.col("paper_id").alias("id_b"), F.col("u").alias("ub"))
+    n = vecs.count()
+    schema = "k long, id_a string, id_b string, similarity double"
+    if n < 2 or n_pairs <= 0:
+        return spark.createDataFrame([], schema)
+    per_round = n // 2
+    rounds = -(-n_pairs // per_round)
+    units = vecs.select("paper_id", l2_normalize("embedding").alias("u"))
+    keyed = (units.select("paper_id", "u", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+             .withColumn("key", _hash_int(F.col("paper_id"), F.lit(seed), F.col("round"))))
+    w = Window.partitionBy("round").orderBy("key", "paper_id")
+    take = 2 * min(per_round, n_pairs)
+    # filter on the raw row_number so the plan keeps a per-task partial limit
+    ranked = (keyed.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= take)
+              .withColumn("pos", F.col("rn") - 1))
+    ranked = ranked.withColumn("k", F.col("round") * per_round + F.floor(F.col("pos") / 2)).where(
+        F.col("k") < n_pairs)
+    a = ranked.where(F.col("pos") % 2 == 0).select("k", F.col("paper_id").alias("id_a"), F.col("u").alias("ua"))
+    b = ranked.where(F.col("pos") % 2 == 1).select("k", F.col("paper_id").alias("id_b"), F.col("u").alias("ub"))
     dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return draws.join(a, "i").join(b, "j").select("k", "id_a", "id_b", dot.alias("similarity"))
+    return a.join(b, "k").select(F.col("k").cast("long"), "id_a", "id_b", dot.alias("similarity"))
 
 
 def sampled_pair_stats(pairs: DataFrame) -> DataFrame:

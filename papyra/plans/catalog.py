@@ -567,19 +567,25 @@ def anisotropy_mean_onepass(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("anisotropy_sampled", O.with_(O.PE, _UNIT_SQL) + """
-, ordv AS (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS ord FROM (SELECT DISTINCT paper_id FROM unit)),
-nn AS (SELECT count(*) AS n FROM ordv),
-draws AS (SELECT k, ('0x' || substr(md5(k || ':0:1'), 1, 8))::BIGINT % (SELECT n FROM nn) AS i,
-                 ('0x' || substr(md5(k || ':0:2'), 1, 8))::BIGINT % ((SELECT n FROM nn) - 1) AS j0
-          FROM range(2000) t(k)),
-pairs AS (SELECT k, i, CASE WHEN j0 >= i THEN j0 + 1 ELSE j0 END AS j FROM draws),
-sims AS (SELECT p.k, sum(ua.u * ub.u) AS s FROM pairs p JOIN ordv oa ON oa.ord = p.i JOIN ordv ob ON ob.ord = p.j
-         JOIN unit ua ON ua.paper_id = oa.paper_id JOIN unit ub ON ub.paper_id = ob.paper_id AND ub.i = ua.i
-         GROUP BY p.k)
+, nn AS (SELECT count(DISTINCT paper_id) AS n FROM unit),
+params AS (SELECT n // 2 AS per_round, (2000 + n // 2 - 1) // (n // 2) AS rounds FROM nn),
+keyed AS (SELECT p.paper_id, r.round,
+                 ('0x' || substr(md5(p.paper_id || ':0:' || r.round), 1, 8))::BIGINT AS key
+          FROM (SELECT DISTINCT paper_id FROM unit) p
+          CROSS JOIN (SELECT unnest(range((SELECT rounds FROM params))) AS round) r),
+ranked AS (SELECT paper_id, round, row_number() OVER (PARTITION BY round ORDER BY key, paper_id) - 1 AS pos
+           FROM keyed),
+sel AS (SELECT paper_id, pos, round * (SELECT per_round FROM params) + pos // 2 AS k FROM ranked
+        WHERE pos < 2 * least((SELECT per_round FROM params), 2000)),
+pairs AS (SELECT a.k, a.paper_id AS id_a, b.paper_id AS id_b FROM sel a JOIN sel b
+          ON a.k = b.k AND a.pos % 2 = 0 AND b.pos % 2 = 1 WHERE a.k < 2000),
+sims AS (SELECT p.k, sum(ua.u * ub.u) AS s FROM pairs p JOIN unit ua ON ua.paper_id = p.id_a
+         JOIN unit ub ON ub.paper_id = p.id_b AND ub.i = ua.i GROUP BY p.k)
 SELECT count(*) AS n_pairs, round(avg(s), 6) + 0.0 AS mean, round(stddev_pop(s), 6) + 0.0 AS std,
        round(min(s), 6) + 0.0 AS min, round(max(s), 6) + 0.0 AS max FROM sims""")
 def anisotropy_sampled(spark: SparkSession, sf: str) -> DataFrame:
-    """V8: 2,000 seeded random pairs of distinct vectors: mean/std/min/max."""
+    """V8: 2,000 seeded random pairs of distinct vectors: mean/std/min/max
+    (the sampling operator: the cap on pairs is the feature)."""
     pairs = D.sample_pairs(V.vectors_of(TB.paper_embeddings(spark, sf), "m1"))
     st = D.sampled_pair_stats(pairs)
     return st.select("n_pairs", *[_r6(c).alias(c) for c in ("mean", "std", "min", "max")])

@@ -60,3 +60,12 @@ def test_store_reads_only_one_models_files(spark, tmp_dir):
     part = keep.where(bucket_of("paper_id").isin(touched))
     store.commit({"paper_embeddings": part}, buckets=touched)
     assert store.tables()["paper_embeddings"].count() == pe.count()
+
+
+def test_pair_sampler_keeps_partial_limit(spark):
+    from papyra.operators import diagnostics as D
+    p = D.sample_pairs(V.vectors_of(TB.paper_embeddings(spark, SF), "m1"))
+    txt = plan(p)
+    assert "WindowGroupLimit" in txt and "SinglePartition" not in txt
+    rows = p.collect()
+    assert len(rows) == D.SAMPLE_PAIRS and all(r.id_a != r.id_b for r in rows)
