@@ -34,20 +34,27 @@ PARTITION_BY = {"paper_embeddings": ["model"]}
 BUCKETED = {"papers": "arxiv_id", "paper_authors": "paper_id", "paper_categories": "paper_id",
             "paper_embeddings": "paper_id", "authors": "name"}
 PAPER_KEYED = ("papers", "paper_authors", "paper_categories", "paper_embeddings")
-DEFAULT_BUCKETS = 256
+# Buckets per table: a batch rewrites at most one bucket per distinct key
+# hash, so more buckets keep small batches cheap on a large corpus.  Fixed
+# per store at its first commit (recorded in the manifest).
+DEFAULT_BUCKETS = 1024
 
 
-def bucket_of(key) -> F.Column:
-    return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(DEFAULT_BUCKETS))
+def bucket_of(key, n_buckets: int = DEFAULT_BUCKETS) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(int(n_buckets)))
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, n_buckets: int = DEFAULT_BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.n_buckets = int(self.manifest().get("n_buckets", n_buckets))
+
+    def bucket_of(self, key) -> F.Column:
+        return bucket_of(key, self.n_buckets)
 
     # -- manifest -----------------------------------------------------------------
     def manifest(self) -> dict:
@@ -171,7 +178,7 @@ class SnapshotStore:
             if name in BUCKETED:
                 cols = [*PARTITION_BY.get(name, []), "bucket"]
                 # all rows of a bucket in one task: one new file per bucket
-                df.withColumn("bucket", bucket_of(BUCKETED[name])).repartition(*cols).write \
+                df.withColumn("bucket", self.bucket_of(BUCKETED[name])).repartition(*cols).write \
                     .mode("overwrite").partitionBy(*cols).parquet(f"{self.root}/{rel}")
                 entry = m["tables"].get(name)
                 tb = bmap.get(name)
@@ -187,6 +194,7 @@ class SnapshotStore:
                 w.parquet(f"{self.root}/{rel}")
                 m["tables"][name] = {"path": rel}
         m["version"] = version
+        m["n_buckets"] = self.n_buckets
         if counters:
             m.setdefault("counters", {}).update({k: int(v) for k, v in counters.items()})
         if batch_id is not None:

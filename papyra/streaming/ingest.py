@@ -42,10 +42,10 @@ def apply_entries(store: SnapshotStore, entries: DataFrame, batch_id, batch_ts:
     rejects.withColumn("batch_id", F.lit(str(batch_id))).write.mode("append").parquet(
         f"{store.root}/_rejects")
     # only the buckets this batch's papers fall in are read and rewritten
-    from papyra.sources.store import PAPER_KEYED, bucket_of
-    touched = [r[0] for r in valid.select(bucket_of("arxiv_id").alias("b")).distinct().collect()]
+    from papyra.sources.store import PAPER_KEYED
+    touched = [r[0] for r in valid.select(store.bucket_of("arxiv_id").alias("b")).distinct().collect()]
     names = valid.select(F.explode("authors").alias("name"))
-    touched_names = [r[0] for r in names.select(bucket_of("name").alias("b")).distinct().collect()]
+    touched_names = [r[0] for r in names.select(store.bucket_of("name").alias("b")).distinct().collect()]
     buckets = {**{t: touched for t in PAPER_KEYED}, "authors": touched_names}
     current = store.tables(buckets=buckets)
     ts = F.lit(batch_ts).cast("timestamp_ntz")

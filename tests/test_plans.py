@@ -54,10 +54,9 @@ def test_store_reads_only_one_models_files(spark, tmp_dir):
     assert "model=m2" in txt and "model=m1" not in txt
     # a later commit that touches a few buckets keeps every other bucket's files
     few = TB.paper_embeddings(spark, SF).where("paper_id < '00000003'")
-    from papyra.sources.store import bucket_of
-    touched = [r[0] for r in few.select(bucket_of("paper_id")).distinct().collect()]
+    touched = [r[0] for r in few.select(store.bucket_of("paper_id")).distinct().collect()]
     keep = store.tables(buckets=None)["paper_embeddings"]
-    part = keep.where(bucket_of("paper_id").isin(touched))
+    part = keep.where(store.bucket_of("paper_id").isin(touched))
     store.commit({"paper_embeddings": part}, buckets=touched)
     assert store.tables()["paper_embeddings"].count() == pe.count()
 
