@@ -10,13 +10,14 @@ consistent with the total order, bucket sizes are counted (a small aggregate),
 their running offsets are summed, and rows are numbered inside buckets only:
 
   coarse bucket  cb  = monotone function of the score (e.g. 2^20 score bins)
-  tie bucket         = (cb, exact score, id prefix)  -- splits a hot exact tie
-                                                        by id range
-  rank = offset(cb) + offset(score, id prefix within cb) + row number in bucket
-
-The two offset tables have one row per bucket and are windowed per question
-and per coarse bucket respectively, so no task ever holds more than one
-bucket's rows.
+  tie groups         = (cb, exact score, id prefix p1), then id prefix p2 --
+                       a hot exact tie is split by id range, twice
+  rank = offset(cb) + offset(score, p1 within cb) + offset(p2 within that)
+         + row number in the finest group
+
+Each offset table has one row per group and is windowed within the next
+coarser group only, so no task ever holds more than one group's rows.  The
+prefix lengths start past the prefix all ids share.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COARSE_BINS = 1 << 19      # bins per unit of a bounded similarity score
-ID_PREFIX = 7              # leading id characters that split exact ties
+ID_STEP = 3                # id characters per tie-splitting level
 RRF_K = 60                 # fixed: reciprocal-rank-fusion constant
 
 
@@ -42,30 +43,54 @@ def integer_bucket(score: Column) -> Column:
     return F.coalesce(-score.cast("long"), F.lit(1 << 62).cast("long"))
 
 
+def _split_levels(df: DataFrame, id_col: str, step: int) -> tuple[int, int]:
+    """Prefix lengths for the two tie-splitting levels: ``step`` and
+    2 x ``step`` characters past the prefix that all ids share (from one
+    min/max aggregate), so a split never falls inside a common prefix."""
+    row = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).collect()[0]
+    lo, hi = row["lo"] or "", row["hi"] or ""
+    c = 0
+    while c < min(len(lo), len(hi)) and lo[c] == hi[c]:
+        c += 1
+    return c + step, c + 2 * step
+
+
 def exact_rank(df: DataFrame, group_cols, score_col: str, id_col: str,
                bucket_fn=similarity_bucket, rank_col: str = "rank",
-               id_prefix: int = ID_PREFIX) -> DataFrame:
-    """Add a 0-based rank by (score desc nulls last, id asc) within groups."""
+               id_step: int = ID_STEP) -> DataFrame:
+    """Add a 0-based rank by (score desc nulls last, id asc) within groups.
+
+    Offsets come from three small count tables, each windowed over a bounded
+    partition: coarse buckets per group, (exact score, id prefix p1) inside a
+    coarse bucket, and id prefix p2 inside one of those; rows are numbered
+    only inside their finest group."""
     group_cols = list(group_cols)
+    p1, p2 = _split_levels(df, id_col, id_step)
     score = F.col(score_col)
     d = (df.withColumn("_sk", F.coalesce(score.cast("double"), F.lit(float("-inf"))))
          .withColumn("_cb", bucket_fn(score))
-         .withColumn("_ib", F.substring(F.col(id_col), 1, id_prefix)))
-    fine_keys = [*group_cols, "_cb", "_sk", "_ib"]
-    g2 = d.groupBy(*fine_keys).agg(F.count(F.lit(1)).alias("_n"))
+         .withColumn("_i1", F.substring(F.col(id_col), 1, p1))
+         .withColumn("_i2", F.substring(F.col(id_col), 1, p2)))
+    k1 = [*group_cols, "_cb"]
+    k2 = [*k1, "_sk", "_i1"]
+    k3 = [*k2, "_i2"]
     before = Window.unboundedPreceding
-    w2 = (Window.partitionBy(*group_cols, "_cb").orderBy(F.col("_sk").desc(), F.col("_ib").asc())
-          .rowsBetween(before, -1))
-    g2 = g2.withColumn("_o2", F.coalesce(F.sum("_n").over(w2), F.lit(0)))
-    g1 = g2.groupBy(*group_cols, "_cb").agg(F.sum("_n").alias("_n1"))
-    w1 = Window.partitionBy(*group_cols).orderBy("_cb").rowsBetween(before, -1)
-    g1 = g1.withColumn("_o1", F.coalesce(F.sum("_n1").over(w1), F.lit(0)))
-    off = (g2.join(g1, [*group_cols, "_cb"])
-           .select(*fine_keys, (F.col("_o1") + F.col("_o2")).alias("_off")))
-    w3 = Window.partitionBy(*fine_keys).orderBy(F.col(id_col).asc())
-    return (d.join(off, fine_keys)
-            .withColumn(rank_col, (F.col("_off") + F.row_number().over(w3) - 1).cast("long"))
-            .drop("_sk", "_cb", "_ib", "_off"))
+    g3 = d.groupBy(*k3).agg(F.count(F.lit(1)).alias("_n3"))
+    g3 = g3.withColumn("_o3", F.coalesce(F.sum("_n3").over(
+        Window.partitionBy(*k2).orderBy("_i2").rowsBetween(before, -1)), F.lit(0)))
+    g2 = g3.groupBy(*k2).agg(F.sum("_n3").alias("_n2"))
+    g2 = g2.withColumn("_o2", F.coalesce(F.sum("_n2").over(
+        Window.partitionBy(*k1).orderBy(F.col("_sk").desc(), F.col("_i1").asc()).rowsBetween(before, -1)),
+        F.lit(0)))
+    g1 = g2.groupBy(*k1).agg(F.sum("_n2").alias("_n1"))
+    g1 = g1.withColumn("_o1", F.coalesce(F.sum("_n1").over(
+        Window.partitionBy(*group_cols).orderBy("_cb").rowsBetween(before, -1)), F.lit(0)))
+    off = (g3.join(g2.select(*k2, "_o2"), k2).join(g1.select(*k1, "_o1"), k1)
+           .select(*k3, (F.col("_o1") + F.col("_o2") + F.col("_o3")).alias("_off")))
+    w = Window.partitionBy(*k3).orderBy(F.col(id_col).asc())
+    return (d.join(off, k3)
+            .withColumn(rank_col, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
+            .drop("_sk", "_cb", "_i1", "_i2", "_off"))
 
 
 def top_k(df: DataFrame, k: int, group_cols, score_col: str, id_col: str,

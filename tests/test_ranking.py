@@ -99,3 +99,14 @@ def test_all_scores_equal_rank_by_id(spark):
     df = spark.createDataFrame(rows, "g long, id string, score double")
     got = {r.id: r.rank for r in R.exact_rank(df, ["g"], "score", "id").collect()}
     assert got == {f"{i:04d}": i for i in range(50)}
+
+
+def test_exact_rank_hot_tie_with_long_common_prefix(spark):
+    rng = np.random.default_rng(7)
+    n = 3000
+    rows = [(0, f"paper-2024-{i:06d}", 0.5 if rng.random() < 0.34 else float(np.round(rng.uniform(-1, 1), 4)))
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, id string, score double")
+    assert R._split_levels(df, "id", R.ID_STEP) == (16, 19)  # splits start past "paper-2024-00"
+    got = R.exact_rank(df, ["g"], "score", "id")
+    assert _window_rank(got, "score").where(F.col("rank") != F.col("want")).count() == 0
