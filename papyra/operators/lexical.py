@@ -22,8 +22,11 @@ BROADCAST_TOKEN_ROWS = 2_000_000
 def paper_texts(universe: DataFrame, papers: DataFrame) -> DataFrame:
     """(paper_id, text): title + ' ' + abstract, or '' when the paper has no
     metadata row."""
-    p = papers.select(F.col("arxiv_id").alias("paper_id"),
-                      F.concat_ws(" ", "title", "abstract").alias("_t"))
+    ids = universe.select(F.col("paper_id").alias("arxiv_id"))
+    # semi join first: Catalyst pushes it below the paper projection, so only
+    # papers that have a vector are read and shaped
+    p = (papers.join(ids, "arxiv_id", "left_semi")
+         .select(F.col("arxiv_id").alias("paper_id"), F.concat_ws(" ", "title", "abstract").alias("_t")))
     return (universe.select("paper_id").join(p, "paper_id", "left")
             .select("paper_id", F.coalesce("_t", F.lit("")).alias("text")))
 
