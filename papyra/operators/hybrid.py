@@ -48,12 +48,12 @@ def keyword_overlap_sparse(papers: DataFrame, vecs: DataFrame, questions: DataFr
     return L.keyword_overlap(tokens, L.question_tokens(questions))
 
 
-def ranked_pairs(pairs: DataFrame) -> DataFrame:
+def ranked_pairs(pairs: DataFrame, levels=None) -> DataFrame:
     """Both full rankings: adds rank_embedding and rank_keyword (0-based)."""
     er = R.exact_rank(pairs.select("question_id", "paper_id", "score"), ["question_id"], "score",
-                      "paper_id", R.similarity_bucket, "rank_embedding")
+                      "paper_id", R.similarity_bucket, "rank_embedding", levels=levels)
     lr = R.exact_rank(pairs.select("question_id", "paper_id", "overlap"), ["question_id"], "overlap",
-                      "paper_id", R.integer_bucket, "rank_keyword")
+                      "paper_id", R.integer_bucket, "rank_keyword", levels=levels)
     return er.join(lr, ["question_id", "paper_id"])
 
 
@@ -61,7 +61,8 @@ def fused_scores(papers: DataFrame, paper_embeddings: DataFrame, questions: Data
                  n_components: int = V.DEFAULT_COMPONENTS, rrf_k: int = R.RRF_K) -> DataFrame:
     """(question_id, paper_id, rank_embedding, rank_keyword, score) for all pairs."""
     pairs = scored_pairs(papers, paper_embeddings, questions, model, n_components)
-    ranked = ranked_pairs(pairs)
+    levels = R.split_levels(V.vectors_of(paper_embeddings, model), "paper_id")
+    ranked = ranked_pairs(pairs, levels)
     return ranked.withColumn("score", R.rrf(F.col("rank_embedding"), F.col("rank_keyword"), rrf_k))
 
 
@@ -96,10 +97,10 @@ def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: Dat
 
     Candidates per question: the embedding top-M, the keyword top-M among
     papers sharing a token and, for questions with fewer than M such papers,
-    the 2M smallest ids (the rest of the keyword top-M comes from them).  Their exact 0-based ranks
-    in both full orders are counted by scans that return one number per
-    candidate, so the work is a few corpus scans and the data moved is
-    bounded by questions x M, whatever the corpus size."""
+    the 2M smallest ids (the rest of the keyword top-M comes from them).
+    Their exact 0-based ranks in both full orders are counted by scans that
+    return one number per candidate, so the work is a few corpus scans and
+    the data moved is bounded by questions x M, whatever the corpus size."""
     from papyra.session import checkpoint_dir
 
     if top_k < 0:

@@ -43,6 +43,10 @@ def integer_bucket(score: Column) -> Column:
     return F.coalesce(-score.cast("long"), F.lit(1 << 62).cast("long"))
 
 
+def split_levels(df: DataFrame, id_col: str, step: int = 3) -> tuple[int, int]:
+    return _split_levels(df, id_col, step)
+
+
 def _split_levels(df: DataFrame, id_col: str, step: int) -> tuple[int, int]:
     """Prefix lengths for the two tie-splitting levels: ``step`` and
     2 x ``step`` characters past the prefix that all ids share (from one
@@ -57,15 +61,17 @@ def _split_levels(df: DataFrame, id_col: str, step: int) -> tuple[int, int]:
 
 def exact_rank(df: DataFrame, group_cols, score_col: str, id_col: str,
                bucket_fn=similarity_bucket, rank_col: str = "rank",
-               id_step: int = ID_STEP) -> DataFrame:
+               id_step: int = ID_STEP, levels: tuple[int, int] | None = None) -> DataFrame:
     """Add a 0-based rank by (score desc nulls last, id asc) within groups.
 
     Offsets come from three small count tables, each windowed over a bounded
     partition: coarse buckets per group, (exact score, id prefix p1) inside a
     coarse bucket, and id prefix p2 inside one of those; rows are numbered
-    only inside their finest group."""
+    only inside their finest group.  ``levels``: the two prefix lengths,
+    when the caller can measure them on a cheaper frame holding the same ids
+    (see ``split_levels``)."""
     group_cols = list(group_cols)
-    p1, p2 = _split_levels(df, id_col, id_step)
+    p1, p2 = levels if levels is not None else _split_levels(df, id_col, id_step)
     score = F.col(score_col)
     d = (df.withColumn("_sk", F.coalesce(score.cast("double"), F.lit(float("-inf"))))
          .withColumn("_cb", bucket_fn(score))

@@ -129,7 +129,8 @@ def rank_by_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """R2: full 0-based debiased-cosine rank of every vector, per question."""
     vecs = V.vectors_of(TB.paper_embeddings(spark, sf), "m1")
     sims = V.score_corpus(vecs, TB.questions(spark, sf), V.fit_basis(vecs, 3), components=(3,))
-    return (R.exact_rank(sims, ["question_id"], "score", "paper_id", R.similarity_bucket)
+    levels = R.split_levels(vecs, "paper_id")
+    return (R.exact_rank(sims, ["question_id"], "score", "paper_id", R.similarity_bucket, levels=levels)
             .select("question_id", "paper_id", "rank", _r6("score").alias("score")))
 
 
@@ -137,9 +138,11 @@ def rank_by_similarity(spark: SparkSession, sf: str) -> DataFrame:
 SELECT question_id, paper_id, overlap, rl AS rank FROM lr""")
 def rank_by_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """R2: full 0-based keyword rank (overlap desc, id asc) of every vector."""
-    pairs = H.scored_pairs(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), TB.questions(spark, sf), "m1")
+    pe = TB.paper_embeddings(spark, sf)
+    pairs = H.scored_pairs(TB.papers(spark, sf), pe, TB.questions(spark, sf), "m1")
+    levels = R.split_levels(V.vectors_of(pe, "m1"), "paper_id")
     return (R.exact_rank(pairs.select("question_id", "paper_id", "overlap"), ["question_id"], "overlap",
-                         "paper_id", R.integer_bucket)
+                         "paper_id", R.integer_bucket, levels=levels)
             .select("question_id", "paper_id", "overlap", "rank"))
 
 
