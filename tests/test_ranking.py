@@ -110,3 +110,30 @@ def test_exact_rank_hot_tie_with_long_common_prefix(spark):
     assert R._split_levels(df, "id", R.ID_STEP) == (16, 19)  # splits start past "paper-2024-00"
     got = R.exact_rank(df, ["g"], "score", "id")
     assert _window_rank(got, "score").where(F.col("rank") != F.col("want")).count() == 0
+
+
+def test_pruned_hybrid_equals_full_under_ties(spark):
+    import datetime as dt
+    rng = np.random.default_rng(21)
+    n = 240
+    base = rng.normal(size=(40, 8))
+    vec = base[rng.integers(0, 40, n)]            # many identical vectors: exact score ties
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    ids = [f"p{i:04d}" for i in range(n)]
+    emb = spark.createDataFrame([(i, "m", [float(x) for x in v], 8, dt.datetime(2024, 1, 1))
+                                 for i, v in zip(ids, vec)],
+                                "paper_id string, model string, embedding array<float>, dim int, "
+                                "created_at timestamp_ntz")
+    # every third paper has no metadata; most texts share no question word
+    papers = spark.createDataFrame(
+        [(i, " ".join(rng.choice(words, 2)) if k % 5 == 0 else "plain text here", "abstract")
+         for k, i in enumerate(ids) if k % 3],
+        "arxiv_id string, title string, abstract string")
+    qs = spark.createDataFrame([(j, f"what about {words[j]} and {words[(j + 1) % 5]}",
+                                 [float(x) for x in rng.normal(size=8)]) for j in range(5)],
+                               "question_id long, question string, qvec array<float>")
+    for k in (1, 5, 30):
+        fast = H.search_hybrid(papers, emb, qs, "m", top_k=k).toPandas().sort_values(["question_id", "rank"])
+        full = H.search_hybrid_full(papers, emb, qs, "m", top_k=k).toPandas().sort_values(["question_id", "rank"])
+        assert list(fast.paper_id) == list(full.paper_id), k
+        assert np.allclose(fast.score.to_numpy(), full.score.to_numpy(), rtol=0, atol=1e-15)
