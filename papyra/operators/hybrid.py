@@ -197,8 +197,12 @@ def _counts(df: DataFrame, n: int) -> np.ndarray:
 
 
 def attach_metadata(ranked: DataFrame, papers: DataFrame) -> DataFrame:
-    """Inner join after the cut: ids without a paper row vanish."""
-    meta = papers.select(*METADATA_COLS)
+    """Inner join after the cut: ids without a paper row vanish.  The hit
+    ids (questions x k, size-checked) semi-join the papers first, which
+    Catalyst pushes below the paper projection."""
+    from papyra.operators.common import checked_broadcast
+    hit_ids = checked_broadcast(ranked.select(F.col("paper_id").alias("arxiv_id")).distinct())
+    meta = papers.join(hit_ids, "arxiv_id", "left_semi").select(*METADATA_COLS)
     return ranked.join(meta, ranked.paper_id == meta.arxiv_id, "inner").drop("paper_id")
 
 
