@@ -62,11 +62,6 @@ def tokenize(x) -> Column:
     return F.array_distinct(kept)
 
 
-def word_tokens(x) -> Column:
-    """All lower-case ASCII alphanumeric runs, in order, duplicates kept."""
-    return F.regexp_extract_all(F.lower(_c(x)), F.lit(TOKEN_PATTERN), 0)
-
-
 def ascii_lower(x) -> Column:
     """Lower-case A-Z only, leaving every other character as is (the
     case-insensitive match used for title search folds ASCII only)."""

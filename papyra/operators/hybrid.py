@@ -223,7 +223,7 @@ def build_contexts(questions: DataFrame, answers: DataFrame) -> DataFrame:
     per_q = (answers.groupBy("question_id")
              .agg(F.array_sort(F.collect_list(F.struct("rank", "arxiv_id", "title", "abstract")))
                   .alias("_items")))
-    head = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nCandidate papers:"))
+    head = F.format_string(PROMPT_HEAD.replace("{q}", "%s"), F.col("question"))
     # papers are numbered 1.. in rank order among those present
     body = F.array_join(F.transform("_items", lambda s, i: F.format_string(
         fmt, i + 1, s["arxiv_id"], s["title"], s["abstract"])), "\n")

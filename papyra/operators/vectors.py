@@ -131,11 +131,6 @@ def corpus_moments(vecs: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
     return n, dim, mean, (scatter + scatter.T) / 2
 
 
-def corpus_summary(vecs: DataFrame) -> tuple[int, int, np.ndarray]:
-    n, dim, mean, _ = corpus_moments(vecs)
-    return n, dim, mean
-
-
 def fit_basis(vecs: DataFrame, n_components: int = DEFAULT_COMPONENTS, center: bool = True) -> Basis:
     """Mean and top-variance directions of a corpus (never of the queries).
 
@@ -427,11 +422,6 @@ class IdCoder:
         return 2 * pos.astype(np.int64) + hit
 
 
-def id_codes(row_ids: np.ndarray, probe_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    coder = IdCoder(probe_ids)
-    return coder.codes(row_ids), coder.codes(probe_ids), coder.n_codes
-
-
 def count_before(keys: np.ndarray, row_codes: np.ndarray, pk: np.ndarray, probe_codes: np.ndarray,
                  n_codes: int) -> np.ndarray:
     """For each probe: rows with key > pk, or key == pk and id < probe id
