@@ -14,8 +14,8 @@ by name (``bucket=<b>`` directories, version tracked per bucket): a batch
 reads and rewrites only the buckets its papers and names fall in, so the
 cost of a commit follows the batch, not the corpus.  The author id counter
 is kept in the manifest.  Vectors are further partitioned by ``model`` so
-reading one model prunes files.  The small category dimension is written
-whole when it changes.
+reading one model prunes files.  The category dimension is bucketed by code
+the same way.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from papyra.schemas import TABLE_SCHEMAS
 MANIFEST = "_manifest.json"
 PARTITION_BY = {"paper_embeddings": ["model"]}
 # bucketed tables and their key column: paper-keyed tables by paper id, the
-# author dimension by name
+# dimensions by their natural key
 BUCKETED = {"papers": "arxiv_id", "paper_authors": "paper_id", "paper_categories": "paper_id",
-            "paper_embeddings": "paper_id", "authors": "name"}
+            "paper_embeddings": "paper_id", "authors": "name", "categories": "code"}
 PAPER_KEYED = ("papers", "paper_authors", "paper_categories", "paper_embeddings")
 # Buckets per table: a batch rewrites at most one bucket per distinct key
 # hash, so more buckets keep small batches cheap on a large corpus.  Fixed

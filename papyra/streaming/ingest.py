@@ -46,7 +46,9 @@ def apply_entries(store: SnapshotStore, entries: DataFrame, batch_id, batch_ts:
     touched = [r[0] for r in valid.select(store.bucket_of("arxiv_id").alias("b")).distinct().collect()]
     names = valid.select(F.explode("authors").alias("name"))
     touched_names = [r[0] for r in names.select(store.bucket_of("name").alias("b")).distinct().collect()]
-    buckets = {**{t: touched for t in PAPER_KEYED}, "authors": touched_names}
+    codes = valid.select(F.explode("categories").alias("code"))
+    touched_codes = [r[0] for r in codes.select(store.bucket_of("code").alias("b")).distinct().collect()]
+    buckets = {**{t: touched for t in PAPER_KEYED}, "authors": touched_names, "categories": touched_codes}
     current = store.tables(buckets=buckets)
     ts = F.lit(batch_ts).cast("timestamp_ntz")
     id_base = store.counter("author_id")

@@ -91,6 +91,7 @@ def test_stream_equals_batch_and_rerun_is_noop(spark, tmp_dir):
     assert len({a.author_id for a in authors}) == len({a.name for a in authors}) == len(authors)
     assert t["paper_authors"].join(t["authors"], "author_id", "left_anti").count() == 0
     assert store.counter("author_id") == max(a.author_id for a in authors)
+    assert sorted(r.code for r in t["categories"].collect()) == ["cs.CL", "cs.LG"]
     m = store.manifest()
     v = m["version"]
     assert v == 4  # one snapshot per file (files_per_trigger=1)
