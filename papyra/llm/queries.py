@@ -15,17 +15,71 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.ngram_join import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyra.llm.line_dedup import drop_common_lines
     d = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op6_entropy_mixing, op9_line_dedup)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.substring_dedup import drop_repeats
+    d = drop_repeats(table(spark, sf_dir, "documents"), window=20)
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op6_entropy_mixing, op7_ngram_jaccard, op9_line_dedup, op10_substring_dedup)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+WORDS_SQL = "[^\\x20\\x09-\\x0D]+"
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL = {
+    "op10_substring_dedup": f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS_SQL}') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM w),
+wins AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS h FROM starts),
+dups AS (SELECT doc_id, p FROM (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS r FROM wins) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM dups),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n, count(g.i) AS n_removed,
+    string_agg(x, ' ' ORDER BY word.i) FILTER (WHERE g.i IS NULL) AS t
+  FROM word LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)""",
+    "op7_ngram_jaccard": f"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce({LOWER_SQL}, ''), '{WORDS_SQL}') AS w FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(s) AS s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+df AS MATERIALIZED (SELECT s, count(*) AS c FROM sh GROUP BY s),
+ranked AS (
+  SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, s) AS r
+  FROM sh JOIN df USING (s) JOIN n USING (doc_id)),
+pre AS MATERIALIZED (SELECT doc_id, s, n FROM ranked WHERE r <= n - (80 * n + 99) // 100 + 1),
+cand AS MATERIALIZED (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM pre a JOIN pre b
+  ON a.s = b.s AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+inter AS (
+  SELECT a, b, count(*) AS i FROM cand JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b AND y.s = x.s GROUP BY a, b),
+links AS MATERIALIZED (
+  SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM documents UNION
+  SELECT b, r FROM reach JOIN both_ways ON a = v)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT v AS doc_id, min(r) AS component_id FROM reach GROUP BY v) c USING (doc_id)""",
     "op9_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line
