@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from papyra.llm._common import table
 
 
+def remainder(id_col: str, n: int):
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
+
+
+def judged(scored: DataFrame, n: int, held: int, cut: float) -> DataFrame:
+    return scored.select("doc_id", (remainder("doc_id", n) == held).alias("held_out"), "score",
+                         (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm import quality
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(remainder("doc_id", 3) != 1), "quality")
+    return judged(quality.score(docs, model), 3, 1, 0.5)
+
+
+def op8_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm import toxicity
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(remainder("doc_id", 4) != 2), "toxic")
+    return judged(toxicity.score(docs, model), 4, 2, 0.3)
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyra.llm.mixing import entropy_copies
     c = entropy_copies(table(spark, sf_dir, "documents"))
@@ -32,7 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op6_entropy_mixing, op7_ngram_jaccard, op9_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_subword_quality, op6_entropy_mixing, op7_ngram_jaccard, op8_toxic_grammar, op9_line_dedup, op10_substring_dedup)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
