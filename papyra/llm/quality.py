@@ -56,7 +56,9 @@ def buckets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     h = word_hashes(w)
     out.append((w.doc, (h >> U64(64 - BITS)).astype(np.int64)))
     again = np.flatnonzero((h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1])) + 1
-    out.append((w.doc[again], np.full(len(again), REPEATED, np.int64)))
+    # a repeat weighs about as much as the word's own grams, else long words would hide it
+    rows = np.repeat(w.doc[again], 2 * (w.end - w.start)[again])
+    out.append((rows, np.full(len(rows), REPEATED, np.int64)))
     return out
 
 

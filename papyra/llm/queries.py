@@ -31,6 +31,16 @@ def op8_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.score(docs, model), 4, 2, 0.3)
 
 
+def op5_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from papyra.llm import token_files
+    docs = table(spark, sf_dir, "documents")
+    out = token_files.token_dir(docs)
+    files = token_files.write_tokens(docs, out, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_tokens(files, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyra.llm.mixing import entropy_copies
     c = entropy_copies(table(spark, sf_dir, "documents"))
@@ -55,7 +65,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_subword_quality, op6_entropy_mixing, op7_ngram_jaccard, op8_toxic_grammar, op9_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_subword_quality, op5_token_frames, op6_entropy_mixing, op7_ngram_jaccard, op8_toxic_grammar, op9_line_dedup, op10_substring_dedup)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
