@@ -31,6 +31,15 @@ def op8_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.score(docs, model), 4, 2, 0.3)
 
 
+def op3_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from papyra.llm import piece_dropout
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = piece_dropout.encode(table(spark, sf_dir, "documents"), model, dropout=0.1, seed=1)
+    return piece_dropout.decode(ids, model).select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +74,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_subword_quality, op5_token_frames, op6_entropy_mixing, op7_ngram_jaccard, op8_toxic_grammar, op9_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_subword_quality, op3_piece_dropout, op5_token_frames, op6_entropy_mixing, op7_ngram_jaccard, op8_toxic_grammar, op9_line_dedup, op10_substring_dedup)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
