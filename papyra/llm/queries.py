@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from papyra.llm._common import table
 
 
+def op1_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.embedding_dedup import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op4_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.collision_search import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def remainder(id_col: str, n: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
 
@@ -74,7 +84,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_subword_quality, op3_piece_dropout, op5_token_frames, op6_entropy_mixing, op7_ngram_jaccard, op8_toxic_grammar, op9_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_rotation_codes, op2_subword_quality, op3_piece_dropout, op4_collision_counting, op5_token_frames, op6_entropy_mixing, op7_ngram_jaccard, op8_toxic_grammar, op9_line_dedup, op10_substring_dedup)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
