@@ -323,3 +323,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     return rows.mapInArrow(run, f"`{id_col}` long, score double, clauses array<int>")
+
+
+def keep_clean(docs: DataFrame, model: Model, cut: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is under ``cut``, all columns unchanged."""
+    m = model
+
+    def run(batches):
+        seen: dict = {}
+        for b in batches:
+            x = all_features(b[text_col], m.hashes, m.weights, seen)
+            p = 1 / (1 + np.exp(-np.clip(((x - m.mean) / m.scale) @ m.coef, -30, 30)))
+            yield b.filter(pa.array(p < cut))
+
+    return docs.mapInArrow(run, docs.schema)
