@@ -1,10 +1,10 @@
 """Keyword overlap: |tokens(question) & tokens(title + ' ' + abstract)|.
 
-At scale the overlap is computed sparsely: distinct document tokens are
-joined to the (small, broadcast) question tokens on the token, and pairs are
-counted.  Only (question, paper) pairs sharing at least one token appear; all
-other pairs have overlap 0.  A hot token (one in a third of all documents)
-costs nothing extra: the document side is never shuffled for the join.
+``keyword_overlap`` is the sparse form: distinct document tokens are joined to
+the question tokens and pairs are counted; only (question, paper) pairs that
+share a token appear.  Spark picks the join from the sizes it measures.  A common
+token still makes a pair with every question that has it, so this is for
+reports; hybrid search counts overlaps inside its scoring pass instead.
 """
 
 from __future__ import annotations
@@ -14,11 +14,6 @@ from pyspark.sql import functions as F
 
 from papyra.functions.text import tokenize
 
-# Question token tables above this many rows are joined by shuffle instead of
-# broadcast (the question table is a bounded batch, this is a safety net).
-BROADCAST_TOKEN_ROWS = 2_000_000
-
-
 def paper_texts(universe: DataFrame, papers: DataFrame) -> DataFrame:
     """(paper_id, text): title + ' ' + abstract, or '' when the paper has no
     metadata row."""
@@ -39,14 +34,8 @@ def question_tokens(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(tokenize("question")).alias("token"))
 
 
-def _maybe_broadcast(small: DataFrame, limit: int) -> DataFrame:
-    from papyra.operators.common import checked_broadcast
-    return checked_broadcast(small, limit)
-
-
 def keyword_overlap(doc_tokens: DataFrame, q_tokens: DataFrame) -> DataFrame:
     """Sparse (question_id, paper_id, overlap) for pairs with overlap > 0."""
-    qt = _maybe_broadcast(q_tokens, BROADCAST_TOKEN_ROWS)
-    return (doc_tokens.join(qt, "token")
+    return (doc_tokens.join(q_tokens, "token")
             .groupBy("question_id", "paper_id")
             .agg(F.count(F.lit(1)).alias("overlap")))

@@ -13,14 +13,6 @@ from papyra.functions.text import ascii_lower
 
 METADATA_COLS = ("arxiv_id", "title", "abstract", "primary_category", "pdf_url", "abs_url")
 
-# Id tables above this many rows are joined by shuffle, not broadcast.
-BROADCAST_ID_ROWS = 5_000_000
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    from papyra.operators.common import checked_broadcast
-    return checked_broadcast(ids, BROADCAST_ID_ROWS)
-
 
 def paper_exists(papers: DataFrame, ids: DataFrame) -> DataFrame:
     """(arxiv_id, present) for each distinct requested id."""
@@ -33,13 +25,13 @@ def paper_exists(papers: DataFrame, ids: DataFrame) -> DataFrame:
 def papers_by_ids(papers: DataFrame, ids: DataFrame, cols=METADATA_COLS) -> DataFrame:
     """Metadata of the requested ids; unknown ids vanish, no bound on the
     number of ids."""
-    req = _small(ids.select("arxiv_id").distinct())
+    req = ids.select("arxiv_id").distinct()
     return papers.join(req, "arxiv_id", "left_semi").select(*cols)
 
 
 def embedding_lookup(paper_embeddings: DataFrame, ids: DataFrame, model: str) -> DataFrame:
     """Vectors of the requested ids for one model (nothing for unknown ids)."""
-    req = _small(ids.select(F.col("arxiv_id").alias("paper_id")).distinct())
+    req = ids.select(F.col("arxiv_id").alias("paper_id")).distinct()
     return (paper_embeddings.where(F.col("model") == F.lit(model))
             .join(req, "paper_id", "left_semi"))
 
@@ -54,19 +46,20 @@ def papers_missing_embedding(papers: DataFrame, paper_embeddings: DataFrame, mod
 
 class field:
     """Fielded predicates over nested papers (PAPER_SCHEMA rows).  Combine
-    with ``&`` (AND), ``|`` (OR) and ``& ~`` (ANDNOT)."""
+    with ``&`` (AND), ``|`` (OR) and ``& ~`` (ANDNOT).  Both sides fold A-Z only,
+    so terms in any script match themselves."""
 
     @staticmethod
     def title(term: str) -> Column:
-        return F.contains(ascii_lower("title"), F.lit(term.lower()))
+        return F.contains(ascii_lower("title"), ascii_lower(F.lit(term)))
 
     @staticmethod
     def abstract(term: str) -> Column:
-        return F.contains(ascii_lower("abstract"), F.lit(term.lower()))
+        return F.contains(ascii_lower("abstract"), ascii_lower(F.lit(term)))
 
     @staticmethod
     def author(name: str) -> Column:
-        return F.exists("authors", lambda a: ascii_lower(a) == F.lit(name.lower()))
+        return F.exists("authors", lambda a: ascii_lower(a) == ascii_lower(F.lit(name)))
 
     @staticmethod
     def category(code: str) -> Column:
@@ -79,10 +72,24 @@ class field:
 
 def get_by_id(papers: DataFrame, ids: DataFrame) -> DataFrame:
     """At most one paper per requested id."""
-    req = _small(ids.select("arxiv_id").distinct())
+    req = ids.select("arxiv_id").distinct()
     return papers.join(req, "arxiv_id", "left_semi").dropDuplicates(["arxiv_id"])
 
 
+SORT_FIELDS = {"submitted": "published", "updated": "updated"}
+
+
+def search_papers(papers: DataFrame, predicate: Column, sort_by: str = "submitted", descending: bool = True,
+                  start: int = 0, max_results: int = 20) -> DataFrame:
+    """Fielded search in one step: the papers that match ``predicate``, by
+    submitted or updated time (ties by id, in the same direction), one page of
+    them."""
+    if sort_by not in SORT_FIELDS:
+        raise ValueError(f"sort_by must be one of {sorted(SORT_FIELDS)}")
+    order = [F.col(SORT_FIELDS[sort_by]), F.col("arxiv_id")]
+    return page(papers.where(predicate), [c.desc() if descending else c.asc() for c in order], start, max_results)
+
+
 def page(df: DataFrame, order_cols, start: int = 0, max_results: int = 20) -> DataFrame:
     """Offset/limit page of a totally ordered result (each map task keeps
     only its first start + max_results rows)."""

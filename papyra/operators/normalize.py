@@ -44,9 +44,10 @@ def primary_category(primary_col: str = "`arxiv:primary_category`", categories:
 
 
 def to_seconds(text_col) -> F.Column:
-    """Feed timestamp text -> naive UTC, truncated to whole seconds."""
+    """Feed timestamp text -> naive UTC, truncated to whole seconds; NULL for a
+    text that is no time (validation then quarantines the entry)."""
     c = F.col(text_col) if isinstance(text_col, str) else text_col
-    return F.date_trunc("second", F.to_timestamp(c)).cast("timestamp_ntz")
+    return F.date_trunc("second", F.try_to_timestamp(c)).cast("timestamp_ntz")
 
 
 def truncate_seconds(ts_col) -> F.Column:

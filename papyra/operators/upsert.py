@@ -6,10 +6,8 @@ Rules reproduced:
   * categories / paper_categories / authors / paper_authors: insert if absent;
     links only accumulate, and an existing (paper, author) link keeps its first
     order.  Within a batch the earliest (seq, position) wins.
-  * author ids: increasing, unique and stable, not dense.  A new name gets
-    max(existing id) + 1 + (seq - min batch seq) * POS_SLOTS + position of its
-    first appearance -- like an auto-increment counter that burns ids on
-    ignored inserts, but computed per row with no global ordering pass.
+  * author ids: new names are numbered on from the largest id in the order of
+    their first appearance (seq, then position); existing ids never change.
   * vectors: keyed by (paper, model); last write wins, ``created_at`` and
     ``dim`` are refreshed; NULL, non-finite and wrong-length vectors are
     quarantined first.
@@ -21,12 +19,12 @@ ships one row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.schemas import TABLE_SCHEMAS
 
-POS_SLOTS = 1 << 16  # author positions per paper reserved in the id space
+RANK_BINS = 4096  # of each of the two levels that number new names
 
 PAPER_COLS = ("arxiv_id", "title", "abstract", "primary_category", "published", "updated",
               "pdf_url", "abs_url", "comment", "journal_ref", "doi")
@@ -38,10 +36,13 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def latest_per_key(incoming: DataFrame, keys, cols, seq_col: str = "seq") -> DataFrame:
-    """The row with the largest seq per key (partial aggregation)."""
+    """The row with the largest seq per key.  Only keys and seqs are aggregated
+    (by hash); the rows themselves are joined to the winners, not sorted.  Of rows
+    equal in key and seq, one stays."""
     keys = list(keys)
-    packed = F.max(F.struct(F.col(seq_col).alias("_seq"), *[F.col(c) for c in cols])).alias("_last")
-    return incoming.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in cols])
+    last = incoming.groupBy(*keys).agg(F.max(seq_col).alias(seq_col))
+    return (incoming.select(*keys, seq_col, *cols).join(last, [*keys, seq_col], "left_semi")
+            .dropDuplicates([*keys, seq_col]).select(*keys, *cols))
 
 
 def upsert_papers(current: DataFrame, incoming: DataFrame, batch_ts) -> DataFrame:
@@ -91,17 +92,40 @@ def upsert_authors(current: DataFrame, incoming: DataFrame, id_base=None) -> Dat
     by default the largest id in ``current``."""
     m = _author_mentions(incoming)
     first = m.groupBy("name").agg(F.min(F.struct("seq", "pos")).alias("_f"))
-    fresh = first.join(current.select("name"), "name", "left_anti")
-    # scalar subqueries (partial aggregates, evaluated lazily): the largest
-    # existing id and the batch's first seq
+    fresh = first.join(current.select("name"), "name", "left_anti").select("name", "_f.seq", "_f.pos")
     base = (F.lit(int(id_base)).cast("long") if id_base is not None else
             current.agg(F.coalesce(F.max("author_id"), F.lit(0)).cast("long")).scalar())
-    seq0 = incoming.agg(F.coalesce(F.min("seq"), F.lit(0)).cast("long")).scalar()
-    ids = fresh.select((base + 1 + (F.col("_f.seq") - seq0) * F.lit(POS_SLOTS)
-                        + F.col("_f.pos")).cast("long").alias("author_id"), "name")
+    ids = _numbered(fresh).select((base + F.col("_rank")).cast("long").alias("author_id"), "name")
     return current.unionByName(ids)
 
 
+def _numbered(fresh: DataFrame) -> DataFrame:
+    """``fresh`` (name, seq, pos) with _rank from 1 by (seq, pos, name).
+
+    No task sorts the whole batch: seqs are cut into RANK_BINS equal ranges, each
+    of which is cut again between its own least and largest seq (so a few far
+    seqs do not empty the rest); counts of the pieces give each its offset and
+    rows are numbered inside their piece."""
+    def cut(lo, hi):
+        span = F.greatest(F.col(hi).cast("double") - F.col(lo).cast("double"), F.lit(1.0))
+        return F.least(F.floor((F.col("seq").cast("double") - F.col(lo).cast("double")) / span * RANK_BINS), F.lit(RANK_BINS))
+
+    ends = fresh.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    d = fresh.withColumn("_lo", ends.select("lo").scalar()).withColumn("_hi", ends.select("hi").scalar())
+    d = d.withColumn("_a", cut("_lo", "_hi")).drop("_lo", "_hi")
+    inner = d.groupBy("_a").agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi"))
+    d = d.join(inner, "_a").withColumn("_b", cut("_lo", "_hi")).drop("_lo", "_hi")
+    n = d.groupBy("_a", "_b").agg(F.count("*").alias("_n"))
+    rest = Window.unboundedPreceding
+    within = n.withColumn("_ob", F.coalesce(F.sum("_n").over(
+        Window.partitionBy("_a").orderBy("_b").rowsBetween(rest, -1)), F.lit(0)))
+    whole = n.groupBy("_a").agg(F.sum("_n").alias("_n")).withColumn("_oa", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_a").rowsBetween(rest, -1)), F.lit(0)))
+    row = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("seq", "pos", "name"))
+    return d.withColumn("_row", row).join(within.select("_a", "_b", "_ob"), ["_a", "_b"]).join(
+        whole.select("_a", "_oa"), "_a").withColumn("_rank", F.col("_oa") + F.col("_ob") + F.col("_row"))
+
+
 def upsert_paper_authors(current: DataFrame, authors: DataFrame, incoming: DataFrame) -> DataFrame:
     """Next ``paper_authors``: the earliest (seq, position) of each new link
     gives its order; existing links are never touched."""
@@ -139,27 +163,38 @@ def first_order_bridge(links: DataFrame, parent: str, child: str, order: str, se
 
 def check_vectors(incoming: DataFrame, expected_dim: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(valid, rejects) of incoming vectors.  A vector is rejected when NULL,
-    when any element is NULL/NaN/infinite, or when its length differs from
-    the model's stored dimension (``expected_dim``: model, dim)."""
+    when any element is NULL/NaN/infinite, or when its length differs from the
+    model's dimension: the stored one (``expected_dim``: model, dim), or for a
+    new model that of its first sound vector in the batch."""
     v = incoming.withColumn("embedding", F.col("embedding").cast("array<float>"))
     bad_elem = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     reason = (F.when(F.col("embedding").isNull(), F.lit("vector is null"))
               .when(bad_elem, F.lit("vector has a non-finite element")))
     if expected_dim is not None:
-        from papyra.operators.common import checked_broadcast
-        v = v.join(checked_broadcast(expected_dim.select("model", F.col("dim").alias("_dim"))), "model", "left")
-        reason = reason.when(F.col("_dim").isNotNull() & (F.size("embedding") != F.col("_dim")),
-                             F.lit("vector length differs from the model's dimension"))
+        v = v.withColumn("reason", reason)
+        fresh = (v.where(F.col("reason").isNull()).groupBy("model")
+                 .agg(F.min(F.struct("seq", "paper_id", F.size("embedding").alias("d"))).alias("_x"))
+                 .select("model", F.col("_x.d").alias("_new")))
+        # one row a model, so the joins are small whatever the batch
+        v = (v.join(expected_dim.select("model", F.col("dim").alias("_old")), "model", "left").join(fresh, "model", "left")
+             .withColumn("_dim", F.coalesce("_old", "_new")).drop("_old", "_new"))
+        reason = F.coalesce("reason", F.when(F.col("_dim").isNotNull() & (F.size("embedding") != F.col("_dim")),
+                                             F.lit("vector length differs from the model's dimension")))
     v = v.withColumn("reason", reason)
     cols = [c for c in v.columns if c not in ("reason", "_dim")]
     return v.where(F.col("reason").isNull()).select(*cols), v.where(F.col("reason").isNotNull()).select(*cols, "reason")
 
 
-def upsert_embeddings(current: DataFrame, incoming: DataFrame, batch_ts) -> tuple[DataFrame, DataFrame]:
+def upsert_embeddings(current: DataFrame, incoming: DataFrame, batch_ts,
+                      papers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Next ``paper_embeddings`` and the quarantined incoming rows.
-    incoming: (paper_id, model, embedding, seq)."""
+    incoming: (paper_id, model, embedding, seq).  With ``papers``, vectors of
+    unknown papers are quarantined too (the foreign-key rule)."""
     dims = current.groupBy("model").agg(F.max("dim").alias("dim"))
     valid, rejects = check_vectors(incoming, dims)
+    if papers is not None:
+        lost = orphans(valid, papers).select(*valid.columns).withColumn("reason", F.lit("paper is missing"))
+        valid, rejects = with_parent(valid, papers).select(*valid.columns), rejects.unionByName(lost)
     last = latest_per_key(valid, ["paper_id", "model"], ["embedding"])
     written = last.select("paper_id", "model", "embedding", F.size("embedding").cast("int").alias("dim"),
                           F.lit(batch_ts).cast("timestamp_ntz").alias("created_at"))

@@ -394,7 +394,7 @@ def orphan_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("cascade_delete", O.with_(O.ENTRIES, O.PE) + """
-, gone AS (SELECT lpad(cast(doc_id AS VARCHAR), 8, '0') AS arxiv_id FROM labels WHERE toxic = 1),
+, gone AS (SELECT lpad(cast(doc_id AS VARCHAR), 19, '0') AS arxiv_id FROM labels WHERE toxic = 1),
 m AS (SELECT arxiv_id, unnest(authors) AS name FROM entries),
 c AS (SELECT arxiv_id, unnest(categories) AS code FROM entries)
 SELECT 'papers' AS table_name, (SELECT count(*) FROM entries WHERE arxiv_id NOT IN (SELECT arxiv_id FROM gone)) AS n_rows
@@ -428,8 +428,8 @@ from papyra.operators import diagnostics as D  # noqa: E402
 from papyra.operators import embed as EM  # noqa: E402
 from papyra.operators import lookup as LK  # noqa: E402
 
-_IDS_SQL = ("ids AS (SELECT lpad(cast(doc_id AS VARCHAR), 8, '0') AS arxiv_id FROM labels "
-            "UNION SELECT lpad(cast(doc_id * 3 AS VARCHAR), 8, '0') FROM labels)")
+_IDS_SQL = ("ids AS (SELECT lpad(cast(doc_id AS VARCHAR), 19, '0') AS arxiv_id FROM labels "
+            "UNION SELECT lpad(cast(doc_id * 3 AS VARCHAR), 19, '0') FROM labels)")
 
 
 def _lookup_ids(spark, sf):
@@ -456,7 +456,7 @@ def papers_by_ids_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("get_by_id", O.with_(O.ENTRIES, O.PAPERS) + """
 SELECT arxiv_id, title, abstract, primary_category, """ + O.iso("published") + """ AS published, pdf_url, abs_url
-FROM papers WHERE arxiv_id IN (SELECT lpad(cast(item_id AS VARCHAR), 8, '0') FROM benchmark)""")
+FROM papers WHERE arxiv_id IN (SELECT lpad(cast(item_id AS VARCHAR), 19, '0') FROM benchmark)""")
 def get_by_id_q(spark: SparkSession, sf: str) -> DataFrame:
     """F3 id: one paper per requested id (ids from the benchmark items)."""
     ids = TB.table(spark, sf, "benchmark").select(TB.padded_id("item_id").alias("arxiv_id"))
@@ -476,8 +476,8 @@ def embedding_lookup_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("papers_missing_embedding", O.with_(O.ENTRIES, O.PAPERS, O.PE) + """
-SELECT p.arxiv_id, p.title, p.abstract FROM papers p
-LEFT JOIN pe ON pe.paper_id = p.arxiv_id AND pe.model = 'm2' WHERE pe.paper_id IS NULL""")
+SELECT arxiv_id, title, abstract FROM papers
+WHERE arxiv_id IN (SELECT arxiv_id FROM papers EXCEPT SELECT paper_id FROM pe WHERE model = 'm2')""")
 def papers_missing_embedding_q(spark: SparkSession, sf: str) -> DataFrame:
     """Papers without an m2 vector (an m1 vector does not count)."""
     return LK.papers_missing_embedding(TB.papers(spark, sf), TB.paper_embeddings(spark, sf), "m2").select(

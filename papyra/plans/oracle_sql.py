@@ -11,10 +11,11 @@ shares no code or method with Spark ML's eigen solver, so it is a real check.
 
 from __future__ import annotations
 
+from papyra.functions.text import STOPWORDS
+
 WS = (r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
-STOP = ("'a','an','the','is','are','do','does','how','what','why','of','in','on','for',"
-        "'to','and','or','with','this','that','these','those','work','works','about','can','you'")
+STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
 def ws(x: str) -> str:
@@ -22,7 +23,7 @@ def ws(x: str) -> str:
 
 
 def pid(x: str) -> str:
-    return f"lpad(cast({x} AS VARCHAR), 8, '0')"
+    return f"lpad(cast({x} AS VARCHAR), 19, '0')"
 
 
 def tokens(x: str) -> str:
@@ -43,8 +44,8 @@ ENTRIES = f"""entries AS (
          {AUTHORS} AS authors,
          [source, lang, source] AS categories,
          source AS primary_category,
-         TIMESTAMP '2024-01-01' + to_days(cast(doc_id AS INTEGER)) AS published,
-         TIMESTAMP '2024-01-01' + to_days(cast(doc_id AS INTEGER) + 1) AS updated,
+         TIMESTAMP '2024-01-01' + to_days(cast(doc_id % 100000 AS INTEGER)) AS published,
+         TIMESTAMP '2024-01-01' + to_days(cast(doc_id % 100000 AS INTEGER) + 1) AS updated,
          'http://x/pdf/' || {pid('doc_id')} AS pdf_url,
          'http://x/abs/' || {pid('doc_id')} AS abs_url,
          CAST(NULL AS VARCHAR) AS comment, CAST(NULL AS VARCHAR) AS journal_ref,
@@ -64,7 +65,7 @@ PE = f"""pe AS (
 
 QUESTIONS = """questions AS (
   SELECT b.item_id AS question_id, b.text AS question, e.embedding AS qvec
-  FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"""
+  FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id)"""
 
 
 def with_(*ctes: str) -> str:
@@ -204,7 +205,7 @@ ATOM = f"""atom AS (
   SELECT CASE WHEN doc_id % 11 = 0 THEN 'urn:x:' || {pid('doc_id')}
               WHEN doc_id % 7 = 0 THEN 'http://x/abs/cs/' || {pid('doc_id')}
               ELSE 'http://x/abs/' || {pid('doc_id')} END AS id,
-         TIMESTAMP '2024-01-01' + to_days(cast(doc_id AS INTEGER)) + to_seconds(doc_id % 60) + INTERVAL 750 MILLISECOND AS pub_ts,
+         TIMESTAMP '2024-01-01' + to_days(cast(doc_id % 100000 AS INTEGER)) + to_seconds(doc_id % 60) + INTERVAL 750 MILLISECOND AS pub_ts,
          CASE WHEN doc_id % 50 <> 0 THEN split_part(text, chr(10), 1) END AS title,
          text AS summary,
          {AUTHORS} AS authors,
@@ -224,7 +225,7 @@ NORMALIZED = """normalized AS (
          authors,
          coalesce(category_terms, []::VARCHAR[]) AS categories,
          coalesce(primary_term, category_terms[1], '') AS primary_category,
-         date_trunc('second', pub_ts) AS published,
+         CASE WHEN doc_id % 45 <> 0 THEN date_trunc('second', pub_ts) END AS published,
          date_trunc('second', pub_ts + INTERVAL 1 DAY) AS updated,
          CASE WHEN has_pdf THEN pdf_href ELSE replace(id, '/abs/', '/pdf/') END AS pdf_url,
          id AS abs_url, comment, journal_ref, CAST(NULL AS VARCHAR) AS doi, doc_id
@@ -241,17 +242,19 @@ _ECOLS = "arxiv_id, title, abstract, authors, categories, primary_category, publ
 UPSERT = [
     f"cur AS (SELECT {_ECOLS}, '10.1/' || arxiv_id AS doi, doc_id AS seq FROM entries WHERE doc_id % 3 <> 0)",
     f"inc AS (SELECT arxiv_id, title || ' v2' AS title, abstract, authors, categories, primary_category, published, "
-    f"updated, pdf_url, abs_url, comment, journal_ref, doi, doc_id AS seq FROM entries WHERE doc_id % 2 = 0 "
+    f"updated, pdf_url, abs_url, comment, journal_ref, doi, doc_id AS seq FROM entries WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 "
     f"UNION ALL SELECT arxiv_id, title || ' v3', abstract, list_reverse(authors), categories, primary_category, "
-    f"published, updated, pdf_url, abs_url, comment, journal_ref, doi, doc_id + 1000000 FROM entries "
+    f"published, updated, pdf_url, abs_url, comment, journal_ref, doi, doc_id + 1099511627776 FROM entries "
     f"WHERE doc_id % 10 = 0)",
     # current store (the current entries applied to an empty store at 2024-07-01)
     "cur_papers AS (SELECT arxiv_id, title, doi, TIMESTAMP '2024-07-01' AS ingested_at FROM cur)",
     "cur_m AS (SELECT arxiv_id, seq, unnest(authors) AS name, unnest(range(len(authors))) AS pos FROM cur)",
-    "cur_authors AS (SELECT name, 1 + min(seq * 65536 + pos) - (SELECT min(seq) FROM cur) * 65536 AS author_id "
-    "FROM cur_m GROUP BY name)",
-    "cur_pa AS (SELECT m.arxiv_id AS paper_id, a.author_id, (min(m.seq * 65536 + m.pos) % 65536)::INTEGER AS author_order "
-    "FROM cur_m m JOIN cur_authors a ON a.name = m.name GROUP BY m.arxiv_id, a.author_id)",
+    # ids number the names by first appearance
+    "cur_authors AS (SELECT name, row_number() OVER (ORDER BY seq, pos) AS author_id FROM (SELECT * FROM cur_m "
+    "QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq, pos) = 1))",
+    "cur_pa AS (SELECT m.arxiv_id AS paper_id, a.author_id, m.pos::INTEGER AS author_order "
+    "FROM cur_m m JOIN cur_authors a ON a.name = m.name "
+    "QUALIFY row_number() OVER (PARTITION BY m.arxiv_id, a.author_id ORDER BY m.seq, m.pos) = 1)",
     # next store after the incoming batch at 2024-08-01
     "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arxiv_id ORDER BY seq DESC) AS rn FROM inc) "
     "WHERE rn = 1)",
@@ -260,10 +263,12 @@ UPSERT = [
     "coalesce(c.ingested_at, TIMESTAMP '2024-08-01') FROM last l LEFT JOIN cur_papers c ON c.arxiv_id = l.arxiv_id)",
     "inc_m AS (SELECT arxiv_id, seq, unnest(authors) AS name, unnest(range(len(authors))) AS pos FROM inc)",
     "next_authors AS (SELECT author_id, name FROM cur_authors UNION ALL "
-    "SELECT (SELECT max(author_id) FROM cur_authors) + 1 + min(seq * 65536 + pos) - (SELECT min(seq) FROM inc) * 65536, "
-    "name FROM inc_m WHERE name NOT IN (SELECT name FROM cur_authors) GROUP BY name)",
-    "inc_pa AS (SELECT m.arxiv_id AS paper_id, a.author_id, (min(m.seq * 65536 + m.pos) % 65536)::INTEGER AS author_order "
-    "FROM inc_m m JOIN next_authors a ON a.name = m.name GROUP BY m.arxiv_id, a.author_id)",
+    "SELECT (SELECT max(author_id) FROM cur_authors) + row_number() OVER (ORDER BY seq, pos), name FROM ("
+    "SELECT * FROM inc_m WHERE name NOT IN (SELECT name FROM cur_authors) "
+    "QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq, pos) = 1))",
+    "inc_pa AS (SELECT m.arxiv_id AS paper_id, a.author_id, m.pos::INTEGER AS author_order "
+    "FROM inc_m m JOIN next_authors a ON a.name = m.name "
+    "QUALIFY row_number() OVER (PARTITION BY m.arxiv_id, a.author_id ORDER BY m.seq, m.pos) = 1)",
     "next_pa AS (SELECT * FROM cur_pa UNION ALL SELECT i.* FROM inc_pa i ANTI JOIN cur_pa c "
     "ON c.paper_id = i.paper_id AND c.author_id = i.author_id)",
 ]
@@ -274,9 +279,9 @@ VEC_UPSERT = [
     "vec_id AS seq FROM embeddings WHERE vec_id % 3 = 0 "
     "UNION ALL SELECT " + pid("vec_id") + ", 'm2', list_transform(embedding, lambda x: -x), vec_id FROM embeddings "
     "WHERE vec_id % 3 = 1 "
-    "UNION ALL SELECT " + pid("vec_id") + ", 'm1', list_concat(['nan'::FLOAT], embedding[2:]), vec_id + 1000000 "
+    "UNION ALL SELECT " + pid("vec_id") + ", 'm1', list_concat(['nan'::FLOAT], embedding[2:]), vec_id + 1099511627776 "
     "FROM embeddings WHERE vec_id % 25 = 0 "
-    "UNION ALL SELECT " + pid("vec_id") + ", 'm1', embedding[1:10], vec_id + 2000000 FROM embeddings "
+    "UNION ALL SELECT " + pid("vec_id") + ", 'm1', embedding[1:10], vec_id + 2199023255552 FROM embeddings "
     "WHERE vec_id % 35 = 0)",
     "vok AS (SELECT * FROM vin WHERE NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) "
     "OR isinf(x))) AND len(embedding) = (SELECT max(dim) FROM pe p WHERE p.model = vin.model))",

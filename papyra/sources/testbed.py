@@ -15,40 +15,18 @@ from pyspark.sql import functions as F
 from papyra.functions.text import first_line, normalize_whitespace
 
 # Fixed values of the fixture mapping.
-ID_WIDTH = 8
+ID_WIDTH = 19  # digits of any bigint: padding never cuts
 BASE_URL = "http://x"
 EPOCH = "2024-01-01 00:00:00"
 CREATED_AT = "2024-06-01 00:00:00"
 INGESTED_AT = "2024-07-01 00:00:00"
 BATCH_TS = "2024-08-01 00:00:00"
-
-
-# Text-heavy tables: per-row regex work follows the scan, so a scan that
-# yields fewer splits than cores is spread out first.
-_SPREAD = {"documents", "pages", "conversations"}
-
-
-_SPLITS: dict = {}
+DAYS = 100000  # entry dates repeat after so many documents
+LATER = 1 << 40  # arrival numbers of second arrivals come after all first ones
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    return spread(df, path) if name in _SPREAD else df
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Round-robin a narrow scan over all cores.  On a cluster the scan of a
-    large table already has more splits than cores and this is a no-op.
-    The split count of a path is looked up once."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    ck = (df.sparkSession.sparkContext.applicationId, key)
-    n = _SPLITS.get(ck) if key else None
-    if n is None:
-        n = df.rdd.getNumPartitions()
-        if key:
-            _SPLITS[ck] = n
-    return df.repartition(target) if n < target else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def padded_id(x) -> F.Column:
@@ -82,8 +60,8 @@ def paper_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         author_names().alias("authors"),
         F.array(F.col("source"), F.col("lang"), F.col("source")).alias("categories"),
         F.col("source").alias("primary_category"),
-        F.expr(f"timestamp_ntz'{EPOCH}' + make_dt_interval(cast(doc_id as int))").alias("published"),
-        F.expr(f"timestamp_ntz'{EPOCH}' + make_dt_interval(cast(doc_id as int) + 1)").alias("updated"),
+        F.expr(f"timestamp_ntz'{EPOCH}' + make_dt_interval(cast(doc_id % {DAYS} as int))").alias("published"),
+        F.expr(f"timestamp_ntz'{EPOCH}' + make_dt_interval(cast(doc_id % {DAYS} as int) + 1)").alias("updated"),
         F.concat(F.lit(BASE_URL + "/pdf/"), pid).alias("pdf_url"),
         F.concat(F.lit(BASE_URL + "/abs/"), pid).alias("abs_url"),
         F.lit(None).cast("string").alias("comment"),
@@ -116,27 +94,29 @@ def paper_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item is a question; its query vector is the stored
-    vector with the same number."""
+    vector with the same number (NULL where there is none: such a question finds
+    nothing)."""
     b = table(spark, sf_dir, "benchmark")
     e = table(spark, sf_dir, "embeddings")
-    return (b.join(e, b.item_id == e.vec_id, "inner")
+    return (b.join(e, b.item_id == e.vec_id, "left")
             .select(F.col("item_id").alias("question_id"), F.col("text").alias("question"),
                     F.col("embedding").cast("array<float>").alias("qvec")))
 
 
 def incoming_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ingest batch over the corpus: even documents re-arrive with a new
-    title (seq = doc_id), documents divisible by ten arrive a second time later
-    in the same batch (seq = doc_id + 1e6) with another title.  ``doi`` is
+    """An ingest batch over the corpus: documents divisible by two or three
+    arrive with a new title (seq = doc_id; those divisible by three are not stored
+    yet), documents divisible by ten arrive a second time later in the same batch
+    (seq = doc_id + LATER) with another title.  ``doi`` is
     NULL in the batch, as in a real re-ingest."""
     e = paper_entries(spark, sf_dir)
-    v2 = (e.where(F.col("doc_id") % 2 == 0)
+    v2 = (e.where((F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 3 == 0))
           .withColumn("title", F.concat("title", F.lit(" v2")))
           .withColumn("seq", F.col("doc_id")))
     v3 = (e.where(F.col("doc_id") % 10 == 0)
           .withColumn("title", F.concat("title", F.lit(" v3")))
           .withColumn("authors", F.reverse("authors"))
-          .withColumn("seq", F.col("doc_id") + 1000000))
+          .withColumn("seq", F.col("doc_id") + LATER))
     return v2.unionByName(v3)
 
 
@@ -166,8 +146,8 @@ def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     the feed's irregularities: every third entry has a titled pdf link, every
     fourth lacks its primary-category element, every eighth has no category
     elements, every seventh has an old-style id with a slash, every eleventh an
-    id without '/abs/', every fiftieth a missing title; times carry fractions
-    of a second.  Title and summary keep the raw whitespace."""
+    id without '/abs/', every fiftieth a missing title, every 45th a date that
+    is none; times carry fractions of a second.  Title and summary keep the raw whitespace."""
     d = table(spark, sf_dir, "documents")
     doc = F.col("doc_id")
     pid = padded_id("doc_id")
@@ -180,14 +160,14 @@ def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdf = F.struct(F.concat(F.lit(BASE_URL + "/files/"), pid, F.lit(".pdf")).alias("_href"),
                    F.lit("related").alias("_rel"), F.lit("pdf").alias("_title"),
                    F.lit("application/pdf").alias("_type"))
-    when_ts = F.expr(f"timestamp_ntz'{EPOCH}' + make_dt_interval(cast(doc_id as int), 0, 0, "
+    when_ts = F.expr(f"timestamp_ntz'{EPOCH}' + make_dt_interval(cast(doc_id % {DAYS} as int), 0, 0, "
                      f"cast(doc_id % 60 as decimal(8,2)) + 0.75)")
     fmt = "yyyy-MM-dd'T'HH:mm:ss.SS'Z'"
     term = lambda c: F.struct(c.alias("_term"), null.alias("_scheme"))
     return d.select(
         ident.alias("id"),
         F.date_format(when_ts + F.expr("INTERVAL 1 DAY"), fmt).alias("updated"),
-        F.date_format(when_ts, fmt).alias("published"),
+        F.when(doc % 45 == 0, F.lit("soon")).otherwise(F.date_format(when_ts, fmt)).alias("published"),
         F.when(doc % 50 != 0, first_line("text")).alias("title"),
         F.col("text").alias("summary"),
         F.transform(author_names(), lambda n: F.struct(n.alias("name"))).alias("author"),
@@ -215,7 +195,7 @@ def incoming_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nan = e.where(v % 25 == 0).select(
         "paper_id", F.lit("m1").alias("model"),
         F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice("emb", 2, 1 << 20)).alias("embedding"),
-        (v + 1000000).alias("seq"))
+        (v + LATER).alias("seq"))
     short = e.where(v % 35 == 0).select("paper_id", F.lit("m1").alias("model"),
-                                        F.slice("emb", 1, 10).alias("embedding"), (v + 2000000).alias("seq"))
+                                        F.slice("emb", 1, 10).alias("embedding"), (v + 2 * LATER).alias("seq"))
     return twice.unionByName(neg).unionByName(nan).unionByName(short)

@@ -1,19 +1,8 @@
-"""Size-checked broadcast and paging guards."""
+"""Paging guards."""
 
 import pytest
 
 from papyra.operators import lookup as LK
-from papyra.operators.common import checked_broadcast
-
-
-def _hinted(df):
-    return "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
-
-
-def test_checked_broadcast_only_under_bound(spark):
-    small = spark.range(10)
-    assert _hinted(checked_broadcast(small, max_rows=10))
-    assert not _hinted(checked_broadcast(small, max_rows=9))
 
 
 def test_page_guards(spark):
