@@ -10,15 +10,17 @@ vector without a paper row is dropped (fewer than k rows may return).
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.text import tokenize
 from papyra.operators import lexical as L
 from papyra.operators import ranking as R
 from papyra.operators import vectors as V
-
-METADATA_COLS = ("arxiv_id", "title", "abstract", "primary_category", "pdf_url", "abs_url")
+from papyra.operators.lookup import METADATA_COLS
+from papyra.session import ship_package
 
 # Fixed texts of the answer prompt.
 PROMPT_HEAD = "Question: {q}\n\nCandidate papers:"
@@ -39,13 +41,9 @@ def scored_pairs(papers: DataFrame, paper_embeddings: DataFrame, questions: Data
 
 
 def keyword_overlap_sparse(papers: DataFrame, vecs: DataFrame, questions: DataFrame) -> DataFrame:
-    """Sparse overlaps of the questions with every vector's paper text.  The
-    distinct tokens per paper depend only on the snapshot: derived once."""
-    from papyra.session import snapshot_memo
-
+    """Sparse overlaps of the questions with every vector's paper text."""
     texts = L.paper_texts(vecs.select("paper_id"), papers)
-    tokens = snapshot_memo(L.paper_tokens(texts), "paper_tokens")
-    return L.keyword_overlap(tokens, L.question_tokens(questions))
+    return L.keyword_overlap(L.paper_tokens(texts), L.question_tokens(questions))
 
 
 def ranked_pairs(pairs: DataFrame, levels=None) -> DataFrame:
@@ -90,119 +88,145 @@ def candidate_depth(top_k: int, rrf_k: int = R.RRF_K) -> int:
     return rrf_k + 2 * top_k
 
 
+def _corpus(papers: DataFrame, vecs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(paper_id, embedding, tokens): each vector with those distinct tokens of
+    its paper's text that occur in a question."""
+    vocabulary = questions.select(F.explode(tokenize("question")).alias("t")).agg(F.collect_set("t").alias("t")).scalar()
+    texts = papers.select(F.col("arxiv_id").alias("paper_id"),
+                          F.array_intersect(tokenize(F.concat_ws(" ", "title", "abstract")), vocabulary).alias("tokens"))
+    return (vecs.join(texts, "paper_id", "left")
+            .select("paper_id", "embedding", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")))
+
+
+class _Chunk:
+    """Scores and overlaps of a chunk of the corpus for a block of questions,
+    slice by slice; rows in id order, so every pass computes the same numbers."""
+
+    SLICE = 2048
+
+    def __init__(self, left: pa.Table, right: pa.Table, basis: V.Basis, k: int):
+        self.left, right = left.sort_by("paper_id").combine_chunks(), right.sort_by("question_id")
+        self.right = right
+        self.qids = right["question_id"].to_numpy()
+        qvec = np.array(right["qvec"].to_pylist(), dtype=np.float64)
+        self.qp = V.query_residuals(qvec, basis, k) if len(qvec) else qvec
+        self.basis, self.k = basis, k
+        words = pa.array(sorted({t for row in right["qtokens"].to_pylist() for t in row}), pa.string())
+        self.words = words
+        self.has = np.zeros((len(words), len(self.qids)), np.float32)
+        for q, row in enumerate(right["qtokens"].to_pylist()):
+            for i in pc.index_in(pa.array(row, pa.string()), words).to_pylist():
+                self.has[i, q] = 1
+
+    def __iter__(self):
+        for at in range(0, self.left.num_rows, self.SLICE):
+            part = self.left.slice(at, self.SLICE)
+            ids = np.asarray(part["paper_id"].to_pylist(), dtype=object)
+            x = np.array(part["embedding"].combine_chunks().flatten().to_numpy(), np.float64).reshape(len(ids), self.basis.dim)
+            c = x - self.basis.mean
+            cum = np.cumsum((c @ self.basis.directions.T) ** 2, axis=1) if self.basis.k else None
+            s = V._block_scores(c, np.einsum("ij,ij->i", c, c), cum, self.k, self.qp)
+            tokens = part["tokens"].combine_chunks()
+            row = np.repeat(np.arange(len(ids)), pc.list_value_length(tokens).to_numpy())
+            word = pc.index_in(tokens.flatten(), self.words).fill_null(-1).to_numpy()
+            held = np.zeros((len(ids), len(self.words)), np.float32)
+            held[row[word >= 0], word[word >= 0]] = 1
+            yield ids, np.where(np.isnan(s), -np.inf, s), np.rint(held @ self.has).astype(np.int64)
+
+
+def _best(basis: V.Basis, k: int, depth: int):
+    """Per chunk and question: the ``depth`` best rows by score and by overlap."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = _Chunk(left, right, basis, k)
+        held = [None] * len(chunk.qids)
+        for ids, s, ov in chunk:
+            for q in range(len(chunk.qids)):
+                a, b, c = ids, s[:, q], ov[:, q]
+                if held[q] is not None:
+                    a, b, c = (np.concatenate(x) for x in zip(held[q], (a, b, c)))
+                keep = np.union1d(V._topk_positions(b, a, depth), V._topk_positions(c.astype(np.float64), a, depth))
+                held[q] = (a[keep], b[keep], c[keep])
+        rows = [(np.full(len(h[0]), chunk.qids[q]), *h) for q, h in enumerate(held) if h is not None]
+        cols = [np.concatenate(c) for c in zip(*rows)] if rows else [[], [], [], []]
+        return pa.table({"question_id": pa.array(cols[0], pa.int64()), "paper_id": pa.array(cols[1], pa.string()),
+                         "score": pa.array(cols[2], pa.float64()), "overlap": pa.array(cols[3], pa.int64())})
+    return run
+
+
+def _counts(basis: V.Basis, k: int):
+    """Per chunk and candidate: how many of its rows come before in either order."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = _Chunk(left, right, basis, k)
+        probes = chunk.right["cand"].to_pylist()
+        coder = V.IdCoder(np.array([p["paper_id"] for row in probes for p in row], dtype=object))
+        codes = [coder.codes([p["paper_id"] for p in row]) for row in probes]
+        keys = [(np.array([p["score"] for p in row]), np.array([p["overlap"] for p in row], dtype=np.float64)) for row in probes]
+        before = [np.zeros((2, len(row)), np.int64) for row in probes]
+        for ids, s, ov in chunk:
+            mine = coder.codes(ids)
+            for q in range(len(probes)):
+                before[q][0] += V.count_before(s[:, q], mine, keys[q][0], codes[q], coder.n_codes)
+                before[q][1] += V.count_before(ov[:, q].astype(np.float64), mine, keys[q][1], codes[q], coder.n_codes)
+        n = [len(row) for row in probes]
+        flat = np.concatenate(before, axis=1) if before else np.zeros((2, 0), np.int64)
+        return pa.table({"question_id": pa.array(np.repeat(chunk.qids, n), pa.int64()),
+                         "paper_id": pa.array([p["paper_id"] for row in probes for p in row], pa.string()),
+                         "rank_embedding": pa.array(flat[0], pa.int64()), "rank_keyword": pa.array(flat[1], pa.int64())})
+    return run
+
+
 def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: DataFrame, model: str,
                   top_k: int = 5, n_components: int = V.DEFAULT_COMPONENTS,
                   rrf_k: int = R.RRF_K) -> DataFrame:
-    """Exact fused top-k without ranking the whole corpus.
-
-    Candidates per question: the embedding top-M, the keyword top-M among
-    papers sharing a token and, for questions with fewer than M such papers,
-    the 2M smallest ids (the rest of the keyword top-M comes from them).
-    Their exact 0-based ranks in both full orders are counted by scans that
-    return one number per candidate, so the work is a few corpus scans and
-    the data moved is bounded by questions x M, whatever the corpus size."""
-    from papyra.session import checkpoint_dir
-
+    """Exact fused top-k without ranking the whole corpus, as one lazy plan.
+
+    The corpus is dealt into chunks by hash, the questions into blocks; each
+    (chunk, block) is one task.  A first pass scores it and keeps the best M rows
+    of either order; the best M over all chunks are the candidates.  A second
+    pass over the same exchange counts, for each candidate, the rows of the chunk
+    that come before it; the sums over chunks are its exact ranks.  What moves is
+    the corpus once and chunks x questions x 2M small rows; (question, paper) pairs
+    exist only inside a task, a slice at a time.  Questions without a vector find
+    nothing."""
     if top_k < 0:
         raise ValueError("top_k must be >= 0")
     spark = questions.sparkSession
+    ship_package(spark)
     vecs = V.vectors_of(paper_embeddings, model)
     basis = V.fit_basis(vecs, n_components)
     if basis.n == 0 or top_k == 0:
         return spark.createDataFrame([], HYBRID_SCHEMA)
+    k = min(V.capped_components(n_components, basis.n, basis.dim), basis.k)
     depth = candidate_depth(top_k, rrf_k)
-    checkpoint_dir(spark)
-    universe = vecs.select("paper_id")
-    smallest = [r["paper_id"] for r in universe.orderBy("paper_id").limit(2 * depth).collect()]
-    out_rows = []
-    for qids, qv in V._question_blocks(questions):
-        qblock = questions.where(F.col("question_id").isin([int(x) for x in qids]))
-        qindex = {int(q): i for i, q in enumerate(qids)}
-        # 1. embedding top-M (bounded: questions x M rows)
-        block = [(qids, qv)]
-        etop = V.top_k_per_question(
-            V.score_corpus(vecs, qblock, basis, components=(n_components,), top_k=depth, blocks=block), depth
-        ).select("question_id", "paper_id", "score").cache()
-        # 2. keyword overlaps (sparse; read several times: kept, spilling to
-        #    disk; lost blocks are recomputed from the deterministic lineage)
-        pos = keyword_overlap_sparse(papers, vecs, qblock).persist(StorageLevel.MEMORY_AND_DISK)
-        ltop = R.top_k(pos, depth, ["question_id"], "overlap", "paper_id").select("question_id", "paper_id")
-        # 3. candidates with their score and overlap; candidates outside
-        #    the embedding top-M are scored from their own vectors only
-        #    (the smallest ids matter only where fewer than M papers share a token)
-        short = qblock.select("question_id").join(
-            pos.groupBy("question_id").count().where(F.col("count") >= depth), "question_id", "left_anti")
-        low = short.select("question_id", F.explode(F.array(*[F.lit(x) for x in smallest])).alias("paper_id"))
-        cand = (etop.select("question_id", "paper_id").unionByName(ltop).unionByName(low).distinct()
-                .join(etop, ["question_id", "paper_id"], "left")
-                .join(pos, ["question_id", "paper_id"], "left")).cache()
-        need = cand.where(F.col("score").isNull()).select("paper_id").distinct()
-        sub = V.score_corpus(vecs.join(need, "paper_id", "left_semi"), qblock, basis,
-                             components=(n_components,), blocks=block).select(
-            "question_id", "paper_id", F.col("score").alias("_s"))
-        full = (cand.join(sub, ["question_id", "paper_id"], "left")
-                .select("question_id", "paper_id", F.coalesce("score", "_s").alias("score"), "overlap"))
-        rows = full.collect()
-        cand.unpersist()
-        etop.unpersist()
-        pairs = [(r["question_id"], r["paper_id"]) for r in rows]
-        score_of = {(r["question_id"], r["paper_id"]): r["score"] for r in rows}
-        ov_of = {(r["question_id"], r["paper_id"]): r["overlap"] for r in rows if r["overlap"] is not None}
-        # 4. exact ranks of the candidates by counting
-        n_p = len(pairs)
-        sc = np.array([score_of.get(pr) for pr in pairs], dtype=np.float64)
-        sc = np.where(np.isnan(sc), -np.inf, sc)
-        ov = np.array([ov_of.get(pr, 0) for pr in pairs], dtype=np.float64)
-        pids = np.array([pid for _, pid in pairs], dtype=object)
-        qi_arr = np.array([qindex[q] for q, _ in pairs])
-        q_arr = np.array([q for q, _ in pairs], dtype=np.int64)
-        emb_probes, lex_probes, zero_probes = {}, {}, {}
-        for qi in np.unique(qi_arr):
-            m = np.nonzero(qi_arr == qi)[0]
-            emb_probes[int(qi)] = (m, sc[m], pids[m])
-            q = int(qids[qi])
-            lex_probes[q] = (m, ov[m], pids[m])
-            z = m[ov[m] == 0]
-            if len(z):
-                zero_probes[q] = (z, np.zeros(len(z)), pids[z])
-        # embedding ranks, and for zero-overlap candidates the number of
-        # corpus ids below theirs, in one scan of the vectors
-        zero = np.nonzero(ov == 0)[0]
-        base = n_p  # second block of probe numbers: "ids below" counts
-        counts = _counts(V.rank_probes_by_score(vecs, basis, qids, qv, n_components, emb_probes, 2 * n_p,
-                                                id_probes=(zero + base, pids[zero])), 2 * n_p)
-        re_, before_all = counts[:n_p], counts[n_p:]
-        # keyword ranks, and positives with an id below each zero-overlap
-        # candidate, in one pass over the overlaps
-        pos_rows = pos.select(F.col("question_id").alias("g"), F.col("overlap").cast("double").alias("key"),
-                              "paper_id").sortWithinPartitions("g")
-        zp = {q: (z + base, pids[z]) for q, (z, _, _) in zero_probes.items()}
-        counts = _counts(V.rank_probes_by_key(pos_rows, lex_probes, 2 * n_p, id_probes=zp), 2 * n_p)
-        rl, before_pos = counts[:n_p], counts[n_p:]
-        rl[zero] += before_all[zero] - before_pos[zero]
-        pos.unpersist()
-        fused = 1.0 / (rrf_k + re_) + 1.0 / (rrf_k + rl)
-        for q in np.unique(q_arr):
-            m = np.nonzero(q_arr == q)[0]
-            best = sorted(m, key=lambda t: (-fused[t], pids[t]))[:top_k]
-            out_rows += [(int(q), r + 1, str(pids[t]), float(fused[t])) for r, t in enumerate(best)]
-    return spark.createDataFrame(out_rows, HYBRID_SCHEMA)
-
-
-def _counts(df: DataFrame, n: int) -> np.ndarray:
-    out = np.zeros(n, dtype=np.int64)
-    for r in df.collect():
-        out[r["probe"]] = r["n_before"]
-    return out
+    asked = questions.where(F.col("qvec").isNotNull())
+    blocks = max(1, -(-asked.count() // V.QUESTIONS_PER_BLOCK))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame, column: str, parts: int, other: str, others: int) -> DataFrame:
+        return df.withColumn(column, F.pmod(F.xxhash64(df.columns[0]), F.lit(parts)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    grid = ["_chunk", "_block"]
+    corpus = dealt(_corpus(papers, vecs, asked), "_chunk", n, "_block", blocks).repartition(n, *grid)
+    qs = asked.select("question_id", F.col("qvec").cast("array<double>").alias("qvec"), tokenize("question").alias("qtokens"))
+    best = corpus.groupBy(*grid).cogroup(dealt(qs, "_block", blocks, "_chunk", n).groupBy(*grid)).applyInArrow(
+        _best(basis, k, depth), "question_id long, paper_id string, score double, overlap long")
+    by = Window.partitionBy("question_id")
+    place = [F.row_number().over(by.orderBy(F.desc(c), "paper_id")) for c in ("score", "overlap")]
+    cand = best.withColumns({"_e": place[0], "_l": place[1]}).where((F.col("_e") <= depth) | (F.col("_l") <= depth))
+    probes = qs.join(cand.groupBy("question_id").agg(F.collect_list(F.struct("paper_id", "score", "overlap")).alias("cand")),
+                     "question_id")
+    ranks = corpus.groupBy(*grid).cogroup(dealt(probes, "_block", blocks, "_chunk", n).groupBy(*grid)).applyInArrow(
+        _counts(basis, k), "question_id long, paper_id string, rank_embedding long, rank_keyword long")
+    ranks = ranks.groupBy("question_id", "paper_id").agg(F.sum("rank_embedding").alias("_e"), F.sum("rank_keyword").alias("_l"))
+    fused = ranks.withColumn("score", R.rrf(F.col("_e"), F.col("_l"), rrf_k))
+    return R.top_k(fused, top_k, ["question_id"], "score", "paper_id").select("question_id", "rank", "paper_id", "score")
 
 
 def attach_metadata(ranked: DataFrame, papers: DataFrame) -> DataFrame:
-    """Inner join after the cut: ids without a paper row vanish.  The hit
-    ids (questions x k, size-checked) semi-join the papers first, which
-    Catalyst pushes below the paper projection."""
-    from papyra.operators.common import checked_broadcast
-    hit_ids = checked_broadcast(ranked.select(F.col("paper_id").alias("arxiv_id")).distinct())
-    meta = papers.join(hit_ids, "arxiv_id", "left_semi").select(*METADATA_COLS)
+    """Inner join after the cut (questions x k rows): ids without a paper row
+    vanish."""
+    meta = papers.select(*METADATA_COLS)
     return ranked.join(meta, ranked.paper_id == meta.arxiv_id, "inner").drop("paper_id")
 
 

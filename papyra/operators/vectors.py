@@ -16,6 +16,7 @@ rows.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,9 +32,9 @@ DEFAULT_COMPONENTS = 3
 SWEEP_COMPONENTS = (0, 1, 2, 3, 5, 8, 15)
 SCORE_DECIMALS = 10        # ranking key precision; absorbs last-bit noise
 
-# Questions travel to tasks as a dense (Q x dim) matrix; larger question
-# tables are scored block by block.
-MAX_QUESTIONS_PER_BLOCK = 2048
+# Questions travel to tasks as dense (Q x dim) matrices of so many rows.
+QUESTIONS_PER_BLOCK = 1024
+EMIT_ROWS = 1 << 17  # of one Arrow batch of full scores
 
 
 @dataclass
@@ -51,8 +52,9 @@ class Basis:
 
 def vectors_of(paper_embeddings: DataFrame, model: str) -> DataFrame:
     """All vectors of one model: (paper_id, embedding).  The model column is
-    the partition key of the stored table, so this prunes files."""
-    return (paper_embeddings.where(F.col("model") == F.lit(model))
+    the partition key of the stored table, so this prunes files.  NULL vectors
+    belong to no vector space and are left out."""
+    return (paper_embeddings.where((F.col("model") == F.lit(model)) & F.col("embedding").isNotNull())
             .select("paper_id", F.col("embedding").cast("array<float>").alias("embedding")))
 
 
@@ -96,7 +98,6 @@ def _moments_kernel():
 
 
 _MOMENTS = "n long, dmin int, dmax int, s array<double>, g array<double>"
-_BASIS_CACHE: dict = {}
 
 
 def corpus_moments(vecs: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -136,29 +137,18 @@ def fit_basis(vecs: DataFrame, n_components: int = DEFAULT_COMPONENTS, center: b
 
     One pass gives the mean and the scatter matrix (dim x dim); its leading
     eigenvectors span the same subspace as the top right singular vectors
-    of the centred corpus.  Results are cached per corpus plan, i.e. per
-    immutable snapshot, like the reference's per-call refit but without
-    repeating it for every question batch."""
-    try:
-        key = (vecs.semanticHash(), int(n_components), bool(center))
-    except Exception:  # noqa: BLE001
-        key = None
-    if key is not None and key in _BASIS_CACHE:
-        return _BASIS_CACHE[key]
+    of the centred corpus.  Every call fits anew, so an answer never rests on an
+    older corpus; pass the basis on to share it between searches."""
     n, dim, mean, scatter = corpus_moments(vecs)
     if not center:
         mean = np.zeros(dim)
     k = capped_components(n_components, n, dim) if (n and center) else 0
     if k == 0:
-        basis = Basis(n, dim, mean, np.zeros((0, dim)))
-    else:
-        w, v = np.linalg.eigh(scatter)
-        order = np.argsort(w)[::-1][:k]
-        d = v[:, order].T
-        basis = Basis(n, dim, mean, d / np.linalg.norm(d, axis=1, keepdims=True))
-    if key is not None:
-        _BASIS_CACHE[key] = basis
-    return basis
+        return Basis(n, dim, mean, np.zeros((0, dim)))
+    w, v = np.linalg.eigh(scatter)
+    order = np.argsort(w)[::-1][:k]
+    d = v[:, order].T
+    return Basis(n, dim, mean, d / np.linalg.norm(d, axis=1, keepdims=True))
 
 
 def query_residuals(qvecs: np.ndarray, basis: Basis, k: int) -> np.ndarray:
@@ -248,7 +238,10 @@ def _kernel(mean, directions, variants, qids, top_k, dim):
             for vi, (label, k, qp) in enumerate(variants):
                 s = _block_scores(c, sq, cum, k, qp)  # (b, Q)
                 if top_k is None:
-                    yield emit(label, np.tile(np.arange(nq), b), np.repeat(ids, nq), s.ravel())
+                    step = max(1, EMIT_ROWS // nq)
+                    for at in range(0, b, step):
+                        some = ids[at:at + step]
+                        yield emit(label, np.tile(np.arange(nq), len(some)), np.repeat(some, nq), s[at:at + step].ravel())
                     continue
                 for qi in range(nq):
                     col = s[:, qi]
@@ -283,28 +276,13 @@ KERNEL_SCHEMA = T.StructType([
 
 
 def _question_blocks(questions: DataFrame):
-    """Question vectors on the driver, one bounded block at a time.  The
-    question table is a batch of user questions, not corpus data; a table
-    larger than one block is split by a hash of the id and fetched block by
-    block, so the driver never holds more than MAX_QUESTIONS_PER_BLOCK."""
-    q = questions.select("question_id", "qvec")
-    head = q.limit(MAX_QUESTIONS_PER_BLOCK + 1).collect()
-    if len(head) <= MAX_QUESTIONS_PER_BLOCK:  # the usual case: one block, one job
-        if head:
-            head = sorted(head, key=lambda r: r["question_id"])
-            yield (np.array([r["question_id"] for r in head], dtype=np.int64),
-                   np.array([r["qvec"] for r in head], dtype=np.float64))
-        return
-    n = q.count()
-    n_blocks = max(1, -(-n // MAX_QUESTIONS_PER_BLOCK))
-    for b in range(n_blocks):
-        part = q if n_blocks == 1 else q.where(
-            F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)) == F.lit(b))
-        rows = part.orderBy("question_id").collect()
-        if rows:
-            qids = np.array([r["question_id"] for r in rows], dtype=np.int64)
-            qv = np.array([r["qvec"] for r in rows], dtype=np.float64)
-            yield qids, qv
+    """Question vectors on the driver, in id order, QUESTIONS_PER_BLOCK at a
+    time; questions without a vector are left out.  The question table is a
+    batch of user questions, not corpus data."""
+    rows = questions.where(F.col("qvec").isNotNull()).select("question_id", "qvec").orderBy("question_id").toLocalIterator()
+    while block := list(itertools.islice(rows, QUESTIONS_PER_BLOCK)):
+        yield (np.array([r["question_id"] for r in block], dtype=np.int64),
+               np.array([r["qvec"] for r in block], dtype=np.float64))
 
 
 def score_corpus(vecs: DataFrame, questions: DataFrame, basis: Basis,
@@ -342,7 +320,7 @@ def score_corpus(vecs: DataFrame, questions: DataFrame, basis: Basis,
         fn = _kernel(mean, directions, variants, qids, top_k, dim)
         part = vecs.select("paper_id", "embedding").mapInArrow(fn, KERNEL_SCHEMA)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else spark.createDataFrame([], KERNEL_SCHEMA)
 
 
 def top_k_per_question(scored: DataFrame, k: int, keys=("question_id",)) -> DataFrame:
@@ -433,103 +411,3 @@ def count_before(keys: np.ndarray, row_codes: np.ndarray, pk: np.ndarray, probe_
     comp = kinv.astype(np.int64) * m + (n_codes - np.concatenate([row_codes, probe_codes]).astype(np.int64))
     rc = np.sort(comp[: len(keys)])
     return (len(rc) - np.searchsorted(rc, comp[len(keys):], side="right")).astype(np.int64)
-
-
-COUNT_SCHEMA = T.StructType([T.StructField("probe", T.LongType()), T.StructField("n_before", T.LongType())])
-
-
-def _emit_counts(acc: np.ndarray) -> pa.RecordBatch:
-    nz = np.nonzero(acc)[0]
-    return pa.RecordBatch.from_pydict({"probe": pa.array(nz.astype(np.int64), pa.int64()),
-                                       "n_before": pa.array(acc[nz], pa.int64())})
-
-
-def rank_probes_by_score(vecs: DataFrame, basis: Basis, qids: np.ndarray, qvecs: np.ndarray,
-                         n_components: int, probes, n_probes: int, id_probes=None) -> DataFrame:
-    """0-based debiased-cosine rank of each probe among all corpus vectors:
-    one scan, per-partition counts, summed by Spark.
-    probes: dict question index -> (probe numbers, scores, paper ids).
-    id_probes: optional (probe numbers, paper ids) counted in the same scan as
-    the number of corpus ids below each id."""
-    from papyra.session import ship_package
-    ship_package(vecs.sparkSession)
-    dim = basis.dim
-    k = min(capped_components(n_components, basis.n, dim), basis.k)
-    qp = query_residuals(qvecs, basis, k)
-    mean, directions = basis.mean, basis.directions
-    qs = sorted(probes)
-    all_pid = np.concatenate([probes[q][2] for q in qs]) if qs else np.array([], dtype=object)
-    offs = np.cumsum([0] + [len(probes[q][2]) for q in qs])
-    id_pidx, id_pid = id_probes if id_probes is not None else (np.zeros(0, np.int64), np.array([], dtype=object))
-    coder = IdCoder(np.concatenate([all_pid, id_pid]))
-    pcodes_all = coder.codes(all_pid)
-    id_codes_p = coder.codes(id_pid)
-
-    def fn(batches):
-        acc = np.zeros(n_probes, dtype=np.int64)
-        for rb in batches:
-            b = rb.num_rows
-            if b == 0:
-                continue
-            ids, c, sq, cum = _centred_block(rb, mean, directions, dim)
-            rcodes = coder.codes(ids)
-            pcodes, ncodes = pcodes_all, coder.n_codes
-            if len(id_pidx):
-                np.add.at(acc, id_pidx, np.searchsorted(np.sort(rcodes), id_codes_p, side="left"))
-            s_all = _block_scores(c, sq, cum, k, qp)
-            s = np.where(np.isnan(s_all), -np.inf, s_all)[:, qs]
-            for col, qi in enumerate(qs):
-                pidx, pk, _ = probes[qi]
-                cnt = count_before(s[:, col], rcodes, pk, pcodes[offs[col]:offs[col + 1]], ncodes)
-                np.add.at(acc, pidx, cnt)
-        if acc.any():
-            yield _emit_counts(acc)
-
-    return (vecs.select("paper_id", "embedding").mapInArrow(fn, COUNT_SCHEMA)
-            .groupBy("probe").agg(F.sum("n_before").alias("n_before")))
-
-
-def rank_probes_by_key(rows: DataFrame, probes, n_probes: int, id_probes=None) -> DataFrame:
-    """As ``rank_probes_by_score`` for precomputed rows (group, key, id):
-    probes: dict group -> (probe numbers, keys, ids).  id_probes: optional
-    dict group -> (probe numbers, ids), counted in the same pass as the rows
-    of the group with a smaller id (keys ignored)."""
-    id_probes = id_probes or {}
-    from papyra.session import ship_package
-    ship_package(rows.sparkSession)
-    gs = sorted(probes)
-    all_pid = np.concatenate([probes[g][2] for g in gs]) if gs else np.array([], dtype=object)
-    offs = dict(zip(gs, np.cumsum([0] + [len(probes[g][2]) for g in gs])[:-1]))
-    extra = [id_probes[g][1] for g in sorted(id_probes)]
-    coder = IdCoder(np.concatenate([all_pid, *extra]) if extra else all_pid)
-    pcodes_all = coder.codes(all_pid)
-    id_codes_p = {g: coder.codes(id_probes[g][1]) for g in id_probes}
-
-    def fn(batches):
-        acc = np.zeros(n_probes, dtype=np.int64)
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            g = rb.column(0).to_numpy(zero_copy_only=False)
-            key = rb.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            rcodes = coder.codes(rb.column(2).to_pylist())
-            pcodes, ncodes = pcodes_all, coder.n_codes
-            order = np.argsort(g, kind="stable")
-            g, key, rcodes = g[order], key[order], rcodes[order]
-            bounds = np.flatnonzero(np.diff(g)) + 1
-            starts = np.concatenate([[0], bounds])
-            ends = np.concatenate([bounds, [len(g)]])
-            for a, z in zip(starts, ends):
-                gv = int(g[a])
-                if gv in id_probes:
-                    np.add.at(acc, id_probes[gv][0],
-                              np.searchsorted(np.sort(rcodes[a:z]), id_codes_p[gv], side="left"))
-                if gv not in probes:
-                    continue
-                pidx, pk, pid = probes[gv]
-                o = offs[gv]
-                np.add.at(acc, pidx, count_before(key[a:z], rcodes[a:z], pk, pcodes[o:o + len(pid)], ncodes))
-        if acc.any():
-            yield _emit_counts(acc)
-
-    return rows.mapInArrow(fn, COUNT_SCHEMA).groupBy("probe").agg(F.sum("n_before").alias("n_before"))

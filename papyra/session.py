@@ -17,8 +17,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-    # keep per-task partial top-k for limits up to 10k rows per group
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # a per-task partial top-k before the shuffle, whatever the limit
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -68,26 +68,19 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def apply_engine_conf(spark: SparkSession) -> None:
-    """Apply the runtime-settable part of ENGINE_CONF to an existing session
-    and ship the package to the Python workers."""
+    """What a query needs of a session that it did not build: naive UTC times
+    and the package on the Python workers.  All other settings stay the caller's."""
     ship_package(spark)
-    for k, v in ENGINE_CONF.items():
-        if k.startswith("spark.sql."):
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # static conf on a shared session: leave as is
-                pass
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests)
-    do we create one of our own.
-    """
+    Only a local master may go without: then a temporary folder is made."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
@@ -95,25 +88,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="papyra-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
-
-
-_MEMO: dict = {}
-
-
-def snapshot_memo(df, tag: str):
-    """Materialise a table derived from an immutable corpus snapshot once
-    per session (e.g. the distinct tokens of every paper), written with
-    ``checkpoint()`` into the shared checkpoint folder.  Keyed by the
-    DataFrame's semantic plan hash: snapshot directories never change in
-    place, so the same plan means the same data."""
-    key = (df.sparkSession.sparkContext.applicationId, tag, df.semanticHash())
-    hit = _MEMO.get(key)
-    if hit is not None:
-        return hit
-    checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    _MEMO[key] = out
-    return out
