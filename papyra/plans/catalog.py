@@ -205,6 +205,22 @@ def build_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return H.build_contexts(qs, a)
 
 
+@register("contexts_without_papers", O.with_(O.ENTRIES, O.papers_minus("quality = 1"), O.PE, O.QUESTIONS, *O.hybrid_ctes("m1")) + """
+, a AS (SELECT h.question_id, p.arxiv_id, p.title, p.abstract
+        FROM hyb h JOIN papers p ON p.arxiv_id = h.paper_id WHERE h.rank <= 1)
+SELECT q.question_id,
+       CASE WHEN a.question_id IS NULL THEN 'No relevant papers were found to answer this question.'
+            ELSE 'Question: ' || q.question || chr(10) || chr(10) || 'Candidate papers:' || chr(10) || chr(10)
+              || '1. [' || a.arxiv_id || '] ' || a.title || chr(10) || '   Abstract: ' || a.abstract END AS prompt
+FROM questions q LEFT JOIN a ON a.question_id = q.question_id""")
+def contexts_without_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Q3: prompts from the best hit alone, over a corpus that lost its papers of
+    quality 1; questions whose hit has no paper get the no-papers sentence."""
+    qs = TB.questions(spark, sf)
+    p = TB.papers_without_labelled(spark, sf, "quality = 1")
+    return H.build_contexts(qs, H.ask(p, TB.paper_embeddings(spark, sf), qs, "m1", top_k=1))
+
+
 # --- normalisation ------------------------------------------------------------------
 
 from papyra.functions import text as TX  # noqa: E402
@@ -384,6 +400,22 @@ def upsert_embeddings_q(spark: SparkSession, sf: str) -> DataFrame:
                       _checksum("embedding").alias("checksum"))
 
 
+@register("rejected_embeddings", O.with_(O.ENTRIES, O.papers_minus("toxic = 1"), O.PE, *O.VEC_UPSERT) + """
+SELECT paper_id, model, seq, CASE
+    WHEN list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) THEN 'vector has a non-finite element'
+    WHEN len(embedding) <> (SELECT max(dim) FROM pe p WHERE p.model = vin.model) THEN 'vector length differs from the model''s dimension'
+    ELSE 'paper is missing' END AS reason
+FROM vin WHERE list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))
+  OR len(embedding) <> (SELECT max(dim) FROM pe p WHERE p.model = vin.model)
+  OR paper_id NOT IN (SELECT arxiv_id FROM papers)""")
+def rejected_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """U7 + U8: what a vector batch leaves in quarantine and why, vectors of
+    missing papers included."""
+    _, rejects = U.upsert_embeddings(TB.paper_embeddings(spark, sf), TB.incoming_vectors(spark, sf), TB.ts(TB.BATCH_TS),
+                                     papers=TB.papers_without_labelled(spark, sf, "toxic = 1"))
+    return rejects.select("paper_id", "model", "seq", "reason")
+
+
 @register("orphan_embeddings", O.with_(O.ENTRIES, O.papers_minus("toxic = 1"), O.PE) + """
 SELECT paper_id, model FROM pe WHERE paper_id NOT IN (SELECT arxiv_id FROM papers)""")
 def orphan_embeddings(spark: SparkSession, sf: str) -> DataFrame:
@@ -520,6 +552,18 @@ def fielded_search(spark: SparkSession, sf: str) -> DataFrame:
     return e.where(pred).select("arxiv_id", "title")
 
 
+@register("search_page", O.with_(O.ENTRIES) + f"""
+SELECT arxiv_id, title, """ + O.iso("updated") + f""" AS updated FROM entries
+WHERE contains(translate(title, {_AZ}), 'é') AND NOT list_contains(categories, 'src1')
+ORDER BY updated DESC, arxiv_id DESC LIMIT 25 OFFSET 5""")
+def search_page(spark: SparkSession, sf: str) -> DataFrame:
+    """F3 + S3: title:é ANDNOT cat:src1, newest update first, entries 6 to 30
+    (the page is the feature)."""
+    e = LK.search_papers(TB.paper_entries(spark, sf), LK.field.title("é") & ~LK.field.category("src1"),
+                         sort_by="updated", start=5, max_results=25)
+    return e.select("arxiv_id", "title", _iso("updated").alias("updated"))
+
+
 @register("corpus_coverage", O.with_(O.ENTRIES, O.PAPERS, O.PE) + """
 SELECT (SELECT count(*) FROM papers) AS papers, (SELECT count(*) FROM pe WHERE model = 'm1') AS embedded""")
 def corpus_coverage(spark: SparkSession, sf: str) -> DataFrame:

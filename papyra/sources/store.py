@@ -1,210 +1,92 @@
-"""Versioned Parquet snapshots of the six tables, switched by one manifest.
-
-Parquet tables cannot be merged in place and a path being read cannot be
-overwritten, so every commit writes the changed tables to new version
-directories ``<root>/<table>/v=<n>/`` and then replaces the small manifest
-``<root>/_manifest.json`` by an atomic rename.  Readers resolve the manifest
-first, so all tables switch together (the foreign-key rules hold across
-them) and a crashed commit leaves the previous snapshot in force.  The
-manifest also records the applied ingest batch ids, which makes replays of
-a micro-batch no-ops.  Single writer assumed.
-
-Paper-keyed tables are hash-bucketed by paper id and the author dimension
-by name (``bucket=<b>`` directories, version tracked per bucket): a batch
-reads and rewrites only the buckets its papers and names fall in, so the
-cost of a commit follows the batch, not the corpus.  The author id counter
-is kept in the manifest.  Vectors are further partitioned by ``model`` so
-reading one model prunes files.  The category dimension is bucketed by code
-the same way.
+"""The six tables as plain Parquet, one directory per ingest batch.
+
+A batch writes only its own rows, under ``<root>/<table>/feed=<f>/batch=<n>/``,
+and last a one-row marker under ``<root>/_batches``.  Readers join the markers,
+so a batch is seen whole or not at all; a crash between any two writes leaves
+the earlier batches as they were, and the retry overwrites its own directories.
+A batch is known by its feed and number: feeds never shadow each other, and a
+replay at any later time is a no-op.  Nothing is rewritten: reading resolves the
+latest (or first) row per key by the order of the markers.  One writer at a time.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from papyra.operators import upsert as U
 from papyra.schemas import TABLE_SCHEMAS
 
-MANIFEST = "_manifest.json"
-PARTITION_BY = {"paper_embeddings": ["model"]}
-# bucketed tables and their key column: paper-keyed tables by paper id, the
-# dimensions by their natural key
-BUCKETED = {"papers": "arxiv_id", "paper_authors": "paper_id", "paper_categories": "paper_id",
-            "paper_embeddings": "paper_id", "authors": "name", "categories": "code"}
-PAPER_KEYED = ("papers", "paper_authors", "paper_categories", "paper_embeddings")
-# Buckets per table: a batch rewrites at most one bucket per distinct key
-# hash, so more buckets keep small batches cheap on a large corpus.  Fixed
-# per store at its first commit (recorded in the manifest).
-DEFAULT_BUCKETS = 1024
-
-
-def bucket_of(key, n_buckets: int = DEFAULT_BUCKETS) -> F.Column:
-    return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(int(n_buckets)))
-
-
-class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, n_buckets: int = DEFAULT_BUCKETS):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.n_buckets = int(self.manifest().get("n_buckets", n_buckets))
-
-    def bucket_of(self, key) -> F.Column:
-        return bucket_of(key, self.n_buckets)
-
-    # -- manifest -----------------------------------------------------------------
-    def manifest(self) -> dict:
-        p = self._Path(f"{self.root}/{MANIFEST}")
-        if not self._fs.exists(p):
-            return {"version": 0, "tables": {}, "applied_batches": []}
-        stream = self._fs.open(p)
-        try:
-            reader = self.spark.sparkContext._jvm.java.io.BufferedReader(
-                self.spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            lines = []
-            line = reader.readLine()
-            while line is not None:
-                lines.append(line)
-                line = reader.readLine()
-        finally:
-            stream.close()
-        return json.loads("\n".join(lines))
-
-    def _write_manifest(self, m: dict) -> None:
-        tmp = self._Path(f"{self.root}/{MANIFEST}.tmp-{m['version']}")
-        out = self._fs.create(tmp, True)
-        try:
-            out.write(bytearray(json.dumps(m, sort_keys=True).encode("utf-8")))
-        finally:
-            out.close()
-        final = self._Path(f"{self.root}/{MANIFEST}")
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        if not self._fs.rename(tmp, final):
-            raise OSError(f"could not publish manifest {m['version']}")
-
-    # -- tables ---------------------------------------------------------------------
-    def _parts(self, entry, buckets=None) -> dict[str, str]:
-        """Part key -> relative dir.  Keys are "<bucket>" or, for tables
-        partitioned by model, "<model>/<bucket>"."""
-        keep = None if buckets is None else {str(b) for b in buckets}
-        return {k: rel for k, rel in sorted(entry["parts"].items())
-                if keep is None or k.rsplit("/", 1)[-1] in keep}
-
-    def tables(self, buckets=None) -> dict[str, DataFrame]:
-        """The current snapshot; empty tables where nothing was written yet.
-        ``buckets``: a list (applies to the paper-keyed tables) or a dict
-        table -> list; those tables then hold only the listed buckets."""
-        buckets = self._bucket_map(buckets)
-        m = self.manifest()
-        out = {}
-        for name, schema in TABLE_SCHEMAS.items():
-            entry = m["tables"].get(name)
-            empty = self.spark.createDataFrame([], schema)
-            if entry is None:
-                out[name] = empty
-            elif "path" in entry:
-                out[name] = self.spark.read.schema(schema).parquet(f"{self.root}/{entry['path']}") \
-                    .select(*schema.fieldNames())
-            else:
-                parts = self._parts(entry, buckets.get(name))
-                by_model: dict = {}
-                for k, rel in parts.items():
-                    by_model.setdefault(k.rsplit("/", 1)[0] if "/" in k else None, []).append(
-                        f"{self.root}/{rel}")
-                df = empty
-                for model, paths in sorted(by_model.items(), key=lambda kv: str(kv[0])):
-                    if model is None:
-                        part = self.spark.read.schema(schema).parquet(*paths)
-                    else:
-                        inner = type(schema)([f for f in schema.fields if f.name != "model"])
-                        part = self.spark.read.schema(inner).parquet(*paths).withColumn("model", F.lit(model))
-                    df = df.unionByName(part.select(*schema.fieldNames()))
-                out[name] = df
-        return out
-
-    @staticmethod
-    def _bucket_map(buckets) -> dict:
-        if buckets is None:
-            return {}
-        if isinstance(buckets, dict):
-            return dict(buckets)
-        return {t: list(buckets) for t in PAPER_KEYED}
-
-    def counter(self, name: str) -> int:
-        return int(self.manifest().get("counters", {}).get(name, 0))
-
-    def applied(self, batch_id) -> bool:
-        return batch_id is not None and str(batch_id) in self.manifest()["applied_batches"]
-
-    def _leaf_dirs(self, rel: str, by_model: bool) -> dict[str, str]:
-        base = self._Path(f"{self.root}/{rel}")
-        if not self._fs.exists(base):
-            return {}
-        out = {}
-        tops = [st.getPath().getName() for st in self._fs.listStatus(base) if st.isDirectory()]
-        for top in tops:
-            if by_model and top.startswith("model="):
-                sub = self._Path(f"{self.root}/{rel}/{top}")
-                for st in self._fs.listStatus(sub):
-                    name = st.getPath().getName()
-                    if st.isDirectory() and name.startswith("bucket="):
-                        out[f"{top.split('=', 1)[1]}/{name.split('=', 1)[1]}"] = f"{rel}/{top}/{name}"
-            elif not by_model and top.startswith("bucket="):
-                out[top.split("=", 1)[1]] = f"{rel}/{top}"
-        return out
-
-    def commit(self, tables: dict[str, DataFrame], batch_id=None, changed=None, buckets=None,
-               counters: dict | None = None) -> int:
-        """Write the changed tables as the next version and publish it.
-
-        Version directories are private until the manifest names them, so a
-        commit retried after a crash simply overwrites its own leftovers.
-
-        Tables not in ``changed`` (default: all given) keep their files.  With
-        ``buckets``, the given paper-keyed tables hold exactly the new content
-        of those buckets; other buckets keep their files."""
-        m = self.manifest()
-        version = m["version"] + 1
-        bmap = self._bucket_map(buckets)
-        for name, df in tables.items():
-            if changed is not None and name not in changed and name in m["tables"]:
-                continue
-            rel = f"{name}/v={version}"
-            if name in BUCKETED:
-                cols = [*PARTITION_BY.get(name, []), "bucket"]
-                # all rows of a bucket in one task: one new file per bucket
-                df.withColumn("bucket", self.bucket_of(BUCKETED[name])).repartition(*cols).write \
-                    .mode("overwrite").partitionBy(*cols).parquet(f"{self.root}/{rel}")
-                entry = m["tables"].get(name)
-                tb = bmap.get(name)
-                parts = dict(entry["parts"]) if entry and "parts" in entry and tb is not None else {}
-                gone = {str(x) for x in tb} if tb is not None else set()
-                parts = {k: v for k, v in parts.items() if k.rsplit("/", 1)[-1] not in gone}
-                parts.update(self._leaf_dirs(rel, by_model=name in PARTITION_BY))
-                m["tables"][name] = {"parts": parts}
-            else:
-                w = df.write.mode("overwrite")
-                if name in PARTITION_BY:
-                    w = w.partitionBy(*PARTITION_BY[name])
-                w.parquet(f"{self.root}/{rel}")
-                m["tables"][name] = {"path": rel}
-        m["version"] = version
-        m["n_buckets"] = self.n_buckets
-        if counters:
-            m.setdefault("counters", {}).update({k: int(v) for k, v in counters.items()})
-        if batch_id is not None:
-            m["applied_batches"] = (m["applied_batches"] + [str(batch_id)])[-10000:]
-        self._write_manifest(m)
-        return version
-
-    def compact(self, names=None) -> int:
-        """Rewrite whole tables into one new version (one file per bucket),
-        folding the files that per-batch commits accumulate."""
-        names = list(names or self.manifest()["tables"])
-        current = self.tables()
-        return self.commit({n: current[n] for n in names}, changed=set(names))
+BATCHES = "feed string, batch long, batch_no long, new_count long, updated_count long, rejected long, max_author_id long"
+
+
+class BatchStore:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def path(self, table: str, feed: str, batch: int) -> str:
+        return f"{self.root}/{table}/feed={feed}/batch={int(batch)}"
+
+    def _exists(self, path: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def batches(self) -> DataFrame:
+        """One row per committed batch, with its counts."""
+        at = f"{self.root}/_batches"
+        if not self._exists(at):
+            return self.spark.createDataFrame([], BATCHES)
+        return self.spark.read.schema(BATCHES).option("basePath", at).parquet(at)
+
+    def applied(self, feed: str, batch: int) -> bool:
+        return not self.batches().where((F.col("feed") == feed) & (F.col("batch") == int(batch))).isEmpty()
+
+    def rows(self, table: str, but: tuple[str, int] | None = None) -> DataFrame:
+        """All committed rows of a table, with their batch_no.  ``but``: a batch that is
+        being written; leftovers of an earlier attempt are then not even listed."""
+        schema, at = TABLE_SCHEMAS[table], f"{self.root}/{table}"
+        done = self.batches().select("feed", "batch", "batch_no")
+        if not self._exists(at):
+            return self.spark.createDataFrame([], schema).withColumn("batch_no", F.lit(0).cast("long"))
+        full = T.StructType([*schema.fields, T.StructField("feed", T.StringType()), T.StructField("batch", T.LongType())])
+        raw = self.spark.read.schema(full).option("basePath", at).parquet(at)
+        if but is not None:
+            raw = raw.where((F.col("feed") != but[0]) | (F.col("batch") != int(but[1])))
+        return raw.join(done, ["feed", "batch"]).select(*schema.fieldNames(), "batch_no")
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The current tables; empty where nothing was written yet."""
+        papers, links = self.rows("papers"), self.rows("paper_authors")
+        cols = [c for c in U.PAPER_COLS if c != "arxiv_id"]
+        first = papers.groupBy("arxiv_id").agg(F.min_by("ingested_at", "batch_no").alias("ingested_at"))
+        last = U.latest_per_key(papers, ["arxiv_id"], cols, "batch_no").join(first, "arxiv_id")
+        vectors = U.latest_per_key(self.rows("paper_embeddings"), ["paper_id", "model"], ["embedding", "dim", "created_at"], "batch_no")
+        found = {
+            "papers": last,
+            "categories": self.rows("categories").select("code").distinct(),
+            "paper_categories": self.rows("paper_categories").select("paper_id", "category_code").distinct(),
+            "authors": self.rows("authors"),
+            "paper_authors": links.groupBy("paper_id", "author_id").agg(F.min_by("author_order", "batch_no").alias("author_order")),
+            "paper_embeddings": vectors,
+        }
+        return {name: found[name].select(*schema.fieldNames()) for name, schema in TABLE_SCHEMAS.items()}
+
+    def write(self, table: str, rows: DataFrame, feed: str, batch: int) -> None:
+        """Rows of a batch not yet committed; vectors in a directory per model."""
+        out = rows.select(*TABLE_SCHEMAS[table].fieldNames()).write.mode("overwrite")
+        (out.partitionBy("model") if table == "paper_embeddings" else out).parquet(self.path(table, feed, batch))
+
+    def written(self, table: str, feed: str, batch: int) -> DataFrame:
+        return self.spark.read.schema(TABLE_SCHEMAS[table]).parquet(self.path(table, feed, batch))
+
+    def commit(self, feed: str, batch: int, new_count: int = 0, updated_count: int = 0, rejected: int = 0,
+               max_author_id: int = 0) -> dict:
+        """Publish the batch's rows; returns its counts."""
+        number = (self.batches().agg(F.max("batch_no")).first()[0] or 0) + 1
+        row = {"batch_no": number, "new_count": new_count, "updated_count": updated_count, "rejected": rejected,
+               "max_author_id": max_author_id}
+        kind = T.StructType([T.StructField(c, T.LongType()) for c in row])
+        self.spark.createDataFrame([tuple(row.values())], kind).coalesce(1).write.mode("overwrite").parquet(
+            self.path("_batches", feed, batch))
+        return row

@@ -1,86 +1,97 @@
-"""Incremental ingest: landed Atom files -> validated papers -> snapshot.
-
-A file stream (Spark's XML source) delivers at most ``files_per_trigger``
-new files per micro-batch; each micro-batch is normalised, validated (bad
-entries go to a quarantine folder), merged into the current snapshot by the
-set-based upserts and committed as one new snapshot version.  Optionally the
-new papers are embedded in the same commit.  The stream checkpoint records
-which files were consumed and the snapshot manifest records which batch ids
-were applied, so a restart after a failure neither loses nor repeats a batch.
+"""Incremental ingest: landed Atom files -> validated papers -> tables.
+
+A file stream (Spark's XML source) delivers at most ``files_per_trigger`` new
+files per micro-batch; each is normalised, validated (bad entries go to the
+rejects of the batch) and appended to the store as one batch.  The stream's
+checkpoint records which files were consumed, the store which batches of which
+stream were applied, so a restart neither loses nor repeats a batch, and several
+streams may feed one store.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.functions.text import document_text
+from papyra.operators import embed as E
+from papyra.operators import lookup
 from papyra.operators import normalize as N
 from papyra.operators import upsert as U
-from papyra.sources.atom import stream_atom
-from papyra.sources.store import SnapshotStore
+from papyra.sources.atom import read_atom, stream_atom
+from papyra.sources.store import BatchStore
 
 
 def _utc_now() -> str:
     return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ", timespec="seconds")
 
 
-def apply_entries(store: SnapshotStore, entries: DataFrame, batch_id, batch_ts: str,
-                  embed_model: str | None = None, encoder_factory=None) -> int | None:
-    """Normalise, validate and merge one batch of raw entries; commit."""
-    if store.applied(batch_id):
+def apply_entries(store: BatchStore, entries: DataFrame, feed: str, batch: int, batch_ts: str,
+                  embed_model: str | None = None, encoder_factory=E.HashingEncoder) -> dict | None:
+    """Normalise, validate and append one batch of raw entries; its counts
+    (new_count, updated_count, rejected), or None if it was applied before."""
+    if store.applied(feed, batch):
         return None
     spark = entries.sparkSession
-    # arrival order inside the batch: deterministic for a given file split
+    # arrival order inside the batch, fixed once: every table below reads the same rows
     papers = N.normalize_entries(entries, keep=(F.monotonically_increasing_id().alias("seq"),))
-    valid, rejects = N.validate_papers(papers, extra_required=("seq",))
-    # fix the arrival numbers once: every table below reads the same rows
-    from papyra.session import checkpoint_dir
-    checkpoint_dir(spark)
-    valid = valid.checkpoint(eager=True)
-    rejects.withColumn("batch_id", F.lit(str(batch_id))).write.mode("append").parquet(
-        f"{store.root}/_rejects")
-    # only the buckets this batch's papers fall in are read and rewritten
-    from papyra.sources.store import PAPER_KEYED
-    touched = [r[0] for r in valid.select(store.bucket_of("arxiv_id").alias("b")).distinct().collect()]
-    names = valid.select(F.explode("authors").alias("name"))
-    touched_names = [r[0] for r in names.select(store.bucket_of("name").alias("b")).distinct().collect()]
-    codes = valid.select(F.explode("categories").alias("code"))
-    touched_codes = [r[0] for r in codes.select(store.bucket_of("code").alias("b")).distinct().collect()]
-    buckets = {**{t: touched for t in PAPER_KEYED}, "authors": touched_names, "categories": touched_codes}
-    current = store.tables(buckets=buckets)
+    staged = store.path("_staged", feed, batch)
+    papers.write.mode("overwrite").parquet(staged)
+    valid, rejects = N.validate_papers(spark.read.schema(papers.schema).parquet(staged), extra_required=("seq",))
+    rejects.write.mode("overwrite").parquet(store.path("_rejects", feed, batch))
     ts = F.lit(batch_ts).cast("timestamp_ntz")
-    id_base = store.counter("author_id")
-    nxt = U.apply_batch(current, valid, ts, author_id_base=id_base)
-    # links and vectors only for papers that exist (FK rule)
-    if embed_model is not None:
-        from papyra.operators.embed import HashingEncoder, embed_missing
-        nxt["paper_embeddings"] = embed_missing(nxt["papers"], current["paper_embeddings"], embed_model, ts,
-                                                encoder_factory or HashingEncoder)
-    changed = {"papers", "categories", "paper_categories", "authors", "paper_authors"}
+    none = U.empty_tables(spark)
+    counts = U.upsert_counts(store.rows("papers", (feed, batch)).select("arxiv_id").distinct(), valid).first()
+
+    store.write("papers", U.upsert_papers(none["papers"], valid, ts), feed, batch)
+    store.write("categories", U.upsert_categories(none["categories"], valid), feed, batch)
+    store.write("paper_categories", U.upsert_paper_categories(none["paper_categories"], valid), feed, batch)
+    # the batch's names: those known keep their ids, new ones are numbered on
+    names = valid.select(F.explode("authors").alias("name")).distinct()
+    known = store.rows("authors", (feed, batch)).select("author_id", "name").join(names, "name", "left_semi").select("author_id", "name")
+    base = store.batches().agg(F.max("max_author_id")).first()[0] or 0
+    store.write("authors", U.upsert_authors(known, valid, base).join(known, "name", "left_anti"), feed, batch)
+    fresh = store.written("authors", feed, batch)
+    store.write("paper_authors", U.upsert_paper_authors(none["paper_authors"], known.unionByName(fresh), valid), feed, batch)
     if embed_model is not None:
-        changed.add("paper_embeddings")
-    nxt["authors"] = nxt["authors"].persist()
-    top = nxt["authors"].agg(F.max("author_id")).collect()[0][0]
-    version = store.commit(nxt, batch_id=batch_id, changed=changed, buckets=buckets,
-                           counters={"author_id": max(id_base, top or 0)})
-    nxt["authors"].unpersist()
-    spark.catalog.clearCache()
-    return version
+        todo = lookup.papers_missing_embedding(store.written("papers", feed, batch), store.rows("paper_embeddings", (feed, batch)), embed_model)
+        vecs = E.encode(todo.select("arxiv_id", document_text("title", "abstract").alias("text")), "text", "arxiv_id", encoder_factory)
+        rows = vecs.select(F.col("arxiv_id").alias("paper_id"), F.lit(embed_model).alias("model"), "embedding", F.lit(0).cast("long").alias("seq"))
+        made, _ = U.upsert_embeddings(none["paper_embeddings"], rows, ts, papers=store.written("papers", feed, batch))
+        store.write("paper_embeddings", made, feed, batch)
+    top = fresh.agg(F.max("author_id")).first()[0]
+    return store.commit(feed, batch, counts["new_count"], counts["updated_count"], rejects.count(), max(base, top or 0))
+
+
+def ingest_files(spark: SparkSession, landing_dir: str, store_root: str, feed: str, batch: int,
+                 max_total: int | None = None, clock=_utc_now, **how) -> dict | None:
+    """One bulk ingest of the files landed so far, of at most ``max_total``
+    entries in the order of file and place."""
+    entries = read_atom(spark, landing_dir)
+    if max_total is not None:
+        entries = (entries.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
+                   .orderBy("_file", "_at").limit(max_total).drop("_file", "_at"))
+    return apply_entries(BatchStore(spark, store_root), entries, feed, batch, clock(), **how)
+
+
+def stream_id(spark: SparkSession, checkpoint_location: str) -> str:
+    """The id that Spark gave this checkpoint's stream, for good."""
+    return json.loads(spark.read.text(f"{checkpoint_location}/metadata").first()[0])["id"]
 
 
 def ingest_stream(spark: SparkSession, landing_dir: str, store_root: str, checkpoint_location: str,
-                  files_per_trigger: int = 100, embed_model: str | None = None, encoder_factory=None,
+                  files_per_trigger: int = 100, embed_model: str | None = None, encoder_factory=E.HashingEncoder,
                   clock=_utc_now):
     """Run the ingest stream over everything landed so far, then stop
     (availableNow).  Returns the finished StreamingQuery."""
-    store = SnapshotStore(spark, store_root)
+    store = BatchStore(spark, store_root)
 
     def each(batch_df: DataFrame, batch_id: int) -> None:
-        if batch_df.isEmpty():
-            return
-        apply_entries(store, batch_df, f"stream-{batch_id}", clock(), embed_model, encoder_factory)
+        if not batch_df.isEmpty():
+            apply_entries(store, batch_df, stream_id(spark, checkpoint_location), batch_id, clock(), embed_model, encoder_factory)
 
     q = (stream_atom(spark, landing_dir, files_per_trigger).writeStream
          .foreachBatch(each)

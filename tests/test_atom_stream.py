@@ -2,12 +2,13 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from papyra.operators.normalize import normalize_entries, validate_papers
 from papyra.sources.atom import read_atom
-from papyra.sources.store import SnapshotStore
-from papyra.streaming.ingest import ingest_stream
+from papyra.sources.store import BatchStore
+from papyra.streaming.ingest import ingest_files, ingest_stream
 
 HEAD = ('<?xml version="1.0" encoding="UTF-8"?>\n<feed xmlns="http://www.w3.org/2005/Atom" '
         'xmlns:arxiv="http://arxiv.org/schemas/atom">\n')
@@ -79,60 +80,79 @@ def test_stream_equals_batch_and_rerun_is_noop(spark, tmp_dir):
     ckpt = os.path.join(tmp_dir, "ckpt")
     ingest_stream(spark, landing, store_root, ckpt, files_per_trigger=1, embed_model="hash",
                   clock=lambda: "2024-09-01 00:00:00")
-    store = SnapshotStore(spark, store_root)
+    store = BatchStore(spark, store_root)
     t = store.tables()
     papers = {r.arxiv_id: r for r in t["papers"].collect()}
     assert len(papers) == 13
     assert papers["2401.00000v1"].title == "Renamed"
     assert "2401.00000v2" in papers
     assert t["paper_embeddings"].where(F.col("model") == "hash").count() == 13
-    assert t["authors"].count() == 4 + 3 + 1  # A0..A3, B0..B2, Ann
     authors = t["authors"].collect()
-    assert len({a.author_id for a in authors}) == len({a.name for a in authors}) == len(authors)
+    assert sorted(a.name for a in authors) == ["A0", "A1", "A2", "A3", "Ann", "B0", "B1", "B2"]
+    assert sorted(a.author_id for a in authors) == list(range(1, 9))
     assert t["paper_authors"].join(t["authors"], "author_id", "left_anti").count() == 0
-    assert store.counter("author_id") == max(a.author_id for a in authors)
     assert sorted(r.code for r in t["categories"].collect()) == ["cs.CL", "cs.LG"]
-    m = store.manifest()
-    v = m["version"]
-    assert v == 4  # one snapshot per file (files_per_trigger=1)
-    # the last file held two papers: only their buckets were rewritten in v=4
-    last = [b for b, rel in m["tables"]["papers"]["parts"].items() if rel.startswith("papers/v=4/")]
-    assert 1 <= len(last) <= 2
-    assert len(m["tables"]["papers"]["parts"]) > len(last)
-    # compaction rewrites every table into one version with the same content
-    before = {n: sorted(store.tables()[n].drop("ingested_at", "created_at").collect()) for n in ("papers", "authors")}
-    store.compact()
-    m2 = store.manifest()
-    assert all(rel.startswith("papers/v=5/") for rel in m2["tables"]["papers"]["parts"].values())
-    for n, rows in before.items():
-        assert sorted(store.tables()[n].drop("ingested_at", "created_at").collect()) == rows
-    v = m2["version"]
-    # rerun on the same checkpoint: nothing new, no new version
+    done = store.batches().orderBy("batch_no").collect()
+    assert [(r.new_count, r.updated_count) for r in done] == [(4, 0), (4, 0), (4, 0), (1, 1)]
+    # rerun on the same checkpoint: nothing new
     ingest_stream(spark, landing, store_root, ckpt, files_per_trigger=1)
-    assert store.manifest()["version"] == v
+    assert store.batches().count() == 4
     # the streamed result equals one batch over all files
     batch = normalize_entries(read_atom(spark, landing)).select("arxiv_id").distinct().count()
     assert batch == 13
 
 
-def test_commit_crash_then_retry(spark, tmp_dir, monkeypatch):
-    from papyra.sources import testbed as TB
-    store = SnapshotStore(spark, os.path.join(tmp_dir, "store"))
-    papers = TB.papers(spark, "/root/testdata/sf0.001")
-    store.commit({"papers": papers}, batch_id="b1")
-
-    def boom(m):
-        raise OSError("crash before publish")
-    monkeypatch.setattr(store, "_write_manifest", boom)
-    try:
-        store.commit({"papers": papers.where("arxiv_id < '00000010'")}, batch_id="b2")
-    except OSError:
-        pass
+@pytest.mark.parametrize("table", ["categories", "authors", "paper_authors", "_commit"])
+def test_crash_between_any_two_writes(spark, tmp_dir, monkeypatch, table):
+    landing = os.path.join(tmp_dir, "landing")
+    os.makedirs(landing)
+    write_feed(os.path.join(landing, "f.xml"), [entry(1), entry(2, authors=("Bob",))])
+    root = os.path.join(tmp_dir, "store")
+    assert ingest_files(spark, landing, root, "a", 0)["new_count"] == 2
+    landing = os.path.join(tmp_dir, "later")
+    os.makedirs(landing)
+    write_feed(os.path.join(landing, "g.xml"), [entry(3, authors=("Cid", "Ann")), entry(1, title="Renamed")])
+    name = "commit" if table == "_commit" else "write"
+    kept = getattr(BatchStore, name)
+
+    def boom(self, *a, **k):
+        if name == "commit" or a[0] == table:
+            raise OSError("crash")
+        return kept(self, *a, **k)
+
+    monkeypatch.setattr(BatchStore, name, boom)
+    with pytest.raises(OSError):
+        ingest_files(spark, landing, root, "a", 1)
     monkeypatch.undo()
-    # the crashed attempt is invisible: still version 1, all papers
-    assert store.manifest()["version"] == 1 and not store.applied("b2")
-    assert store.tables()["papers"].count() == papers.count()
-    # the retry reuses the unpublished version number and succeeds
-    store.commit({"papers": papers.where("arxiv_id < '00000010'")}, batch_id="b2")
-    assert store.manifest()["version"] == 2 and store.applied("b2")
-    assert store.tables()["papers"].count() == 10
+    store = BatchStore(spark, root)
+    assert {r.title for r in store.tables()["papers"].collect()} == {"A title"} and store.tables()["papers"].count() == 2
+    assert ingest_files(spark, landing, root, "a", 1)["new_count"] == 1
+    assert ingest_files(spark, landing, root, "a", 1) is None
+    t = store.tables()
+    assert {r.arxiv_id[:10]: r.title for r in t["papers"].collect()} == {
+        "2401.00001": "Renamed", "2401.00002": "A title", "2401.00003": "A title"}
+    assert {r.name: r.author_id for r in t["authors"].collect()} == {"Ann": 1, "Bob": 2, "Cid": 3}
+
+
+def test_two_feeds_into_one_store(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "store")
+    for f in range(2):
+        landing = os.path.join(tmp_dir, f"landing{f}")
+        os.makedirs(landing)
+        write_feed(os.path.join(landing, "x.xml"), [entry(10 * f + j) for j in range(2)])
+        ingest_stream(spark, landing, root, os.path.join(tmp_dir, f"ckpt{f}"))
+    store = BatchStore(spark, root)
+    assert store.tables()["papers"].count() == 4 and store.batches().count() == 2
+
+
+def test_bad_date_is_quarantined_and_total_is_capped(spark, tmp_dir):
+    landing = os.path.join(tmp_dir, "landing")
+    os.makedirs(landing)
+    bad = entry(2).replace("<published>2024-01-01T09:30:12Z", "<published>soon")
+    write_feed(os.path.join(landing, "a.xml"), [entry(1), bad, entry(3)])
+    write_feed(os.path.join(landing, "b.xml"), [entry(4)])
+    root = os.path.join(tmp_dir, "store")
+    got = ingest_files(spark, landing, root, "bulk", 0, max_total=3)
+    assert (got["new_count"], got["rejected"]) == (2, 1)
+    rejects = spark.read.parquet(os.path.join(root, "_rejects"))
+    assert [r.reasons for r in rejects.collect()] == [["published is null"]]

@@ -45,20 +45,23 @@ def test_pushed_filter_and_pruned_columns(spark):
 
 
 def test_store_reads_only_one_models_files(spark, tmp_dir):
-    from papyra.sources.store import SnapshotStore
-    store = SnapshotStore(spark, os.path.join(tmp_dir, "store"))
-    store.commit({"paper_embeddings": TB.paper_embeddings(spark, SF)})
+    from papyra.sources.store import BatchStore
+    store = BatchStore(spark, os.path.join(tmp_dir, "store"))
+    store.write("paper_embeddings", TB.paper_embeddings(spark, SF), "f", 0)
+    assert store.rows("paper_embeddings").count() == 0
+    store.commit("f", 0)
     pe = store.tables()["paper_embeddings"]
     assert pe.count() == TB.paper_embeddings(spark, SF).count()
-    txt = plan(V.vectors_of(pe, "m2"))
-    assert "model=m2" in txt and "model=m1" not in txt
-    # a later commit that touches a few buckets keeps every other bucket's files
-    few = TB.paper_embeddings(spark, SF).where("paper_id < '00000003'")
-    touched = [r[0] for r in few.select(store.bucket_of("paper_id")).distinct().collect()]
-    keep = store.tables(buckets=None)["paper_embeddings"]
-    part = keep.where(store.bucket_of("paper_id").isin(touched))
-    store.commit({"paper_embeddings": part}, buckets=touched)
-    assert store.tables()["paper_embeddings"].count() == pe.count()
+    files = store.rows("paper_embeddings").where("model = 'm2'").select(F.input_file_name().alias("f")).distinct().collect()
+    assert files and all("model=m2" in r.f for r in files)
+
+
+def test_hybrid_makes_no_pair_table(spark):
+    from papyra.operators import hybrid as H
+    h = H.search_hybrid(TB.papers(spark, SF), TB.paper_embeddings(spark, SF), TB.questions(spark, SF), "m1")
+    txt = plan(h)
+    assert txt.count("FlatMapCoGroupsInArrow") >= 2
+    assert "CartesianProduct" not in txt and "BroadcastNestedLoopJoin" not in txt
 
 
 def test_pair_sampler_keeps_partial_limit(spark):
