@@ -10,14 +10,14 @@ consistent with the total order, bucket sizes are counted (a small aggregate),
 their running offsets are summed, and rows are numbered inside buckets only:
 
   coarse bucket  cb  = monotone function of the score (e.g. 2^20 score bins)
-  tie groups         = (cb, exact score, id prefix p1), then id prefix p2 --
+  tie groups         = (cb, exact score, outer id range), then inner id range --
                        a hot exact tie is split by id range, twice
-  rank = offset(cb) + offset(score, p1 within cb) + offset(p2 within that)
-         + row number in the finest group
+  rank = offset(cb) + offset(score, outer range within cb) + offset(inner range
+         within that) + row number in the finest group
 
 Each offset table has one row per group and is windowed within the next
-coarser group only, so no task ever holds more than one group's rows.  The
-prefix lengths start past the prefix all ids share.
+coarser group only, so no task ever holds more than one group's rows.  The id
+ranges are cut where a sample of the ids says they are of equal size.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COARSE_BINS = 1 << 19      # bins per unit of a bounded similarity score
-ID_STEP = 3                # id characters per tie-splitting level
+SPLITS = 16                # id ranges per tie-splitting level
 RRF_K = 60                 # fixed: reciprocal-rank-fusion constant
 
 
@@ -43,40 +43,45 @@ def integer_bucket(score: Column) -> Column:
     return F.coalesce(-score.cast("long"), F.lit(1 << 62).cast("long"))
 
 
-def split_levels(df: DataFrame, id_col: str, step: int = 3) -> tuple[int, int]:
-    return _split_levels(df, id_col, step)
+def split_levels(df: DataFrame, id_col: str, splits: int = SPLITS) -> list[list[str]]:
+    """Cut points that part the ids into ``splits`` x ``splits`` ranges of about
+    equal numbers: one list per outer range, its first entry being the outer
+    cut.  They come from a fixed number of ids drawn by hash, so a few odd ids
+    cannot leave the rest in one range; uneven cuts cost time, never order."""
+    drawn = df.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(4 * splits * splits).collect()
+    ids = sorted(r[0] for r in drawn if r[0] is not None)
+    cut = [ids[i * len(ids) // (splits * splits)] if ids else "" for i in range(splits * splits)]
+    return [cut[i:i + splits] for i in range(0, len(cut), splits)]
 
 
-def _split_levels(df: DataFrame, id_col: str, step: int) -> tuple[int, int]:
-    """Prefix lengths for the two tie-splitting levels: ``step`` and
-    2 x ``step`` characters past the prefix that all ids share (from one
-    min/max aggregate), so a split never falls inside a common prefix."""
-    row = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).collect()[0]
-    lo, hi = row["lo"] or "", row["hi"] or ""
-    c = 0
-    while c < min(len(lo), len(hi)) and lo[c] == hi[c]:
-        c += 1
-    return c + step, c + 2 * step
+def _range_of(id_col: str, levels: list[list[str]]) -> tuple[Column, Column]:
+    """Outer and inner range number of an id; both follow the order of the ids."""
+    ident = F.col(id_col)
+
+    def passed(cuts: list[Column]) -> Column:
+        return sum(((c <= ident).cast("int") for c in cuts), F.lit(0))
+
+    outer = passed([F.lit(part[0]) for part in levels[1:]])
+    return outer, passed([F.get(F.lit([part[k] for part in levels]), outer) for k in range(1, len(levels[0]))])
 
 
 def exact_rank(df: DataFrame, group_cols, score_col: str, id_col: str,
                bucket_fn=similarity_bucket, rank_col: str = "rank",
-               id_step: int = ID_STEP, levels: tuple[int, int] | None = None) -> DataFrame:
+               levels: list[list[str]] | None = None) -> DataFrame:
     """Add a 0-based rank by (score desc nulls last, id asc) within groups.
 
     Offsets come from three small count tables, each windowed over a bounded
-    partition: coarse buckets per group, (exact score, id prefix p1) inside a
-    coarse bucket, and id prefix p2 inside one of those; rows are numbered
-    only inside their finest group.  ``levels``: the two prefix lengths,
-    when the caller can measure them on a cheaper frame holding the same ids
-    (see ``split_levels``)."""
+    partition: coarse buckets per group, (exact score, outer id range) inside a
+    coarse bucket, and inner id range inside one of those; rows are numbered
+    only inside their finest group.  ``levels``: the cut points, when the caller
+    can draw them from a cheaper frame holding the same ids (see
+    ``split_levels``)."""
     group_cols = list(group_cols)
-    p1, p2 = levels if levels is not None else _split_levels(df, id_col, id_step)
+    i1, i2 = _range_of(id_col, levels if levels is not None else split_levels(df, id_col))
     score = F.col(score_col)
     d = (df.withColumn("_sk", F.coalesce(score.cast("double"), F.lit(float("-inf"))))
          .withColumn("_cb", bucket_fn(score))
-         .withColumn("_i1", F.substring(F.col(id_col), 1, p1))
-         .withColumn("_i2", F.substring(F.col(id_col), 1, p2)))
+         .withColumn("_i1", F.coalesce(i1, F.lit(0))).withColumn("_i2", F.coalesce(i2, F.lit(0))))
     k1 = [*group_cols, "_cb"]
     k2 = [*k1, "_sk", "_i1"]
     k3 = [*k2, "_i2"]

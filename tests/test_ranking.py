@@ -107,11 +107,21 @@ def test_exact_rank_hot_tie_with_long_common_prefix(spark):
     rows = [(0, f"paper-2024-{i:06d}", 0.5 if rng.random() < 0.34 else float(np.round(rng.uniform(-1, 1), 4)))
             for i in range(n)]
     df = spark.createDataFrame(rows, "g long, id string, score double")
-    assert R._split_levels(df, "id", R.ID_STEP) == (16, 19)  # splits start past "paper-2024-00"
     got = R.exact_rank(df, ["g"], "score", "id")
     assert _window_rank(got, "score").where(F.col("rank") != F.col("want")).count() == 0
 
 
+def test_exact_rank_ties_split_despite_odd_ids(spark):
+    rows = [(0, f"paper-2024-{i:06d}", 0.0) for i in range(3000)] + [(0, "urn:x:1", 0.0), (0, "a", 0.0)]
+    df = spark.createDataFrame(rows, "g long, id string, score double")
+    levels = R.split_levels(df, "id", 8)
+    i1, i2 = R._range_of("id", levels)
+    sizes = [r["count"] for r in df.groupBy(i1.alias("a"), i2.alias("b")).count().collect()]
+    assert len(sizes) > 32 and max(sizes) < 300
+    got = R.exact_rank(df, ["g"], "score", "id", levels=levels)
+    assert _window_rank(got, "score").where(F.col("rank") != F.col("want")).count() == 0
+
+
 def test_pruned_hybrid_equals_full_under_ties(spark):
     import datetime as dt
     rng = np.random.default_rng(21)

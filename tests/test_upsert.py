@@ -98,3 +98,25 @@ def test_cascade_delete(spark):
         assert {r.paper_id for r in after[name].collect()} == {"p2"}
     assert after["authors"].count() == 1 and after["categories"].count() == 1
     assert U.orphans(t["paper_embeddings"], after["papers"]).count() == 1
+
+
+def test_author_ids_follow_first_appearance_whatever_the_seq(spark):
+    """Arrival numbers of far partitions neither overflow nor leave gaps."""
+    far = 16384 << 33
+    rows = [("p1", far + 1, ["B", "A"]), ("p2", 3, ["C", "A"]), ("p3", far, ["D"] * 70000 + ["E"])]
+    inc = spark.createDataFrame(rows, "arxiv_id string, seq long, authors array<string>")
+    cur = spark.createDataFrame([(7, "C")], "author_id long, name string")
+    got = {r.name: r.author_id for r in U.upsert_authors(cur, inc).collect()}
+    assert got == {"C": 7, "A": 8, "D": 9, "E": 10, "B": 11}
+
+
+def test_one_dimension_per_new_model(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    cur = spark.createDataFrame([("p1", "old", [1.0, 2.0], 2, t0)],
+                                "paper_id string, model string, embedding array<float>, dim int, created_at timestamp_ntz")
+    inc = spark.createDataFrame([("p1", "new", [1.0, 2.0, 3.0], 5), ("p2", "new", [1.0, 2.0], 6), ("p3", "old", [1.0], 7)],
+                                "paper_id string, model string, embedding array<float>, seq long")
+    nxt, rejects = U.upsert_embeddings(cur, inc, F.lit("2024-02-01").cast("timestamp_ntz"))
+    assert {(r.paper_id, r.model, r.dim) for r in nxt.collect()} == {("p1", "old", 2), ("p1", "new", 3)}
+    assert {r.paper_id for r in rejects.collect()} == {"p2", "p3"}
