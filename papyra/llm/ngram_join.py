@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm._common import written
+from papyra.llm._common import partitions, written
 from papyra.llm.chunks import answer, ask, bucket_keys, by_bucket, chunked, read
 from papyra.llm.components import components
 from papyra.llm.words import U64, as_texts, mix64, ngram_hashes, short_hashes, slices, split_words, word_hashes
 
+#: Partners of a group in the second round; it only saves pairs of the last, exact one.
+STARS = 6
 SIGNATURE = "__id long, __n int, __s1 long, __s2 long, __prefix array<long>, __body array<long>"
 
 
@@ -100,7 +103,7 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
             size = int(sizes[d])
             g, c = g[c > 0], c[c > 0]
             first = size - (percent * size + 99) // 100 + 1 - (size - len(g))
-            prefix.append(np.sort(g[np.argsort(c, kind="stable")[:first]]))
+            prefix.append(g[np.argsort(c, kind="stable")[:first]])
             body.append(g)
             plen[d], blen[d] = len(prefix[-1]), len(g)
 
@@ -123,6 +126,70 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         both * 100 >= (F.col("__na") + F.col("__nb") - both) * percent).select("a", "b")
 
 
+def settle(rows: DataFrame, place: DataFrame, classes: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """(a, b): links between parts that still share prefix shingles; enough of
+    them to join all parts that any link joins.
+
+    The part with most members at a shingle is its hub.  A link between parts
+    shares a prefix shingle, so one of its ends is an outsider of that shingle's
+    hub, and the other one is a member or an outsider of the same hub.  Outsiders
+    and members of a hub are cut into blocks by hash; each block of outsiders meets
+    each block of either in a task, which counts intersections exactly and returns
+    one link per outsider and part at most.  Sets move once per block, never as
+    pairs."""
+    at = rows.select("__e", "__gid").join(place, "__gid")
+    votes = at.groupBy("__e", "comp").agg(F.count("*").alias("__k")).groupBy("__e").agg(
+        F.max(F.struct("__k", (-F.col("comp")).alias("__h"))).alias("__x")).select("__e", (-F.col("__x.__h")).alias("__hub"))
+    roles = at.join(votes, "__e").select("__hub", "__rep", "comp").distinct().withColumn("__out", F.col("comp") != F.col("__hub"))
+    roles = written(roles, "roles")
+    sizes = roles.groupBy("__hub").agg(F.ceil(F.count_if(~F.col("__out")) / F.lit(block)).alias("__m"),
+                                       F.ceil(F.count_if("__out") / F.lit(block)).alias("__o"))
+    spot = F.xxhash64("__rep")
+    r = roles.join(sizes.where("__o > 0"), "__hub")
+    zero = F.lit(0).cast("long")
+    # left: a block of outsiders, against each block; right: a block, against each block of outsiders
+    left = r.where("__out").withColumn("__i", F.pmod(spot, "__o")).withColumn(
+        "__j", F.explode(F.sequence(zero, F.col("__m") + F.col("__o") - 1))).withColumn("__left", F.lit(True))
+    own = F.when(F.col("__out"), F.col("__m") + F.pmod(spot, F.greatest("__o", F.lit(1)))).otherwise(
+        F.pmod(spot, F.greatest("__m", F.lit(1))))
+    right = r.withColumn("__j", own).withColumn("__i", F.explode(F.sequence(zero, F.col("__o") - 1))).withColumn("__left", F.lit(False))
+    cells = left.unionByName(right).select("__rep", "comp", "__left", F.xxhash64("__hub", "__i", "__j").alias("__g"))
+    cells = cells.join(classes.select("__rep", "__n", "__body"), "__rep").withColumn(
+        "__p", F.pmod("__g", F.lit(4 * partitions(place.sparkSession))))
+
+    def judge(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("__g", "ascending"), ("__left", "descending"), ("__rep", "ascending")]).combine_chunks()
+        cell, rep, comp = t["__g"].to_numpy(), t["__rep"].to_numpy(), t["comp"].to_numpy()
+        size, is_left = t["__n"].to_numpy(), t["__left"].to_numpy(zero_copy_only=False)
+        lists = t["__body"].combine_chunks() if isinstance(t["__body"], pa.ChunkedArray) else t["__body"]
+        edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+        out = ([], [])
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            m = a + int(is_left[a:b].sum())
+            if m in (a, b):
+                continue
+            sets = lists.slice(a, b - a)
+            uniq, index = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+            ends = np.cumsum(pc.list_value_length(sets).to_numpy())
+            first, base = ends[m - a - 1], ends[m - a:] - ends[m - a - 1]
+            others, held = index[first:], np.zeros(len(uniq), bool)
+            for i in range(m - a):
+                mine = index[(ends[i - 1] if i else 0):ends[i]]
+                held[mine] = True
+                sums = np.concatenate([[0], np.cumsum(held[others])])
+                both = np.diff(sums[np.concatenate([[0], base])])
+                held[mine] = False
+                hit = np.flatnonzero((both * (100 + percent) >= percent * (size[a + i] + size[m:b])) & (comp[m:b] != comp[a + i]))
+                if len(hit):
+                    _, one = np.unique(comp[m:b][hit], return_index=True)
+                    out[0].append(np.full(len(one), rep[a + i]))
+                    out[1].append(rep[m:b][hit[one]])
+        x, y = (np.concatenate([np.zeros(0, np.int64), *c]) for c in out)
+        return pa.table({"a": x, "b": y})
+
+    return cells.groupBy("__p").applyInArrow(judge, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``.
@@ -132,12 +199,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     is the smallest id reachable.
 
     1. Equal sets collapse into one class, equal (prefix, size) into one group.
-    2. Every group is compared with one partner only, the smallest group of a
-       prefix shingle that shares most of its prefix, and every member with its
-       group's first; links found join classes into parts.
-    3. Prefix shingles whose groups are not all in one part yield the remaining
-       group pairs (size filter), which are expanded to members of different
-       parts and verified.  A link within a part would not change it, so the
+    2. Every member is compared with its group's first and with one partner of
+       its group: of the groups with most documents at a prefix shingle, the one
+       that shares most of the prefix.  Links found join classes into parts.
+       Where parts still share prefix shingles, up to STARS more partners follow.
+    3. Members of parts that still share prefix shingles are compared in blocks
+       (see ``settle``).  A link within a part would not change it, so the
        components are those of all links, and a large group of copies never
        becomes all its pairs.
 
@@ -149,40 +216,63 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sig = written(signatures(docs, k, percent, id_col, text_col), "signatures")
     key = ["__n", "__s1", "__s2"]
     near = sig.where("size(__prefix) > 0 and __id is not null")
-    classes = written(near.groupBy(*key).agg(F.min("__id").alias("__rep"), F.first("__prefix").alias("__prefix"),
+    classes = written(near.groupBy(*key).agg(F.min("__id").alias("__rep"), F.count("*").alias("__m"), F.first("__prefix").alias("__prefix"),
                                              F.first("__body").alias("__body"))
                       .withColumns({"__p1": F.xxhash64("__n", "__prefix"), "__p2": F.xxhash64(F.lit("p"), "__n", "__prefix")}),
                       "classes")
-    groups = written(classes.groupBy("__n", "__p1", "__p2").agg(F.min("__rep").alias("__gid"), F.first("__prefix").alias("__prefix")),
-                     "groups")
+    groups = written(classes.groupBy("__n", "__p1", "__p2").agg(
+        F.min("__rep").alias("__gid"), F.sum("__m").alias("__m"), F.first("__prefix").alias("__prefix")), "groups")
     members = written(classes.select("__rep", "__n", "__p1", "__p2").join(
         groups.select("__p1", "__p2", "__gid"), ["__p1", "__p2"]).select("__rep", "__n", "__gid"), "members")
-    entries = groups.select("__gid", "__n", F.explode("__prefix").alias("__e"))
-
-    centre = entries.groupBy("__e").agg(F.min(F.struct("__n", "__gid")).alias("__c"), F.count("*").alias("__m")).where("__m > 1")
-    partner = (entries.join(centre, "__e").where(F.col("__c.__gid") != F.col("__gid"))
-               .where(F.col("__c.__n") * 100 >= F.col("__n") * percent)
-               .groupBy("__gid", F.col("__c.__gid").alias("b")).agg(F.count("*").alias("__m"))
-               .groupBy("__gid").agg(F.max(F.struct("__m", "b")).alias("__x")).select(F.col("__gid").alias("a"), F.col("__x.b").alias("b")))
-    first = partner.unionByName(members.where("__rep <> __gid").select(F.col("__rep").alias("a"), F.col("__gid").alias("b")))
-    parts = components(verified(first, classes, percent))
-
-    placed = written(members.join(parts.withColumnRenamed("v", "__rep"), "__rep", "left")
-                     .withColumn("comp", F.coalesce("comp", "__rep")), "placed")
-    span = placed.groupBy("__gid", "__n").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"))
-    open_ = entries.join(span.drop("__n"), "__gid")
-    mixed = open_.groupBy("__e").agg(F.min("__lo").alias("x"), F.max("__hi").alias("y")).where("x <> y").select("__e")
-    open_ = open_.join(mixed, "__e", "left_semi")
-    x, y = open_.alias("x"), open_.alias("y")
-    group_pairs = x.join(y, F.col("x.__e") == F.col("y.__e")).where(
-        (F.col("x.__gid") < F.col("y.__gid"))
-        & (F.least("x.__n", "y.__n") * 100 >= F.greatest("x.__n", "y.__n") * percent)
-        & ((F.col("x.__lo") != F.col("x.__hi")) | (F.col("y.__lo") != F.col("y.__hi")) | (F.col("x.__lo") != F.col("y.__lo"))))
-    group_pairs = group_pairs.select(F.col("x.__gid").alias("ga"), F.col("y.__gid").alias("gb")).distinct()
-    group_pairs = group_pairs.unionByName(span.where("__lo <> __hi").select(F.col("__gid").alias("ga"), F.col("__gid").alias("gb")))
-    side = lambda s: placed.select(F.col("__gid").alias(f"g{s}"), F.col("__rep").alias(s), F.col("comp").alias(f"c{s}"))
-    pairs = group_pairs.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb and (ga <> gb or a < b)").select("a", "b")
-    late = verified(pairs, classes, percent)
+    # a shingle's place in its document's whole order: shingles of one document come first
+    own = F.col("__n") - F.floor((percent * F.col("__n") + 99) / F.lit(100)) + 1 - F.size("__prefix")
+    entries = groups.select("__gid", "__n", "__m", own.alias("__own"), F.posexplode("__prefix").alias("__at", "__e"))
+    entries = entries.withColumn("__at", F.col("__at") + F.col("__own"))
+
+    def can_link(n1, n2, at1, at2):
+        """Whether sets of these sizes that first meet at these places can be near enough."""
+        left = F.least(n1 - at1, n2 - at2)
+        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (left * (100 + percent) >= (n1 + n2) * percent)
+
+    def partners(rows: DataFrame, centres: DataFrame, most: int) -> DataFrame:
+        """(__gid, b): of the centres of a group's shingles, those that share most of them."""
+        both = rows.join(centres, "__e").where(F.col("__c.__gid") != F.col("__gid")).where(
+            can_link(F.col("__n"), F.col("__c.__n"), F.col("__at"), F.col("__c.__at")))
+        shared = both.groupBy("__gid", F.col("__c.__gid").alias("b")).agg(F.count("*").alias("__k"))
+        rank = F.row_number().over(Window.partitionBy("__gid").orderBy(F.desc("__k"), "b"))
+        return shared.withColumn("__r", rank).where(F.col("__r") <= most).select("__gid", "b")
+
+    def placed(links: DataFrame) -> DataFrame:
+        return written(members.join(links.withColumnRenamed("v", "__rep"), "__rep", "left")
+                       .withColumn("comp", F.coalesce("comp", "__rep")), "placed")
+
+    def unsettled(place: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Each group's least and greatest part, and the entries of shingles that parts share."""
+        span = place.groupBy("__gid").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"))
+        rows = entries.join(span, "__gid")
+        mixed = rows.groupBy("__e").agg(F.min("__lo").alias("x"), F.max("__hi").alias("y")).where("x <> y").select("__e")
+        return span, rows.join(mixed, "__e", "left_semi")
+
+    spot = ["__gid", "__n", "__at"]
+    centre = entries.groupBy("__e").agg(F.max(F.struct("__m", (-F.col("__gid")).alias("__o"), *spot)).alias("__c"),
+                                        F.count("*").alias("__k")).where("__k > 1").select("__e", "__c")
+    first = members.join(partners(entries, centre, 1), "__gid").select(F.col("__rep").alias("a"), "b").unionByName(
+        members.where("__rep <> __gid").select(F.col("__rep").alias("a"), F.col("__gid").alias("b")))
+    place = placed(components(verified(first, classes, percent)))
+
+    # groups of near copies without a common original: more partners, drawn by hash
+    _, rows = unsettled(place)
+    drawn = rows.groupBy("__e").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(i), "__gid").alias("__o"), *spot))
+                                              for i in range(STARS)]).alias("__c"))
+    drawn = drawn.select("__e", F.explode(F.array_distinct("__c")).alias("__c"))
+    more = partners(rows, drawn, STARS).join(place.select("__gid", F.col("__rep").alias("a"), F.col("comp").alias("ca")), "__gid").join(
+        place.select(F.col("__rep").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select("a", "b")
+    parts = components(place.where("__rep <> comp").select(F.col("__rep").alias("a"), F.col("comp").alias("b")).unionByName(
+        verified(more, classes, percent)))
+    place = placed(parts)
+
+    _, rows = unsettled(place)
+    late = settle(rows, place, classes, percent)
     links = parts.where("v <> comp").select(F.col("v").alias("a"), F.col("comp").alias("b")).unionByName(late)
     final = components(links).withColumnRenamed("v", "__rep")
 
