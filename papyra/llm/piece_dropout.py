@@ -263,7 +263,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, var
         p = pieces(model)
         for batch in batches:
             texts, variant = as_texts(batch["__text"]), batch["__variant"].to_numpy()
-            for at, some in slices(texts, 8 * SLICE_BYTES):
+            for at, some in slices(texts, 2 * SLICE_BYTES):
                 v = variant[at:at + len(some)]
                 out: list = [None] * len(some)
                 for k in np.unique(v).tolist():
