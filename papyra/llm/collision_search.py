@@ -28,8 +28,8 @@ class Block:
         rest = np.sqrt(np.maximum(0, 1 - (norm / self.scale) ** 2))
         self.axes = np.random.default_rng([seed, x.shape[1]]).normal(size=(x.shape[1] + 1, projections))
         values = (x / self.scale) @ self.axes[:-1] + rest[:, None] * self.axes[-1]
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(values, self.order.T.astype(np.int64), axis=0).T)
+        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
+        self.sorted = np.ascontiguousarray(np.take_along_axis(values, self.order.T, axis=0).T)
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int, need: int, radii: np.ndarray):
         """Yields (query, ids, scores) of at most k vectors each, best first.
@@ -50,7 +50,7 @@ class Block:
                 high[r, :, j] = np.searchsorted(self.sorted[j], centre[:, j] + radius * WIDTH / 2, "right")
         n = len(self.ids)
         for i in range(len(q)):
-            count, known = np.zeros(n, np.int16), np.zeros(n, bool)
+            count, known = np.zeros(n, np.int64), np.zeros(n, bool)
             known[self.ids == own[i]] = True
             found, score = np.zeros(0, np.int64), np.zeros(0)
             for r, radius in enumerate(radii):
@@ -62,7 +62,7 @@ class Block:
                         part += [self.order[j, a:c], self.order[j, d:b]] if d > c else [self.order[j, a:b]]
                     else:
                         part.append(self.order[j, a:b])
-                count += np.bincount(np.concatenate(part), minlength=n).astype(np.int16)
+                count += np.bincount(np.concatenate(part), minlength=n)
                 new = np.flatnonzero((count >= need) & ~known) if r + 1 < len(radii) else np.flatnonzero(~known)
                 if len(new):
                     known[new] = True
@@ -103,7 +103,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, projections: int =
     rows = good.withColumn("__b", F.pmod(spot, F.lit(nb))).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     queries = good.where(is_query).withColumn("__q", F.pmod(spot, F.lit(nq)).cast("int")).withColumn(
         "__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
-    radii = 0.35 * 1.25 ** np.arange(9)
+    radii = 0.5 * 1.6 ** np.arange(4)  # unit vectors are at most 2 apart
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
