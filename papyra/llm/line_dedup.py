@@ -13,7 +13,7 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, salts: int = 16,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with its common lines removed.
 
@@ -24,8 +24,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
 
     Distinct keys are taken within each row, so a line that a document repeats
     counts once and costs one counter; counts combine before the shuffle.  Only
-    hashes and positions are joined: a line of a third of all documents is a
-    skewed side of a plain join, which AQE splits.
+    hashes and positions are joined, salted by document: the rows of a line of a
+    third of all documents go to ``salts`` tasks, which AQE can split further.
 
     Defined cases: null and empty texts are one empty line, which is never
     dropped; a text whose lines all go becomes empty; each row counts as one
@@ -46,7 +46,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     common = (base.select(F.explode(keys).alias("__h")).groupBy(F.col("__h.a").alias("__h1"), F.col("__h.b").alias("__h2"))
               .count().where(F.col("count") >= min_docs).select("__h1", "__h2"))
 
-    gone = (hashed.join(common, ["__h1", "__h2"], "left_semi").groupBy("__k1", "__k2")
+    hashed = hashed.withColumn("__salt", F.pmod("__k1", F.lit(salts)).cast("int"))
+    common = common.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    gone = (hashed.join(common, ["__h1", "__h2", "__salt"], "left_semi").groupBy("__k1", "__k2")
             .agg(F.sort_array(F.collect_set("__pos")).alias("__gone")))
     # lines between two dropped positions stay together: one slice each, in order
     cuts = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size("__lines")))
