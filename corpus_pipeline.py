@@ -14,13 +14,14 @@ from papyra.llm import line_dedup, mixing, ngram_join, piece_dropout, toxicity
 from papyra.llm._common import scratch_path, table
 from papyra.session import ship_package
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: ``copy`` tells the rows apart that the mix makes of one document; it is 1 before.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "copy"]
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar, learned from ``labels``, scores at 0.5 or more go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic")
-    return toxicity.keep_clean(docs.select(*COLUMNS), model, cut=0.5)
+    return toxicity.keep_clean(docs.withColumn("copy", F.lit(1)).select(*COLUMNS), model, cut=0.5)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +37,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0, 1 or 2 rows."""
-    return mixing.mix(docs.select(*COLUMNS))
+    """Each document as often as the mix takes it: 0, 1 or 2 rows, numbered in ``copy``."""
+    return mixing.mix(docs.select(*COLUMNS), copy_col="copy")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The merge-dropout ids of every row."""
+    """The merge-dropout ids of every row, drawn anew for each copy."""
     ship_package(spark)
-    ids = piece_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, seed=1)
+    ids = piece_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, seed=1, copy_col="copy")
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

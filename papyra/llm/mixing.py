@@ -142,11 +142,14 @@ def entropy_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
                        "source_size", "target", F.col("__x.__c").alias("copies"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``entropy_copies`` says, columns unchanged."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        copy_col: str | None = None, **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``entropy_copies`` says, columns
+    unchanged but ``copy_col``, if named, which numbers a row's copies from 1."""
     copies = entropy_copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     k1, k2 = row_key(F.col(id_col), F.col(text_col), F.col(source_col))
     keyed = docs.withColumns({"__k1": k1, "__k2": k2})
     out = keyed.join(copies.where("copies > 0").select("__k1", "__k2", "copies").withColumnRenamed("copies", "__copies"),
                      ["__k1", "__k2"])
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), "__copies"))).select(
+        *[F.col("__i" if c == copy_col else f"`{c}`").alias(c) for c in docs.columns])

@@ -12,12 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.words import SLICE_BYTES, U64, as_texts, mix64, slices
+from papyra.llm.words import SLICE_BYTES, STEP, U64, as_texts, mix64, slices
 
 SPACE = "▁"
 EMPTY = np.int64(-1)
 NONE = np.int64(1) << 62
 LONG = 48
+MASK = (1 << 64) - 1
+#: Segments, and occurrences, that are worked on at a time.
+ROWS = 1 << 14
 
 
 class Pieces:
@@ -98,7 +101,15 @@ def skipped(key: np.ndarray, start: np.ndarray, piece: np.ndarray, cut: np.uint6
     return mix64(key + (start.astype(U64) << U64(32)) + piece.astype(U64) * U64(0xD6E8FEB86659FD93)) < cut
 
 
-def merge_one(p: Pieces, sym: list[int], key: np.uint64, cut: np.uint64) -> list[tuple[int, int]]:
+def skipped_one(key: int, start: int, piece: int, cut: int) -> bool:
+    """``skipped`` of one candidate, in plain integers."""
+    x = (key + (start << 32) + piece * 0xD6E8FEB86659FD93) & MASK
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31) < cut
+
+
+def merge_one(p: Pieces, sym: list[int], key: int, cut: int) -> list[tuple[int, int]]:
     """(piece, start) of one segment, by an agenda of candidates, best rank and
     then leftmost first."""
     n = len(sym)
@@ -118,7 +129,7 @@ def merge_one(p: Pieces, sym: list[int], key: np.uint64, cut: np.uint64) -> list
         b = nxt[a]
         if not alive[a] or sym[a] != left or b >= n or sym[b] != right:
             continue
-        if cut and skipped(np.array([key]), np.array([a]), np.array([made]), cut)[0]:
+        if cut and skipped_one(key, a, made, cut):
             continue
         sym[a], alive[b], nxt[a] = made, False, nxt[b]
         if nxt[b] < n:
@@ -129,18 +140,21 @@ def merge_one(p: Pieces, sym: list[int], key: np.uint64, cut: np.uint64) -> list
     return [(sym[i], i) for i in range(n) if alive[i]]
 
 
-def merge_all(p: Pieces, sym: np.ndarray, seg: np.ndarray, start: np.ndarray, key: np.ndarray, cut: np.uint64):
-    """(piece, segment, start) of many short segments: each round carries out the
-    agenda's first unskipped candidate of every segment that has one."""
-    done = []
+def merge_all(p: Pieces, sym: np.ndarray, seg: np.ndarray, start: np.ndarray, banned: np.ndarray):
+    """(piece, segment, start) of many short segments, and the same of the merges
+    made, in their order: each round carries out the agenda's first candidate of
+    every segment that has one.  ``banned`` has the sorted codes of candidates
+    that are passed over."""
+    done, made_ = [], []
     while len(sym):
         inside = seg[1:] == seg[:-1]
         order = np.full(len(sym), NONE)
         at = np.flatnonzero(inside)
         made = p.merged(sym[at], sym[at + 1])
         ok = made >= 0
-        if cut:
-            ok[ok] = ~skipped(key[seg[at[ok]]], start[at[ok]], made[ok], cut)
+        if len(banned):
+            code = (seg[at[ok]] * LONG + start[at[ok]]) * p.base + made[ok]
+            ok[ok] = banned[np.minimum(np.searchsorted(banned, code), len(banned) - 1)] != code
         order[at[ok]] = (p.rank[made[ok]] << 32) | at[ok]
         result = np.zeros(len(sym), np.int64)
         result[at] = made
@@ -149,51 +163,117 @@ def merge_all(p: Pieces, sym: np.ndarray, seg: np.ndarray, start: np.ndarray, ke
         over = np.repeat(best == NONE, np.diff(np.append(first, len(sym))))
         done.append((sym[over], seg[over], start[over]))
         pick = best[best != NONE] & 0xFFFFFFFF
+        made_.append((result[pick], seg[pick], start[pick]))
         sym = sym.copy()
         sym[pick] = result[pick]
         keep = ~over
         keep[pick + 1] = False
         sym, seg, start = sym[keep], seg[keep], start[keep]
-    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*done, strict=True)) if done else (sym, seg, start)
+    none = np.zeros(0, np.int64)
+    return tuple(tuple(np.concatenate([none, *x]) for x in zip(*rows, strict=True)) if rows else (none, none, none) for rows in (done, made_))
 
 
-def encode_segments(p: Pieces, names: list[str], salt: int, cut: np.uint64) -> list[np.ndarray]:
-    """Ids of each segment (spaces, then other signs)."""
-    chars = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
-    size = np.array([len(x) for x in names], np.int64)
-    first = np.cumsum(size) - size
-    # the key of a segment: the salt and its signs
-    place = (np.arange(len(chars)) - np.repeat(first, size)).astype(U64)
-    hashes = mix64(np.add.reduceat(mix64((chars.astype(U64) << U64(32)) + place), first) + U64(salt))
-    seg = np.repeat(np.arange(len(names)), size)
-    start = np.arange(len(chars)) - first[seg]
-    sym = p.of_char[chars].astype(np.int64)
-    short = size[seg] <= LONG
-    parts = [merge_all(p, sym[short], seg[short], start[short], hashes, cut)]
-    for i in np.flatnonzero(size > LONG).tolist():
-        got = merge_one(p, sym[first[i]:first[i] + size[i]].tolist(), hashes[i], cut)
-        parts.append((np.array([a for a, _ in got]), np.full(len(got), i), np.array([b for _, b in got])))
-    out, where, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((begin, where))
-    out, where, begin = out[order], where[order], begin[order]
+def spelled(p: Pieces, out: np.ndarray, where: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, row) with the signs that no piece has spelled in bytes."""
     unknown = np.flatnonzero(out == p.unknown)
-    if len(unknown):  # byte fallback of signs that no piece has
-        spelled = [p.byte_ids[list(chr(c).encode())] for c in chars[first[where[unknown]] + begin[unknown]].tolist()]
+    if len(unknown):
+        some = [p.byte_ids[list(chr(c).encode())] for c in sign[unknown].tolist()]
         many = np.ones(len(out), np.int64)
-        many[unknown] = [len(x) for x in spelled]
+        many[unknown] = [len(x) for x in some]
         wide = np.repeat(out, many)
-        wide[np.repeat(out == p.unknown, many)] = np.concatenate(spelled)
+        wide[np.repeat(out == p.unknown, many)] = np.concatenate(some)
         out, where = wide, np.repeat(where, many)
-    edge = np.searchsorted(where, np.arange(len(names) + 1))
-    ids = out.astype(np.int32)
-    return [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return out.astype(np.int32), where
+
+
+def encode_drawn(p: Pieces, names: list[str], index: np.ndarray, keys: np.ndarray, cut: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their count) of the occurrences ``index`` of the segments ``names``
+    (spaces, then other signs), each drawn by its own key.
+
+    An occurrence follows the merges of its segment up to the first that its key
+    skips, and from there those of the segment with that candidate banned, and so
+    on.  The merges of a segment with some banned are the same for all that get
+    there, so they are made once; the draws are never shared.  Segments longer
+    than LONG are merged one by one.
+    """
+    chars = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+    size = np.array([len(x) for x in names], np.int64)
+    first = np.cumsum(size) - size
+    tables, sizes, known = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    ends_at = np.zeros(len(index), np.int64)  # the known segmentation of each occurrence
+    long: dict[tuple[int, int], int] = {}
+    for o in np.flatnonzero(size[index] > LONG).tolist():
+        i, key = int(index[o]), int(keys[o]) if cut else 0
+        if (i, key) not in long:
+            c = chars[first[i]:first[i] + size[i]]
+            got = merge_one(p, p.of_char[c].tolist(), key, int(cut))
+            ids, _ = spelled(p, np.array([a for a, _ in got]), np.zeros(len(got), np.int64), c[[b for _, b in got]])
+            tables.append(ids)
+            sizes.append(np.array([len(ids)]))
+            long[i, key] = known
+            known += 1
+        ends_at[o] = long[i, key]
+    name = np.flatnonzero(size <= LONG)
+    at = np.flatnonzero(size[index] <= LONG)
+    here = np.searchsorted(name, index[at])
+    banned, tried = np.zeros((len(name), 0), np.int64), np.zeros(len(name), np.int64)
+    while len(at):
+        path, length = [], []
+        for a in range(0, len(name), ROWS):
+            some = name[a:a + ROWS]
+            seg = np.repeat(np.arange(len(some)), size[some])
+            start = np.arange(len(seg)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+            sign = chars[first[some][seg] + start]
+            codes = np.sort((np.arange(len(some))[:, None] * (LONG * p.base) + banned[a:a + ROWS]).ravel())
+            (out, where, begin), made = merge_all(p, p.of_char[sign].astype(np.int64), seg, start, codes)
+            order = np.lexsort((begin, where))
+            out, where, begin = out[order], where[order], begin[order]
+            ids, where = spelled(p, out, where, chars[first[some][where] + begin])
+            tables.append(ids)
+            sizes.append(np.bincount(where, minlength=len(some)))
+            order = np.argsort(made[1], kind="stable")
+            path.append((made[2] * p.base + made[0])[order])
+            length.append(np.bincount(made[1], minlength=len(some)))
+        path, length = np.concatenate(path), np.concatenate(length)
+        begins = np.cumsum(length) - length
+        stop = np.full(len(at), EMPTY)
+        for a in range(0, len(at) if cut else 0, ROWS):
+            h = here[a:a + ROWS]
+            n = length[h] - tried[h]
+            row = np.repeat(np.arange(len(h)), n)
+            step = np.arange(len(row)) + np.repeat(begins[h] + tried[h] - (np.cumsum(n) - n), n)
+            start, made = np.divmod(path[step], p.base)
+            hit = np.flatnonzero(skipped(keys[at[a:a + ROWS]][row], start, made, cut))
+            hit = hit[np.flatnonzero(np.diff(row[hit], prepend=-1))]
+            stop[a + row[hit]] = step[hit]
+        on = stop >= 0
+        ends_at[at[~on]] = known + here[~on]
+        known += len(name)
+        new = np.zeros(len(path), bool)
+        new[stop[on]] = True
+        step = np.flatnonzero(new)
+        parent = np.repeat(np.arange(len(name)), length)[step]
+        at, here = at[on], (np.cumsum(new) - 1)[stop[on]]
+        name, banned = name[parent], np.concatenate([banned[parent], path[step][:, None]], axis=1)
+        tried = step - begins[parent]
+    table, count = np.concatenate(tables), np.concatenate(sizes)
+    n = count[ends_at]
+    ends = np.cumsum(n)
+    return table[np.repeat((np.cumsum(count) - count)[ends_at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+
+def encode_segments(p: Pieces, names: list[str], salt: int, cut: np.uint64) -> list[np.ndarray]:
+    """Ids of each segment, all drawn by one key."""
+    ids, n = encode_drawn(p, names, np.arange(len(names)), np.full(len(names), salt, U64), cut)
+    return np.split(ids, np.cumsum(n)[:-1])
 
 
 SEGMENT = re.compile(" *[^ ]*")
 
 
-def encode_texts(p: Pieces, texts: pa.Array, salt: int, cut: np.uint64) -> list[np.ndarray]:
-    """Ids of whole texts that share a salt; each distinct segment is merged once."""
+def encode_texts(p: Pieces, texts: pa.Array, salt, cut: np.uint64) -> list[np.ndarray]:
+    """Ids of whole texts; ``salt`` is one number or one per text.  The key of a
+    segment's occurrence is made of its text's salt and its place in the text."""
     spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
     double = pc.match_substring(spaced, "  ").to_numpy(zero_copy_only=False)
     parts = pc.split_pattern(texts, " ")
@@ -215,14 +295,10 @@ def encode_texts(p: Pieces, texts: pa.Array, salt: int, cut: np.uint64) -> list[
     names = coded.dictionary.to_pylist()
     if not names:
         return [np.zeros(0, np.int32)] * len(texts)
-    ids = encode_segments(p, names, salt, cut)
-    size = np.array([len(x) for x in ids], np.int64)
-    table, at = np.concatenate(ids), np.cumsum(size) - size
-    index = coded.indices.to_numpy()
-    n = size[index]
-    ends = np.cumsum(n)
-    out = table[np.repeat(at[index] - (ends - n), n) + np.arange(ends[-1])]
-    edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
+    keys = mix64(np.repeat(np.broadcast_to(np.asarray(salt, U64), len(count)), count) + place.astype(U64) * U64(STEP))
+    out, n = encode_drawn(p, names, coded.indices.to_numpy().astype(np.int64), keys, cut)
+    edge = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]
     empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
     return [out[a:b] if not e else out[:0] for a, b, e in zip(edge[:-1], edge[1:], empty.tolist(), strict=True)]
 
@@ -242,44 +318,38 @@ def decode_ids(p: Pieces, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarra
     return data[keep], lengths
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 16, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, copy_col: str | None = None,
+           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of every row's whole text.
 
     Merges follow an agenda, best score first; each candidate is skipped if the
-    keyed hash of seed, the document's variant, the segment, the candidate's place
-    and its piece falls under ``dropout`` (0: the model's own segmentation).  A
-    document's variant is a hash of id and text below ``variants``; documents of
-    one variant segment a word alike, so distinct words are merged once.  There is
-    no shuffle, and a lost task gives the same ids again.
+    keyed hash of the row, the segment's place in the text, the candidate's place
+    in the segment and its piece falls under ``dropout`` (0: the model's own
+    segmentation).  The row's key hashes seed, id, text and, if named, ``copy_col``:
+    every occurrence of a word is drawn anew, within a text and in every copy.
+    There is no shuffle, and a lost task gives the same ids again.
 
     Defined cases: null and empty texts give no ids; signs without a piece, and
     the space sign itself, are spelled in bytes, so decoding restores every text;
-    equal rows get equal ids; null ids are kept; other columns are not read.
+    rows equal in id, text and ``copy_col`` get equal ids; null ids are kept;
+    other columns are not read.
     """
     cut = U64(min(int(dropout * 2**64), 2**64 - 1)) if dropout > 0 else U64(0)
 
     def run(batches):
         p = pieces(model)
         for batch in batches:
-            texts, variant = as_texts(batch["__text"]), batch["__variant"].to_numpy()
+            texts, salt = as_texts(batch["__text"]), batch["__salt"].to_numpy().view(U64)
             for at, some in slices(texts, 2 * SLICE_BYTES):
-                v = variant[at:at + len(some)]
-                out: list = [None] * len(some)
-                for k in np.unique(v).tolist():
-                    rows = np.flatnonzero(v == k)
-                    salt = int(mix64(np.array([(seed << 20) + k + 1], U64))[0])
-                    for i, x in zip(rows.tolist(), encode_texts(p, some.take(pa.array(rows)), salt, cut), strict=True):
-                        out[i] = x
+                out = encode_texts(p, some, salt[at:at + len(some)], cut)
                 for i in range(0, len(out), 512):
                     few = out[i:i + 512]
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in few])]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([batch["__id"].slice(at + i, len(few)),
                                                       pa.ListArray.from_arrays(offsets, np.concatenate(few))], [id_col, "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"),
-                       (F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(variants)) if dropout > 0 else F.lit(0))
-                       .cast("long").alias("__variant"))
+    salt = F.xxhash64(F.lit(seed), id_col, text_col, *[copy_col] * (copy_col is not None))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), salt.alias("__salt"))
     return rows.mapInArrow(run, f"`{id_col}` long, ids array<int>")
 
 

@@ -31,3 +31,18 @@ def test_stages_keep_their_contract(spark):
     assert 200 >= counts[0] == counts[1] >= counts[2] > 100
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == counts[3]
+
+
+def test_copies_of_the_mix_are_numbered_and_encoded_apart(spark):
+    rows = [(i, " ".join(f"word{(i * j) % 97}" for j in range(40)), "en", f"s{i % 3}", 1) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as copy")
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    by_doc = {}
+    for r in mixed.collect():
+        by_doc.setdefault(r.doc_id, []).append(r.copy)
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in by_doc.values())
+    twice = {i for i, c in by_doc.items() if len(c) == 2}
+    ids = {}
+    for r in corpus_pipeline.encode_pieces(spark, mixed, SF).collect():
+        ids.setdefault(r.doc_id, set()).add(tuple(r.ids))
+    assert twice and all(len(ids[i]) == 2 for i in twice)

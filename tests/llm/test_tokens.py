@@ -49,6 +49,46 @@ def test_dropout_varies_and_decodes(spark, odd_docs, no_docs):
     assert odd.count() == odd_docs.count() and piece_dropout.encode(no_docs, MODEL).count() == 0
 
 
+def test_every_occurrence_is_drawn_by_its_own_key(spark):
+    p = piece_dropout.pieces(MODEL)
+    cut = U64(int(0.1 * 2**64))
+    words = sorted({" " + w for t in TEXTS for w in t.split(" ") if w} | {" a", " internationalisation", " unbelievably"})
+    index = np.tile(np.arange(len(words)), 40)
+    keys = np.random.default_rng(1).integers(0, 2**63, len(index)).astype(U64)
+    ids, n = piece_dropout.encode_drawn(p, words, index, keys, cut)
+    parts = np.split(ids, np.cumsum(n)[:-1])
+    for i, key, got in list(zip(index.tolist(), keys, parts, strict=True))[::13]:
+        assert got.tolist() == piece_dropout.encode_segments(p, [words[i]], key, cut)[0].tolist()
+    # within one text a segment of one merge is split about one time in ten, a long one in more than 16 ways
+    for i, (word, ways) in enumerate(((" a", 2), (" internationalisation", 17))):
+        docs = spark.createDataFrame([(i, word[1:] + word * 3999)], "doc_id long, text string")
+        got = piece_dropout.encode(docs, MODEL, dropout=0.1, seed=1).first().ids
+        drawn = [tuple(x) for x in occurrences(p, got, len(word))]
+        assert len(drawn) == 4000 and len(set(drawn)) >= ways
+        if word == " a":
+            assert 0.08 < sum(len(x) == 2 for x in drawn) / 4000 < 0.12
+
+
+def occurrences(p, ids, size):
+    """The ids of each word of a text that repeats one word of this many bytes."""
+    out, have = [[]], 0
+    for x in ids:
+        if have == size:
+            out.append([])
+            have = 0
+        out[-1].append(x)
+        have += int(p.size[x])
+    return out
+
+
+def test_copies_are_drawn_apart(spark):
+    text = "the quick brown fox, jumps! " * 20
+    docs = spark.createDataFrame([(1, text, 1), (1, text, 2), (1, text, 2)], "doc_id long, text string, copy int")
+    ids = piece_dropout.encode(docs, MODEL, copy_col="copy")
+    assert sorted({tuple(r.ids): 0 for r in ids.collect()}.values()) == [0, 0]
+    assert {r.text for r in piece_dropout.decode(ids, MODEL).collect()} == {text}
+
+
 def test_token_files_round_trip(spark, tmp_path, odd_docs, no_docs):
     rows = [(1000 - i, t) for i, t in enumerate(TEXTS)] + [(5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
