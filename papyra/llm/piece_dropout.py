@@ -340,7 +340,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, cop
         p = pieces(model)
         for batch in batches:
             texts, salt = as_texts(batch["__text"]), batch["__salt"].to_numpy().view(U64)
-            for at, some in slices(texts, 2 * SLICE_BYTES):
+            for at, some in slices(texts, SLICE_BYTES // 4):
                 out = encode_texts(p, some, salt[at:at + len(some)], cut)
                 for i in range(0, len(out), 512):
                     few = out[i:i + 512]
@@ -358,16 +358,18 @@ def decode(coded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
     def run(batches):
         p = pieces(model)
         for batch in batches:
-            lists = batch["__ids"].fill_null([]) if batch["__ids"].null_count else batch["__ids"]
-            count = pc.list_value_length(lists).to_numpy()
-            ids = lists.flatten().to_numpy()
-            data, lengths = decode_ids(p, ids, count)
-            offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
-            text = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, offsets, pa.py_buffer(np.ascontiguousarray(data))])
-            ends = np.cumsum(count)
-            crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["__id"], text.cast(pa.string()), pa.array(count, pa.int64()), pa.array(crc, pa.int64())],
-                                             [id_col, "text", "n_tokens", "ids_crc32"])
+            for at in range(0, batch.num_rows, 512):
+                few = batch.slice(at, 512)
+                lists = few["__ids"].fill_null([]) if few["__ids"].null_count else few["__ids"]
+                count = pc.list_value_length(lists).to_numpy()
+                ids = lists.flatten().to_numpy()
+                data, lengths = decode_ids(p, ids, count)
+                offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
+                text = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, offsets, pa.py_buffer(np.ascontiguousarray(data))])
+                ends = np.cumsum(count)
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([few["__id"], text.cast(pa.string()), pa.array(count, pa.int64()), pa.array(crc, pa.int64())],
+                                                 [id_col, "text", "n_tokens", "ids_crc32"])
 
     rows = coded.select(F.col(id_col).alias("__id"), F.col(ids_col).alias("__ids"))
     return rows.mapInArrow(run, f"`{id_col}` long, text string, n_tokens long, ids_crc32 long")
