@@ -17,11 +17,14 @@ from papyra.session import ship_package
 #: ``copy`` tells the rows apart that the mix makes of one document; it is 1 before.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "copy"]
 
+#: The score from which op8 predicts a document as toxic.
+TOXIC = 0.3
+
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the clause grammar, learned from ``labels``, scores at 0.5 or more go."""
+    """Documents that the clause grammar, learned from ``labels``, scores at 0.3 or more (the cut of op8) go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic")
-    return toxicity.keep_clean(docs.withColumn("copy", F.lit(1)).select(*COLUMNS), model, cut=0.5)
+    return toxicity.keep_clean(docs.withColumn("copy", F.lit(1)).select(*COLUMNS), model, cut=TOXIC)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

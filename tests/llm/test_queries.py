@@ -46,3 +46,13 @@ def test_copies_of_the_mix_are_numbered_and_encoded_apart(spark):
     for r in corpus_pipeline.encode_pieces(spark, mixed, SF).collect():
         ids.setdefault(r.doc_id, set()).add(tuple(r.ids))
     assert twice and all(len(ids[i]) == 2 for i in twice)
+
+
+def test_toxic_stage_drops_what_op8_predicts(spark):
+    from papyra.llm import toxicity
+    sf = "/root/testdata/sf0.1"  # the smaller ones have no score between 0.3 and 0.5
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = queries.judged(toxicity.score(docs, toxicity.fit(docs, labels, "toxic")), 4, 2, 0.3).collect()
+    kept = {r.doc_id for r in corpus_pipeline.filter_toxic(spark, docs, sf).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in scored if not r.predicted}
+    assert any(0.3 <= r.score < 0.5 for r in scored)
