@@ -84,7 +84,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rotation_codes, op2_subword_quality, op3_piece_dropout, op4_collision_counting, op5_token_frames, op6_entropy_mixing, op7_ngram_jaccard, op8_toxic_grammar, op9_line_dedup, op10_substring_dedup)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.embedding_whitening import whiten
+    w = whiten(table(spark, sf_dir, "embeddings"), components=8, weights="count")
+    w = w.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("__i", "__c"))
+    return w.select("vec_id", (F.col("__i") + 1).alias("component"), "n", "deviation", "__c.whitened", "__c.explained", "identity_error")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.filter_audit import audit
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from papyra.llm.best_fit_packing import pack
+    p = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, most=1024)
+    return p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_rotation_codes, op2_subword_quality, op3_piece_dropout, op4_collision_counting, op5_token_frames, op6_entropy_mixing, op7_ngram_jaccard, op8_toxic_grammar, op9_line_dedup, op10_substring_dedup, op11_embedding_whitening, op12_filter_audit, op13_best_fit_packing)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -143,4 +163,37 @@ common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DIST
 SELECT doc_id, count(*) AS n_lines, count(c.k) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common c USING (k) GROUP BY doc_id""",
+    "op12_filter_audit": f"""
+WITH lab AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS g, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS t
+  FROM labels GROUP BY doc_id),
+d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x,
+    regexp_extract_all(coalesce(text, ''), '{WORDS_SQL}') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents),
+f AS (
+  SELECT part, coalesce(g, 0) AS g, coalesce(t, 0) AS t,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 2 * length(x) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN lab USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, sum(g) AS g, sum(t) AS t FROM f GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT o, s, substr(o, s, 1) AS l, substr(o, 1, s - 1) AS before FROM orders, range(1, 6) r(s)),
+counts AS (
+  SELECT part, o, s, l,
+    sum(CASE WHEN translate(before || l, fails, '') = before || l THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(fails, l) AND translate(before, fails, '') = before THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(fails, l) AND translate(before, fails, '') <> before THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = l THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(fails, l) AND translate(before, fails, '') = before THEN g ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(fails, l) AND translate(before, fails, '') = before THEN t ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY part, o, s, l)
+SELECT part, o AS filter_order, s::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley
+FROM counts""",
 }

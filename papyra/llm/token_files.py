@@ -4,8 +4,8 @@ A file is frames, then a table, then a trailer:
 
 * frame: one zstandard frame with content checksum; it holds whole documents, ids
   little-endian, one document after the other;
-* table: little-endian, one entry per frame (offset u64, stored bytes u32, raw
-  bytes u32, crc32 of the stored bytes u32, first document u32) and one entry per
+* table: little-endian, one entry per frame (offset u64, stored bytes u64, raw
+  bytes u64, crc32 of the stored bytes u32, first document u32) and one entry per
   document (id i64, number of ids u64), both behind their counts (u64, u64);
 * trailer: table offset u64, crc32 of the table u32, bytes per id u32, MAGIC.
 
@@ -16,15 +16,12 @@ that hold the documents it wants.
 from __future__ import annotations
 
 import io
-import os
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -32,10 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.llm._common import partitions, scratch_path
+from papyra.llm.byte_bpe import encoder
 from papyra.llm.words import as_texts, slices
 
 MAGIC = b"PAPYTOK1"
-FRAME = np.dtype([("offset", "<u8"), ("stored", "<u4"), ("raw", "<u4"), ("crc", "<u4"), ("first", "<u4")])
+FRAME = np.dtype([("offset", "<u8"), ("stored", "<u8"), ("raw", "<u8"), ("crc", "<u4"), ("first", "<u4")])
 DOC = np.dtype([("id", "<i8"), ("n", "<u8")])
 TRAILER = struct.Struct("<QII8s")
 FRAME_BYTES = 1 << 20
@@ -118,77 +116,6 @@ class Reader:
             yield from (x for x in self.frame(int(k)) if x[0] in asked)
 
 
-class Encoder:
-    """Ids of whole texts by the tokenizers library.
-
-    Byte-level pre-tokenisation never joins what stands before a space to what
-    follows it, except within runs of white space; so texts without white space
-    before a space are cut at spaces and each distinct piece is encoded once.
-    Other texts are encoded whole.  ``known`` is bounded and only saves time.
-    """
-
-    RUN = re.compile(r"\s ")
-    KNOWN = 1 << 20
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-        self.size = self.tok.get_vocab_size()
-
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, texts: list[str]) -> list[np.ndarray]:
-        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        count = pc.list_value_length(parts).to_numpy()
-        flat = parts.flatten()
-        first = np.zeros(len(flat), bool)
-        first[np.cumsum(count) - count] = True
-        flat = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), flat, pa.scalar(" ", pa.large_string())))
-        coded = pc.dictionary_encode(flat)
-        names = coded.dictionary.to_pylist()
-        missing = [x for x in names if x not in self.known]
-        if len(self.known) + len(missing) > self.KNOWN:
-            self.known = {}
-            missing = names
-        for i in range(0, len(missing), 5000):
-            some = missing[i:i + 5000]
-            self.known.update(zip(some, self.whole(some), strict=True))
-        ids = [self.known[x] for x in names]
-        size = np.array([len(x) for x in ids], np.int64)
-        table, at = np.concatenate(ids), np.cumsum(size) - size
-        index = coded.indices.to_numpy()
-        n = size[index]
-        ends = np.cumsum(n)
-        out = table[np.repeat(at[index] - (ends - n), n) + np.arange(ends[-1])]
-        edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
-        return [out[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [i for i, t in enumerate(texts) if t and not self.RUN.search(t)]
-        out: list = [np.zeros(0, np.uint32)] * len(texts)
-        if plain:
-            for i, x in zip(plain, self.pieces([texts[i] for i in plain]), strict=True):
-                out[i] = x
-        rest = [i for i, t in enumerate(texts) if t and self.RUN.search(t)]
-        for i, x in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process; what it knows serves later tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_col: str = "doc_id",
                  text_col: str = "text", frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Encode whole texts and write them in ascending id order; returns the
@@ -215,21 +142,24 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
         task = TaskContext.get()
         store, base = filesystem(out_dir)
         enc = encoder(tokenizer)
-        name = f"tokens-{task.partitionId():06d}.bin"
+        name = f"tokens-{task.partitionId():09d}.bin"
         part = f"{base}/.{name}.{task.taskAttemptId()}"
         writer = sink = None
         docs_, ids_, first = 0, 0, None
         for batch in batches:
             texts = as_texts(batch["__text"])
             keys = batch["__id"].to_numpy()
-            for at, some in slices(texts, 8 << 20):
-                for key, ids in zip(keys[at:at + len(some)].tolist(), enc(some.to_pylist()), strict=True):
+            for at, some in slices(texts, 4 << 20):
+                ids, n = enc.flat(some)
+                ids = np.insert(ids, np.cumsum(n), end_id)
+                ends = np.cumsum(n + 1).tolist()
+                for key, a, b in zip(keys[at:at + len(some)].tolist(), [0, *ends], ends):
                     if writer is None:
                         sink = store.open_output_stream(part)
                         writer, first = Writer(sink, 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4, frame_bytes), key
-                    writer.add(key, np.append(ids, np.uint32(end_id)))
-                    docs_ += 1
-                    ids_ += len(ids) + 1
+                    writer.add(key, ids[a:b])
+                docs_ += len(n)
+                ids_ += len(ids)
         if writer is not None:
             writer.close()
             sink.close()
