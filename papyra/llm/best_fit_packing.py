@@ -11,13 +11,15 @@ within a few sequences; groups share nothing, so their number grows with the dat
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._common import written
+from papyra.llm._common import tidy, written
 from papyra.llm.byte_bpe import encoder
 from papyra.llm.words import as_texts, slices
 
@@ -90,7 +92,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, most: int, id_col: s
                         ["id", "__row", "piece", "start", "length", "ids"])
                 row += len(some)
 
-    return rows.mapInArrow(run, "id long, __row long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(tidy(run), "id long, __row long, piece int, start long, length long, ids binary")
 
 
 def placed(pieces: DataFrame, most: int, group: int = GROUP) -> DataFrame:
@@ -107,11 +109,23 @@ def placed(pieces: DataFrame, most: int, group: int = GROUP) -> DataFrame:
     return dealt.groupBy("__group").applyInArrow(run, "__row long, piece int, sequence_id long, offset long")
 
 
+class Packed(NamedTuple):
+    """pieces: (id, __row, piece, start, length, ids); places: (__row, piece, sequence_id, offset)."""
+
+    pieces: DataFrame
+    places: DataFrame
+
+    def rows(self, *columns) -> DataFrame:
+        """Every piece at its place.  ``columns``: what is taken of ``pieces`` (by
+        default all); only that is shuffled."""
+        taken = self.pieces.select("__row", "piece", *(columns or [c for c in self.pieces.columns if c not in ("__row", "piece")]))
+        return taken.join(self.places, ["__row", "piece"]).drop("__row")
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, most: int = 1024, id_col: str = "doc_id", text_col: str = "text",
-         group: int = GROUP) -> DataFrame:
-    """(id, piece, start, length, ids, sequence_id, offset): each document with
-    ``end_id`` behind it, in pieces of at most ``most`` ids, and the place of each
-    piece in a sequence of at most ``most`` ids.
+         group: int = GROUP) -> Packed:
+    """Each document with ``end_id`` behind it, in pieces of at most ``most`` ids, and
+    the place of each piece in a sequence of at most ``most`` ids.
 
     A document of at most ``most`` ids is one piece.  A longer one is cut into pieces of
     ``most`` ids; the first may be shorter.  Pieces of a sequence lie one
@@ -125,6 +139,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, most: int = 1024, id_col:
     """
     if most < 1:
         raise ValueError("a sequence holds at least one id")
-    pieces = written(tokenised(docs, tokenizer, end_id, most, id_col, text_col), "pieces")
-    return (pieces.join(placed(pieces, most, group), ["__row", "piece"])
-            .select(F.col("id").alias(id_col), "piece", "start", "length", "ids", "sequence_id", "offset"))
+    pieces = written(tokenised(docs, tokenizer, end_id, most, id_col, text_col).withColumnRenamed("id", id_col), "pieces")
+    return Packed(pieces, placed(pieces, most, group))

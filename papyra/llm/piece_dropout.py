@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.llm._common import tidy
 from papyra.llm.words import SLICE_BYTES, STEP, U64, as_texts, mix64, slices
 
 SPACE = "▁"
@@ -350,7 +351,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, cop
 
     salt = F.xxhash64(F.lit(seed), id_col, text_col, *[copy_col] * (copy_col is not None))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), salt.alias("__salt"))
-    return rows.mapInArrow(run, f"`{id_col}` long, ids array<int>")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` long, ids array<int>")
 
 
 def decode(coded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -372,4 +373,4 @@ def decode(coded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
                                                  [id_col, "text", "n_tokens", "ids_crc32"])
 
     rows = coded.select(F.col(id_col).alias("__id"), F.col(ids_col).alias("__ids"))
-    return rows.mapInArrow(run, f"`{id_col}` long, text string, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` long, text string, n_tokens long, ids_crc32 long")

@@ -101,7 +101,9 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from papyra.llm.best_fit_packing import pack
     p = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, most=1024)
-    return p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    # the ids stay in their table; their checksum goes to the places
+    return p.rows("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES = {f.__name__: f for f in (op1_rotation_codes, op2_subword_quality, op3_piece_dropout, op4_collision_counting, op5_token_frames, op6_entropy_mixing, op7_ngram_jaccard, op8_toxic_grammar, op9_line_dedup, op10_substring_dedup, op11_embedding_whitening, op12_filter_audit, op13_best_fit_packing)}

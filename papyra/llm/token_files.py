@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm._common import partitions, scratch_path
+from papyra.llm._common import partitions, scratch_path, tidy
 from papyra.llm.byte_bpe import encoder
 from papyra.llm.words import as_texts, slices
 
@@ -166,7 +166,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
             store.move(part, f"{base}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [docs_], "n_tokens": [ids_], "first_id": [first]})
 
-    files = dealt.mapInArrow(run, "file string, n_docs long, n_tokens long, first_id long")
+    files = dealt.mapInArrow(tidy(run), "file string, n_docs long, n_tokens long, first_id long")
     path = f"{out_dir}/manifest"
     files.write.parquet(path)
     done = docs.sparkSession.read.schema(files.schema).parquet(path)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._common import written
+from papyra.llm._common import tidy, written
 from papyra.llm.labelled import sample
 from papyra.llm.words import STEP, U64, as_texts, bounds, mix64, powers, slices, text_bytes
 
@@ -24,6 +24,8 @@ NEGATION = "not no never neither nor without nicht kein keine nie ohne pas jamai
 REPORTED = """said says say told wrote writes quoted quotes called reported claims claimed sagte sagt schrieb
 nannte dit écrit déclaré dijo dice escribió llamó""".split()
 
+SLICE = 256 << 10  # a slice's arrays take some hundred bytes a word
+SEEN_BYTES = 4 << 20  # of clauses whose parse is kept
 PREFIXES = (4, 5, 6, 7, 8)
 LABELS = ("plain", "targeted", "threat", "negated", "reported")
 
@@ -183,8 +185,11 @@ def features(texts: pa.Array, hashes: np.ndarray, weights: np.ndarray, seen: dic
                 got = (LABELS.index(fst.final[state]) if fst.final[state] else -1,
                        [i for i, o in enumerate(outs) if o == "i"], [i for i, o in enumerate(outs) if o == "I"],
                        [i for i, o in enumerate(outs) if o == "q"])
-                if len(seen) < 100_000:
+                # a parse holds about one number a matched word
+                size = 400 + 40 * (b - a)
+                if seen.get("bytes", 0) + size <= SEEN_BYTES:
                     seen[text[a:b]] = got
+                    seen["bytes"] = seen.get("bytes", 0) + size
             label, plain, negated, quoted = got
             row = out[t.doc[a]]
             for k, where in ((label, plain), (3, negated), (4, quoted)):
@@ -205,7 +210,7 @@ def features(texts: pa.Array, hashes: np.ndarray, weights: np.ndarray, seen: dic
 
 def all_features(column, hashes: np.ndarray, weights: np.ndarray, seen: dict) -> np.ndarray:
     fst, sets = grammar(), [word_set(x) for x in (TARGET, NEGATION, REPORTED, THREAT)]
-    parts = [features(t, hashes, weights, seen, fst, sets) for _, t in slices(as_texts(column))]
+    parts = [features(t, hashes, weights, seen, fst, sets) for _, t in slices(as_texts(column), SLICE)]
     return np.concatenate([np.zeros((0, N_FEATURES)), *parts])
 
 
@@ -215,7 +220,7 @@ def count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     keys, ups, labels = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, bool)]
     for batch in batches:
         toxic = batch["__label"].to_numpy() > 0
-        for at, texts in slices(as_texts(batch["__text"])):
+        for at, texts in slices(as_texts(batch["__text"]), SLICE):
             t = tokens(texts)
             up = np.zeros(len(t.doc), U64)
             for h in t.patterns:
@@ -270,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int
     lex = rows.where("__part < 4")
     n = {r["__label"]: r["count"] for r in lex.groupBy("__label").count().collect()}
     n_bad, n_ok = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
-    counts = written(lex.select("__text", "__label").mapInArrow(count_patterns, "h long, up long, t long, c long")
+    counts = written(lex.select("__text", "__label").mapInArrow(tidy(count_patterns), "h long, up long, t long, c long")
                      .groupBy("h").agg(F.max("up").alias("up"), F.sum("t").alias("t"), F.sum("c").alias("c"))
                      .where("t + c >= 4"), "patterns")
     odds = F.log((F.col("t") + 0.5) / (n_bad + 1.0)) - F.log((F.col("c") + 0.5) / (n_ok + 1.0))
@@ -292,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int
             x = all_features(b["__text"], hashes, weights, seen)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b["__label"]], ["x", "y"])
 
-    fitted = rows.where("__part >= 4").select("__text", "__label").mapInArrow(featurise, "x array<double>, y int").toPandas()
+    fitted = rows.where("__part >= 4").select("__text", "__label").mapInArrow(tidy(featurise), "x array<double>, y int").toPandas()
     y = (fitted["y"].to_numpy() == 1).astype(float)
     if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.0
@@ -322,7 +327,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                                              [id_col, "score", "clauses"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` long, score double, clauses array<int>")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` long, score double, clauses array<int>")
 
 
 def keep_clean(docs: DataFrame, model: Model, cut: float, text_col: str = "text") -> DataFrame:
@@ -336,4 +341,4 @@ def keep_clean(docs: DataFrame, model: Model, cut: float, text_col: str = "text"
             p = 1 / (1 + np.exp(-np.clip(((x - m.mean) / m.scale) @ m.coef, -30, 30)))
             yield b.filter(pa.array(p < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

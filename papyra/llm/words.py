@@ -28,7 +28,7 @@ _pow: dict[str, np.ndarray] = {}
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     name = "i" if inverse else "p"
     if name not in _pow or len(_pow[name]) < n:
-        r = np.full(max(n, SLICE_BYTES + 1), pow(BASE, -1, 1 << 64) if inverse else BASE, U64)
+        r = np.full(max(n + n // 8, 1 << 18), pow(BASE, -1, 1 << 64) if inverse else BASE, U64)
         r[0] = 1
         _pow[name] = np.cumprod(r)
     return _pow[name][:n]

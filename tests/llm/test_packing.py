@@ -91,16 +91,16 @@ def whole(docs, got, most):
 def test_documents_are_packed_whole(spark, odd_docs, no_docs):
     docs = odd_docs.unionByName(spark.createDataFrame([(500 + i, t, None, None, None, "x", None, 1) for i, t in enumerate(ODD)], odd_docs.schema))
     for most, group in ((1024, 8192), (7, 64), (1, 10_000)):
-        got = pack(docs, BPE, 2, most=most, group=group)
-        assert got.columns == ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
+        got = pack(docs, BPE, 2, most=most, group=group).rows()
+        assert got.columns == ["piece", "doc_id", "start", "length", "ids", "sequence_id", "offset"]
         whole(docs, got.collect(), most)
-    assert pack(no_docs, BPE, 2).count() == 0
+    assert pack(no_docs, BPE, 2).rows().count() == 0
 
 
 def test_query_packs_close_to_the_bound(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = pack(docs, BPE, 2).collect()
+    rows = pack(docs, BPE, 2).rows().collect()
     used = whole(docs, rows, 1024)
     assert used <= 1.01 * -(-sum(r.length for r in rows) // 1024)
     crc = {(r.doc_id, r.piece): zlib.crc32(r.ids) for r in rows}
