@@ -31,7 +31,7 @@ from papyra.operators.ranking import split_levels
 from papyra.operators.vectors import IdCoder, count_before, _topk_positions
 
 BLOCK_PAPERS = 4096
-RANGES = 256          # id ranges of a segment, cut where drawn ids say
+RANGES = 256          # at most so many id ranges of a segment, cut where drawn ids say
 QUESTION_BLOCK = 256  # questions that one task answers over a block
 NO_PAPER = -1         # blocks of vectors without a paper count down from here
 SALTS = 16
@@ -43,9 +43,11 @@ PAPERS = "segment long, paper_id string, block long, tokens array<string>"
 def index_batch(papers: DataFrame, segment: int, block_papers: int = BLOCK_PAPERS) -> tuple[DataFrame, DataFrame]:
     """(papers, postings) of one batch; every arxiv_id once.  Ids are cut into
     ranges, a range that holds more than a block is dealt out by hash."""
-    cuts = sorted({c for level in split_levels(papers, "arxiv_id", 16) for c in level})[1:]
+    ranges = min(RANGES, max(1, -(-papers.count() // block_papers)))
+    drawn = [c for level in split_levels(papers, "arxiv_id", 16) for c in level]
+    cuts = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)})
     ident = F.col("paper_id")
-    place = F.aggregate(F.lit(cuts or [""]), F.lit(0), lambda acc, c: acc + (c <= ident).cast("int"))
+    place = F.aggregate(F.lit(cuts), F.lit(0), lambda acc, c: acc + (c <= ident).cast("int")) if cuts else F.lit(0)
     docs = papers.select(F.col("arxiv_id").alias("paper_id"), tokenize(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
     docs = docs.withColumn("_range", place)
     size = docs.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most RANGES rows
