@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.operators import cells as CE
 from papyra.operators import vectors as V
 from papyra.plans import oracle_sql as O
 from papyra.sources import testbed as TB
@@ -70,6 +71,14 @@ def similar_debiased(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("score", _r6("score"))
 
 
+@register("similar_debiased_cells", _topk_sql(O.debiased_scores("m1", (3,)), 5))
+def similar_debiased_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """V6/R1 over balanced cells: as similar_debiased, skipping cells whose bound is too low."""
+    vecs = V.vectors_of(TB.paper_embeddings(spark, sf), "m1")
+    out = CE.search_cells(vecs, TB.questions(spark, sf), V.fit_basis(vecs, 3), 5, 3)
+    return out.withColumn("score", _r6("score"))
+
+
 @register("sweep_components", O.with_(O.ENTRIES, O.PE, O.QUESTIONS, *O.debiased_scores("m1", V.SWEEP_COMPONENTS)) + """
 SELECT t.question_id, t.n AS n_components, t.rank, t.paper_id,
        coalesce(substr(e.title, 1, 70), '?') AS title, printf('%.3f', t.s) AS score_text,
@@ -648,6 +657,20 @@ def anisotropy_mean_onepass(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("n_pairs", _r6("mean").alias("mean"), _r6("std").alias("std"))
 
 
+@register("anisotropy_all_pairs", O.with_(O.PE, _UNIT_SQL) + """
+, sims AS (SELECT a.paper_id, b.paper_id AS other, sum(a.u * b.u) AS s FROM unit a JOIN unit b
+           ON a.i = b.i AND a.paper_id < b.paper_id GROUP BY a.paper_id, b.paper_id)
+SELECT count(*) AS n_pairs, round(avg(s), 6) + 0.0 AS mean, round(stddev_pop(s), 6) + 0.0 AS std,
+       round(min(s), 6) + 0.0 AS min, round(max(s), 6) + 0.0 AS max FROM sims""")
+def anisotropy_all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """A4/V8 exact: mean and std from the Gram matrix, extremes tile by tile with
+    bounds; no pair leaves a task."""
+    vecs = V.vectors_of(TB.paper_embeddings(spark, sf), "m1")
+    ends = CE.pair_extremes(vecs).first()  # two numbers
+    m = D.pair_moments(vecs).withColumns({c: F.lit(ends[c]).cast("double") for c in ("min", "max")})
+    return m.select("n_pairs", *[_r6(c).alias(c) for c in ("mean", "std", "min", "max")])
+
+
 @register("anisotropy_sampled", O.with_(O.PE, _UNIT_SQL) + """
 , nn AS (SELECT count(DISTINCT paper_id) AS n FROM unit),
 params AS (SELECT n // 2 AS per_round, (2000 + n // 2 - 1) // (n // 2) AS rounds FROM nn),
