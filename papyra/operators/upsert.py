@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.schemas import TABLE_SCHEMAS
+from papyra.session import checkpoint_dir
 
 RANK_BINS = 4096  # of each of the two levels that number new names
 
@@ -89,13 +90,15 @@ def upsert_authors(current: DataFrame, incoming: DataFrame, id_base=None) -> Dat
 
     ``id_base``: the largest id ever given out, when the caller tracks it
     (then ``current`` may hold only the name buckets the batch touches);
-    by default the largest id in ``current``."""
+    by default the largest id in ``current``.  The new names are checkpointed
+    before they are numbered: numbering reads them several times."""
+    checkpoint_dir(incoming.sparkSession)
     m = _author_mentions(incoming)
     first = m.groupBy("name").agg(F.min(F.struct("seq", "pos")).alias("_f"))
-    fresh = first.join(current.select("name"), "name", "left_anti").select("name", "_f.seq", "_f.pos")
+    fresh = first.join(current.select("name"), "name", "left_anti").select("name", "_f.seq", "_f.pos").checkpoint()
     base = (F.lit(int(id_base)).cast("long") if id_base is not None else
             current.agg(F.coalesce(F.max("author_id"), F.lit(0)).cast("long")).scalar())
-    ids = _numbered(fresh).select((base + F.col("_rank")).cast("long").alias("author_id"), "name")
+    ids = _numbered(fresh).select((base + F.col("_rank")).cast("long").alias("author_id"), "name").checkpoint()
     return current.unionByName(ids)
 
 
@@ -137,17 +140,19 @@ def upsert_paper_authors(current: DataFrame, authors: DataFrame, incoming: DataF
 
 
 def apply_batch(tables: dict[str, DataFrame], incoming: DataFrame, batch_ts,
-                author_id_base=None) -> dict[str, DataFrame]:
-    """All paper-side tables after one ingest batch."""
-    authors = upsert_authors(tables["authors"], incoming, author_id_base)
-    return {
+                author_id_base=None, authors: bool = True) -> dict[str, DataFrame]:
+    """All paper-side tables after one ingest batch (U1, U3-U6).  ``authors``: False
+    leaves authors and their bridge as they are, for callers that do not read them."""
+    out = {
         **tables,
         "papers": upsert_papers(tables["papers"], incoming, batch_ts),
         "categories": upsert_categories(tables["categories"], incoming),
         "paper_categories": upsert_paper_categories(tables["paper_categories"], incoming),
-        "authors": authors,
-        "paper_authors": upsert_paper_authors(tables["paper_authors"], authors, incoming),
     }
+    if authors:
+        out["authors"] = upsert_authors(tables["authors"], incoming, author_id_base)
+        out["paper_authors"] = upsert_paper_authors(tables["paper_authors"], out["authors"], incoming)
+    return out
 
 
 def first_order_bridge(links: DataFrame, parent: str, child: str, order: str, seq: str | None = None) -> DataFrame:
@@ -213,13 +218,22 @@ def with_parent(child: DataFrame, papers: DataFrame, key: str = "paper_id") -> D
     return child.join(papers.select(F.col("arxiv_id").alias(key)), key, "left_semi")
 
 
-def cascade_delete(tables: dict[str, DataFrame], paper_ids: DataFrame) -> dict[str, DataFrame]:
-    """Delete papers and cascade to both bridges and the vectors; authors and
-    categories (dimensions) stay.  paper_ids: one column ``arxiv_id``."""
-    ids = paper_ids.select("arxiv_id").distinct()
-    pid = ids.select(F.col("arxiv_id").alias("paper_id"))
+#: Parent table -> its key, and the child tables with their column for it.
+CASCADES = {
+    "papers": ("arxiv_id", {"paper_authors": "paper_id", "paper_categories": "paper_id", "paper_embeddings": "paper_id"}),
+    "authors": ("author_id", {"paper_authors": "author_id"}),
+    "categories": ("code", {"paper_categories": "category_code"}),
+}
+
+
+def cascade_delete(tables: dict[str, DataFrame], keys: DataFrame, parent: str = "papers") -> dict[str, DataFrame]:
+    """Delete rows of a parent table and what refers to them: papers with both bridges
+    and the vectors, authors or categories with their bridge; other parents stay.
+    ``keys``: the parent's key column (``arxiv_id``, ``author_id`` or ``code``)."""
+    key, children = CASCADES[parent]
+    gone = keys.select(key).distinct()
     out = dict(tables)
-    out["papers"] = tables["papers"].join(ids, "arxiv_id", "left_anti")
-    for t in ("paper_authors", "paper_categories", "paper_embeddings"):
-        out[t] = tables[t].join(pid, "paper_id", "left_anti")
+    out[parent] = tables[parent].join(gone, key, "left_anti")
+    for child, column in children.items():
+        out[child] = tables[child].join(gone.withColumnRenamed(key, column), column, "left_anti")
     return out

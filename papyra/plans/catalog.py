@@ -363,12 +363,12 @@ from papyra.operators import upsert as U  # noqa: E402
 _UP = O.with_(O.ENTRIES, *O.UPSERT)
 
 
-def _stores(spark, sf):
+def _stores(spark, sf, authors=False):
     """(current store, incoming batch, next store)."""
     empty = U.empty_tables(spark)
-    cur = U.apply_batch(empty, TB.current_entries(spark, sf), TB.ts(TB.INGESTED_AT))
+    cur = U.apply_batch(empty, TB.current_entries(spark, sf), TB.ts(TB.INGESTED_AT), authors=authors)
     inc = TB.incoming_entries(spark, sf)
-    nxt = U.apply_batch(cur, inc, TB.ts(TB.BATCH_TS))
+    nxt = U.apply_batch(cur, inc, TB.ts(TB.BATCH_TS), authors=authors)
     return cur, inc, nxt
 
 
@@ -406,14 +406,14 @@ def upsert_paper_categories_q(spark: SparkSession, sf: str) -> DataFrame:
 @register("upsert_authors", _UP + "SELECT author_id, name FROM next_authors")
 def upsert_authors_q(spark: SparkSession, sf: str) -> DataFrame:
     """Author dimension with increasing, unique, stable ids."""
-    return _stores(spark, sf)[2]["authors"]
+    return _stores(spark, sf, authors=True)[2]["authors"]
 
 
 @register("upsert_paper_authors", _UP + """
 SELECT p.paper_id, a.name, p.author_order FROM next_pa p JOIN next_authors a ON a.author_id = p.author_id""")
 def upsert_paper_authors_q(spark: SparkSession, sf: str) -> DataFrame:
     """Links with position; the first order of a (paper, author) wins."""
-    nxt = _stores(spark, sf)[2]
+    nxt = _stores(spark, sf, authors=True)[2]
     return nxt["paper_authors"].join(nxt["authors"], "author_id").select("paper_id", "name", "author_order")
 
 
@@ -498,6 +498,28 @@ def cascade_delete_q(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@register("cascade_delete_parents", O.with_(O.ENTRIES) + """
+, m AS (SELECT DISTINCT arxiv_id, unnest(authors) AS name FROM entries),
+c AS (SELECT DISTINCT arxiv_id, unnest(categories) AS code FROM entries)
+SELECT 'authors' AS table_name, (SELECT count(DISTINCT name) FROM m WHERE NOT starts_with(name, 'c')) AS n_rows
+UNION ALL SELECT 'paper_authors', (SELECT count(*) FROM m WHERE NOT starts_with(name, 'c'))
+UNION ALL SELECT 'categories', (SELECT count(DISTINCT code) FROM c WHERE NOT starts_with(code, 'src1'))
+UNION ALL SELECT 'paper_categories', (SELECT count(*) FROM c WHERE NOT starts_with(code, 'src1'))
+UNION ALL SELECT 'papers', (SELECT count(*) FROM entries)""")
+def cascade_delete_parents(spark: SparkSession, sf: str) -> DataFrame:
+    """Delete the authors named c*, then the categories src1*; their links follow,
+    papers stay.  Rows left per table."""
+    entries = TB.paper_entries(spark, sf).withColumn("seq", F.col("doc_id"))
+    store = U.apply_batch(U.empty_tables(spark), entries, TB.ts(TB.INGESTED_AT))
+    after = U.cascade_delete(store, store["authors"].where(F.startswith("name", F.lit("c"))), "authors")
+    after = U.cascade_delete(after, store["categories"].where(F.startswith("code", F.lit("src1"))), "categories")
+    out = None
+    for t in ("authors", "paper_authors", "categories", "paper_categories", "papers"):
+        n = after[t].agg(F.count(F.lit(1)).cast("long").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 # --- lookups, filters, statistics, paging, encoding ----------------------------------
 
 from papyra.operators import diagnostics as D  # noqa: E402

@@ -42,10 +42,11 @@ class BatchStore:
     def applied(self, feed: str, batch: int) -> bool:
         return not self.batches().where((F.col("feed") == feed) & (F.col("batch") == int(batch))).isEmpty()
 
-    def rows(self, table: str, but: tuple[str, int] | None = None) -> DataFrame:
+    def rows(self, table: str, but: tuple[str, int] | None = None, schema: T.StructType | None = None) -> DataFrame:
         """All committed rows of a table, with their batch_no.  ``but``: a batch that is
-        being written; leftovers of an earlier attempt are then not even listed."""
-        schema, at = TABLE_SCHEMAS[table], f"{self.root}/{table}"
+        being written; leftovers of an earlier attempt are then not even listed.
+        ``schema``: of what is kept beside the tables."""
+        schema, at = schema or TABLE_SCHEMAS[table], f"{self.root}/{table}"
         done = self.batches().select("feed", "batch", "batch_no")
         if not self._exists(at):
             return self.spark.createDataFrame([], schema).withColumn("batch_no", F.lit(0).cast("long"))

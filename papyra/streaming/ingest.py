@@ -15,9 +15,11 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra.functions.text import document_text
 from papyra.operators import embed as E
+from papyra.operators.keyword_index import KeywordIndex
 from papyra.operators import lookup
 from papyra.operators import normalize as N
 from papyra.operators import upsert as U
@@ -25,14 +27,24 @@ from papyra.sources.atom import read_atom, stream_atom
 from papyra.sources.store import BatchStore
 
 
+#: Vectors that an encoder got wrong, kept beside the tables.
+VECTOR_REJECTS = T.StructType([T.StructField(c, T.StringType()) for c in ("paper_id", "model", "reason")])
+
+
 def _utc_now() -> str:
     return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ", timespec="seconds")
 
 
 def apply_entries(store: BatchStore, entries: DataFrame, feed: str, batch: int, batch_ts: str,
-                  embed_model: str | None = None, encoder_factory=E.HashingEncoder) -> dict | None:
+                  embed_model: str | None = None, encoder_factory=E.HashingEncoder, keyword_index: str | None = None) -> dict | None:
     """Normalise, validate and append one batch of raw entries; its counts
-    (new_count, updated_count, rejected), or None if it was applied before."""
+    (new_count, updated_count, rejected), or None if it was applied before.
+
+    ``embed_model``: papers of the batch without a vector of the model are encoded, and
+    those whose vector was rejected in an earlier batch once more; rejected vectors
+    are kept under ``_vector_rejects`` and count as rejected.  ``keyword_index``: root
+    of an index that gets the batch's papers as a segment numbered as the batch
+    (open it with ``last``, the last committed batch_no)."""
     if store.applied(feed, batch):
         return None
     spark = entries.sparkSession
@@ -56,14 +68,37 @@ def apply_entries(store: BatchStore, entries: DataFrame, feed: str, batch: int,
     store.write("authors", U.upsert_authors(known, valid, base).join(known, "name", "left_anti"), feed, batch)
     fresh = store.written("authors", feed, batch)
     store.write("paper_authors", U.upsert_paper_authors(none["paper_authors"], known.unionByName(fresh), valid), feed, batch)
+    rejected = rejects.count()
     if embed_model is not None:
-        todo = lookup.papers_missing_embedding(store.written("papers", feed, batch), store.rows("paper_embeddings", (feed, batch)), embed_model)
-        vecs = E.encode(todo.select("arxiv_id", document_text("title", "abstract").alias("text")), "text", "arxiv_id", encoder_factory)
-        rows = vecs.select(F.col("arxiv_id").alias("paper_id"), F.lit(embed_model).alias("model"), "embedding", F.lit(0).cast("long").alias("seq"))
-        made, _ = U.upsert_embeddings(none["paper_embeddings"], rows, ts, papers=store.written("papers", feed, batch))
-        store.write("paper_embeddings", made, feed, batch)
+        rejected += _embed(store, feed, batch, ts, embed_model, encoder_factory)
+    if keyword_index is not None:
+        number = (store.batches().agg(F.max("batch_no")).first()[0] or 0) + 1
+        KeywordIndex.add(keyword_index, store.written("papers", feed, batch), number)
     top = fresh.agg(F.max("author_id")).first()[0]
-    return store.commit(feed, batch, counts["new_count"], counts["updated_count"], rejects.count(), max(base, top or 0))
+    return store.commit(feed, batch, counts["new_count"], counts["updated_count"], rejected, max(base, top or 0))
+
+
+def _embed(store: BatchStore, feed: str, batch: int, ts, model: str, encoder_factory) -> int:
+    """Write the batch's vectors and rejects; the number of rejects."""
+    texts = ["arxiv_id", "title", "abstract"]
+    now = store.written("papers", feed, batch).select(*texts)
+    failed = store.rows("_vector_rejects", (feed, batch), VECTOR_REJECTS).where(F.col("model") == model)
+    failed = failed.select(F.col("paper_id").alias("arxiv_id")).distinct().join(now, "arxiv_id", "left_anti")
+    again = store.rows("papers", (feed, batch)).join(failed, "arxiv_id", "left_semi")
+    papers = now.unionByName(U.latest_per_key(again, ["arxiv_id"], texts[1:], "batch_no"))
+    todo = lookup.papers_missing_embedding(papers, store.rows("paper_embeddings", (feed, batch)), model)
+    vecs = E.encode(todo.select("arxiv_id", document_text("title", "abstract").alias("text")), "text", "arxiv_id", encoder_factory)
+    rows = vecs.select(F.col("arxiv_id").alias("paper_id"), F.lit(model).alias("model"), "embedding", F.lit(0).cast("long").alias("seq"))
+    staged = store.path("_staged_vectors", feed, batch)  # encoded once
+    rows.write.mode("overwrite").parquet(staged)
+    rows = store.spark.read.schema(rows.schema).parquet(staged)
+    known = store.rows("paper_embeddings", (feed, batch)).where(F.col("model") == model)  # for the model's dimension
+    dims = known.select("paper_id", "model", "embedding", "dim", "created_at").limit(1)
+    made, bad = U.upsert_embeddings(dims, rows, ts, papers=papers)
+    store.write("paper_embeddings", made.join(rows.select("paper_id"), "paper_id", "left_semi"), feed, batch)
+    at = store.path("_vector_rejects", feed, batch)
+    bad.select(*VECTOR_REJECTS.fieldNames()).write.mode("overwrite").parquet(at)
+    return store.spark.read.schema(VECTOR_REJECTS).parquet(at).count()
 
 
 def ingest_files(spark: SparkSession, landing_dir: str, store_root: str, feed: str, batch: int,

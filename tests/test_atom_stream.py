@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from papyra.operators.normalize import normalize_entries, validate_papers
 from papyra.sources.atom import read_atom
+from papyra.operators import embed as E
+from papyra.operators.keyword_index import KeywordIndex
 from papyra.sources.store import BatchStore
 from papyra.streaming.ingest import ingest_files, ingest_stream
 
@@ -156,3 +158,32 @@ def test_bad_date_is_quarantined_and_total_is_capped(spark, tmp_dir):
     assert (got["new_count"], got["rejected"]) == (2, 1)
     rejects = spark.read.parquet(os.path.join(root, "_rejects"))
     assert [r.reasons for r in rejects.collect()] == [["published is null"]]
+
+
+class Failing(E.HashingEncoder):
+    """Vectors of texts with 'Odd' in them are no numbers."""
+
+    def encode(self, texts, mode="document"):
+        out = super().encode(texts, mode)
+        out[[t is not None and "Odd" in t for t in texts]] = float("nan")
+        return out
+
+
+def test_rejected_vectors_are_kept_and_tried_again(spark, tmp_dir):
+    root, index = os.path.join(tmp_dir, "store"), os.path.join(tmp_dir, "index")
+    got = []
+    for n, (feed, encoder) in enumerate((([entry(1), entry(2, title="Odd one")], Failing), ([entry(3), entry(4, title="Odd too")], Failing),
+                                         ([entry(4, title="Even now")], E.HashingEncoder))):
+        landing = os.path.join(tmp_dir, f"landing{n}")
+        os.makedirs(landing)
+        write_feed(os.path.join(landing, "f.xml"), feed)
+        got.append(ingest_files(spark, landing, root, "a", n, embed_model="h", encoder_factory=encoder, keyword_index=index))
+    # the second batch tries paper 2 again, in vain; the third encodes it and the renamed paper 4
+    assert [(g["new_count"], g["rejected"]) for g in got] == [(2, 1), (2, 2), (0, 0)]
+    store = BatchStore(spark, root)
+    vecs = store.tables()["paper_embeddings"]
+    assert sorted(r.paper_id[:10] for r in vecs.collect()) == ["2401.00001", "2401.00002", "2401.00003", "2401.00004"]
+    kept = KeywordIndex.open(spark, index, last=got[-1]["batch_no"])
+    assert {r.paper_id[:10]: "even" in r.tokens for r in kept.live().collect()} == {
+        "2401.00001": False, "2401.00002": False, "2401.00003": False, "2401.00004": True}
+    assert KeywordIndex.open(spark, index, last=1).live().count() == 2

@@ -97,6 +97,8 @@ def test_cascade_delete(spark):
     for name in ("paper_authors", "paper_categories", "paper_embeddings"):
         assert {r.paper_id for r in after[name].collect()} == {"p2"}
     assert after["authors"].count() == 1 and after["categories"].count() == 1
+    both = U.cascade_delete(U.cascade_delete(t, t["authors"], "authors"), t["categories"], "categories")
+    assert [both[n].count() for n in ("papers", "authors", "paper_authors", "categories", "paper_categories", "paper_embeddings")] == [2, 0, 0, 0, 0, 2]
     assert U.orphans(t["paper_embeddings"], after["papers"]).count() == 1
 
 
