@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions.text import document_text
 from papyra.operators import lookup, upsert
+from papyra.session import checkpoint_dir
 
 MAX_TOKENS = 512   # fixed: encoder input is cut to this many tokens
 HASH_DIM = 64
@@ -50,38 +51,21 @@ class HashingEncoder:
 
     def encode(self, texts: list, mode: str = "document") -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
+        slots, count = [], np.zeros(len(texts), np.int64)
         for r, t in enumerate(texts):
-            if t is None:
-                continue
-            for tok in _TOKEN.findall(t.lower())[: self.max_tokens]:
-                i, s = self._slot(tok)
-                out[r, i] += s
+            words = _TOKEN.findall(t.lower())[: self.max_tokens] if t is not None else []
+            slots += map(self._slot, words)
+            count[r] = len(words)
+        if slots:
+            at, sign = zip(*slots)
+            np.add.at(out, (np.repeat(np.arange(len(texts)), count), np.array(at)), np.array(sign, np.float32))
         return out
 
 
-def hash_vectors(df: DataFrame, text_col: str, id_col: str, dim: int = HASH_DIM, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``HashingEncoder`` in built-in expressions: tokens are hashed and summed per
-    (id, place) by Spark; a task combines its rows' sums before the shuffle.  Ids
-    are unique; texts without tokens (or null) give zeros."""
-    tokens = F.slice(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"), F.lit(0)), 1, max_tokens)
-    t = df.select(F.col(id_col).cast("string").alias("_id"), F.explode_outer(tokens).alias("_t"))
-    h = F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("long")
-    t = t.withColumn("_h", h).withColumn("_at", (F.col("_h") % dim).cast("int"))
-    sign = F.when(F.floor(F.col("_h") / dim) % 2 == 0, 1).otherwise(-1)
-    sums = t.groupBy("_id", "_at").agg(F.sum(F.when(F.col("_at").isNotNull(), sign)).alias("_v"))
-    pairs = F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_v")))
-    at = F.map_from_entries("_m")
-    values = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0)).cast("float"))
-    return (sums.groupBy("_id").agg(pairs.alias("_m")).withColumn("_map", at)
-            .select(F.col("_id").alias(id_col), values.alias("embedding")))
-
-
 def encode(df: DataFrame, text_col: str, id_col: str,
            encoder_factory: Callable[[], object] = HashingEncoder, mode: str = "document") -> DataFrame:
-    """(id, embedding array<float>) for every row of ``df``.  The bundled hashing
-    runs in built-in expressions, any other encoder in ``mapInArrow``."""
-    if encoder_factory is HashingEncoder:
-        return hash_vectors(df, text_col, id_col)
+    """(id, embedding array<float>) for every row of ``df``, next to where it is read:
+    one encoder a task, Arrow batches, no shuffle."""
     from papyra.session import ship_package
     ship_package(df.sparkSession)
 
@@ -109,10 +93,13 @@ def embed_missing(papers: DataFrame, paper_embeddings: DataFrame, model: str, ba
 
 def embed_missing_checked(papers: DataFrame, paper_embeddings: DataFrame, model: str, batch_ts,
                           encoder_factory: Callable[[], object] = HashingEncoder) -> tuple[DataFrame, DataFrame]:
-    """As ``embed_missing``, with the vectors that the encoder got wrong and why."""
+    """As ``embed_missing``, with the vectors that the encoder got wrong and why.
+    The new vectors are checkpointed, as the checks read them several times: every
+    paper is encoded once."""
+    checkpoint_dir(papers.sparkSession)
     todo = lookup.papers_missing_embedding(papers, paper_embeddings, model)
     texts = todo.select("arxiv_id", document_text("title", "abstract").alias("text"))
     vecs = encode(texts, "text", "arxiv_id", encoder_factory)
     incoming = vecs.select(F.col("arxiv_id").alias("paper_id"), F.lit(model).alias("model"), "embedding",
-                           F.lit(0).cast("long").alias("seq"))
+                           F.lit(0).cast("long").alias("seq")).checkpoint()
     return upsert.upsert_embeddings(paper_embeddings, incoming, batch_ts)
