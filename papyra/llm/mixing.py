@@ -91,7 +91,7 @@ def solve_dual(hist: DataFrame, targets: DataFrame, tol: float = 1e-8, rounds: i
 
 
 def entropy_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5,
-                   block_docs: int = 512, id_col: str = "doc_id", text_col: str = "text",
+                   block_docs: int = 512, salts: int = 16, id_col: str = "doc_id", text_col: str = "text",
                    source_col: str = "source") -> DataFrame:
     """How often each distinct row of ``docs`` goes into the mix.
 
@@ -100,7 +100,8 @@ def entropy_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     rounded to 0, 1 or 2 copies in hashed blocks of about ``block_docs`` rows of
     one source, largest first, each choice carrying the words that the last ones
     left over; so a source of any share of the rows spreads over as many blocks
-    as it needs.  Everything is hashed or decimal: reruns agree.
+    as it needs, and its rows meet its tilt in ``salts`` tasks, not one.
+    Everything is hashed or decimal: reruns agree.
 
     Returns __k1, __k2 (key of id, text and source), __id, __n (equal rows),
     size, source_size, target, copies.
@@ -120,7 +121,10 @@ def entropy_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     tilt = solve_dual(hist, targets.drop("__rows"))
     per_source = targets.join(tilt, SRC, "left").withColumn("__lam", F.coalesce("__lam", F.lit(0.0)))
 
-    rows = items.join(per_source, SRC).withColumn("__rate", F.least(F.lit(2.0), F.exp(
+    # a source may hold a third of all rows: they are dealt by salt, its one row goes to every salt
+    per_salt = per_source.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = items.withColumn("__salt", F.pmod("__k1", F.lit(salts)).cast("int"))
+    rows = salted.join(per_salt, [*SRC, "__salt"]).drop("__salt").withColumn("__rate", F.least(F.lit(2.0), F.exp(
         F.least(F.lit(1.0), F.col("__lam") * F.col("size")))))
     block = F.pmod(F.xxhash64("__k2", "__k1"), F.ceil(F.col("__rows") / F.lit(block_docs)))
     rows = rows.withColumn("__block", block).withColumn("__neg", -F.col("size") * F.col("__n"))
