@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm._common import partitions
@@ -27,10 +27,11 @@ MESSAGE = pa.schema([("__bucket", pa.int32()), ("__chunk", pa.int32()), ("__kind
 MESSAGE_SQL = "__bucket int, __chunk int, __kind int, __data binary"
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """__id, __text and __chunk, dealt out by chunk, and the number of chunks."""
+def chunked(docs: DataFrame, id_col: str, text_col: str, **more: Column) -> tuple[DataFrame, int]:
+    """__id, __text, ``more`` and __chunk, dealt out by chunk, and the number of chunks."""
     n = partitions(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"),
+                       *[c.alias(name) for name, c in more.items()])
     return base.withColumn("__chunk", F.pmod(F.xxhash64("__id", "__text"), F.lit(n)).cast("int")).repartition(n, "__chunk"), n
 
 

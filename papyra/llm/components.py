@@ -29,3 +29,17 @@ def components(links: DataFrame) -> DataFrame:
         lab, changed = new.select("v", "comp"), new.where("old <> comp").limit(1).count()
         if not changed:
             return lab
+
+
+def smallest_ids(parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(__rep, comp, __low) for every class (__rep, __low: its smallest id): its
+    component and the smallest id of that component.
+
+    Classes are numbered apart from ids, as rows of different content may share
+    an id; one without links is its own component.
+    """
+    own = classes.select("__rep", "__low").join(parts.withColumnRenamed("v", "__rep"), "__rep", "left")
+    linked = own.where(F.col("comp").isNotNull())
+    low = linked.groupBy("comp").agg(F.min("__low").alias("__least"))
+    return own.join(low, "comp", "left").select(
+        "__rep", F.coalesce("comp", "__rep").alias("comp"), F.coalesce("__least", "__low").alias("__low"))

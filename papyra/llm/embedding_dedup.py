@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm._common import partitions, written
-from papyra.llm.components import components
+from papyra.llm.components import components, smallest_ids
 from papyra.llm.vectors import by_length, unit, usable
 
 
@@ -126,7 +126,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, seed: int = 11, bl
     good = usable(F.col("__v")) & F.col("__l").isNotNull() & F.col("__id").isNotNull()
     key = [F.xxhash64("__l", "__v").alias("__k1"), F.xxhash64(F.lit("v"), "__l", "__v").alias("__k2")]
     classes = written(x.where(good).select("*", *key).groupBy("__k1", "__k2").agg(
-        F.min("__id").alias("__rep"), F.count("*").alias("__m"), F.first("__v").alias("__v"), F.first("__l").alias("__l")), "vectors")
+        F.min("__id").alias("__low"), F.count("*").alias("__m"), F.first("__v").alias("__v"), F.first("__l").alias("__l"))
+        .withColumn("__rep", F.monotonically_increasing_id()), "vectors")  # unique, and fixed by the write
     # one number a label, of which the largest comes here
     most = classes.groupBy("__l").count().agg(F.max("count")).first()[0] or 0
     p = plan(most, threshold, seed)
@@ -186,8 +187,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, seed: int = 11, bl
     parts = components(found.where("a <> b").select("a", "b").distinct())
     links = found.groupBy(F.col("a").alias("__rep")).agg(F.sum("n").alias("__links"))
     known = classes.select("__k1", "__k2", "__rep", "__m").join(links, "__rep", "left").join(
-        parts.withColumnRenamed("v", "__rep"), "__rep", "left").select(
-        "__k1", "__k2", (F.coalesce("__links", F.lit(0)) + F.col("__m") - 1).alias("__links"), F.coalesce("comp", "__rep").alias("__comp"))
+        smallest_ids(parts, classes), "__rep").select(
+        "__k1", "__k2", (F.coalesce("__links", F.lit(0)) + F.col("__m") - 1).alias("__links"), F.col("__low").alias("__comp"))
     none = F.lit(None).cast("long")
     rows = x.select("__id", *[F.when(good, k).otherwise(none).alias(c) for k, c in zip(key, ("__k1", "__k2"), strict=True)])
     out = rows.join(known, ["__k1", "__k2"], "left")

@@ -10,14 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm._common import partitions, written
+from papyra.llm._common import partitions, row_key, written
 from papyra.llm.chunks import answer, ask, bucket_keys, by_bucket, chunked, read
-from papyra.llm.components import components
+from papyra.llm.components import components, smallest_ids
 from papyra.llm.words import U64, as_texts, mix64, ngram_hashes, short_hashes, slices, split_words, word_hashes
 
 #: Partners of a group in the second round; it only saves pairs of the last, exact one.
 STARS = 6
-SIGNATURE = "__id long, __n int, __s1 long, __s2 long, __prefix array<long>, __body array<long>"
+#: 128-bit key of a row's text.
+TEXT = ["__t1", "__t2"]
+SIGNATURE = "__id long, __t1 long, __t2 long, __n int, __s1 long, __s2 long, __prefix array<long>, __body array<long>"
 
 
 def shingle_sets(column, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -49,7 +51,7 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
     nothing: such shingles come first and are left out of prefix and body, and
     a document with fewer than ``percent`` shared shingles has no link.
     """
-    base, n = chunked(docs, id_col, text_col)
+    base, n = chunked(docs, id_col, text_col, **dict(zip(TEXT, row_key(F.col(text_col)), strict=True)))
 
     def keys_of(t: pa.Table):
         sets = list(shingle_sets(t["__text"], k))
@@ -111,7 +113,7 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
             flat = np.concatenate(parts) if parts else np.zeros(0, U64)
             return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat.view(np.int64))
 
-        return pa.table({"__id": t["__id"], "__n": sizes.astype(np.int32), "__s1": s1.view(np.int64), "__s2": s2.view(np.int64),
+        return pa.table({"__id": t["__id"], "__t1": t["__t1"], "__t2": t["__t2"], "__n": sizes.astype(np.int32), "__s1": s1.view(np.int64), "__s2": s2.view(np.int64),
                          "__prefix": lists(prefix, plen), "__body": lists(body, blen)})
 
     return read(base, answer(ask(base, question), reply), sign, SIGNATURE)
@@ -190,9 +192,9 @@ def settle(rows: DataFrame, place: DataFrame, classes: DataFrame, percent: int,
     return cells.groupBy("__p").applyInArrow(judge, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of ``docs``.
+def joined(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __t1, __t2, __n, __s1, __s2, __comp, __low) for every row: its text's key,
+    its set's size and fingerprint, its component (null without links to it) and the smallest id there.
 
     Documents link when their sets of ``k``-word shingles (64-bit hashes; A-Z
     lower-cased) have a Jaccard similarity of ``percent`` or more; component_id
@@ -207,18 +209,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
        (see ``settle``).  A link within a part would not change it, so the
        components are those of all links, and a large group of copies never
        becomes all its pairs.
-
-    Defined cases: null and empty texts have no shingles and link with nothing,
-    so do rows with a null id (component_id null); fewer than ``k`` words are one
-    shingle; equal rows each get a row; rows that repeat an id are judged each by
-    its own text; other columns are not read; an empty table gives an empty one.
     """
     sig = written(signatures(docs, k, percent, id_col, text_col), "signatures")
     key = ["__n", "__s1", "__s2"]
     near = sig.where("size(__prefix) > 0 and __id is not null")
-    classes = written(near.groupBy(*key).agg(F.min("__id").alias("__rep"), F.count("*").alias("__m"), F.first("__prefix").alias("__prefix"),
+    # classes get numbers of their own, fixed by the write: rows of different texts may share an id
+    classes = written(near.groupBy(*key).agg(F.min("__id").alias("__low"), F.count("*").alias("__m"), F.first("__prefix").alias("__prefix"),
                                              F.first("__body").alias("__body"))
-                      .withColumns({"__p1": F.xxhash64("__n", "__prefix"), "__p2": F.xxhash64(F.lit("p"), "__n", "__prefix")}),
+                      .withColumns({"__rep": F.monotonically_increasing_id(), "__p1": F.xxhash64("__n", "__prefix"), "__p2": F.xxhash64(F.lit("p"), "__n", "__prefix")}),
                       "classes")
     groups = written(classes.groupBy("__n", "__p1", "__p2").agg(
         F.min("__rep").alias("__gid"), F.sum("__m").alias("__m"), F.first("__prefix").alias("__prefix")), "groups")
@@ -274,17 +272,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     _, rows = unsettled(place)
     late = settle(rows, place, classes, percent)
     links = parts.where("v <> comp").select(F.col("v").alias("a"), F.col("comp").alias("b")).unionByName(late)
-    final = components(links).withColumnRenamed("v", "__rep")
+    named = classes.select(*key, "__rep").join(smallest_ids(components(links), classes), "__rep").select(
+        *key, F.col("comp").alias("__comp"), "__low")
+    return sig.select("__id", *TEXT, *key).join(named, key, "left")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for every row of ``docs``.
+
+    Documents link when their sets of ``k``-word shingles (64-bit hashes; A-Z
+    lower-cased) have a Jaccard similarity of ``percent`` or more; component_id
+    is the smallest id reachable.  See ``joined`` for the method.
 
-    named = classes.select(*key, "__rep").join(final, "__rep", "left").select(*key, F.coalesce("comp", "__rep").alias("__comp"))
-    return sig.select("__id", *key).join(named, key, "left").select(
+    Defined cases: null and empty texts have no shingles and link with nothing,
+    so do rows with a null id (component_id null); fewer than ``k`` words are one
+    shingle; equal rows each get a row; rows that repeat an id are judged each by
+    its own text; other columns are not read; an empty table gives an empty one.
+    """
+    return joined(docs, k, percent, id_col, text_col).select(
         F.col("__id").alias(id_col), F.col("__n").cast("long").alias("n_shingles"),
-        F.when(F.col("__id").isNotNull(), F.coalesce("__comp", "__id")).alias("component_id"))
+        F.when(F.col("__id").isNotNull(), F.coalesce("__low", "__id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with
-    the smallest id; rows equal in id and text collapse; rows without an id stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col, text_col])
+    the smallest id, and of several texts with that id the one that
+    hashes least.  Rows equal in id and text collapse; rows of one id whose
+    texts are not near each other are judged apart; rows without an id all stay.
+    """
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), **dict(zip(TEXT, row_key(F.col(text_col)), strict=True))})
+    rows = written(joined(docs, k, percent, id_col, text_col).where("__id is not null and __comp is not null")
+                   .select("__id", *TEXT, "__comp", "__low").distinct(), "members")
+    heads = rows.where("__id = __low")
+    pick = F.struct(*TEXT)
+    several = heads.groupBy("__comp").agg(F.min(pick).alias("__first"), F.count("*").alias("__k")).where("__k > 1")
+    others = heads.join(several.select("__comp", "__first"), "__comp").where(pick != F.col("__first"))
+    gone = rows.where("__id <> __low").select("__id", *TEXT).unionByName(others.select("__id", *TEXT))
+    one = keyed.where("__id is not null").join(gone, ["__id", *TEXT], "left_anti").dropDuplicates(["__id", *TEXT])
+    return one.select(*[f"`{c}`" for c in docs.columns]).unionByName(
+        keyed.where("__id is null").select(*[f"`{c}`" for c in docs.columns]))

@@ -44,12 +44,12 @@ def repeats(rows, window):
     return out
 
 
-def lines(texts, min_docs):
+def lines(ids, texts, min_docs):
     split = [(t or "").split("\n") for t in texts]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     seen = {}
-    for s in split:
-        for k in {key(x) for x in s}:
-            seen[k] = seen.get(k, 0) + 1
-    keep = [[x for x in s if not key(x) or seen[key(x)] < min_docs] for s in split]
+    for i, s in zip(ids, split, strict=True):
+        for x in s:
+            seen.setdefault(key(x), set()).add(i)
+    keep = [[x for x in s if not key(x) or len(seen[key(x)]) < min_docs] for s in split]
     return [("\n".join(k), len(s), len(s) - len(k)) for s, k in zip(split, keep, strict=True)]

@@ -87,7 +87,39 @@ def test_line_dedup_equals_brute_force(spark, odd_docs, no_docs):
     out = drop_common_lines(odd_docs, min_docs=3)
     assert set(odd_docs.columns) < set(out.columns)
     rows = odd_docs.collect()
-    want = sorted((str(r.doc_id), *w) for r, w in zip(rows, brute.lines([r.text for r in rows], 3), strict=True))
+    want = sorted((str(r.doc_id), *w) for r, w in zip(rows, brute.lines([r.doc_id for r in rows], [r.text for r in rows], 3), strict=True))
     assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in out.collect()) == want
     assert any(w[3] for w in want)
     assert drop_common_lines(no_docs).count() == 0
+
+
+def test_line_dedup_counts_an_id_once(spark):
+    def dropped(ids):
+        rows = [(i, f"shared by rows\nown {n}") for n, i in enumerate(ids)]
+        return [r.n_dropped for r in drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()]
+
+    assert dropped([5] * 12) == [0] * 12
+    assert dropped([*range(8), 5, 5, 5, 5]) == [0] * 12
+    assert dropped([*range(9), 5, 5, None]) == [1] * 12
+
+
+def near(word, n=60):
+    """Two texts of ``n`` words that link."""
+    w = [f"{word}{j}" for j in range(n)]
+    return " ".join(w), " ".join([*w[:-1], "other"])
+
+
+def test_ngram_join_ids_with_several_texts(spark):
+    (a, a2), (b, b2) = near("a"), near("b")
+    rows = [(3, a), (7, a2), (7, b), (9, b2), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, 0), (3, 3), (7, 3), (7, 7), (9, 7)]
+    assert sorted((r.doc_id or 0, r.text) for r in keep_one(docs).collect()) == [(0, a), (0, a), (3, a), (7, b)]
+
+
+def test_keep_one_of_several_texts_of_the_smallest_id(spark):
+    (a, a2), (b, b2) = near("a"), near("b")
+    docs = spark.createDataFrame([(5, a), (5, a2), (5, a.upper()), (5, b), (6, b2), (8, a2), (8, a2)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in keep_one(docs).collect()]
+    assert len(kept) == 2 and (5, b) in kept and {i for i, _ in kept} == {5}

@@ -80,3 +80,12 @@ def test_nearest_with_few_or_no_rows(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(d).collect())
     assert got == [(0, 1, 3, 2.0), (0, 2, 20, 2.0), (20, 1, 3, 4.0), (20, 2, 0, 2.0)]
     assert nearest(d.limit(0)).count() == 0
+
+
+def test_near_vectors_ids_of_several_vectors(spark):
+    x, y = [1.0, 0.0, 0.5], [0.0, 1.0, 0.5]
+    rows = [(1, x, 0), (1, y, 1), (5, [1.0, 0.01, 0.5], 0), (6, [0.01, 1.0, 0.5], 1), (3, [0.0, -1.0, 0.0], 0)]
+    d = spark.createDataFrame([(*r, 9, 9, "q") for r in rows],
+                              "vec_id long, embedding array<float>, label int, n_links int, component_id int, __rep string")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(d).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (3, 0, 3, True), (5, 1, 1, False), (6, 1, 1, False)]
