@@ -17,10 +17,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.operators.vectors import l2_normalize
+from papyra.operators.vectors import l2_normalize, second_moments
 
 SAMPLE_PAIRS = 2000
 SAMPLE_SEED = 0
+BROADCAST_PAIRS = 100_000
 
 
 def corpus_coverage(papers: DataFrame, paper_embeddings: DataFrame, model: str) -> DataFrame:
@@ -36,62 +37,18 @@ def category_counts(papers: DataFrame) -> DataFrame:
             .orderBy(F.col("n").desc(), F.col("primary_category")))
 
 
-def _moment_partials(dim: int):
-    """mapInArrow: per-partition sums of u, u u^T, |u|^2 and |u|^4."""
-    import pyarrow as pa
-
-    def fn(batches):
-        g = np.zeros((dim, dim))
-        s = np.zeros(dim)
-        n, sq, sq2 = 0, 0.0, 0.0
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            u = rb.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            g += u.T @ u
-            s += u.sum(axis=0)
-            q = np.einsum("ij,ij->i", u, u)
-            sq += float(q.sum())
-            sq2 += float((q * q).sum())
-            n += u.shape[0]
-        if n:
-            yield pa.RecordBatch.from_pydict({
-                "n": pa.array([n], pa.int64()), "sq": pa.array([sq]), "sq2": pa.array([sq2]),
-                "s": pa.array([s.tolist()], pa.list_(pa.float64())),
-                "g": pa.array([g.ravel().tolist()], pa.list_(pa.float64()))})
-    return fn
-
-
-def _sum_arrays(parts: DataFrame, col: str) -> np.ndarray:
-    """Element-wise sum of equal-length array rows, distributed by position."""
-    rows = (parts.select(F.posexplode(col).alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
-            .orderBy("pos").collect())
-    return np.array([r["v"] for r in rows])
-
-
 def pair_moments(vecs: DataFrame) -> DataFrame:
     """(n_pairs, mean, std) of cosine similarity over all distinct pairs,
-    exact, from per-partition partial sums (no pairs materialised; what
-    reaches the driver is dim + dim^2 numbers)."""
-    from papyra.session import ship_package
-    ship_package(vecs.sparkSession)
+    exact, from tiles of partial sums (no pairs materialised; what
+    reaches the driver is dim + dim^2 / 2 numbers)."""
     spark = vecs.sparkSession
-    dim_row = vecs.agg(F.max(F.size("embedding")).alias("d")).collect()[0]
-    dim = int(dim_row["d"] or 0)
-    u = vecs.select(l2_normalize("embedding").alias("u"))
-    schema = "n long, sq double, sq2 double, s array<double>, g array<double>"
-    # one small row per partition; cached because three reductions read it
-    parts = u.mapInArrow(_moment_partials(dim), schema).cache() if dim else None
-    tot = parts.agg(F.sum("n").alias("n"), F.sum("sq").alias("sq"), F.sum("sq2").alias("sq2")).collect()[0] \
-        if parts is not None else None
-    n = int(tot["n"] or 0) if tot else 0
+    n, dim, sums, g = second_moments(vecs.select(l2_normalize("embedding").alias("u")), "u")
     if n < 2:
         return spark.createDataFrame([(0, None, None)], "n_pairs long, mean double, std double")
-    s = _sum_arrays(parts, "s")
-    g = _sum_arrays(parts, "g")
+    s, (sq, sq2) = sums[:dim], sums[dim:]
     ordered = n * (n - 1)
-    mean = (float(s @ s) - tot["sq"]) / ordered
-    meansq = (float((g * g).sum()) - tot["sq2"]) / ordered
+    mean = (float(s @ s) - sq) / ordered
+    meansq = (float((g * g).sum()) - sq2) / ordered
     std = float(np.sqrt(max(meansq - mean * mean, 0.0)))
     return spark.createDataFrame([(n * (n - 1) // 2, float(mean), std)],
                                  "n_pairs long, mean double, std double")
@@ -122,8 +79,7 @@ def sample_pairs(vecs: DataFrame, n_pairs: int = SAMPLE_PAIRS, seed: int = SAMPL
         return spark.createDataFrame([], schema)
     per_round = n // 2
     rounds = -(-n_pairs // per_round)
-    units = vecs.select("paper_id", l2_normalize("embedding").alias("u"))
-    keyed = (units.select("paper_id", "u", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    keyed = (vecs.select("paper_id", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
              .withColumn("key", _hash_int(F.col("paper_id"), F.lit(seed), F.col("round"))))
     w = Window.partitionBy("round").orderBy("key", "paper_id")
     take = 2 * min(per_round, n_pairs)
@@ -131,7 +87,10 @@ def sample_pairs(vecs: DataFrame, n_pairs: int = SAMPLE_PAIRS, seed: int = SAMPL
     ranked = (keyed.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= take)
               .withColumn("pos", F.col("rn") - 1))
     ranked = ranked.withColumn("k", F.col("round") * per_round + F.floor(F.col("pos") / 2)).where(
-        F.col("k") < n_pairs)
+        F.col("k") < n_pairs).select("paper_id", "k", "pos")
+    if n_pairs <= BROADCAST_PAIRS:  # 2 x n_pairs ids at most, so the vectors stay where they are
+        ranked = F.broadcast(ranked)
+    ranked = vecs.select("paper_id", l2_normalize("embedding").alias("u")).join(ranked, "paper_id")
     a = ranked.where(F.col("pos") % 2 == 0).select("k", F.col("paper_id").alias("id_a"), F.col("u").alias("ua"))
     b = ranked.where(F.col("pos") % 2 == 1).select("k", F.col("paper_id").alias("id_b"), F.col("u").alias("ub"))
     dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
@@ -148,14 +107,20 @@ def category_exemplars(papers: DataFrame, vecs: DataFrame, prefix: str, equals:
     """Cosine of the first (smallest id) embedded paper whose primary
     category starts with ``prefix`` and the first whose category equals
     ``equals``; no row when either is missing."""
-    emb = vecs.select(F.col("paper_id").alias("arxiv_id"), l2_normalize("embedding").alias("u"))
-    cand = papers.select("arxiv_id", "title", "primary_category").join(emb, "arxiv_id")
-    packed = F.struct("arxiv_id", "title", "u")
+    embedded = vecs.select(F.col("paper_id").alias("arxiv_id"))
+    cand = papers.select("arxiv_id", "title", "primary_category").join(embedded, "arxiv_id", "left_semi")
+    packed = F.struct("arxiv_id", "title")
     firsts = cand.agg(
         F.min(F.when(F.col("primary_category").startswith(prefix), packed)).alias("a"),
         F.min(F.when(F.col("primary_category") == F.lit(equals), packed)).alias("b"))
+    # one row by its global aggregate: its two ids go to the vectors, no vector is shuffled to them
+    ids = firsts.where("a is not null and b is not null").select(F.explode(F.map_from_arrays(
+        F.array(F.lit("a"), F.lit("b")), F.array("a", "b"))).alias("end", "paper"))
+    found = vecs.join(F.broadcast(ids), F.col("paper_id") == F.col("paper.arxiv_id")).groupBy("end", "paper").agg(
+        F.min(F.struct(l2_normalize("embedding").alias("u"))).alias("x"))
+    ends = found.agg(*[F.first(F.when(F.col("end") == e, F.struct("paper", "x.u")), ignorenulls=True).alias(e) for e in "ab"])
     dot = F.aggregate(F.zip_with("a.u", "b.u", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return (firsts.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-            .select(F.col("a.arxiv_id").alias("id_a"), F.col("a.title").alias("title_a"),
-                    F.col("b.arxiv_id").alias("id_b"), F.col("b.title").alias("title_b"),
+    return (ends.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+            .select(F.col("a.paper.arxiv_id").alias("id_a"), F.col("a.paper.title").alias("title_a"),
+                    F.col("b.paper.arxiv_id").alias("id_b"), F.col("b.paper.title").alias("title_b"),
                     dot.alias("similarity")))

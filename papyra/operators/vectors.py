@@ -35,6 +35,8 @@ SCORE_DECIMALS = 10        # ranking key precision; absorbs last-bit noise
 # Questions travel to tasks as dense (Q x dim) matrices of so many rows.
 QUESTIONS_PER_BLOCK = 1024
 EMIT_ROWS = 1 << 17  # of one Arrow batch of full scores
+TILE = 64  # rows and columns of a piece of a dim x dim matrix
+LANES = 32  # groups of partitions whose sums are added first
 
 
 @dataclass
@@ -63,75 +65,177 @@ def capped_components(n_requested: int, n_rows: int, dim: int) -> int:
     return max(0, min(int(n_requested), int(n_rows) // COMPONENTS_PER_ROWS, int(dim)))
 
 
+def _dense(col: pa.Array) -> tuple[list[int], np.ndarray | None]:
+    """The lengths that occur among the vectors of ``col`` and, if there is one, the matrix."""
+    if col.null_count:
+        col = col.filter(col.is_valid())
+    dims = np.unique(np.diff(col.offsets.to_numpy())).tolist() if len(col) else []
+    if len(dims) != 1:
+        return dims, None
+    return dims, col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), dims[0])
+
+
+def _partials(dims: set[int], n: int, sums: np.ndarray | None, cells: dict[tuple[int, int], np.ndarray]):
+    """What one partition found: a row of sums per length, a row per tile."""
+    rows = [(-1, -1, d, n if sums is not None else 0, np.zeros(d + 2) if sums is None else sums) for d in sorted(dims)]
+    rows += [(i, j, max(dims), 0, m.ravel()) for (i, j), m in cells.items()]
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)],
+        ["ti", "tj", "dim", "n", "v"])
+
+
+_PARTIALS = "ti int, tj int, dim int, n long, v array<double>"
+
+
 def _moments_kernel():
-    """mapInArrow: per-partition n, min/max length, sum x and sum x x^T."""
+    """mapInArrow over (vector): n, sum x with sum |x|^2 and sum |x|^4 behind
+    it, and the tiles of the upper half of sum x x^T, per partition."""
     def fn(batches):
-        n, dmin, dmax = 0, None, None
-        sx = gx = None
+        n, dims, sums, g = 0, set(), None, None
         for rb in batches:
-            col = rb.column(1)
-            if rb.num_rows == 0:
-                continue
-            if col.null_count:
-                col = col.filter(col.is_valid())
-            lens = np.diff(col.offsets.to_numpy())
-            if len(lens) == 0:
-                continue
-            lo, hi = int(lens.min()), int(lens.max())
-            dmin = lo if dmin is None else min(dmin, lo)
-            dmax = hi if dmax is None else max(dmax, hi)
-            if dmin != dmax:
-                continue  # mixed dimensions: reported, not summed
-            x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lens), hi)
-            if sx is None:
-                sx, gx = np.zeros(hi), np.zeros((hi, hi))
-            sx += x.sum(axis=0)
-            gx += x.T @ x
-            n += x.shape[0]
-        if n or dmin is not None:
-            yield pa.RecordBatch.from_pydict({
-                "n": pa.array([n], pa.int64()),
-                "dmin": pa.array([dmin], pa.int32()), "dmax": pa.array([dmax], pa.int32()),
-                "s": pa.array([None if sx is None else sx.tolist()], pa.list_(pa.float64())),
-                "g": pa.array([None if gx is None else gx.ravel().tolist()], pa.list_(pa.float64()))})
+            found, x = _dense(rb.column(0))
+            dims.update(found)
+            if x is None or len(dims) > 1:
+                continue  # mixed lengths are reported, not summed
+            if g is None:
+                sums, g = np.zeros(x.shape[1] + 2), np.zeros((x.shape[1], x.shape[1]))
+            sq = np.einsum("ij,ij->i", x, x)
+            sums += np.concatenate([x.sum(axis=0), [sq.sum(), (sq * sq).sum()]])
+            g += x.T @ x
+            n += len(x)
+        if len(dims) > 1:
+            yield _partials(dims, 0, None, {})
+        elif n:
+            at = range(0, len(g), TILE)
+            yield _partials(dims, n, sums, {(i // TILE, j // TILE): g[i:i + TILE, j:j + TILE] for i in at for j in at if j >= i})
     return fn
 
 
-_MOMENTS = "n long, dmin int, dmax int, s array<double>, g array<double>"
+def sum_tiles(parts: DataFrame) -> tuple[int, int, dict[tuple[int, int], np.ndarray]]:
+    """(n, dim, sums by tile) of the partial sums of partitions.
 
+    Tiles are added apart from each other, and each first in LANES groups of
+    partitions: a task reads about partitions / LANES tiles, never whole
+    matrices.  Vectors of more than one length raise."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    key = ["dim", "ti", "tj"]
+    lanes = parts.select(*key, "n", array_to_vector("v").alias("v"), (F.spark_partition_id() % LANES).alias("lane"))
+    some = lanes.groupBy(*key, "lane").agg(F.sum("n").alias("n"), Summarizer.sum(F.col("v")).alias("v"))
+    rows = some.groupBy(*key).agg(F.sum("n").alias("n"), Summarizer.sum(F.col("v")).alias("v")).collect()
+    dims = sorted({r["dim"] for r in rows})
+    if len(dims) > 1:
+        raise ValueError(f"vectors of one model must share one dimension, got {dims[0]}..{dims[-1]}")
+    return (sum(r["n"] for r in rows), dims[0] if dims else 0, {(r["ti"], r["tj"]): r["v"].toArray() for r in rows})
 
-def corpus_moments(vecs: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """(n, dim, mean, covariance-times-n) in one distributed pass.
 
-    Each partition reduces its vectors to n, sum x and sum x x^T with one
-    matmul per Arrow batch; the partial sums are added by Spark ML's
-    Summarizer (a partial aggregation), so the driver receives dim + dim^2
-    numbers whatever the corpus size.  Mixed dimensions raise."""
+def second_moments(vecs: DataFrame, column: str = "embedding") -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(n, dim, sums, sum x x^T) in one distributed pass; ``sums`` is sum x,
+    then sum |x|^2 and sum |x|^4.  The driver gets dim^2 / 2 numbers and a few."""
     from papyra.session import ship_package
     ship_package(vecs.sparkSession)
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
+    n, dim, found = sum_tiles(vecs.select(column).mapInArrow(_moments_kernel(), _PARTIALS))
+    g = np.zeros((dim, dim))
+    for (i, j), v in found.items():
+        if i >= 0:
+            cell = g[i * TILE:(i + 1) * TILE, j * TILE:(j + 1) * TILE]
+            cell[:] = v.reshape(cell.shape)
+            g[j * TILE:(j + 1) * TILE, i * TILE:(i + 1) * TILE] = cell.T
+    return n, dim, found.get((-1, -1), np.zeros(2)), g
 
-    if vecs.where(F.col("embedding").isNotNull()).isEmpty():  # Summarizer needs one row
-        return 0, 0, np.zeros(0), np.zeros((0, 0))
-    parts = vecs.select("paper_id", "embedding").mapInArrow(_moments_kernel(), _MOMENTS)
-    row = parts.agg(
-        F.sum("n").alias("n"), F.min("dmin").alias("dmin"), F.max("dmax").alias("dmax"),
-        Summarizer.sum(array_to_vector(F.coalesce("s", F.array().cast("array<double>")))).alias("s"),
-        Summarizer.sum(array_to_vector(F.coalesce("g", F.array().cast("array<double>")))).alias("g"),
-    ).collect()[0]
-    n = int(row["n"] or 0)
-    if row["dmin"] is not None and row["dmin"] != row["dmax"]:
-        raise ValueError(f"vectors of one model must share one dimension, got {row['dmin']}..{row['dmax']}")
+
+def corpus_moments(vecs: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(n, dim, mean, covariance-times-n) in one distributed pass."""
+    n, dim, sums, g = second_moments(vecs)
     if n == 0:
-        return 0, int(row["dmax"] or 0), np.zeros(0), np.zeros((0, 0))
-    dim = int(row["dmax"])
-    mean = np.asarray(row["s"].toArray()) / n
-    g = np.asarray(row["g"].toArray()).reshape(dim, dim)
+        return 0, dim, np.zeros(0), np.zeros((0, 0))
+    mean = sums[:dim] / n
     scatter = g - n * np.outer(mean, mean)
     return n, dim, mean, (scatter + scatter.T) / 2
 
 
+def _product_kernel(mean: np.ndarray, q: np.ndarray):
+    """mapInArrow: sum (x - mean) ((x - mean) q), in tiles of rows, per partition."""
+    def fn(batches):
+        y, n = np.zeros_like(q), 0
+        for rb in batches:
+            _, x = _dense(rb.column(0))
+            if x is not None and len(x):
+                x = x - mean
+                y += x.T @ (x @ q)
+                n += len(x)
+        if n:
+            yield _partials({len(q)}, n, np.zeros(len(q) + 2), {(i // TILE, 0): y[i:i + TILE] for i in range(0, len(q), TILE)})
+    return fn
+
+
+def fit_basis_iterative(vecs: DataFrame, n_components: int = DEFAULT_COMPONENTS, extra: int = 10, tol: float = 1e-10,
+                        passes: int = 60, blocks: int = 8, seed: int = 0) -> Basis:
+    """``fit_basis`` for long vectors, by randomised block Krylov iteration.
+
+    Every pass multiplies the scatter matrix, which is never built, with
+    k + ``extra`` orthonormal columns: a partition returns dim x (k + extra)
+    numbers in tiles, and so does the whole pass to the driver, which keeps at
+    most ``blocks`` such blocks and then goes on from the best directions in
+    them.  It ends when the k leading directions turn by less than ``tol``
+    (largest sine), when the blocks span the whole space or after ``passes`` passes.  Defined cases as in ``fit_basis``: no vectors or fewer than ten per
+    direction give fewer or no directions, mixed lengths raise."""
+    from papyra.session import ship_package
+    ship_package(vecs.sparkSession)
+    x = vecs.select("embedding").where(F.col("embedding").isNotNull())
+    dims = [r["d"] for r in x.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()]
+    if len(dims) > 1:
+        raise ValueError(f"vectors of one model must share one dimension, got {dims[0]}..{dims[-1]}")
+    dim = dims[0] if dims else 0
+    n, mean = 0, np.zeros(dim)
+    if dim:
+        n, _, found = sum_tiles(x.mapInArrow(_sums_kernel(), _PARTIALS))
+        mean = found[(-1, -1)][:dim] / n
+    k = capped_components(n_components, n, dim)
+    if k == 0:
+        return Basis(n, dim, mean, np.zeros((0, dim)))
+    q = np.linalg.qr(np.random.default_rng([seed, dim]).normal(size=(dim, min(dim, k + extra))))[0]
+    last, width = None, q.shape[1]
+    space, image = np.zeros((dim, 0)), np.zeros((dim, 0))
+    for _ in range(passes):
+        _, _, found = sum_tiles(x.mapInArrow(_product_kernel(mean, q), _PARTIALS))
+        y = np.concatenate([found[(i, 0)].reshape(-1, q.shape[1]) for i in range(-(-dim // TILE))])
+        space, image = np.hstack([space, q]), np.hstack([image, y])
+        inner = space.T @ image
+        w, turn = np.linalg.eigh((inner + inner.T) / 2)  # Ritz directions, best last
+        d = space @ turn[:, ::-1][:, :k]
+        if space.shape[1] == dim or (last is not None and np.linalg.norm(d - last @ (last.T @ d), 2) < tol):
+            break
+        last = d
+        if space.shape[1] >= blocks * width:
+            space, image = space @ turn[:, -width:], image @ turn[:, -width:]
+            y = image
+        for _ in range(2):
+            y = y - space @ (space.T @ y)
+        left, size, _ = np.linalg.svd(y, full_matrices=False)
+        q = left[:, size > 1e-13 * max(abs(w[-1]), 1e-300)][:, :dim - space.shape[1]]
+        if q.shape[1] == 0:  # the scatter matrix keeps the space: its directions are exact
+            break
+        q = np.linalg.qr(q - space @ (space.T @ q))[0]
+    return Basis(n, dim, mean, np.ascontiguousarray(d.T))
+
+
+def _sums_kernel():
+    """mapInArrow: n and sum x per partition."""
+    def fn(batches):
+        n, s = 0, None
+        for rb in batches:
+            _, x = _dense(rb.column(0))
+            if x is not None:
+                s = (0 if s is None else s) + x.sum(axis=0)
+                n += len(x)
+        if n:
+            yield _partials({len(s)}, n, np.concatenate([s, [0.0, 0.0]]), {})
+    return fn
+
+
 def fit_basis(vecs: DataFrame, n_components: int = DEFAULT_COMPONENTS, center: bool = True) -> Basis:
     """Mean and top-variance directions of a corpus (never of the queries).
 

@@ -79,6 +79,14 @@ def similar_debiased_cells(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("score", _r6("score"))
 
 
+@register("similar_debiased_iterative", _topk_sql(O.debiased_scores("m1", (3,)), 5))
+def similar_debiased_iterative(spark: SparkSession, sf: str) -> DataFrame:
+    """V4/V6: as similar_debiased, with directions from products, not from the dim x dim matrix."""
+    pe = TB.paper_embeddings(spark, sf)
+    basis = V.fit_basis_iterative(V.vectors_of(pe, "m1"), 3)
+    return V.search_similar(pe, TB.questions(spark, sf), "m1", top_k=5, n_components=3, basis=basis).withColumn("score", _r6("score"))
+
+
 @register("sweep_components", O.with_(O.ENTRIES, O.PE, O.QUESTIONS, *O.debiased_scores("m1", V.SWEEP_COMPONENTS)) + """
 SELECT t.question_id, t.n AS n_components, t.rank, t.paper_id,
        coalesce(substr(e.title, 1, 70), '?') AS title, printf('%.3f', t.s) AS score_text,
@@ -525,6 +533,7 @@ def cascade_delete_parents(spark: SparkSession, sf: str) -> DataFrame:
 from papyra.operators import diagnostics as D  # noqa: E402
 from papyra.operators import embed as EM  # noqa: E402
 from papyra.operators import lookup as LK  # noqa: E402
+from papyra.streaming.ingest import first_entries  # noqa: E402
 
 _IDS_SQL = ("ids AS (SELECT lpad(cast(doc_id AS VARCHAR), 19, '0') AS arxiv_id FROM labels "
             "UNION SELECT lpad(cast(doc_id * 3 AS VARCHAR), 19, '0') FROM labels)")
@@ -762,6 +771,14 @@ def bulk_cap(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderkey", _iso("o_orderdate").alias("o_orderdate"))
 
 
+@register("bulk_cap_files", """
+SELECT o_orderkey, """ + O.iso("o_orderdate") + """ AS o_orderdate FROM (SELECT * FROM orders LIMIT 150)""")
+def bulk_cap_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 150 rows in the order of the files, by counts of their splits."""
+    o = first_entries(spark.read.parquet(f"{sf}/orders.parquet"), 150)
+    return o.select("o_orderkey", _iso("o_orderdate").alias("o_orderdate"))
+
+
 _HASH_SQL = ("toks AS (SELECT arxiv_id, unnest(regexp_extract_all(lower(title || '[SEP]' || abstract), "
              "'[a-z0-9]+')[1:512]) AS tok FROM {src}), "
              "hv AS (SELECT arxiv_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM toks), "

@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as _dt
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,14 +101,39 @@ def _embed(store: BatchStore, feed: str, batch: int, ts, model: str, encoder_fac
     return store.spark.read.schema(VECTOR_REJECTS).parquet(at).count()
 
 
+def first_entries(entries: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows of a file read, in the order of file name and place.
+
+    Rows are counted per split (a piece of a file that one task reads), and the
+    counts, one small row a split, are added up in order.  All rows before the
+    split in which the total falls stay as they are; only the rows of that split
+    are sorted and cut.  No rows, or none asked for, give none; nulls in the rows
+    do not matter.
+    """
+    spot = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    splits = entries.select(spot.alias("_spot")).groupBy("_spot").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_spot").rowsBetween(Window.unboundedPreceding, -1))
+    last = (splits.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most)
+            .orderBy(F.desc("_spot")).first())
+    if last is None:
+        return entries.limit(0)
+    file, start = last["_spot"]
+    path = F.col("_metadata.file_path")
+    ahead = entries.where((path < file) | ((path == file) & (F.col("_metadata.file_block_start") < start)))
+    cut = entries.where((path == file) & (F.col("_metadata.file_block_start") == start))
+    if last["_before"] + last["_rows"] > most:
+        cut = (cut.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at")
+               .limit(most - last["_before"]).drop("_at"))
+    return ahead.unionByName(cut)
+
+
 def ingest_files(spark: SparkSession, landing_dir: str, store_root: str, feed: str, batch: int,
                  max_total: int | None = None, clock=_utc_now, **how) -> dict | None:
     """One bulk ingest of the files landed so far, of at most ``max_total``
     entries in the order of file and place."""
     entries = read_atom(spark, landing_dir)
     if max_total is not None:
-        entries = (entries.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
-                   .orderBy("_file", "_at").limit(max_total).drop("_file", "_at"))
+        entries = first_entries(entries, max_total)
     return apply_entries(BatchStore(spark, store_root), entries, feed, batch, clock(), **how)
 
 

@@ -10,7 +10,7 @@ from papyra.sources.atom import read_atom
 from papyra.operators import embed as E
 from papyra.operators.keyword_index import KeywordIndex
 from papyra.sources.store import BatchStore
-from papyra.streaming.ingest import ingest_files, ingest_stream
+from papyra.streaming.ingest import first_entries, ingest_files, ingest_stream
 
 HEAD = ('<?xml version="1.0" encoding="UTF-8"?>\n<feed xmlns="http://www.w3.org/2005/Atom" '
         'xmlns:arxiv="http://arxiv.org/schemas/atom">\n')
@@ -187,3 +187,16 @@ def test_rejected_vectors_are_kept_and_tried_again(spark, tmp_dir):
     assert {r.paper_id[:10]: "even" in r.tokens for r in kept.live().collect()} == {
         "2401.00001": False, "2401.00002": False, "2401.00003": False, "2401.00004": True}
     assert KeywordIndex.open(spark, index, last=1).live().count() == 2
+
+
+@pytest.mark.parametrize("most", [0, 1, 4, 5, 6, 9, 12, 50])
+def test_cap_takes_files_in_order_and_cuts_inside_one(spark, tmp_dir, most):
+    landing = os.path.join(tmp_dir, "landing")
+    os.makedirs(landing)
+    want, n = [], 0
+    for name, size in (("a", 4), ("b", 1), ("c", 7)):
+        ids = range(n + 1, n + size + 1)
+        write_feed(os.path.join(landing, f"{name}.xml"), [entry(i) for i in ids])
+        want, n = want + [f"{i:05d}" for i in ids], n + size
+    got = first_entries(read_atom(spark, landing), most)
+    assert sorted(r.id.split("/")[-1].split(".")[1][:5] for r in got.collect()) == want[:most]

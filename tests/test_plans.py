@@ -75,3 +75,12 @@ def test_pair_sampler_keeps_partial_limit(spark):
     assert "WindowGroupLimit" in txt and "SinglePartition" not in txt
     rows = p.collect()
     assert len(rows) == D.SAMPLE_PAIRS and all(r.id_a != r.id_b for r in rows)
+
+
+def test_exemplars_shuffle_no_vector(spark):
+    from papyra.operators import diagnostics as D
+    out = D.category_exemplars(TB.papers(spark, SF), V.vectors_of(TB.paper_embeddings(spark, SF), "m1"), "cs.", "math.AG")
+    txt = out._jdf.queryExecution().optimizedPlan().toString()
+    # the two vectors meet in an aggregate behind a join with two broadcast ids
+    assert "strategy=broadcast" in txt and txt.index("Aggregate") < txt.index("strategy=broadcast")
+    out.collect()
