@@ -31,15 +31,18 @@ def components(links: DataFrame) -> DataFrame:
             return lab
 
 
-def smallest_ids(parts: DataFrame, classes: DataFrame) -> DataFrame:
+def smallest_ids(parts: DataFrame, classes: DataFrame, salts: int = 16) -> DataFrame:
     """(__rep, comp, __low) for every class (__rep, __low: its smallest id): its
     component and the smallest id of that component.
 
     Classes are numbered apart from ids, as rows of different content may share
     an id; one without links is its own component.
     """
-    own = classes.select("__rep", "__low").join(parts.withColumnRenamed("v", "__rep"), "__rep", "left")
-    linked = own.where(F.col("comp").isNotNull())
-    low = linked.groupBy("comp").agg(F.min("__low").alias("__least"))
-    return own.join(low, "comp", "left").select(
+    linked = parts.withColumnRenamed("v", "__rep").join(classes.select("__rep", "__low"), "__rep").withColumn(
+        "__salt", F.pmod("__rep", F.lit(salts)))
+    # one component may hold a third of all classes: its rows meet its smallest id in ``salts`` tasks
+    least = linked.groupBy("comp").agg(F.min("__low").alias("__least")).withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    known = linked.join(least, ["comp", "__salt"]).select("__rep", "comp", "__least")
+    return classes.select("__rep", "__low").join(known, "__rep", "left").select(
         "__rep", F.coalesce("comp", "__rep").alias("comp"), F.coalesce("__least", "__low").alias("__low"))
