@@ -3,90 +3,103 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.llm._common import tidy
 from papyra.llm.vectors import by_length, usable
 
 WIDTH = 2.72  # of a window over the radius
+RADII = 0.5 * 1.1 ** np.arange(16)  # up to 2.09: unit vectors are at most 2 apart
+MOST_TASKS = 50_000  # of one search; beyond it a task takes several cells in turn
 
 
-class Block:
+class Index:
     """Some vectors, their projections sorted one by one.
 
     Largest inner product becomes least distance: vectors are scaled by the
     block's largest norm and get a component that fills them up to length 1.
+    ``rank`` holds each vector's place in each sorted projection, so that a window,
+    two places found by bisection, is tested on all vectors at once.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, projections: int, seed: int):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, projections: int, slack: float, seed: int):
+        if len(ids) > 32_768 or projections > 255:
+            raise ValueError("at most 32768 vectors a block and 255 projections")
         self.ids, self.x = ids, x
         norm = np.linalg.norm(x, axis=1)
         self.scale = norm.max()
         rest = np.sqrt(np.maximum(0, 1 - (norm / self.scale) ** 2))
         self.axes = np.random.default_rng([seed, x.shape[1]]).normal(size=(x.shape[1] + 1, projections))
-        values = (x / self.scale) @ self.axes[:-1] + rest[:, None] * self.axes[-1]
-        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
-        self.sorted = np.ascontiguousarray(np.take_along_axis(values, self.order.T, axis=0).T)
-
-    def search(self, q: np.ndarray, own: np.ndarray, k: int, need: int, radii: np.ndarray):
-        """Yields (query, ids, scores) of at most k vectors each, best first.
+        values = ((x / self.scale) @ self.axes[:-1] + rest[:, None] * self.axes[-1]).T
+        self.rank = np.empty(values.shape, np.uint16)
+        self.sorted = np.empty_like(values)
+        for j in range(projections):
+            order = np.argsort(values[j], kind="stable")
+            self.sorted[j] = values[j, order]
+            self.rank[j, order] = np.arange(len(ids), dtype=np.uint16)
+        # a vector just at the radius lies in a window with probability p
+        p = math.erf(WIDTH / 2 / math.sqrt(2))
+        self.need = math.ceil(projections * p - slack * math.sqrt(projections * p * (1 - p)))
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(query, ids, scores, verified) of at most k vectors each, best first.
 
         Windows of WIDTH radii around the query's projection widen from radius
         to radius (virtual rehashing).  A vector in ``need`` windows is verified:
-        its inner product is computed.  The search ends at a radius that the k-th
-        verified distance does not exceed, or when the windows hold everything.
+        its inner product is computed.  The search ends at the first radius that the
+        k-th verified distance does not exceed; a block that holds fewer than k
+        candidates never ends so, and what is left of it is verified as well.
         """
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         centre = (q / norm) @ self.axes[:-1]
-        m = len(self.order)
-        low = np.empty((len(radii), len(q), m), np.int64)
-        high = np.empty_like(low)
+        m, n = self.rank.shape
+        low, high = np.empty((len(q), len(RADII), m), np.uint16), np.empty((len(q), len(RADII), m), np.uint16)
         for j in range(m):
-            for r, radius in enumerate(radii):
-                low[r, :, j] = np.searchsorted(self.sorted[j], centre[:, j] - radius * WIDTH / 2, "left")
-                high[r, :, j] = np.searchsorted(self.sorted[j], centre[:, j] + radius * WIDTH / 2, "right")
-        n = len(self.ids)
+            low[:, :, j] = np.searchsorted(self.sorted[j], centre[:, j, None] - RADII * WIDTH / 2, "left")
+            high[:, :, j] = np.searchsorted(self.sorted[j], centre[:, j, None] + RADII * WIDTH / 2, "right")
+        place, inside = np.empty((m, n), np.uint16), np.empty((m, n), bool)
         for i in range(len(q)):
-            count, known = np.zeros(n, np.int64), np.zeros(n, bool)
-            known[self.ids == own[i]] = True
+            known = self.ids == own[i]
             found, score = np.zeros(0, np.int64), np.zeros(0)
-            for r, radius in enumerate(radii):
-                part = []
-                for j in range(m):
-                    a, b = low[r, i, j], high[r, i, j]
-                    if r:
-                        c, d = low[r - 1, i, j], high[r - 1, i, j]
-                        part += [self.order[j, a:c], self.order[j, d:b]] if d > c else [self.order[j, a:b]]
-                    else:
-                        part.append(self.order[j, a:b])
-                count += np.bincount(np.concatenate(part), minlength=n)
-                new = np.flatnonzero((count >= need) & ~known) if r + 1 < len(radii) else np.flatnonzero(~known)
-                if len(new):
-                    known[new] = True
-                    found = np.concatenate([found, new])
-                    score = np.concatenate([score, (self.x[new] * q[i]).sum(axis=1)])
+            for r, radius in enumerate(RADII):
+                # places below the window wrap round to beyond its end
+                np.subtract(self.rank, low[i, r][:, None], out=place)
+                np.less(place, (high[i, r] - low[i, r])[:, None], out=inside)
+                count = inside.view(np.uint8).sum(axis=0, dtype=np.uint8)
+                found, score = self._verify(q[i], (count >= self.need) & ~known, known, found, score)
                 if len(found) >= k:
-                    last = -np.partition(-score, k - 1)[k - 1] / (self.scale * norm[i, 0])
+                    last = np.partition(score, -k)[-k] / (self.scale * norm[i, 0])
                     if math.sqrt(max(0.0, 2 - 2 * last)) <= radius:
                         break
+            else:
+                found, score = self._verify(q[i], ~known, known, found, score)
             best = np.lexsort((self.ids[found], -score))[:k]
-            yield i, self.ids[found[best]], score[best]
+            yield i, self.ids[found[best]], score[best], len(found)
+
+    def _verify(self, q, which, known, found, score):
+        new = np.flatnonzero(which)
+        known[new] = True
+        return np.concatenate([found, new]), np.concatenate([score, (self.x[new] * q).sum(axis=1)])
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, projections: int = 40, need: int = 27, block: int = 8192,
-            query_block: int = 1024, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, projections: int = 200, slack: float = 0.3, block: int = 8192,
+            query_block: int = 16_384, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for
     every row whose id is divisible by ``every``, among all other rows.
 
-    All vectors are dealt into blocks by hash, queries too; each pair of a query
-    block and a vector block is one task, which sorts the block's projections and
-    answers its queries with at most ``k`` rows each.  No task holds more than a
-    block of either, at any size of the table.  A vector within the final radius
-    lies in a window with probability 0.826 and so in ``need`` of ``projections``
-    windows with 0.99: nothing limits how many are verified.
+    Vectors and queries are dealt into blocks by hash; a cell is a block of either.
+    A cell's rows come to its task sorted, vectors first: the task builds the index
+    once and answers the queries batch by batch, so it holds one block of vectors and
+    one batch of queries at any size of the table, and building is a small part of
+    ``query_block`` searches.  A query gets at most ``k`` rows from each block.  A
+    vector at the final radius is in enough windows with the probability that a normal
+    variable exceeds ``-slack``, a nearer one with more; nothing limits how many are
+    verified.
 
     Defined cases: null or zero vectors, vectors with null or non-finite
     components and rows with a null id take no part; a query's own row is every
@@ -99,30 +112,46 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, projections: int =
     is_query = F.pmod("__id", F.lit(every)) == 0
     total, asked = good.agg(F.count("*"), F.count_if(is_query)).first()
     nb, nq = max(1, math.ceil(total / block)), max(1, math.ceil(asked / query_block))
-    spot = F.xxhash64("__id", "__v")
-    rows = good.withColumn("__b", F.pmod(spot, F.lit(nb))).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    queries = good.where(is_query).withColumn("__q", F.pmod(spot, F.lit(nq)).cast("int")).withColumn(
-        "__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
-    radii = 0.5 * 1.6 ** np.arange(4)  # unit vectors are at most 2 apart
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        right = right.sort_by("__id")
-        data = {m.shape[1]: (rows_, m) for rows_, m in by_length(right["__v"])}
-        for qrows, q in by_length(left["__v"]):
-            if q.shape[1] not in data:
-                continue
-            rows_, x = data[q.shape[1]]
-            own = left["__id"].to_numpy()[qrows]
-            b = Block(right["__id"].to_numpy()[rows_], x, projections, seed)
-            for i, ids, scores in b.search(q, own, k, need, radii):
-                out[0].append(np.full(len(ids), own[i]))
-                out[1].append(ids)
-                out[2].append(scores)
-        a, b, c = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True))
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
-
-    found = queries.groupBy("__b", "__q").cogroup(rows.groupBy("__b", "__q")).applyInArrow(run, "query_id long, vec_id long, score double")
+    tasks = min(nb * nq, MOST_TASKS)
+    spot, other = F.xxhash64("__id", "__v"), F.xxhash64(F.lit("q"), "__id", "__v")
+
+    def numbers(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    data = good.withColumn("__b", F.pmod(spot, F.lit(nb))).withColumn("__q", numbers(nq)).withColumn("__tag", F.lit(0))
+    queries = good.where(is_query).withColumn("__q", F.pmod(other, F.lit(nq))).withColumn("__b", numbers(nb)).withColumn("__tag", F.lit(1))
+    cells = data.unionByName(queries).select((F.col("__b") * nq + F.col("__q")).alias("__cell"), "__tag", "__id", "__v")
+    cells = cells.repartitionById(tasks, F.pmod("__cell", F.lit(tasks)).cast("int")).sortWithinPartitions("__cell", "__tag")
+
+    @tidy
+    def run(batches):
+        cell, parts, index = None, [], {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            key, tag = batch["__cell"].to_numpy(), batch["__tag"].to_numpy()
+            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(tag) != 0)) + 1
+            for a, b in zip([0, *cut], [*cut, len(key)], strict=True):
+                if b == a:
+                    continue
+                if key[a] != cell:
+                    cell, parts, index = key[a], [], {}
+                piece = table.slice(a, b - a)
+                if tag[a] == 0:
+                    parts.append(piece)
+                    continue
+                if parts:
+                    whole = pa.concat_tables(parts).sort_by("__id")
+                    ids = whole["__id"].to_numpy()
+                    index = {x.shape[1]: Index(ids[rows], x, projections, slack, seed) for rows, x in by_length(whole["__v"])}
+                    parts = []
+                own = piece["__id"].to_numpy()
+                for rows, q in by_length(piece["__v"]):
+                    for some in np.array_split(np.arange(len(rows)), math.ceil(len(rows) / 256)) if q.shape[1] in index else ():
+                        for i, ids, scores, _ in index[q.shape[1]].search(q[some], own[rows[some]], k):
+                            yield pa.RecordBatch.from_arrays(
+                                [np.full(len(ids), own[rows[some[i]]]), ids, scores], ["query_id", "vec_id", "score"])
+
+    found = cells.mapInArrow(run, "query_id long, vec_id long, score double")
     found = found.distinct()  # rows that repeat an id ask and answer alike
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from papyra.llm.collision_search import nearest
+from papyra.llm.collision_search import Index, nearest
 from papyra.llm.embedding_dedup import near_vectors
 from tests.llm import brute
 
@@ -89,3 +89,31 @@ def test_near_vectors_ids_of_several_vectors(spark):
                               "vec_id long, embedding array<float>, label int, n_links int, component_id int, __rep string")
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(d).collect())
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (3, 0, 3, True), (5, 1, 1, False), (6, 1, 1, False)]
+
+
+def test_collisions_filter_unrelated_vectors():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1000:1060] = x[7] + 0.05 * rng.normal(size=(60, 64))  # one query has near vectors, the others none
+    ids = np.arange(len(x))
+    index = Index(ids, x, projections=200, slack=0.3, seed=5)
+    asked = np.array([7, *range(2000, 2040)])
+    share, hit = [], 0
+    for i, got, score, verified in index.search(x[asked], asked, 20):
+        s = x @ x[asked[i]]
+        s[asked[i]] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(got.tolist()))
+        assert np.allclose(score, s[got])
+        share.append(verified / len(x))
+    assert hit >= 0.9 * 20 * len(asked)
+    assert share[0] < 0.02 and np.mean(share) < 0.2
+
+
+def test_nearest_several_cells_in_a_task(spark, monkeypatch):
+    from papyra.llm import collision_search
+    d = spark.createDataFrame(vectors(300, seed=3), SCHEMA)
+    want = nearest(d, every=10, block=64, query_block=8).collect()
+    monkeypatch.setattr(collision_search, "MOST_TASKS", 3)
+    got = nearest(d, every=10, block=64, query_block=8).collect()
+    assert len(got) > 500 and sorted(got) == sorted(want)
