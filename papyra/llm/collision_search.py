@@ -14,7 +14,7 @@ from papyra.llm._common import tidy
 from papyra.llm.vectors import by_length, usable
 
 WIDTH = 2.72  # of a window over the radius
-RADII = 0.5 * 1.1 ** np.arange(16)  # up to 2.09: unit vectors are at most 2 apart
+RADII = 0.6 * 1.07 ** np.arange(19)  # up to 2.03: unit vectors are at most 2 apart
 MOST_TASKS = 50_000  # of one search; beyond it a task takes several cells in turn
 
 
