@@ -7,16 +7,17 @@ c = x - mu and query residual r = (q - mu) - sum_j ((q - mu) . d_j) d_j:
     q'       = r / (|r| + eps)
     score(x) = c . q' / ( sqrt(max(0, |c|^2 - sum_j (c . d_j)^2)) + eps )
 
-Only mu, D and the Q query residuals are shipped to tasks (all bounded by
-dim and the question block size); each corpus row yields Q doubles.  The corpus
-itself is scanned as Arrow batches and never leaves its partition except as
-per-partition top-k candidates or, for full rankings, as (question, id, score)
-rows.
+Only mu, D and at most QUESTIONS_PER_BLOCK query residuals are shipped to tasks;
+each corpus row yields Q doubles.  The corpus itself is then scanned as Arrow
+batches and never leaves its partition except as per-partition top-k candidates
+or, for full rankings, as (question, id, score) rows.  More questions than that
+never pass through the driver: they are dealt to chunks of the corpus.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,8 +33,11 @@ DEFAULT_COMPONENTS = 3
 SWEEP_COMPONENTS = (0, 1, 2, 3, 5, 8, 15)
 SCORE_DECIMALS = 10        # ranking key precision; absorbs last-bit noise
 
-# Questions travel to tasks as dense (Q x dim) matrices of so many rows.
-QUESTIONS_PER_BLOCK = 1024
+QUESTIONS_PER_BLOCK = 1024  # at most so many travel to tasks as one dense matrix
+CHUNK_ROWS = 16_384         # corpus vectors that one task holds when questions are dealt
+CHUNK_QUESTIONS = 16_384    # that one task answers, SCORE_CELLS scores at a time
+SCORE_CELLS = 1 << 22
+MOST_TASKS = 50_000         # of one search; beyond it a task takes several chunks in turn
 EMIT_ROWS = 1 << 17  # of one Arrow batch of full scores
 TILE = 64  # rows and columns of a piece of a dim x dim matrix
 LANES = 32  # groups of partitions whose sums are added first
@@ -312,6 +316,273 @@ def _block_scores(c, sq, cum, k, qp) -> np.ndarray:
     return np.round((c @ qp.T) / den[:, None], SCORE_DECIMALS)
 
 
+def _scored(label, qids, ids, scores) -> pa.RecordBatch:
+    """Rows of KERNEL_SCHEMA; a NaN score becomes NULL."""
+    return pa.RecordBatch.from_pydict({
+        "question_id": pa.array(qids, pa.int64()),
+        "paper_id": pa.array(ids, pa.string()),
+        "score": pa.array(scores, pa.float64(), mask=np.isnan(scores)),
+        "n_components": pa.array(np.full(len(ids), label, dtype=np.int32), pa.int32()),
+    })
+
+
+def _all_scored(label, qids, ids, scores):
+    """Every score of a (rows x questions) matrix, EMIT_ROWS at a time."""
+    step = max(1, EMIT_ROWS // len(qids))
+    for at in range(0, len(ids), step):
+        some = ids[at:at + step]
+        yield _scored(label, np.tile(qids, len(some)), np.repeat(some, len(qids)), scores[at:at + step].ravel())
+
+
+def _kernel(mean, directions, variants, qids, top_k, dim):
+    """Build the mapInArrow function.
+
+    variants: list of (label, k, Qp) -- Qp (Q x dim) unit query residuals
+    for the first k directions removed.
+    """
+    kmax = directions.shape[0]
+    qids = np.asarray(qids, dtype=np.int64)
+    nq = len(qids)
+
+    def fn(batches):
+        n, dims, sums, g = 0, set(), None, None
+        for rb in batches:
+            found, x = _dense(rb.column(0))
+            dims.update(found)
+            if x is None or len(dims) > 1:
+                continue  # mixed lengths are reported, not summed
+            if g is None:
+                sums, g = np.zeros(x.shape[1] + 2), np.zeros((x.shape[1], x.shape[1]))
+            sq = np.einsum("ij,ij->i", x, x)
+            sums += np.concatenate([x.sum(axis=0), [sq.sum(), (sq * sq).sum()]])
+            g += x.T @ x
+            n += len(x)
+        if len(dims) > 1:
+            yield _partials(dims, 0, None, {})
+        elif n:
+            at = range(0, len(g), TILE)
+            yield _partials(dims, n, sums, {(i // TILE, j // TILE): g[i:i + TILE, j:j + TILE] for i in at for j in at if j >= i})
+    return fn
+
+
+def sum_tiles(parts: DataFrame) -> tuple[int, int, dict[tuple[int, int], np.ndarray]]:
+    """(n, dim, sums by tile) of the partial sums of partitions.
+
+    Tiles are added apart from each other, and each first in LANES groups of
+    partitions: a task reads about partitions / LANES tiles, never whole
+    matrices.  Vectors of more than one length raise."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    key = ["dim", "ti", "tj"]
+    lanes = parts.select(*key, "n", array_to_vector("v").alias("v"), (F.spark_partition_id() % LANES).alias("lane"))
+    some = lanes.groupBy(*key, "lane").agg(F.sum("n").alias("n"), Summarizer.sum(F.col("v")).alias("v"))
+    rows = some.groupBy(*key).agg(F.sum("n").alias("n"), Summarizer.sum(F.col("v")).alias("v")).collect()
+    dims = sorted({r["dim"] for r in rows})
+    if len(dims) > 1:
+        raise ValueError(f"vectors of one model must share one dimension, got {dims[0]}..{dims[-1]}")
+    return (sum(r["n"] for r in rows), dims[0] if dims else 0, {(r["ti"], r["tj"]): r["v"].toArray() for r in rows})
+
+
+def second_moments(vecs: DataFrame, column: str = "embedding") -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(n, dim, sums, sum x x^T) in one distributed pass; ``sums`` is sum x,
+    then sum |x|^2 and sum |x|^4.  The driver gets dim^2 / 2 numbers and a few."""
+    from papyra.session import ship_package
+    ship_package(vecs.sparkSession)
+    n, dim, found = sum_tiles(vecs.select(column).mapInArrow(_moments_kernel(), _PARTIALS))
+    g = np.zeros((dim, dim))
+    for (i, j), v in found.items():
+        if i >= 0:
+            cell = g[i * TILE:(i + 1) * TILE, j * TILE:(j + 1) * TILE]
+            cell[:] = v.reshape(cell.shape)
+            g[j * TILE:(j + 1) * TILE, i * TILE:(i + 1) * TILE] = cell.T
+    return n, dim, found.get((-1, -1), np.zeros(2)), g
+
+
+def corpus_moments(vecs: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(n, dim, mean, covariance-times-n) in one distributed pass."""
+    n, dim, sums, g = second_moments(vecs)
+    if n == 0:
+        return 0, dim, np.zeros(0), np.zeros((0, 0))
+    mean = sums[:dim] / n
+    scatter = g - n * np.outer(mean, mean)
+    return n, dim, mean, (scatter + scatter.T) / 2
+
+
+def _product_kernel(mean: np.ndarray, q: np.ndarray):
+    """mapInArrow: sum (x - mean) ((x - mean) q), in tiles of rows, per partition."""
+    def fn(batches):
+        y, n = np.zeros_like(q), 0
+        for rb in batches:
+            _, x = _dense(rb.column(0))
+            if x is not None and len(x):
+                x = x - mean
+                y += x.T @ (x @ q)
+                n += len(x)
+        if n:
+            yield _partials({len(q)}, n, np.zeros(len(q) + 2), {(i // TILE, 0): y[i:i + TILE] for i in range(0, len(q), TILE)})
+    return fn
+
+
+def fit_basis_iterative(vecs: DataFrame, n_components: int = DEFAULT_COMPONENTS, extra: int = 10, tol: float = 1e-10,
+                        passes: int = 60, blocks: int = 8, seed: int = 0) -> Basis:
+    """``fit_basis`` for long vectors, by randomised block Krylov iteration.
+
+    Every pass multiplies the scatter matrix, which is never built, with
+    k + ``extra`` orthonormal columns: a partition returns dim x (k + extra)
+    numbers in tiles, and so does the whole pass to the driver, which keeps at
+    most ``blocks`` such blocks and then goes on from the best directions in
+    them.  It ends when the k leading directions turn by less than ``tol``
+    (largest sine), when the blocks span the whole space or after ``passes`` passes.  Defined cases as in ``fit_basis``: no vectors or fewer than ten per
+    direction give fewer or no directions, mixed lengths raise."""
+    from papyra.session import ship_package
+    ship_package(vecs.sparkSession)
+    x = vecs.select("embedding").where(F.col("embedding").isNotNull())
+    dims = [r["d"] for r in x.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()]
+    if len(dims) > 1:
+        raise ValueError(f"vectors of one model must share one dimension, got {dims[0]}..{dims[-1]}")
+    dim = dims[0] if dims else 0
+    n, mean = 0, np.zeros(dim)
+    if dim:
+        n, _, found = sum_tiles(x.mapInArrow(_sums_kernel(), _PARTIALS))
+        mean = found[(-1, -1)][:dim] / n
+    k = capped_components(n_components, n, dim)
+    if k == 0:
+        return Basis(n, dim, mean, np.zeros((0, dim)))
+    q = np.linalg.qr(np.random.default_rng([seed, dim]).normal(size=(dim, min(dim, k + extra))))[0]
+    last, width = None, q.shape[1]
+    space, image = np.zeros((dim, 0)), np.zeros((dim, 0))
+    for _ in range(passes):
+        _, _, found = sum_tiles(x.mapInArrow(_product_kernel(mean, q), _PARTIALS))
+        y = np.concatenate([found[(i, 0)].reshape(-1, q.shape[1]) for i in range(-(-dim // TILE))])
+        space, image = np.hstack([space, q]), np.hstack([image, y])
+        inner = space.T @ image
+        w, turn = np.linalg.eigh((inner + inner.T) / 2)  # Ritz directions, best last
+        d = space @ turn[:, ::-1][:, :k]
+        if space.shape[1] == dim or (last is not None and np.linalg.norm(d - last @ (last.T @ d), 2) < tol):
+            break
+        last = d
+        if space.shape[1] >= blocks * width:
+            space, image = space @ turn[:, -width:], image @ turn[:, -width:]
+            y = image
+        for _ in range(2):
+            y = y - space @ (space.T @ y)
+        left, size, _ = np.linalg.svd(y, full_matrices=False)
+        q = left[:, size > 1e-13 * max(abs(w[-1]), 1e-300)][:, :dim - space.shape[1]]
+        if q.shape[1] == 0:  # the scatter matrix keeps the space: its directions are exact
+            break
+        q = np.linalg.qr(q - space @ (space.T @ q))[0]
+    return Basis(n, dim, mean, np.ascontiguousarray(d.T))
+
+
+def _sums_kernel():
+    """mapInArrow: n and sum x per partition."""
+    def fn(batches):
+        n, s = 0, None
+        for rb in batches:
+            _, x = _dense(rb.column(0))
+            if x is not None:
+                s = (0 if s is None else s) + x.sum(axis=0)
+                n += len(x)
+        if n:
+            yield _partials({len(s)}, n, np.concatenate([s, [0.0, 0.0]]), {})
+    return fn
+
+
+def fit_basis(vecs: DataFrame, n_components: int = DEFAULT_COMPONENTS, center: bool = True) -> Basis:
+    """Mean and top-variance directions of a corpus (never of the queries).
+
+    One pass gives the mean and the scatter matrix (dim x dim); its leading
+    eigenvectors span the same subspace as the top right singular vectors
+    of the centred corpus.  Every call fits anew, so an answer never rests on an
+    older corpus; pass the basis on to share it between searches."""
+    n, dim, mean, scatter = corpus_moments(vecs)
+    if not center:
+        mean = np.zeros(dim)
+    k = capped_components(n_components, n, dim) if (n and center) else 0
+    if k == 0:
+        return Basis(n, dim, mean, np.zeros((0, dim)))
+    w, v = np.linalg.eigh(scatter)
+    order = np.argsort(w)[::-1][:k]
+    d = v[:, order].T
+    return Basis(n, dim, mean, d / np.linalg.norm(d, axis=1, keepdims=True))
+
+
+def query_residuals(qvecs: np.ndarray, basis: Basis, k: int) -> np.ndarray:
+    """Unit query residuals q' (Q x dim) after centring and removing the
+    first k directions."""
+    qc = qvecs.astype(np.float64) - basis.mean
+    if k:
+        dk = basis.directions[:k]
+        qc = qc - (qc @ dk.T) @ dk
+    return qc / (np.linalg.norm(qc, axis=1, keepdims=True) + EPS)
+
+
+# ---------------------------------------------------------------------------
+# Arrow kernel
+# ---------------------------------------------------------------------------
+
+def _order(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Positions sorted by (score desc, NaN last, id asc)."""
+    nan = np.isnan(scores)
+    key = np.where(nan, 0.0, -scores)
+    return np.array(sorted(range(len(scores)), key=lambda t: (bool(nan[t]), key[t], ids[t])),
+                    dtype=np.int64)
+
+
+def _topk_positions(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Exact top-k positions under (score desc, NaN last, id asc).
+
+    argpartition narrows to the rows at or above the k-th value (ties at the
+    boundary all kept), then an exact sort of that small set decides."""
+    n = len(scores)
+    if n > k:
+        key = np.where(np.isnan(scores), -np.inf, scores)
+        kth = np.partition(key, n - k)[n - k]
+        cand = np.nonzero(key >= kth)[0]
+    else:
+        cand = np.arange(n)
+    return cand[_order(scores[cand], ids[cand])[:k]]
+
+
+def _centred_block(rb, mean, directions, dim):
+    """(ids, centred rows, |c|^2, cumulative squared projections) of one
+    Arrow batch; the one place corpus rows are prepared for scoring."""
+    b = rb.num_rows
+    ids = np.asarray(rb.column(0).to_pylist(), dtype=object)
+    x = rb.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b, dim)
+    c = x - mean
+    sq = np.einsum("ij,ij->i", c, c)
+    cum = np.cumsum((c @ directions.T) ** 2, axis=1) if directions.shape[0] else None
+    return ids, c, sq, cum
+
+
+def _block_scores(c, sq, cum, k, qp) -> np.ndarray:
+    """Rounded debiased cosine of prepared rows against unit query residuals
+    (b x Q); every kernel scores through this function."""
+    resid = sq - cum[:, k - 1] if k else sq
+    den = np.sqrt(np.maximum(resid, 0.0)) + EPS
+    return np.round((c @ qp.T) / den[:, None], SCORE_DECIMALS)
+
+
+def _scored(label, qids, ids, scores) -> pa.RecordBatch:
+    """Rows of KERNEL_SCHEMA; a NaN score becomes NULL."""
+    return pa.RecordBatch.from_pydict({
+        "question_id": pa.array(qids, pa.int64()),
+        "paper_id": pa.array(ids, pa.string()),
+        "score": pa.array(scores, pa.float64(), mask=np.isnan(scores)),
+        "n_components": pa.array(np.full(len(ids), label, dtype=np.int32), pa.int32()),
+    })
+
+
+def _all_scored(label, qids, ids, scores):
+    """Every score of a (rows x questions) matrix, EMIT_ROWS at a time."""
+    step = max(1, EMIT_ROWS // len(qids))
+    for at in range(0, len(ids), step):
+        some = ids[at:at + step]
+        yield _scored(label, np.tile(qids, len(some)), np.repeat(some, len(qids)), scores[at:at + step].ravel())
+
+
 def _kernel(mean, directions, variants, qids, top_k, dim):
     """Build the mapInArrow function.
 
@@ -342,10 +613,7 @@ def _kernel(mean, directions, variants, qids, top_k, dim):
             for vi, (label, k, qp) in enumerate(variants):
                 s = _block_scores(c, sq, cum, k, qp)  # (b, Q)
                 if top_k is None:
-                    step = max(1, EMIT_ROWS // nq)
-                    for at in range(0, b, step):
-                        some = ids[at:at + step]
-                        yield emit(label, np.tile(np.arange(nq), len(some)), np.repeat(some, nq), s[at:at + step].ravel())
+                    yield from _all_scored(label, qids, ids, s)
                     continue
                 for qi in range(nq):
                     col = s[:, qi]
@@ -364,9 +632,9 @@ def _kernel(mean, directions, variants, qids, top_k, dim):
                 by_label.setdefault(vi, []).append((qi, cs, ci))
             for vi, parts in by_label.items():
                 q_idx = np.concatenate([np.full(len(cs), qi) for qi, cs, _ in parts]).astype(np.int64)
-                yield emit(labels[vi], q_idx,
-                           np.concatenate([ci for _, _, ci in parts]),
-                           np.concatenate([cs for _, cs, _ in parts]))
+                yield _scored(labels[vi], qids[q_idx],
+                              np.concatenate([ci for _, _, ci in parts]),
+                              np.concatenate([cs for _, cs, _ in parts]))
 
     return fn
 
@@ -379,19 +647,94 @@ KERNEL_SCHEMA = T.StructType([
 ])
 
 
-def _question_blocks(questions: DataFrame):
-    """Question vectors on the driver, in id order, QUESTIONS_PER_BLOCK at a
-    time; questions without a vector are left out.  The question table is a
-    batch of user questions, not corpus data."""
-    rows = questions.where(F.col("qvec").isNotNull()).select("question_id", "qvec").orderBy("question_id").toLocalIterator()
-    while block := list(itertools.islice(rows, QUESTIONS_PER_BLOCK)):
-        yield (np.array([r["question_id"] for r in block], dtype=np.int64),
-               np.array([r["qvec"] for r in block], dtype=np.float64))
+def _few_questions(questions: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of at most QUESTIONS_PER_BLOCK questions; None if there are more."""
+    rows = questions.limit(QUESTIONS_PER_BLOCK + 1).collect()
+    if len(rows) > QUESTIONS_PER_BLOCK:
+        return None
+    rows.sort(key=lambda r: r["question_id"])
+    return (np.array([r["question_id"] for r in rows], dtype=np.int64),
+            np.array([r["qvec"] for r in rows], dtype=np.float64))
+
+
+def _dealt_kernel(mean, directions, variants_of: Callable, top_k, dim):
+    """The mapInArrow function of dealt questions.  Rows come sorted by cell, the
+    cell's vectors (tag 0) before its questions (tag 1): one chunk of vectors and one
+    batch of questions are held at a time."""
+
+    def matrix(column, rows):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if len(flat) != rows * dim:
+            raise ValueError(f"question vectors must have dimension {dim}")
+        return flat.reshape(rows, dim)
+
+    def answer(chunk, batch):
+        ids, c, sq, cum = chunk
+        qids, qv = batch["question_id"].to_numpy(), matrix(batch["v"], batch.num_rows)
+        step = max(1, SCORE_CELLS // max(1, len(ids)))
+        for at in range(0, len(qids), step):
+            some = qids[at:at + step]
+            for label, k, qp in variants_of(qv[at:at + step]):
+                s = _block_scores(c, sq, cum, k, qp)
+                if top_k is None:
+                    yield from _all_scored(label, some, ids, s)
+                    continue
+                best = [_topk_positions(s[:, j], ids, top_k) for j in range(len(some))]
+                pos = np.concatenate(best)
+                col = np.repeat(np.arange(len(some)), [len(x) for x in best])
+                yield _scored(label, some[col], ids[pos], s[pos, col])
+
+    def fn(batches):
+        cell, parts, chunk = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            key, tag = batch["cell"].to_numpy(), batch["tag"].to_numpy()
+            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(tag) != 0)) + 1
+            for a, b in zip([0, *cut], [*cut, len(key)], strict=True):
+                if a == b:
+                    continue
+                if key[a] != cell:
+                    cell, parts, chunk = key[a], [], None
+                piece = table.slice(a, b - a)
+                if tag[a] == 0:
+                    parts.append(piece.select(["paper_id", "v"]))
+                    continue
+                if parts:
+                    whole = pa.concat_tables(parts).combine_chunks().to_batches()[0]
+                    chunk, parts = _centred_block(whole, mean, directions, dim), []
+                if chunk is not None:
+                    yield from answer(chunk, piece)
+
+    return fn
+
+
+def _deal_questions(vecs: DataFrame, questions: DataFrame, fn: Callable) -> DataFrame:
+    """Chunks of vectors meet blocks of questions in cells: each vector moves once for
+    every CHUNK_QUESTIONS questions, each question once for every CHUNK_ROWS vectors."""
+    nb = max(1, math.ceil(vecs.count() / CHUNK_ROWS))
+    nq = max(1, math.ceil(questions.count() / CHUNK_QUESTIONS))
+    tasks = min(nb * nq, MOST_TASKS)
+
+    def each(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def rows(df, tag, paper, question, v):
+        return df.select((F.col("__b") * nq + F.col("__q")).alias("cell"), F.lit(tag).alias("tag"), paper.cast("string").alias("paper_id"),
+                         question.cast("long").alias("question_id"), v.cast("array<double>").alias("v"))
+
+    none = F.lit(None)
+    data = vecs.withColumn("__b", F.pmod(F.xxhash64("paper_id", "embedding"), F.lit(nb))).withColumn("__q", each(nq))
+    asked = questions.withColumn("__q", F.pmod(F.xxhash64("question_id"), F.lit(nq))).withColumn("__b", each(nb))
+    cells = rows(data, 0, F.col("paper_id"), none, F.col("embedding")).unionByName(
+        rows(asked, 1, none, F.col("question_id"), F.col("qvec")))
+    return (cells.repartitionById(tasks, F.pmod("cell", F.lit(tasks)).cast("int")).sortWithinPartitions("cell", "tag")
+            .mapInArrow(fn, KERNEL_SCHEMA))
 
 
 def score_corpus(vecs: DataFrame, questions: DataFrame, basis: Basis,
                  components=(DEFAULT_COMPONENTS,), top_k: int | None = None,
-                 raw: bool = False, blocks=None) -> DataFrame:
+                 raw: bool = False) -> DataFrame:
     """Debiased cosine of every question against every corpus vector.
 
     components: the numbers of directions to remove (each capped as in
@@ -399,6 +742,10 @@ def score_corpus(vecs: DataFrame, questions: DataFrame, basis: Basis,
     requested number.  top_k: when set, each partition emits only its exact
     top-k per (question, variant); the global top-k is a subset of their
     union.  raw: plain cosine, no centring or removal.
+
+    Up to QUESTIONS_PER_BLOCK questions go to the vectors, which stay where they
+    are; beyond that both are dealt into cells by a shuffle.  Questions without a
+    vector are left out.
     """
     from papyra.session import ship_package
     ship_package(vecs.sparkSession)
@@ -408,23 +755,25 @@ def score_corpus(vecs: DataFrame, questions: DataFrame, basis: Basis,
     dim = basis.dim
     mean = np.zeros(dim) if raw else basis.mean
     directions = np.zeros((0, dim)) if raw else basis.directions
-    kmax = directions.shape[0]
-    out = None
-    for qids, qv in (blocks if blocks is not None else _question_blocks(questions)):
-        if qv.ndim != 2 or qv.shape[1] != dim:
-            raise ValueError(f"question vectors must have dimension {dim}")
+    used = Basis(basis.n, dim, mean, directions)
+    removed = [(int(n), 0 if raw else min(capped_components(n, basis.n, dim), len(directions))) for n in components]
+
+    def variants_of(qv):
         if raw:
-            variants = [(int(n), 0, qv / (np.linalg.norm(qv, axis=1, keepdims=True) + EPS))
-                        for n in components]
-        else:
-            variants = []
-            for n in components:
-                k = min(capped_components(n, basis.n, dim), kmax)
-                variants.append((int(n), k, query_residuals(qv, Basis(basis.n, dim, mean, directions), k)))
-        fn = _kernel(mean, directions, variants, qids, top_k, dim)
-        part = vecs.select("paper_id", "embedding").mapInArrow(fn, KERNEL_SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], KERNEL_SCHEMA)
+            return [(n, 0, qv / (np.linalg.norm(qv, axis=1, keepdims=True) + EPS)) for n, _ in removed]
+        return [(n, k, query_residuals(qv, used, k)) for n, k in removed]
+
+    vecs = vecs.select("paper_id", "embedding")
+    asked = questions.where(F.col("qvec").isNotNull()).select("question_id", "qvec")
+    few = _few_questions(asked)
+    if few is None:
+        return _deal_questions(vecs, asked, _dealt_kernel(mean, directions, variants_of, top_k, dim))
+    qids, qv = few
+    if not len(qids):
+        return spark.createDataFrame([], KERNEL_SCHEMA)
+    if qv.ndim != 2 or qv.shape[1] != dim:
+        raise ValueError(f"question vectors must have dimension {dim}")
+    return vecs.mapInArrow(_kernel(mean, directions, variants_of(qv), qids, top_k, dim), KERNEL_SCHEMA)
 
 
 def top_k_per_question(scored: DataFrame, k: int, keys=("question_id",)) -> DataFrame:
