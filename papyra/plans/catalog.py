@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.operators import cells as CE
+from papyra.operators import substring_index as SI
 from papyra.operators import vectors as V
 from papyra.plans import oracle_sql as O
 from papyra.sources import testbed as TB
@@ -627,6 +628,36 @@ def fielded_search(spark: SparkSession, sf: str) -> DataFrame:
     return e.where(pred).select("arxiv_id", "title")
 
 
+def _titles_of(spark: SparkSession, papers: DataFrame) -> SI.SubstringIndex:
+    """A substring index of the papers' titles in the shared folder."""
+    import uuid
+
+    from papyra.session import checkpoint_dir
+    root = f"{checkpoint_dir(spark).rstrip('/')}/title-index-{uuid.uuid4().hex}"
+    SI.SubstringIndex.add(root, papers, 0)
+    return SI.SubstringIndex.open(spark, root)
+
+
+@register("title_terms_indexed", O.with_(O.ENTRIES, O.PAPERS, O.QUESTIONS) + f"""
+SELECT term, arxiv_id FROM (
+  SELECT DISTINCT translate(substr(question, 1, n), {_AZ}) AS term FROM questions, (VALUES (2), (4), (9)) v(n) WHERE question IS NOT NULL)
+JOIN papers ON contains(translate(title, {_AZ}), term)""")
+def title_terms_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 for a table of terms (how each question begins) from stored character grams."""
+    terms = TB.questions(spark, sf).select(F.explode(F.array(*[F.substring("question", 1, n) for n in (2, 4, 9)])).alias("term"))
+    return SI.find(_titles_of(spark, TB.papers(spark, sf)), terms).withColumnRenamed("paper_id", "arxiv_id")
+
+
+@register("fielded_search_indexed", SQL["fielded_search"])
+def fielded_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """F3 as ``fielded_search``, the title test from stored character grams."""
+    e = TB.paper_entries(spark, sf)
+    hits = SI.find(_titles_of(spark, TB.papers(spark, sf)), spark.createDataFrame([("TION",)], "term string"))
+    hits = hits.select(F.col("paper_id").alias("arxiv_id"), F.lit(True).alias("_hit"))
+    pred = (F.coalesce("_hit", F.lit(False)) & ~LK.field.category("src1")) | LK.field.author("A5")
+    return e.join(hits, "arxiv_id", "left").where(pred).select("arxiv_id", "title")
+
+
 @register("search_page", O.with_(O.ENTRIES) + f"""
 SELECT arxiv_id, title, """ + O.iso("updated") + f""" AS updated FROM entries
 WHERE contains(translate(title, {_AZ}), 'é') AND NOT list_contains(categories, 'src1')
