@@ -54,6 +54,10 @@ class Index:
         its inner product is computed.  The search ends at the first radius that the
         k-th verified distance does not exceed; a block that holds fewer than k
         candidates never ends so, and what is left of it is verified as well.
+
+        Windows of a radius hold those of all smaller ones, so that radius can be sought
+        from either side: the walk starts where the query before ended, up or down, and
+        counts at some two radii instead of all up to the last.
         """
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         centre = (q / norm) @ self.axes[:-1]
@@ -63,28 +67,45 @@ class Index:
             low[:, :, j] = np.searchsorted(self.sorted[j], centre[:, j, None] - RADII * WIDTH / 2, "left")
             high[:, :, j] = np.searchsorted(self.sorted[j], centre[:, j, None] + RADII * WIDTH / 2, "right")
         place, inside = np.empty((m, n), np.uint16), np.empty((m, n), bool)
+        start = 0
         for i in range(len(q)):
-            known = self.ids == own[i]
-            found, score = np.zeros(0, np.int64), np.zeros(0)
-            for r, radius in enumerate(RADII):
-                # places below the window wrap round to beyond its end
-                np.subtract(self.rank, low[i, r][:, None], out=place)
-                np.less(place, (high[i, r] - low[i, r])[:, None], out=inside)
-                count = inside.view(np.uint8).sum(axis=0, dtype=np.uint8)
-                found, score = self._verify(q[i], (count >= self.need) & ~known, known, found, score)
-                if len(found) >= k:
-                    last = np.partition(score, -k)[-k] / (self.scale * norm[i, 0])
-                    if math.sqrt(max(0.0, 2 - 2 * last)) <= radius:
-                        break
+            other = self.ids != own[i]
+            known, score = np.zeros(n, bool), np.empty(n)
+            held: dict[int, tuple[np.ndarray, bool]] = {}
+
+            def reached(r: int) -> bool:
+                """Whether the k-th distance of those in ``need`` windows is within radius r."""
+                if r not in held:
+                    # places below the window wrap round to beyond its end
+                    np.subtract(self.rank, low[i, r][:, None], out=place)
+                    np.less(place, (high[i, r] - low[i, r])[:, None], out=inside)
+                    count = inside.view(np.uint8).sum(axis=0, dtype=np.uint8)
+                    found = np.flatnonzero((count >= self.need) & other)
+                    self._verify(q[i], found, known, score)
+                    near = False
+                    if len(found) >= k:
+                        last = np.partition(score[found], -k)[-k] / (self.scale * norm[i, 0])
+                        near = math.sqrt(max(0.0, 2 - 2 * last)) <= RADII[r]
+                    held[r] = found, near
+                return held[r][1]
+
+            r = start
+            while r < len(RADII) and not reached(r):
+                r += 1
+            while 0 < r < len(RADII) and reached(r - 1):
+                r -= 1
+            if r < len(RADII):
+                found, start = held[r][0], r
             else:
-                found, score = self._verify(q[i], ~known, known, found, score)
-            best = np.lexsort((self.ids[found], -score))[:k]
-            yield i, self.ids[found[best]], score[best], len(found)
+                found, start = np.flatnonzero(other), len(RADII) - 1
+                self._verify(q[i], found, known, score)
+            best = found[np.lexsort((self.ids[found], -score[found]))[:k]]
+            yield i, self.ids[best], score[best], int(known.sum())
 
-    def _verify(self, q, which, known, found, score):
-        new = np.flatnonzero(which)
+    def _verify(self, q, found, known, score):
+        new = found[~known[found]]
         known[new] = True
-        return np.concatenate([found, new]), np.concatenate([score, (self.x[new] * q).sum(axis=1)])
+        score[new] = (self.x[new] * q).sum(axis=1)
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, projections: int = 200, slack: float = 0.3, block: int = 8192,

@@ -117,3 +117,23 @@ def test_nearest_several_cells_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(collision_search, "MOST_TASKS", 3)
     got = nearest(d, every=10, block=64, query_block=8).collect()
     assert len(got) > 500 and sorted(got) == sorted(want)
+
+
+def test_search_counts_at_few_radii():
+    calls = []
+
+    class Counted(Index):
+        def _verify(self, *args):
+            calls.append(1)
+            return super()._verify(*args)
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 64))
+    asked = np.arange(0, 1000, 20)
+    index = Counted(np.arange(len(x)), x, projections=200, slack=0.3, seed=5)
+    got = {i: (ids.tolist(), score.tolist()) for i, ids, score, _ in index.search(x[asked], asked, 20)}
+    assert len(calls) <= 4 * len(asked)
+    # where the walk over the radii starts changes no result
+    for i in (0, 17, 49):
+        _, ids, score, _ = next(iter(index.search(x[asked[i:i + 1]], asked[i:i + 1], 20)))
+        assert (ids.tolist(), score.tolist()) == got[i]
