@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.functions.arrow_tokens import give_back
 from papyra.session import ship_package
 
 #: White space of the word and line rules, and what a word is (fixed values).
@@ -61,14 +60,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def give_back() -> None:
-    """Return freed memory to the system; workers outlive the tasks that filled it."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A ``mapInArrow`` kernel that gives its memory back when its task ends."""
     def run(batches):
