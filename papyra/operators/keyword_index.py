@@ -23,12 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.functions.arrow_tokens import give_back, with_tokens
 from papyra.functions.text import tokenize
 from papyra.operators.ranking import split_levels
 from papyra.operators.vectors import IdCoder, count_before, _topk_positions
+from papyra.session import ship_package, written
 
 BLOCK_PAPERS = 4096
 RANGES = 256          # at most so many id ranges of a segment, cut where drawn ids say
@@ -48,23 +51,41 @@ def index_batch(papers: DataFrame, segment: int, block_papers: int = BLOCK_PAPER
     cuts = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)})
     ident = F.col("paper_id")
     place = F.aggregate(F.lit(cuts), F.lit(0), lambda acc, c: acc + (c <= ident).cast("int")) if cuts else F.lit(0)
-    docs = papers.select(F.col("arxiv_id").alias("paper_id"), tokenize(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
-    docs = docs.withColumn("_range", place)
-    size = docs.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most RANGES rows
-    parts = F.ceil(F.col("_n") / F.lit(block_papers))
+    docs = papers.select(F.col("arxiv_id").alias("paper_id"), F.concat_ws(" ", "title", "abstract").alias("_t"))
+    docs = docs.withColumn("_range", place).where(F.col("_range").isNotNull())
+    held = dict(docs.groupBy("_range").agg(F.count(F.lit(1))).collect())  # at most RANGES rows
+    parts = F.get(F.lit([max(1, -(-held.get(i, 0) // block_papers)) for i in range(ranges)]), F.col("_range"))
     block = (F.lit(int(segment)).cast("long") * (1 << 32) + F.col("_range").cast("long") * (1 << 20)
              + F.pmod(F.xxhash64("paper_id"), parts))
-    docs = docs.join(size, "_range").select(F.lit(int(segment)).cast("long").alias("segment"), "paper_id", block.alias("block"), "tokens")
+    docs = docs.select(F.lit(int(segment)).cast("long").alias("segment"), "paper_id", block.alias("block"), "_t")
+    docs = with_tokens(docs, "_t")
     return docs, postings_of(docs)
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
-    """One row per token and block; a list holds at most the papers of a block."""
-    one = docs.select("segment", "block", "paper_id", F.explode("tokens").alias("token"))
-    ids = F.array_sort(F.collect_list("paper_id"))
-    out = one.groupBy("segment", "token", "block").agg(ids.alias("ids"))
-    return out.select("segment", "token", "block", "ids", F.size("ids").cast("long").alias("n"),
-                      F.get("ids", F.lit(0)).alias("first"), F.element_at("ids", -1).alias("last"))
+    """One row per token and block; a list holds at most the papers of a block, and a
+    task holds one block."""
+    ship_package(docs.sparkSession)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.filter(t["paper_id"].is_valid()).sort_by("paper_id").combine_chunks()
+        lists, ids = t["tokens"].combine_chunks(), t["paper_id"].combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists, ids = pa.concat_arrays(lists.chunks), pa.concat_arrays(ids.chunks)
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        held = ids.take(pa.array(row[np.argsort(code, kind="stable")]))
+        n = np.bincount(code, minlength=len(coded.dictionary)).astype(np.int64)
+        ends = np.cumsum(n)
+        full = lambda x: pa.array(np.full(len(n), x.as_py()), pa.int64())
+        out = [full(key[0]), coded.dictionary, full(key[1]), pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), held),
+               pa.array(n), held.take(pa.array(ends - n)), held.take(pa.array(ends - 1))]
+        del coded, code, row
+        give_back()
+        return pa.table(dict(zip(("segment", "token", "block", "ids", "n", "first", "last"), out, strict=True)))
+
+    return docs.select("segment", "block", "paper_id", "tokens").groupBy("segment", "block").applyInArrow(run, POSTINGS)
 
 
 @dataclass
@@ -95,16 +116,19 @@ class KeywordIndex:
             return found if last is None else found.where(F.col("segment") <= int(last))
         return cls(read("papers", PAPERS), read("postings", POSTINGS))
 
-    def live(self) -> DataFrame:
-        """(paper_id, block, tokens) of each paper in its newest segment."""
-        newest = self.papers.groupBy("paper_id").agg(F.max("segment").alias("segment"))
-        return self.papers.join(newest, ["paper_id", "segment"], "left_semi").select("paper_id", "block", "tokens")
+    def live(self, tokens: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+        """(paper_id, block, tokens) of each paper in its newest segment; ``tokens``: what
+        to read of them instead, ``only``: (paper_id) of those that are looked for."""
+        papers = self.papers if only is None else self.papers.join(only, "paper_id", "left_semi")
+        papers = papers.select("paper_id", "segment", "block", F.col("tokens") if tokens is None else tokens)
+        newest = papers.groupBy("paper_id").agg(F.max("segment").alias("segment"))
+        return papers.join(newest, ["paper_id", "segment"], "left_semi").drop("segment")
 
     def universe(self, vecs: DataFrame) -> DataFrame:
         """(block, ids, most): the sorted ids of a block's live papers that have a
         vector, and the most tokens of one.  Vectors without a paper come in blocks of
         their own, which no posting names."""
-        found = vecs.select("paper_id").join(self.live().select("paper_id", "block", F.size("tokens").alias("size")), "paper_id", "left")
+        found = vecs.select("paper_id").join(self.live(F.size("tokens").alias("size")), "paper_id", "left")
         lost = found.where(F.col("block").isNull()).agg(F.count(F.lit(1))).scalar()
         spare = F.lit(NO_PAPER) - F.pmod(F.xxhash64("paper_id"), F.ceil(F.greatest(lost, F.lit(1)) / F.lit(BLOCK_PAPERS)))
         return (found.withColumn("block", F.coalesce("block", spare.cast("long"))).groupBy("block")
@@ -121,7 +145,7 @@ def question_tokens(questions: DataFrame) -> DataFrame:
 def bounds(index: KeywordIndex, universe: DataFrame, asked: DataFrame) -> DataFrame:
     """(question_id, block, bound) of all blocks with a posting of a token of the
     question; no id list is read."""
-    tokens = asked.select("question_id", F.explode("tokens").alias("token"))
+    tokens = written(asked.select("question_id", F.explode("tokens").alias("token")), "words")
     named = index.postings.select("token", "block").join(tokens, "token").groupBy("question_id", "block").agg(F.count(F.lit(1)).alias("n"))
     return named.join(universe.select("block", "most"), "block").select("question_id", "block", F.least("n", "most").cast("long").alias("bound"))
 
@@ -157,7 +181,7 @@ def visit(index: KeywordIndex, universe: DataFrame, asked: DataFrame, pairs: Dat
     probes = "probes" in asked.columns
     cells = pairs.join(asked.select("question_id", "qblock"), "question_id").select("question_id", "qblock", "block")
     wanted = cells.select("block", "qblock").distinct()
-    words = asked.select("qblock", F.explode("tokens").alias("token")).distinct()
+    words = written(asked.select("qblock", F.explode("tokens").alias("token")).distinct(), "words")
     lists = index.postings.select("token", "block", "ids").join(words, "token").join(wanted, ["block", "qblock"], "left_semi")
     left = lists.select("block", "qblock", "token", "ids").unionByName(
         universe.join(wanted, "block").select("block", "qblock", F.lit(None).cast("string").alias("token"), "ids"))
@@ -243,7 +267,9 @@ def keyword_ranks(index: KeywordIndex, universe: DataFrame, asked: DataFrame, bo
     (question_id, paper_id): overlaps from the stored tokens, ranks from the blocks
     whose bound reaches the smallest overlap asked for."""
     words = asked.select("question_id", F.col("tokens").alias("_q"))
-    mine = wanted.select("question_id", "paper_id").join(words, "question_id").join(index.live().select("paper_id", "tokens"), "paper_id", "left")
+    wanted = written(wanted.select("question_id", "paper_id"), "wanted")
+    held = index.live(only=wanted.select("paper_id")).select("paper_id", "tokens")
+    mine = wanted.join(words, "question_id").join(held, "paper_id", "left")
     overlap = F.coalesce(F.size(F.array_intersect("_q", F.coalesce("tokens", F.array().cast("array<string>")))), F.lit(0)).cast("long")
     known = store(mine.select("question_id", "paper_id", overlap.alias("overlap")), "overlaps")
     per = known.groupBy("question_id").agg(F.collect_list(F.struct("paper_id", "overlap")).alias("probes"), F.min("overlap").alias("least"))
