@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 #
 # Whitespace: the characters Python's str.split() treats as separators, as one
 # regex class that means the same in Java regex and RE2.
-WHITESPACE_RUN = (
-    r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_NOT_SPACE = (
+    r"\x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+# Most characters are seen not to begin a run at a glance; a single space before one of
+# them stays as it is, so it is not matched.
+WHITESPACE_RUN = rf"(?![!-~]| [!-~])[\x20{_NOT_SPACE}]+"
 # Keyword tokens: runs of ASCII letters and digits in lower-cased text.
 TOKEN_PATTERN = "[a-z0-9]+"
 # Stop words dropped from keyword token sets.
@@ -46,7 +49,7 @@ def normalize_whitespace(x) -> Column:
 
 
 def first_line(x) -> Column:
-    return F.split(_c(x), "\n").getItem(0)
+    return F.substring_index(_c(x), "\n", 1)
 
 
 def stopword_array() -> Column:

@@ -15,12 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.arrow_tokens import with_tokens
 from papyra.functions.text import tokenize
 from papyra.operators import lexical as L
 from papyra.operators import ranking as R
 from papyra.operators import vectors as V
 from papyra.operators.lookup import METADATA_COLS
-from papyra.session import ship_package
+from papyra.session import ship_package, written
 
 # Fixed texts of the answer prompt.
 PROMPT_HEAD = "Question: {q}\n\nCandidate papers:"
@@ -90,10 +91,11 @@ def candidate_depth(top_k: int, rrf_k: int = R.RRF_K) -> int:
 
 def _corpus(papers: DataFrame, vecs: DataFrame, questions: DataFrame) -> DataFrame:
     """(paper_id, embedding, tokens): each vector with those distinct tokens of
-    its paper's text that occur in a question."""
-    vocabulary = questions.select(F.explode(tokenize("question")).alias("t")).agg(F.collect_set("t").alias("t")).scalar()
-    texts = papers.select(F.col("arxiv_id").alias("paper_id"),
-                          F.array_intersect(tokenize(F.concat_ws(" ", "title", "abstract")), vocabulary).alias("tokens"))
+    its paper's text that occur in a question.  Only papers that have a vector are
+    shaped and cut into tokens."""
+    vocabulary = questions.select(F.explode(tokenize("question")).alias("t")).agg(F.collect_set("t")).first()[0]
+    found = papers.join(vecs.select(F.col("paper_id").alias("arxiv_id")), "arxiv_id", "left_semi")
+    texts = with_tokens(found.select(F.col("arxiv_id").alias("paper_id"), F.concat_ws(" ", "title", "abstract").alias("_t")), "_t", vocabulary)
     return (vecs.join(texts, "paper_id", "left")
             .select("paper_id", "embedding", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")))
 
@@ -225,8 +227,10 @@ def search_hybrid(papers: DataFrame, paper_embeddings: DataFrame, questions: Dat
 
 def attach_metadata(ranked: DataFrame, papers: DataFrame) -> DataFrame:
     """Inner join after the cut (questions x k rows): ids without a paper row
-    vanish."""
-    meta = papers.select(*METADATA_COLS)
+    vanish.  The ranked rows are written first: Spark then knows how few they are,
+    and only the papers among them are shaped."""
+    ranked = written(ranked, "ranked")
+    meta = papers.join(ranked.select(F.col("paper_id").alias("arxiv_id")), "arxiv_id", "left_semi").select(*METADATA_COLS)
     return ranked.join(meta, ranked.paper_id == meta.arxiv_id, "inner").drop("paper_id")
 
 
