@@ -20,10 +20,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.functions.arrow_tokens import give_back
 from papyra.functions.text import ascii_lower
+from papyra.session import ship_package, written
 
 BLOCK_PAPERS = 4096
 GRAM = 3
@@ -49,13 +54,48 @@ def texts_of(papers: DataFrame, field: str, segment: int, block_papers: int = BL
     return papers.select(F.col("arxiv_id").alias("paper_id"), block.alias("block"), ascii_lower(field).alias("text"))
 
 
+def _grams(text: str) -> np.ndarray:
+    """The distinct runs of 1 to GRAM characters of a text and the empty one, 21 bits a character."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    runs, key = [np.zeros(1, np.int64)], np.zeros(len(c) + 1, np.int64)
+    for k in range(min(GRAM, len(c))):
+        key = (key[:len(c) - k] << 21) | c[k:]
+        runs.append(key)
+    return np.unique(np.concatenate(runs))
+
+
+def _spelled(key: int) -> str:
+    return "".join(chr(((key >> at) & 0x1FFFFF) - 1) for at in range(21 * (GRAM - 1), -1, -21) if (key >> at) & 0x1FFFFF)
+
+
 def grams_of(texts: DataFrame) -> DataFrame:
-    """One row per gram and block; a list holds at most the papers of a block."""
-    chars = texts.where(F.col("text").isNotNull()).withColumn("_c", F.split("text", ""))
-    runs = F.array_distinct(F.concat(F.array(F.lit("")), *[_runs(F.col("_c"), k) for k in range(1, GRAM + 1)]))
-    one = chars.select("block", "paper_id", F.explode(runs).alias("gram"))
-    out = one.groupBy("gram", "block").agg(F.array_sort(F.collect_set("paper_id")).alias("ids"))
-    return out.withColumn("n", F.size("ids").cast("long"))
+    """One row per gram and block; a list holds at most the papers of a block, and a
+    task holds one block."""
+    ship_package(texts.sparkSession)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("paper_id").combine_chunks()
+        found = [_grams(x.as_py()) for x in t["text"]]
+        row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        keys, code = np.unique(np.concatenate(found), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
+        # a paper id that came twice stands once in a list
+        ids = pc.dictionary_encode(t["paper_id"].combine_chunks())
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        name = ids.indices.to_numpy(zero_copy_only=False)[row]
+        new = np.ones(len(row), bool)
+        new[1:] = (code[1:] != code[:-1]) | (name[1:] != name[:-1])
+        n = np.bincount(code[new], minlength=len(keys)).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        out = pa.table({"gram": pa.array([_spelled(k) for k in keys.tolist()], pa.string()), "block": pa.array(np.full(len(keys), key[0].as_py())),
+                        "ids": pa.ListArray.from_arrays(ends, ids.dictionary.take(pa.array(name[new]))), "n": pa.array(n)})
+        del found, row, code, order, name, new
+        give_back()
+        return out
+
+    whole = texts.where(F.col("text").isNotNull() & F.col("paper_id").isNotNull()).select("block", "paper_id", "text")
+    return whole.groupBy("block").applyInArrow(run, "gram string, block long, ids array<string>, n long")
 
 
 @dataclass
@@ -101,7 +141,7 @@ def term_grams(terms: DataFrame) -> DataFrame:
 def term_blocks(index: SubstringIndex, terms: DataFrame) -> DataFrame:
     """(term, block, read): the blocks that hold all grams of a term, and the rarest of
     these grams there; no id list is read."""
-    asked = term_grams(terms).withColumn("_s", F.explode(F.lit(list(range(SALTS)))))
+    asked = written(term_grams(terms), "grams").withColumn("_s", F.explode(F.lit(list(range(SALTS)))))
     held = index.grams.select("gram", "block", "n", F.pmod("block", F.lit(SALTS)).cast("int").alias("_s"))
     met = held.join(asked, ["gram", "_s"]).groupBy("term", "need", "block").agg(
         F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("_g"))
