@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._common import partitions
+from papyra.llm._common import give_back, partitions
 
 LOW = np.uint64(0xFFFFFFFF)
 MESSAGE = pa.schema([("__bucket", pa.int32()), ("__chunk", pa.int32()), ("__kind", pa.int32()), ("__data", pa.binary())])
@@ -54,7 +54,10 @@ def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 def ask(base: DataFrame, question: Callable[[int, pa.Table], list[tuple[int, int, int, bytes]]]) -> DataFrame:
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        return messages(question(int(key[0].as_py()), t))
+        try:
+            return messages(question(int(key[0].as_py()), t))
+        finally:
+            give_back()
 
     return base.groupBy("__chunk").applyInArrow(run, MESSAGE_SQL)
 
@@ -63,7 +66,10 @@ def answer(asked: DataFrame, reply: Callable[[int, list[tuple[int, bytes]]], lis
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("__chunk")
         got = list(zip(t["__chunk"].to_pylist(), t["__data"].to_pylist(), strict=True))
-        return messages(reply(int(key[0].as_py()), got))
+        try:
+            return messages(reply(int(key[0].as_py()), got))
+        finally:
+            give_back()
 
     return asked.groupBy("__bucket").applyInArrow(run, MESSAGE_SQL)
 
@@ -75,6 +81,11 @@ def read(base: DataFrame, answers: DataFrame, work: Callable[[int, pa.Table, dic
         got: dict[int, list[bytes]] = {}
         for kind, data in zip(a["__kind"].to_pylist(), a["__data"].to_pylist(), strict=True):
             got.setdefault(kind, []).append(data)
-        return work(int(key[0].as_py()), t, {k: b"".join(v) for k, v in got.items()})
+        whole = {k: b"".join(v) for k, v in got.items()}
+        del a, got
+        try:
+            return work(int(key[0].as_py()), t, whole)
+        finally:
+            give_back()
 
     return base.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(run, schema)

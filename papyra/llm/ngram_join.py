@@ -57,11 +57,11 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
         sets = list(shingle_sets(t["__text"], k))
         grams = np.concatenate([s for s, _ in sets]) if sets else np.zeros(0, U64)
         sizes = np.concatenate([c for _, c in sets]) if sets else np.zeros(0, np.int64)
-        keys = bucket_keys(grams, n)
-        return grams, sizes, keys, *np.unique(keys, return_counts=True)
+        del sets
+        return grams, sizes, bucket_keys(grams, n)
 
     def question(chunk: int, t: pa.Table):
-        *_, uniq, count = keys_of(t)
+        uniq, count = np.unique(keys_of(t)[2], return_counts=True)
         out = []
         for b, i, j in by_bucket(uniq, n):
             more = np.flatnonzero(count[i:j] > 1)
@@ -85,9 +85,13 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
         return [(bucket, chunk, 0, part.tobytes()) for (chunk, _), part in zip(got, np.split(cls, ends[:-1]), strict=True)]
 
     def sign(chunk: int, t: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        grams, sizes, keys, uniq, _ = keys_of(t)
+        grams, sizes, keys = keys_of(t)
         known = np.frombuffer(answers.get(0, b""), np.uint8)
-        cls = known[np.searchsorted(uniq, keys)] if len(keys) else known
+        cls = np.empty(len(keys), np.uint8)
+        uniq = np.unique(keys)
+        for at in range(0, len(keys), 1 << 18):
+            cls[at:at + (1 << 18)] = known[np.searchsorted(uniq, keys[at:at + (1 << 18)])]
+        del keys, uniq
         ends = np.cumsum(sizes)
         starts = ends - sizes
 
