@@ -12,19 +12,61 @@ from pyspark.sql import functions as F
 
 from papyra.llm._common import tidy
 from papyra.llm.vectors import by_length, usable
+from papyra.llm.words import U64
 
 WIDTH = 2.72  # of a window over the radius
 RADII = 0.6 * 1.07 ** np.arange(19)  # up to 2.03: unit vectors are at most 2 apart
+TOGETHER = 32  # queries counted at a time
 MOST_TASKS = 50_000  # of one search; beyond it a task takes several cells in turn
 
 
+def bit_counts(rows: np.ndarray) -> list[np.ndarray]:
+    """How many of ``rows`` have each bit set, as bit planes, lowest first.
+
+    Full adders take three rows of bits to a sum and a carry, 64 vectors a word.
+    """
+    planes = []
+    while len(rows):
+        carries = []
+        while len(rows) > 1:
+            t = max(1, len(rows) // 3)
+            a, b = rows[:t], rows[t:2 * t]
+            half = a ^ b
+            if len(rows) == 2:
+                rows = half
+                carries.append(a & b)
+            else:
+                c = rows[2 * t:3 * t]
+                carries.append((a & b) | (half & c))
+                rows = np.concatenate([half ^ c, rows[3 * t:]])
+        planes.append(rows[0])
+        rows = np.concatenate(carries) if carries else rows[:0]
+    return planes
+
+
+def at_least(planes: list[np.ndarray], need: int) -> np.ndarray:
+    """The bits whose count is ``need`` or more."""
+    more, same = np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
+    for i in reversed(range(max(len(planes), need.bit_length()))):
+        plane = planes[i] if i < len(planes) else np.zeros_like(more)
+        if need >> i & 1:
+            same &= plane
+        else:
+            more |= same & plane
+            same &= ~plane
+    return more | same
+
+
 class Index:
     """Some vectors, their projections sorted one by one.
 
     Largest inner product becomes least distance: vectors are scaled by the
     block's largest norm and get a component that fills them up to length 1.
-    ``rank`` holds each vector's place in each sorted projection, so that a window,
-    two places found by bisection, is tested on all vectors at once.
+    ``below`` holds, for each sorted projection and each of its edges, one bit a
+    vector: whether its place is before the edge.  The vectors of a window are the
+    bits that differ between two edges, so windows are counted 64 vectors at a time.
+    Edges lie at every place of up to 1024 vectors; of more, a window's ends are moved
+    to the nearest edge, by at most half of a 128th of the vectors.
     """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, projections: int, slack: float, seed: int):
@@ -36,15 +78,22 @@ class Index:
         rest = np.sqrt(np.maximum(0, 1 - (norm / self.scale) ** 2))
         self.axes = np.random.default_rng([seed, x.shape[1]]).normal(size=(x.shape[1] + 1, projections))
         values = ((x / self.scale) @ self.axes[:-1] + rest[:, None] * self.axes[-1]).T
-        self.rank = np.empty(values.shape, np.uint16)
-        self.sorted = np.empty_like(values)
+        n = len(ids)
+        steps = min(n, max(128, (1 << 20) // n))
+        edges = np.arange(steps + 1) * n // steps
+        self.between = np.empty((projections, steps))  # a value beyond it is nearer to the next edge
+        self.below = np.zeros((projections, steps + 1, (n + 63) // 64), U64)
+        rank = np.empty(n, np.uint16)
         for j in range(projections):
             order = np.argsort(values[j], kind="stable")
-            self.sorted[j] = values[j, order]
-            self.rank[j, order] = np.arange(len(ids), dtype=np.uint16)
+            self.between[j] = values[j, order[(edges[:-1] + edges[1:]) // 2]]
+            rank[order] = np.arange(n, dtype=np.uint16)
+            bits = np.packbits(rank < edges[:, None].astype(np.uint16), axis=1, bitorder="little")
+            self.below[j].view(np.uint8)[:, :bits.shape[1]] = bits
+        self.start = 0
         # a vector just at the radius lies in a window with probability p
         p = math.erf(WIDTH / 2 / math.sqrt(2))
-        self.need = math.ceil(projections * p - slack * math.sqrt(projections * p * (1 - p)))
+        self.need = max(0, math.ceil(projections * p - slack * math.sqrt(projections * p * (1 - p))))
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
         """(query, ids, scores, verified) of at most k vectors each, best first.
@@ -56,51 +105,60 @@ class Index:
         candidates never ends so, and what is left of it is verified as well.
 
         Windows of a radius hold those of all smaller ones, so that radius can be sought
-        from either side: the walk starts where the query before ended, up or down, and
-        counts at some two radii instead of all up to the last.
+        from either side: the walk starts where the queries before ended, up or down, and
+        counts at one or two radii instead of all up to the last: a radius below the k-th
+        distance found in larger windows cannot be the last.  Queries are counted a few at a time.
         """
         norm = np.linalg.norm(q, axis=1, keepdims=True)
-        centre = (q / norm) @ self.axes[:-1]
-        m, n = self.rank.shape
-        low, high = np.empty((len(q), len(RADII), m), np.uint16), np.empty((len(q), len(RADII), m), np.uint16)
-        for j in range(m):
-            low[:, :, j] = np.searchsorted(self.sorted[j], centre[:, j, None] - RADII * WIDTH / 2, "left")
-            high[:, :, j] = np.searchsorted(self.sorted[j], centre[:, j, None] + RADII * WIDTH / 2, "right")
-        place, inside = np.empty((m, n), np.uint16), np.empty((m, n), bool)
-        start = 0
-        for i in range(len(q)):
-            other = self.ids != own[i]
-            known, score = np.zeros(n, bool), np.empty(n)
-            held: dict[int, tuple[np.ndarray, bool]] = {}
-
-            def reached(r: int) -> bool:
-                """Whether the k-th distance of those in ``need`` windows is within radius r."""
-                if r not in held:
-                    # places below the window wrap round to beyond its end
-                    np.subtract(self.rank, low[i, r][:, None], out=place)
-                    np.less(place, (high[i, r] - low[i, r])[:, None], out=inside)
-                    count = inside.view(np.uint8).sum(axis=0, dtype=np.uint8)
-                    found = np.flatnonzero((count >= self.need) & other)
-                    self._verify(q[i], found, known, score)
-                    near = False
-                    if len(found) >= k:
-                        last = np.partition(score[found], -k)[-k] / (self.scale * norm[i, 0])
-                        near = math.sqrt(max(0.0, 2 - 2 * last)) <= RADII[r]
-                    held[r] = found, near
-                return held[r][1]
-
-            r = start
-            while r < len(RADII) and not reached(r):
-                r += 1
-            while 0 < r < len(RADII) and reached(r - 1):
-                r -= 1
-            if r < len(RADII):
-                found, start = held[r][0], r
-            else:
-                found, start = np.flatnonzero(other), len(RADII) - 1
-                self._verify(q[i], found, known, score)
-            best = found[np.lexsort((self.ids[found], -score[found]))[:k]]
-            yield i, self.ids[best], score[best], int(known.sum())
+        centre = np.ascontiguousarray(((q / norm) @ self.axes[:-1]).T)
+        n, m = len(self.ids), len(centre)
+        below = self.below.reshape(-1, self.below.shape[2])
+        first = np.arange(m)[:, None] * self.below.shape[1]
+
+        def edges(some: list[int], move: float, side: str) -> np.ndarray:
+            return first + np.array([b.searchsorted(c, side) for b, c in zip(self.between, centre[:, some] + move, strict=True)])
+
+        def reached(some: list[int], r: int) -> list[bool]:
+            """For each query, whether the k-th distance of those in ``need`` windows is within radius r."""
+            reach = RADII[r] * WIDTH / 2
+            rows = below[edges(some, -reach, "left")]
+            rows ^= below[edges(some, reach, "right")]
+            bits = at_least(bit_counts(rows), self.need)
+            inside = np.unpackbits(bits.view(np.uint8), axis=1, count=n, bitorder="little").view(bool)
+            near = []
+            for i, row in zip(some, inside, strict=True):
+                found = np.flatnonzero(row & other[i])
+                self._verify(q[i], found, known[i], score[i])
+                if len(found) >= k:
+                    last = np.partition(score[i][found], -k)[-k] / (self.scale * norm[i, 0])
+                    distance[i] = math.sqrt(max(0.0, 2 - 2 * last))
+                near.append(distance[i] <= RADII[r])
+                if near[-1]:
+                    ended[i] = r, found
+            return near
+
+        for group in np.split(np.arange(len(q)), range(1, len(q), TOGETHER)):
+            group = group.tolist()
+            other = {i: self.ids != own[i] for i in group}
+            known, score = {i: np.zeros(n, bool) for i in group}, {i: np.empty(n) for i in group}
+            distance, ended = dict.fromkeys(group, math.inf), {}
+            near = reached(group, self.start)
+            up, down = [[i for i, x in zip(group, near, strict=True) if x == y] for y in (False, True)]
+            for r in range(self.start + 1, len(RADII)):
+                if up:
+                    up = [i for i, x in zip(up, reached(up, r), strict=True) if not x]
+            for r in range(self.start - 1, -1, -1):
+                down = [i for i in down if distance[i] <= RADII[r]]
+                if down:
+                    down = [i for i, x in zip(down, reached(down, r), strict=True) if x]
+            for i in up:
+                ended[i] = len(RADII) - 1, np.flatnonzero(other[i])
+                self._verify(q[i], ended[i][1], known[i], score[i])
+            self.start = int(np.median([ended[i][0] for i in group]))
+            for i in group:
+                found = ended[i][1]
+                best = found[np.lexsort((self.ids[found], -score[i][found]))[:k]]
+                yield i, self.ids[best], score[i][best], int(known[i].sum())
 
     def _verify(self, q, found, known, score):
         new = found[~known[found]]

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from papyra.llm.collision_search import Index, nearest
+from papyra.llm.collision_search import RADII, WIDTH, Index, at_least, bit_counts, nearest
 from papyra.llm.embedding_dedup import near_vectors
 from tests.llm import brute
 
@@ -137,3 +137,50 @@ def test_search_counts_at_few_radii():
     for i in (0, 17, 49):
         _, ids, score, _ = next(iter(index.search(x[asked[i:i + 1]], asked[i:i + 1], 20)))
         assert (ids.tolist(), score.tolist()) == got[i]
+
+
+def test_search_counts_most_queries_once():
+    calls = []
+
+    class Counted(Index):
+        def _verify(self, *args):
+            calls.append(1)
+            return super()._verify(*args)
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    asked = np.arange(0, 2000, 10)
+    index = Counted(np.arange(len(x)), x, projections=200, slack=0.3, seed=5)
+    assert len(list(index.search(x[asked], asked, 20))) == len(asked)
+    assert len(calls) <= 1.8 * len(asked)
+
+
+def test_search_equals_plain_collision_counting():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 16)) * rng.uniform(0.5, 2, size=(900, 1))
+    x[::3] = x[5] + 0.1 * rng.normal(size=(300, 16))
+    ids, k = np.arange(900), 20
+    index = Index(ids, x, projections=60, slack=0.3, seed=5)
+    unit = np.hstack([x / index.scale, np.sqrt(np.maximum(0, 1 - (x ** 2).sum(axis=1, keepdims=True) / index.scale ** 2))])
+    values = unit @ index.axes
+    for i, got, score, _ in index.search(x[:200], ids[:200], k):
+        q = np.append(x[i] / np.linalg.norm(x[i]), 0)
+        found, s = ids[ids != i], (x * x[i]).sum(axis=1)
+        for r in RADII:
+            count = (np.abs(values - q @ index.axes) <= r * WIDTH / 2).sum(axis=1)
+            some = ids[(count >= index.need) & (ids != i)]
+            if len(some) >= k and np.sqrt(max(0, 2 - 2 * np.sort(s[some])[-k] / index.scale / np.linalg.norm(x[i]))) <= r:
+                found = some
+                break
+        best = found[np.lexsort((found, -s[found]))[:k]]
+        assert got.tolist() == best.tolist() and np.array_equal(score, s[best])
+
+
+def test_bit_counts():
+    rng = np.random.default_rng(10)
+    for m in (1, 2, 3, 4, 7, 60, 200):
+        bits = rng.random((m, 2, 128)) < 0.8
+        planes = bit_counts(np.packbits(bits, axis=2, bitorder="little").view(np.uint64))
+        for need in (0, 1, m // 2, m, m + 1, 300):
+            got = np.unpackbits(at_least(planes, need).view(np.uint8), axis=1, bitorder="little")
+            assert np.array_equal(got, bits.sum(axis=0) >= need)
