@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from papyra.llm.chunks import MESSAGE_SQL, answer, ask, bucket_keys, by_bucket, chunked, messages, read
-from papyra.llm.words import U64, as_texts, mix64, ngram_hashes, slices, split_words, word_hashes
+from papyra.llm.words import U64, as_texts, mix64, powers, slices, split_words, word_hashes
 
 RESULT = "long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, text string"
 NO_ID = np.iinfo(np.int64).max
@@ -28,6 +28,63 @@ class ChunkWords:
         self.pos = np.arange(len(self.hash)) - self.first[self.row]
 
 
+class RunHashes:
+    """Hashes of runs of words of one length, from prefix sums over all words."""
+
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        self.sums = np.zeros(n + 1, U64)
+        np.cumsum(h * powers(n), out=self.sums[1:])
+        self.back = powers(n + 1, True)
+
+    def every(self, k: int) -> np.ndarray:
+        """The hash of the run of k words from each word on, over the ends of rows too."""
+        return (self.sums[k:] - self.sums[:len(self.sums) - k]) * self.back[:max(0, len(self.sums) - k)]
+
+    def at(self, first: np.ndarray, k: int) -> np.ndarray:
+        return mix64((self.sums[first + k] - self.sums[first]) * self.back[first])
+
+
+def sliding(best: np.ufunc, x: np.ndarray, k: int) -> np.ndarray:
+    """``best`` (np.minimum or np.maximum) of every k consecutive entries."""
+    width = 1
+    while 2 * width <= k:
+        x, width = best(x[:-width], x[width:]), 2 * width
+    return best(x[:len(x) - (k - width)], x[k - width:]) if k > width else x
+
+
+class Marks:
+    """The marks of a chunk: in each window, its run of ``block`` words of the smallest hash.
+
+    Equal windows have equal marks at the same offset.  Neighbours mostly share theirs,
+    so few of the runs are marks.
+    """
+
+    def __init__(self, w: ChunkWords, window: int, block: int, n: int):
+        empty = np.zeros(0, np.int64)
+        self.window, self.span = empty, window - block + 1
+        self.key, self.count, self.place = empty.astype(U64), empty, empty
+        if len(w.hash) < window:
+            return
+        self.runs = RunHashes(w.hash).every(block)
+        self.least = sliding(np.minimum, self.runs, self.span)
+        whole = w.row[:len(self.least)] == w.row[window - 1:]
+        pad = np.zeros(self.span - 1, U64)
+        cover = sliding(np.maximum, np.concatenate([pad, np.where(whole, self.least, U64(0)), pad]), self.span)
+        self.at = np.flatnonzero(cover == self.runs)
+        self.window = np.flatnonzero(whole)
+        self.key, self.place, self.count = np.unique(bucket_keys(mix64(self.runs[self.at]), n), return_inverse=True, return_counts=True)
+
+    def windows(self, hit: np.ndarray) -> np.ndarray:
+        """First words of the windows whose mark is hit; ``hit`` holds one entry a key."""
+        at = self.at[hit[self.place]] if len(self.window) else self.window
+        if not len(at):
+            return at
+        runs = np.full(len(self.runs), ~U64(0))
+        runs[at] = self.runs[at]
+        return self.window[(sliding(np.minimum, runs, self.span) == self.least)[self.window]]
+
+
 def drop_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` without the words covered by a window of ``window``
     words that also starts earlier (smaller id, or same id and earlier start).
@@ -35,14 +92,12 @@ def drop_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
     Returns id, n_words, n_removed, the removed word ranges ``spans`` (maximal, in
     input positions, end exclusive) and ``text``, the kept words joined by a space.
 
-    1. Every block of ``window // 2`` words at a multiple of that length is
-       indexed, and every rolling window of that length probes the index.  A
-       repeated passage of ``window`` words holds a whole block of its earlier
-       copy, so each of its copies has a hit at the same offset.
-    2. Hits extend over all windows that hold them; of each distinct window
-       (96-bit hash) a chunk sends its first position, the smallest one of all
-       chunks stays and all others go.  Overlapping removed windows join to
-       maximal spans.
+    1. The mark of a window is its run of ``window // 2`` words of the smallest
+       hash (winnowing).  Marks are counted by place; a repeated window's mark is
+       found at two places or more, so only windows of such marks stay.
+    2. Of each distinct window that stays (96-bit hash) a chunk sends its first
+       position, the smallest one of all chunks stays and all others go.
+       Overlapping removed windows join to maximal spans.
     Neither step makes pairs: a passage of any number of documents is one key per
     chunk.
 
@@ -55,36 +110,23 @@ def drop_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
     block = max(1, window // 2)
     base, n = chunked(docs, id_col, text_col)
 
-    def probes(w: ChunkWords):
-        h, at = ngram_hashes(w.hash, w.row, block, seed=block)
-        keys = bucket_keys(h, n)
-        return keys, at, w.pos[at] % block == 0
-
-    def ask_blocks(chunk: int, t: pa.Table):
-        keys, _, anchor = probes(ChunkWords(t["__text"]))
-        uniq, count = np.unique(keys, return_counts=True)
-        anchors = np.unique(keys[anchor])
-        is_anchor = np.zeros(len(uniq), bool)
-        is_anchor[np.searchsorted(uniq, anchors)] = True
+    def ask_marks(chunk: int, t: pa.Table):
+        marks = Marks(ChunkWords(t["__text"]), window, block, n)
         out = []
-        for b, i, j in by_bucket(uniq, n):
-            data = (np.array([j - i], np.uint32).tobytes() + (uniq[i:j] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes()
-                    + np.packbits(count[i:j] > 1).tobytes() + np.packbits(is_anchor[i:j]).tobytes())
+        for b, i, j in by_bucket(marks.key, n):
+            data = (np.array([j - i], np.uint32).tobytes() + (marks.key[i:j] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+                    + np.packbits(marks.count[i:j] > 1).tobytes())
             out.append((b, chunk, 0, data))
         return out
 
     def find_hits(bucket: int, got: list[tuple[int, bytes]]):
-        keys, many, anchor = [], [], []
+        keys, many = [], []
         for _, data in got:
             m = int(np.frombuffer(data, np.uint32, 1)[0])
-            flags = np.frombuffer(data, np.uint8, offset=4 + 4 * m)
             keys.append(np.frombuffer(data, np.uint32, m, 4))
-            many.append(np.unpackbits(flags[:len(flags) // 2], count=m))
-            anchor.append(np.unpackbits(flags[len(flags) // 2:], count=m))
+            many.append(np.unpackbits(np.frombuffer(data, np.uint8, offset=4 + 4 * m), count=m))
         _, inv, seen = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        size = len(seen)
-        repeated = (seen > 1) | (np.bincount(inv, weights=np.concatenate(many), minlength=size) > 0)
-        hit = (repeated & (np.bincount(inv, weights=np.concatenate(anchor), minlength=size) > 0))[inv]
+        hit = (seen[inv] > 1) | np.concatenate(many).view(bool)
         ends = np.cumsum([len(x) for x in keys])
         return [(bucket, chunk, 0, np.packbits(part).tobytes())
                 for (chunk, _), part in zip(got, np.split(hit, ends[:-1]), strict=True)]
@@ -99,21 +141,16 @@ def drop_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
         return out
 
     def candidates(w: ChunkWords, t: pa.Table, data: bytes):
-        """Windows that hold a hit: hash, second hash, index of the first word, and
-        (id, start); then the distinct ones in bucket order with their first position."""
-        keys, at, _ = probes(w)
-        uniq = np.unique(keys)
-        hit = np.zeros(len(w.hash) + 1, np.int64)
-        hit[at] = bits(data, uniq)[np.searchsorted(uniq, keys)]
-        upto = np.concatenate([[0], np.cumsum(hit)])
-        h, first = ngram_hashes(w.hash, w.row, window, seed=1)
-        near = upto[first + window - block + 1] > upto[first]
-        h, first = h[near], first[near]
-        second, place = ngram_hashes(mix64(w.hash ^ U64(0x5BD1E995)), w.row, window, seed=2)
-        second = (second[np.searchsorted(place, first)] >> U64(32)).astype(np.uint32)
+        """Windows whose mark is hit, in order of their hash: hash, second hash, index of the
+        first word, (id, start), and whether one is the first of its hashes."""
+        marks = Marks(w, window, block, n)
+        first = marks.windows(bits(data, marks.key))
+        del marks
+        h = RunHashes(w.hash).at(first, window)
+        second = (RunHashes(mix64(w.hash ^ U64(0x5BD1E995))).at(first, window) >> U64(32)).astype(np.uint32)
         ids = t["__id"].fill_null(NO_ID).to_numpy()
         doc, start = ids[w.row[first]], w.pos[first]
-        order = np.lexsort((start, doc, second, h, bucket_keys(h, n) >> U64(32)))
+        order = np.lexsort((start, doc, second, h))  # buckets are ranges of the hash
         h, second, first, doc, start = h[order], second[order], first[order], doc[order], start[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (second[1:] != second[:-1])
@@ -188,6 +225,6 @@ def drop_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
         return pa.table({id_col: t["__id"], "n_words": w.count.astype(np.int64), "n_removed": removed.astype(np.int64),
                          "spans": pa.array(spans, kind), "text": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    hits = answer(ask(base, ask_blocks), find_hits)
+    hits = answer(ask(base, ask_marks), find_hits)
     firsts = answer(read(base, hits, ask_windows, MESSAGE_SQL), find_first)
     return read(base, hits.unionByName(firsts), remove, f"`{id_col}` {RESULT}")

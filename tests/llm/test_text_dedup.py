@@ -1,7 +1,9 @@
 import random
 
+import pyarrow as pa
 import pytest
 
+from papyra.llm import chunks, substring_dedup
 from papyra.llm.line_dedup import drop_common_lines
 from papyra.llm.ngram_join import keep_one, near_duplicates
 from papyra.llm.substring_dedup import drop_repeats
@@ -123,3 +125,30 @@ def test_keep_one_of_several_texts_of_the_smallest_id(spark):
     docs = spark.createDataFrame([(5, a), (5, a2), (5, a.upper()), (5, b), (6, b2), (8, a2), (8, a2)], "doc_id long, text string")
     kept = [(r.doc_id, r.text) for r in keep_one(docs).collect()]
     assert len(kept) == 2 and (5, b) in kept and {i for i, _ in kept} == {5}
+
+
+def test_substring_dedup_asks_about_few_runs(spark, monkeypatch):
+    asked = []
+
+    def spy(base, question):
+        asked.append(question(0, table))
+        return chunks.ask(base, question)
+
+    rng = random.Random(3)
+    text = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(400)) for _ in range(50)]
+    table = pa.table({"__id": list(range(50)), "__text": text})
+    monkeypatch.setattr(substring_dedup, "ask", spy)
+    drop_repeats(spark.createDataFrame([(0, "a")], "doc_id long, text string"), window=20)
+    # 4 bytes a run and one number a bucket: not every one of the 20,000 runs is asked about
+    assert sum(len(row[3]) for row in asked[0]) < 20_000
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 20])
+def test_substring_dedup_of_few_words(spark, window):
+    rng = random.Random(window)
+    texts = ["a " * 90, "a b " * 40, "a b c " * 30 + "x", "a " * 20, "a " * 19, "x " + "a " * 21 + "y"]
+    texts += [" ".join(rng.choice("ab") for _ in range(rng.choice([19, 20, 21, 60]))) for _ in range(30)]
+    rows = [(7 * i % 36, t) for i, t in enumerate(texts)]
+    got = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window).collect()
+    want = {i: w for (i, _), w in zip(rows, brute.repeats(rows, window), strict=True)}
+    assert {r.doc_id: (r.text, r.n_words, r.n_removed) for r in got} == want
